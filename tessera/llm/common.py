@@ -211,3 +211,26 @@ def map_text(docs: DataFrame, fields: str, make, text_col: str = "text", keep: l
 
 def string_lists(values: list[list[str]]) -> pa.Array:
     return pa.array(values, pa.list_(pa.string()))
+
+
+# ------------------------------------------------------------------ labelled rows
+
+
+def fold_of(id_col: str, folds: int):
+    """crc32 of the id as text, modulo folds; null ids have fold -1."""
+    from pyspark.sql import functions as F
+
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds, F.lit(-1))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, max_rows: int, id_col: str = "doc_id") -> DataFrame:
+    """(id, text, label) of at most max_rows labelled training rows, the first by a hash of the id.
+
+    The chosen labels, and so what is broadcast, are at most max_rows rows of two
+    numbers; the texts aren't shuffled. A document labelled twice takes the larger label.
+    """
+    from pyspark.sql import functions as F
+
+    once = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).cast("int").alias("__label"))
+    chosen = once.where(fold_of(id_col, folds) != held_out).orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
+    return docs.select(id_col, "text").join(F.broadcast(chosen), id_col)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
+    "media_ts",
+    "secret_scan",
     "toxicity",
     "decontaminate",
 )

@@ -9,6 +9,9 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
+    "token_rollup",
+    "url_cascade",
+    "source_mix",
     "quality_fm",
     "media_ts",
     "secret_scan",

@@ -9,6 +9,7 @@ from __future__ import annotations
 from importlib import import_module
 
 MODULES = (
+    "suffix_dedup",
     "ngram_join",
     "token_rollup",
     "url_cascade",

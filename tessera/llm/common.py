@@ -192,7 +192,8 @@ def map_text(docs: DataFrame, fields: str, make, text_col: str = "text", keep: l
     spark = docs.sparkSession
     added = spark.createDataFrame([], fields).schema
     kept = [c for c in (docs.columns if keep is None else keep) if c not in added.fieldNames()]
-    source = docs.select(*[f"`{c}`" for c in kept], docs[text_col].alias("__text"))
+    at = kept.index(text_col) if text_col in kept else len(kept)
+    source = docs.select(*[f"`{c}`" for c in kept], *([] if at < len(kept) else [docs[text_col].alias("__text")]))
     schema = source.select(*[f"`{c}`" for c in kept]).schema
     for field in added:
         schema = schema.add(field)
@@ -203,12 +204,18 @@ def map_text(docs: DataFrame, fields: str, make, text_col: str = "text", keep: l
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [batch.column(i) for i in range(len(kept))] + list(work(batch.column(len(kept))))
+            columns = [batch.column(i) for i in range(len(kept))] + list(work(batch.column(at)))
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return source.mapInArrow(run, schema)
 
 
+def set_aside(docs: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """Docs with columns of these names renamed, and the renaming that undoes it."""
+    moved = {c: f"__own_{c}" for c in docs.columns if c in names}
+    return docs.withColumnsRenamed(moved), {v: k for k, v in moved.items()}
+
+
 def string_lists(values: list[list[str]]) -> pa.Array:
     return pa.array(values, pa.list_(pa.string()))
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, U64, document_windows, map_text, owners, slices, string_lists, table, utf8, windows, words
+from .common import ALNUM, U64, document_windows, map_text, owners, set_aside, slices, string_lists, table, utf8, windows, words
 
 WINDOW = 13
 SHARD_BYTES = 4 << 20
@@ -151,20 +151,22 @@ def find_matches(docs: DataFrame, bench: DataFrame, text_col: str = "text", benc
     """Docs with n_words, n_hit, hit_spans (word ranges), items (whose windows occur, sorted) and longest_match (words)."""
     sc = docs.sparkSession.sparkContext
     kept = docs.columns if keep is None else keep
+    taken = {field.split()[0] for field in FIELDS.replace("start:int,end:int", "").split(", ")}
     out = None
     for block in benchmark_blocks(bench, bench_text, bench_id, block_words):
         shared = sc.broadcast(block)
         make = lambda shared=shared: scan(shared.value)
         if out is None:
-            first = docs.withColumn("__body", F.col(text_col))
-            out = map_text(first, FIELDS, make, text_col, [c for c in kept if c not in FIELDS] + ["__body"])
+            out = map_text(docs, FIELDS, make, text_col, [c for c in kept if c not in taken])
             continue
+        if text_col not in out.columns:
+            raise ValueError(f"a benchmark of more than {block_words} words takes several passes: keep {text_col}")
         renamed = out.withColumnsRenamed({"hit_spans": "old_spans", "items": "old_items", "longest_match": "old_longest"})
-        out = map_text(renamed, FIELDS, make, "__body")
+        out = map_text(renamed, FIELDS, make, text_col)
         out = out.withColumn("hit_spans", F.expr(MERGE)).withColumn("items", F.array_sort(F.array_distinct(F.concat("items", "old_items"))))
         out = out.withColumn("longest_match", F.greatest("longest_match", "old_longest")).drop("old_spans", "old_items", "old_longest")
         out = out.withColumn("n_hit", F.expr("aggregate(hit_spans, 0L, (n, x) -> n + x.end - x.start)"))
-    return out.drop("__body")
+    return out
 
 
 def contaminated(share: float = 0.05):
@@ -174,7 +176,8 @@ def contaminated(share: float = 0.05):
 
 def remove_contaminated(docs: DataFrame, bench: DataFrame, share: float = 0.05) -> DataFrame:
     """Docs without those that the benchmark contaminates; columns as they were."""
-    return find_matches(docs, bench).where(~contaminated(share)).select(*[f"`{c}`" for c in docs.columns])
+    own, back = set_aside(docs, ["n_words", "n_hit", "hit_spans", "items", "longest_match"])
+    return find_matches(own, bench).where(~contaminated(share)).withColumnsRenamed(back).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

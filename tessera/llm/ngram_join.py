@@ -21,7 +21,8 @@ Result: one row a document with class_id (its class's smallest document id; its
 it is alone) and n_links (documents, copies included, whose sets have Jaccard similarity of
 the threshold or more with its own, itself left out).
 
-Defined cases: null or wordless texts have no set, are alone and have no links; copies link
+Defined cases: null or wordless texts and rows without id have no set, are alone and have
+no links; copies link
 to each other; repeated rows with one id count as copies, and n_links counts rows; empty
 tables give no rows; extra columns aren't read.
 """
@@ -201,7 +202,8 @@ def verify(threshold: float):
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id, n_links), one row a document; see the module."""
     depth = prefix_depth(trees, depth, threshold, recall)
-    signed = materialise(signatures(docs, trees, depth, id_col, text_col).withColumnRenamed(id_col, "id"), "forest")
+    signed = signatures(docs, trees, depth, id_col, text_col).withColumnRenamed(id_col, "id")
+    signed = materialise(signed.withColumn("digest", F.when(F.col("id").isNotNull(), F.col("digest"))), "forest")
     reps = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("prefixes").alias("prefixes"))
     reps = materialise(reps, "forest-reps")
 
@@ -255,7 +257,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One document of each class, the one with the smallest id; columns as they were."""
     kept = near_duplicates(docs, **options).where("class_id = doc_id").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    chosen = docs.join(kept, "doc_id", "left_semi").withColumn("__text_of", F.xxhash64("text")).dropDuplicates(["doc_id", "__text_of"])
+    columns = [f"`{c}`" for c in docs.columns]
+    return chosen.select(*columns).unionByName(docs.where("doc_id IS NULL").select(*columns))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_of, labelled_sample, map_text, materialise, table
+from .common import fold_of, labelled_sample, map_text, materialise, set_aside, table
 
 FOLDS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 
@@ -246,8 +246,8 @@ def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", keep: list[
 
 def remove_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
     """Docs whose score is below the threshold; columns as they were."""
-    named = docs.withColumn("__score_of", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    return score(named, lexicon, keep=["__score_of"]).where(F.col("score") < threshold).select("__score_of.*")
+    own, back = set_aside(docs, ["score", "n_matches"])
+    return score(own, lexicon).where(F.col("score") < threshold).drop("score", "n_matches").withColumnsRenamed(back).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

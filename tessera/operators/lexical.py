@@ -43,6 +43,10 @@ def bm25_from_postings(posted: DataFrame, lengths: DataFrame, query: str) -> Dat
     return scored.groupBy("id").agg(F.sum(bm25_term(F.col("tf"), F.col("dl"), F.col("df"), F.col("n"), F.col("average")) * repeat).alias("score"))
 
 
+def equals(term: str):
+    return lambda x: x == term
+
+
 def bm25(chunks: DataFrame, query: str, id_col: str = "id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, score, kept columns) of all documents with a score, without stored postings: one pass counts the query's terms only.
 
@@ -51,7 +55,7 @@ def bm25(chunks: DataFrame, query: str, id_col: str = "id", text_col: str = "tex
     wanted = query_tokens(query)
     terms = list(dict.fromkeys(wanted))
     counted = chunks.select(F.col(id_col).alias("id"), *keep, tokens(F.col(text_col)).alias("t"))
-    counted = counted.select("id", *keep, F.size("t").alias("dl"), *[F.size(F.filter("t", lambda x, t=t: x == t)).alias(f"tf{i}") for i, t in enumerate(terms)]).persist()
+    counted = counted.select("id", *keep, F.size("t").alias("dl"), *[F.size(F.filter("t", equals(t))).alias(f"tf{i}") for i, t in enumerate(terms)]).persist()
     corpus = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("average"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     parts = [bm25_term(F.col(f"tf{i}"), F.col("dl"), F.col(f"df{i}"), F.col("n"), F.col("average")) * wanted.count(t) for i, t in enumerate(terms)]
     return counted.crossJoin(F.broadcast(corpus)).select("id", *keep, sum(parts, F.lit(0.0)).alias("score")).where("score > 0")

@@ -61,6 +61,19 @@ def applies(rule: Rule, path: Column, language: Column) -> Column:
     return speaks & inside & ~any_of([path.contains(p) for p in rule.path_excludes], False)
 
 
+def file_hit(rule: Rule, text: Column) -> Column:
+    hit = any_of([text.rlike(f"(?m){p}") for p in rule.patterns], False)
+    return hit & ~any_of([text.rlike(f"(?m){p}") for p in rule.negative], False)
+
+
+def line_findings(rule: Rule, text: Column) -> Column:
+    """Array of the rule's findings, one a matching line."""
+    rows = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct((i + 1).alias("line"), x.alias("text")))
+    rows = F.filter(rows, lambda x: any_of([x["text"].rlike(p) for p in rule.patterns], False))
+    named = (F.lit(rule.id).alias("rule_id"), F.lit(rule.category).alias("category"), F.lit(rule.severity).alias("severity"))
+    return F.transform(rows, lambda x: F.struct(*named, x["line"].alias("line"), evidence(x["text"]).alias("evidence")))
+
+
 def scan(files: DataFrame, rules: list[Rule], per_rule: int | None = 50, max_bytes: int = 512 * 1024) -> DataFrame:
     """(rule_id, category, severity, path, line, evidence) for files (path, language, text).
 
@@ -69,14 +82,7 @@ def scan(files: DataFrame, rules: list[Rule], per_rule: int | None = 50, max_byt
     path and line order (a report's limit; None keeps all).
     """
     path, language, text = F.col("path"), F.col("language"), F.col("text")
-    found = []
-    for rule in rules:
-        hit = any_of([text.rlike(f"(?m){p}") for p in rule.patterns], False)
-        clean = ~any_of([text.rlike(f"(?m){p}") for p in rule.negative], False)
-        line_hit = lambda x, rule=rule: any_of([x["text"].rlike(p) for p in rule.patterns], False)
-        lines = F.filter(F.transform(F.split(text, "\n", -1), lambda x, i: F.struct((i + 1).alias("line"), x.alias("text"))), line_hit)
-        row = F.transform(lines, lambda x, rule=rule: F.struct(F.lit(rule.id).alias("rule_id"), F.lit(rule.category).alias("category"), F.lit(rule.severity).alias("severity"), x["line"].alias("line"), evidence(x["text"]).alias("evidence")))
-        found.append(F.when(applies(rule, path, language) & hit & clean, row))
+    found = [F.when(applies(r, path, language) & file_hit(r, text), line_findings(r, text)) for r in rules]
     if not found:
         raise ValueError("no rules")
     rows = files.where(F.octet_length(text) <= max_bytes).select(path, F.explode(F.flatten(F.filter(F.array(*found), lambda x: x.isNotNull()))).alias("f"))

@@ -2,5 +2,11 @@
 
 from __future__ import annotations
 
+from . import retrieval
+
+MODULES = (retrieval,)
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in MODULES:
+    QUERIES.update(_module.QUERIES)
+    ORACLES.update(_module.ORACLES)

@@ -47,7 +47,7 @@ def within_budget(ranked: DataFrame, k: int = 20, max_chars: int = MAX_CHARS, ma
     One fold over the ``pool`` best hits (a top-k, far beyond k), which is a bounded array.
     """
     caps = budgets or BUDGETS
-    best = ranked.orderBy(*order).limit(pool).select(F.struct(*order, "id", "type", "chars").alias("hit"))
+    best = ranked.orderBy(*order).limit(pool).select(F.struct(*dict.fromkeys([*order, "id", "type", "chars"])).alias("hit"))
     rows = best.agg(F.array_sort(F.collect_list("hit")).alias("hits"))
     kind = rows.schema["hits"].dataType.simpleString()
     start = F.struct(F.expr(f"cast(array() as {kind})").alias("kept"), F.lit(0).cast("long").alias("chars"), *[F.lit(0).alias(t) for t in caps])

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import retrieval
+from . import governance, insight, relations, retrieval, tables
 
-MODULES = (retrieval,)
+MODULES = (retrieval, relations, governance, tables, insight)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _module in MODULES:

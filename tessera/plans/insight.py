@@ -91,7 +91,7 @@ _RISK_LIST = ", ".join(f"CASE WHEN regexp_matches(t, '{p}') THEN '{name}' END" f
 
 ORACLES = {
     "usage_fold": f"SELECT kind, sum(greatest(coalesce(n, 1), 1))::BIGINT AS uses, round(coalesce(sum(latency), 0), 3) AS latency_sum, count(latency) AS latency_count, CAST(floor(sum(latency) / count(latency) + 0.5) AS BIGINT) AS latency_avg FROM ({EVENTS_SQL}) GROUP BY kind",
-    "last64": f"SELECT kind, id, CAST(n AS INTEGER) AS nth FROM (SELECT kind, id, row_number() OVER (PARTITION BY kind ORDER BY "at" DESC, id DESC) AS n FROM ({EVENTS_SQL})) WHERE n <= 64",
+    "last64": f"SELECT kind, id, CAST(n AS INTEGER) AS nth FROM (SELECT kind, id, row_number() OVER (PARTITION BY kind ORDER BY happened DESC, id DESC) AS n FROM ({EVENTS_SQL})) WHERE n <= 64",
     "frequent_sources": f"SELECT path_hash, sum(greatest(coalesce(n, 1), 1))::BIGINT AS uses FROM ({EVENTS_SQL}) GROUP BY path_hash",
     "severity_score": f"""WITH s AS (SELECT l_orderkey, coalesce(sum({_POINTS}) FILTER (l_suppkey % 4 IN (0, 2)), 0) AS f, coalesce(sum({_POINTS}) FILTER (l_suppkey % 4 NOT IN (0, 2)), 0) AS s FROM lineitem GROUP BY l_orderkey)
 SELECT l_orderkey, round(f, 4) AS functionality_penalty, round(s, 4) AS style_penalty, round(greatest(0, least(10, 10 - (f + s))), 2) AS score FROM s""",

@@ -110,3 +110,45 @@ UNION ALL SELECT h.n, kept + x::INT, used + CASE WHEN x THEN chars ELSE 0 END, f
 FROM (SELECT h.*, r.kept, r.used, r.f, r.s, r.c, kept < 20 AND used + chars <= 24000 AND ceil((used + chars) / 4) <= 6000 AND (type <> 'file' OR f < 12) AND (type <> 'symbol' OR s < 20) AND (type <> 'chunk' OR c < 24) AS x FROM r JOIN h ON h.n = r.n + 1) h)
 SELECT id, type, chars FROM h JOIN r USING (n) WHERE fits""",
 }
+
+
+def document_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(chunks, files, symbols, edges) of the documents: first words as symbols, turns of one source as imports."""
+    from ..operators import chunks
+    from ..sources.bindings import files as document_files
+
+    own = document_files(spark, sf_dir)
+    cut = chunks.window_chunks(own, 40, 6).withColumns({"kind": F.lit("source"), "weight": F.lit(1.0)})
+    cut = cut.withColumn("id", F.concat_ws(":", "path", "start_line"))
+    files_ = own.select("path", F.length("text").alias("size"), F.col("id").alias("mtime"))
+    name = F.regexp_extract("text", r"^(\w+ \w+)", 1)
+    symbols = own.select(F.concat(F.lit("s:"), "path").alias("id"), F.regexp_replace(name, " ", "").alias("name"), "path", F.lit(1).alias("start_line"), F.lit(3).alias("end_line")).where("name <> ''")
+    source = F.element_at(F.split("path", "/"), 1)
+    edges = own.select(F.concat(F.lit("e:"), "path").alias("id"), F.col("path").alias("from_path"), F.concat(F.lit("hub/"), source).alias("to_path"), F.lit("import").alias("kind"), source.alias("specifier"), F.concat(F.lit("s:"), "path").alias("from_symbol"), F.lit(None).cast("string").alias("to_symbol"), F.lit("high").alias("confidence"), F.lit("ast").alias("method"))
+    return cut, files_, symbols, edges
+
+
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question over all documents' chunks, paths, first words and sources."""
+    from ..operators import hybrid
+
+    got = hybrid.search(*document_index(spark, sf_dir), "inea edes ontion src3 french", k=20)
+    return got.select("id", "result_type", "path", F.round("score", 4).alias("score"), "confidence")
+
+
+def relationship_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import paths
+
+    seeds = table(spark, sf_dir, "nation").select(F.concat(F.lit("nation/"), "n_nationkey").alias("node"))
+    got = paths.relationship_paths(key_edges(spark, sf_dir), seeds)
+    return got.select("seed", "path_id", F.array_join("nodes", ">").alias("nodes"), "confidence", "deterministic", "cycle", "score")
+
+
+def change_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import paths
+
+    seeds = table(spark, sf_dir, "region").select(F.concat(F.lit("region/"), "r_regionkey").alias("node"))
+    return paths.change_impact(key_edges(spark, sf_dir), seeds, paths.Budget(depth=2))
+
+
+QUERIES.update({f.__name__: f for f in (hybrid_search, relationship_paths, change_impact)})

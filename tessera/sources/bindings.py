@@ -102,7 +102,7 @@ def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-EVENTS_SQL = "SELECT event_id AS id, event_type AS kind, ts AS "at", CAST(json_extract_string(props, '$.k') AS BIGINT) AS n, value AS latency, substr(sha256(CAST(user_id AS VARCHAR)), 1, 16) AS path_hash FROM events"
+EVENTS_SQL = "SELECT event_id AS id, event_type AS kind, ts AS happened, CAST(json_extract_string(props, '$.k') AS BIGINT) AS n, value AS latency, substr(sha256(CAST(user_id AS VARCHAR)), 1, 16) AS path_hash FROM events"
 
 
 def page_targets(spark: SparkSession, sf_dir: str) -> DataFrame:

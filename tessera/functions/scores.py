@@ -13,7 +13,7 @@ DETERMINISTIC_METHODS = ("compiler", "ast", "typescript-checker", "typescript-as
 # Penalties of review findings by severity, and what the two score buckets hold.
 SEVERITY_PENALTY = {"info": 0.15, "hint": 0.25, "warning": 0.55, "error": 0.85, "critical": 1.2}
 FUNCTIONALITY_CATEGORIES = ("security", "correctness", "reliability", "operability", "data")
-SIGNALS = ("exact_symbol", "symbol_alias", "lexical", "path", "import_distance", "call_graph", "test_relation", "instruction_scope", "architecture", "recency", "user_selected", "generated_penalty")
+SIGNALS = ("exact_symbol", "symbol_alias", "lexical", "path_relevance", "import_distance", "call_graph", "test_relation", "instruction_scope", "architecture", "recency", "user_selected", "generated_penalty")
 
 
 def js_round(x: Column) -> Column:

@@ -45,12 +45,12 @@ def candidates(chunks: DataFrame, files: DataFrame, symbols: DataFrame, edges: D
     exact, alias = scores.symbol_scores(query, F.col("name"))
     named = symbols.withColumns({"exact": exact, "alias": alias}).where("exact > 0 OR alias > 0")
     by_symbol = candidate(
-        named.join(dated, "path", "left"), {"exact_symbol": F.col("exact"), "symbol_alias": F.col("alias"), "path": path_value, "recency": fresh, "user_selected": chosen, "generated_penalty": penalty},
+        named.join(dated, "path", "left"), {"exact_symbol": F.col("exact"), "symbol_alias": F.col("alias"), "path_relevance": path_value, "recency": fresh, "user_selected": chosen, "generated_penalty": penalty},
         id=F.concat(F.lit("sym:"), "id"), result_type=F.lit("symbol"), path=F.col("path"), symbol_id=F.col("id"), start_line=F.col("start_line"), end_line=F.col("end_line"), chars=F.greatest(F.lit(80), (F.col("end_line") - F.col("start_line") + 1) * 40), deterministic=F.col("exact") > 0,
     )
     wanted = dated.withColumn("score", path_value).where((F.col("score") > 0) | F.coalesce(chosen, F.lit(0)).cast("int").__gt__(0))
     by_path = candidate(
-        wanted, {"path": F.col("score"), "recency": fresh, "user_selected": chosen, "generated_penalty": penalty},
+        wanted, {"path_relevance": F.col("score"), "recency": fresh, "user_selected": chosen, "generated_penalty": penalty},
         id=F.concat(F.lit("file:"), "path"), result_type=F.lit("file"), path=F.col("path"), chars=F.least(F.coalesce("size", F.lit(400)), F.lit(2000)),
     )
     hits = lexical.top_k(lexical.boosted(lexical.bm25(chunks, query, keep=("path", "kind", "weight"))), lexical_pool)
@@ -59,24 +59,24 @@ def candidates(chunks: DataFrame, files: DataFrame, symbols: DataFrame, edges: D
     heavy = scores.generated_penalty(F.col("path"), F.col("size"), F.col("text"))
     text = text.withColumns({"lex": lex, "heavy": heavy}).where("NOT (heavy >= 50 AND lex < 25)")
     by_text = candidate(
-        text, {"lexical": F.col("lex"), "path": path_value, "user_selected": chosen, "generated_penalty": F.col("heavy")},
+        text, {"lexical": F.col("lex"), "path_relevance": path_value, "user_selected": chosen, "generated_penalty": F.col("heavy")},
         id=F.concat(F.lit("chunk:"), "id"), result_type=F.lit("chunk"), path=F.col("path"), start_line=F.col("start_line"), end_line=F.col("end_line"), chars=F.least(F.length("text"), F.lit(1500)),
     )
     seeds = named.select(F.col("path").alias("node")).unionByName(wanted.where(F.col("score") >= 20).select(F.col("path").alias("node")))
     near = graph.import_distance(edges, seeds, depth).where("distance > 0").join(graph.degrees(edges), "node", "left").withColumnRenamed("node", "path")
     by_import = candidate(
-        near, {"import_distance": scores.import_distance_score(F.col("distance"), F.coalesce("degree", F.lit(0))), "path": path_value, "generated_penalty": scores.generated_penalty(F.col("path"))},
+        near, {"import_distance": scores.import_distance_score(F.col("distance"), F.coalesce("degree", F.lit(0))), "path_relevance": path_value, "generated_penalty": scores.generated_penalty(F.col("path"))},
         id=F.concat(F.lit("dep:"), "path"), result_type=F.lit("dependency"), path=F.col("path"), deterministic=F.lit(True),
     )
     around = graph.neighbours(edges, named.where("exact > 0 OR alias >= 35").select("id"))
     calls = graph.capped_fan_out(around.where("kind = 'call'"), 12, "symbol").withColumn("other", F.when(F.col("direction") == "in", F.col("from_path")).otherwise(F.col("to_path")))
     by_call = candidate(
-        calls, {"call_graph": F.when(F.col("direction") == "in", F.lit(30)).otherwise(F.lit(24)), "path": scores.path_score(query, F.col("other"))},
+        calls, {"call_graph": F.when(F.col("direction") == "in", F.lit(30)).otherwise(F.lit(24)), "path_relevance": scores.path_score(query, F.col("other"))},
         id=F.concat(F.lit("call:"), "other"), result_type=F.lit("dependency"), path=F.col("other"), deterministic=scores.deterministic(F.col("confidence"), F.col("method")),
     )
     tests = graph.related_tests(edges, named.select("id", "path"))
     by_test = candidate(
-        tests, {"test_relation": F.lit(28), "path": scores.path_score(query, F.col("from_path"))},
+        tests, {"test_relation": F.lit(28), "path_relevance": scores.path_score(query, F.col("from_path"))},
         id=F.concat(F.lit("test:"), "from_path"), result_type=F.lit("test"), path=F.col("from_path"), deterministic=scores.deterministic(F.col("confidence"), F.col("method")),
     )
     out = by_symbol

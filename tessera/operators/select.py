@@ -18,27 +18,44 @@ def overlap_pairs(hits: DataFrame) -> DataFrame:
     return a.join(b, meets).select("a.path", F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
-def _settle(group: pd.DataFrame) -> pd.DataFrame:
-    """One path's hits in rank order: a hit takes the seat of the first kept one it meets if it scores clearly more, or as much on fewer lines."""
-    seats: list = []
-    for row in group.sort_values(["score", "start_line", "id"], ascending=[False, True, True]).itertuples(index=False):
-        met = next((i for i, k in enumerate(seats) if k[0].start_line <= row.end_line and row.start_line <= k[0].end_line), None)
+SEATS = "id string, path string, start_line int, end_line int, score double, seat_score double, seat_line int, seat_id string"
+
+
+def settle(rows: list[tuple]) -> list[tuple]:
+    """One path's hits (id, path, start_line, end_line, score) in rank order: a hit takes the seat of the first kept one it meets if it scores clearly more, or as much on fewer lines."""
+    seats: list[tuple] = []
+    for row in rows:
+        _, _, start, end, score = row
+        met = next((i for i, (k, _) in enumerate(seats) if k[2] <= end and start <= k[3]), None)
         if met is None:
             seats.append((row, row))
             continue
         held, first = seats[met]
-        gap = row.score - held.score
-        if gap > 5 or abs(gap) <= 5 and row.end_line - row.start_line < held.end_line - held.start_line:
+        gap = score - held[4]
+        if gap > 5 or abs(gap) <= 5 and end - start < held[3] - held[2]:
             seats[met] = (row, first)
-    out = [(k.id, k.path, k.start_line, k.end_line, float(k.score), float(f.score), f.start_line, f.id) for k, f in seats]
-    return pd.DataFrame(out, columns=["id", "path", "start_line", "end_line", "score", "seat_score", "seat_line", "seat_id"])
+    return [(*k, f[4], f[2], f[0]) for k, f in seats]
+
+
+def _settle_sorted(batches):
+    """Rows sorted by path and rank, many paths a batch; a path may go on in the next batch."""
+    names = [f.split()[0] for f in SEATS.split(", ")]
+    group: list[tuple] = []
+    for batch in batches:
+        out: list[tuple] = []
+        for row in batch.itertuples(index=False, name=None):
+            if group and row[1] != group[0][1]:
+                out += settle(group)
+                group = []
+            group.append(row)
+        yield pd.DataFrame(out, columns=names)
+    yield pd.DataFrame(settle(group), columns=names)
 
 
 def drop_overlaps(hits: DataFrame) -> DataFrame:
-    """Hits (id, path, start_line, end_line, score) without overlaps, in seat order columns: ranges only meet within a path, so each path is a group of its own."""
-    fields = "id string, path string, start_line int, end_line int, score double, seat_score double, seat_line int, seat_id string"
+    """Hits (id, path, start_line, end_line, score) without overlaps, with their seat's rank: ranges only meet within a path, so paths are dealt out and settled one after another in sorted batches."""
     own = hits.select("id", "path", F.col("start_line").cast("int"), F.col("end_line").cast("int"), F.col("score").cast("double"))
-    return own.groupBy("path").applyInPandas(_settle, fields)
+    return own.repartition("path").sortWithinPartitions("path", F.desc("score"), "start_line", "id").mapInPandas(_settle_sorted, SEATS)
 
 
 def within_budget(ranked: DataFrame, k: int = 20, max_chars: int = MAX_CHARS, max_tokens: int = MAX_TOKENS, budgets: dict[str, int] | None = None, order: tuple[str, ...] = ("rank",), pool: int = 1000) -> DataFrame:

@@ -176,8 +176,9 @@ def contaminated(share: float = 0.05):
 
 def remove_contaminated(docs: DataFrame, bench: DataFrame, share: float = 0.05) -> DataFrame:
     """Docs without those that the benchmark contaminates; columns as they were."""
-    own, back = set_aside(docs, ["n_words", "n_hit", "hit_spans", "items", "longest_match"])
-    return find_matches(own, bench).where(~contaminated(share)).withColumnsRenamed(back).select(*[f"`{c}`" for c in docs.columns])
+    results = ["n_words", "n_hit", "hit_spans", "items", "longest_match"]
+    own, back = set_aside(docs, results)
+    return find_matches(own, bench).where(~contaminated(share)).drop(*results).withColumnsRenamed(back).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

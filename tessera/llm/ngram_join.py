@@ -10,8 +10,8 @@ until a pair at the threshold meets in some tree with the target probability
 Equal sets are one class from the start; only one representative goes on, with the number
 of its copies. Documents that share a node are candidates, and candidates are joined into
 connected components (each node links its members to its smallest, so a node of n members
-gives n - 1 links, not all pairs). Each component is verified exactly: its sets are sorted
-by size and cut into blocks, and each pair of blocks whose sizes can reach the threshold is
+gives n - 1 links, not all pairs). Each component is verified exactly: its sets are cut
+into blocks of similar size, and each pair of blocks whose sizes can reach the threshold is
 one task's work, a sparse-to-dense matrix product that counts common shingles. It returns
 each document's number of links and a spanning forest of them, never the pairs, so a group
 of thousands of near copies is dealt over many tasks and gives rows in proportion to its
@@ -29,9 +29,11 @@ tables give no rows; extra columns aren't read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ALNUM, U64, document_windows, map_text, materialise, mix, slices, table, utf8, words
@@ -40,6 +42,8 @@ SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9995
 TREES, DEPTH = 24, 8
 #: Shingles and documents of one block at most, unless one document has more.
 BLOCK_SHINGLES, BLOCK_DOCS = 1_000_000, 256
+#: Parts into which a join deals the rows of one key.
+SALTS = 16
 
 
 def prefix_depth(trees: int, depth: int, threshold: float, recall: float) -> int:
@@ -212,16 +216,19 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     edges = nodes.join(smallest, "prefix").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
     member = components(edges, "candidates")
 
-    # blocks: a component's sets by size, cut by their running number and shingles
-    sized = reps.join(member, reps.rep == member.node).select("rep", "copies", "n_shingles", "root")
-    by_size = Window.partitionBy("root").orderBy("n_shingles", "rep").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("n_shingles").over(by_size), F.lit(0))
-    cut = F.greatest(F.floor(before / BLOCK_SHINGLES), F.floor(F.coalesce(F.count("*").over(by_size), F.lit(0)) / BLOCK_DOCS))
-    blocked = materialise(sized.withColumn("block", cut.cast("int")), "candidate-blocks")
-    edge_sizes = blocked.groupBy("root", "block").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
-    other = edge_sizes.select("root", F.col("block").alias("high"), F.col("least").alias("high_least"))
-    # sizes grow from block to block; a pair can reach the threshold only while the larger's least is within it
-    pairs = edge_sizes.join(other, "root").where((F.col("block") <= F.col("high")) & (F.col("most") >= threshold * F.col("high_least") - 1e-6))
+    # blocks: a component's sets by size (bands of a factor 1.25), each band dealt by a hash over as many blocks as its sets and shingles need
+    sized = reps.join(member, reps.rep == member.node).select("rep", "copies", "n_shingles", "root", F.floor(F.log("n_shingles") / math.log(1.25)).alias("band"))
+    sized = materialise(sized.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")), "candidate-sets")
+    cells = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
+    bands = sized.groupBy("root", "band").agg(cells.alias("cells")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    cell = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("cells"))
+    blocked = sized.join(bands, ["root", "band", "salt"]).select("rep", "copies", "n_shingles", "root", (F.shiftleft(F.col("band"), 32) + cell).alias("block"))
+    blocked = materialise(blocked, "candidate-blocks")
+    ranges = blocked.groupBy("root", "block").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+    other = ranges.select("root", F.col("block").alias("high"), F.col("least").alias("high_least"), F.col("most").alias("high_most"))
+    # two blocks meet if some sizes of theirs can reach the threshold
+    near = (F.col("most") >= threshold * F.col("high_least") - 1e-6) & (F.col("high_most") >= threshold * F.col("least") - 1e-6)
+    pairs = ranges.join(other, "root").where((F.col("block") <= F.col("high")) & near)
     pairs = pairs.select("root", F.col("block").alias("low"), "high")
     sides = pairs.select("root", "low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
     wanted = materialise(blocked.join(sides, ["root", "block"]), "candidate-sides")
@@ -247,8 +254,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     classes = components(found.where("rep <> to").select(F.col("rep").alias("a"), F.col("to").alias("b")), "classes")
     final = reps.join(counted, "rep", "left").join(classes, F.col("rep") == F.col("node"), "left")
     final = materialise(final.select("digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("class_id")), "classes-of-sets")
-    salted = final.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    dealt = signed.select("id", "digest", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int").alias("salt"))
+    salted = final.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = signed.select("id", "digest", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
     own = dealt.where("digest IS NOT NULL").join(salted, ["digest", "salt"]).select("id", "class_id", "n_links")
     alone = dealt.where("digest IS NULL").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return own.unionByName(alone).withColumnRenamed("id", id_col)

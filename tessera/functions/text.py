@@ -31,8 +31,7 @@ LARGE_FILE_BYTES = 200_000
 
 def tokens(text: Column) -> Column:
     """Lower-case terms of two characters or more that aren't stop words; splits at everything but a-z, 0-9 and _."""
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
+    return F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]{2,}"), 0), lambda t: ~t.isin(*STOP_WORDS))
 
 
 def query_tokens(query: str) -> list[str]:

@@ -93,7 +93,7 @@ def ranked(found: DataFrame) -> DataFrame:
 
 def search(chunks: DataFrame, files: DataFrame, symbols: DataFrame, edges: DataFrame, query: str, k: int = 20, decisions: DataFrame | None = None, **options) -> DataFrame:
     """The hits that a context of bounded size takes, best first (rank)."""
-    best = ranked(candidates(chunks, files, symbols, edges, query, **options))
+    best = ranked(candidates(chunks, files, symbols, edges, query, **options)).persist()  # a few numbers a candidate, read three times below
     kept = select.drop_overlaps(best.select("id", "path", "start_line", "end_line", "score"))
     rows = best.join(kept.select("id", "seat_score", "seat_line", "seat_id"), "id")
     if decisions is not None:

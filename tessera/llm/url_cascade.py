@@ -8,8 +8,8 @@ left; the first level that rejects a key tells its side. A key's side is so exac
 whole universe. One cascade tells listed keys, a second one which of them block.
 
 Building scans the distinct keys once a level and collects only set bits; their number is
-bounded by the listed keys (``max_listed``, checked before; beyond it a join marks the
-keys instead). Judging is a projection of the URL column: no join, no shuffle.
+bounded by the listed keys (``max_listed``, checked before; a longer list is refused and
+belongs in a semi join). Judging is a projection of the URL column: no join, no shuffle.
 
 Defined cases: a null URL or one without ``://`` has empty host and path and no rule;
 repeated rows are judged alike; a URL that no rule fits takes the default verdict; empty

@@ -81,3 +81,29 @@ def convention_digest(conventions: DataFrame, by: str) -> DataFrame:
 
 def cache_key(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *parts), 256)
+
+
+# What an explanation must hold, and phrases that say nothing.
+EXPLANATION_SECTIONS = ("what", "why", "how")
+EMPTY_PHRASES = r"(?i)\b(various things|does stuff|handles everything|as needed|and so on|self-explanatory)\b"
+
+
+def explanation_faults(sections: Column, shortest: int = 24) -> Column:
+    """Faults of an explanation (map of section to text): missing, short or empty sections."""
+    found = []
+    for name in EXPLANATION_SECTIONS:
+        body = F.trim(F.coalesce(sections[name], F.lit("")))
+        found += [F.when(body == "", F.lit(f"missing:{name}")), F.when((body != "") & (F.length(body) < shortest), F.lit(f"short:{name}")), F.when(body.rlike(EMPTY_PHRASES), F.lit(f"vague:{name}"))]
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+
+def pack_score(findings: DataFrame, penalties: dict[str, float], qualities: dict[str, float], cap: float = 10.0) -> DataFrame:
+    """(review, score): 10 less the findings' penalties (review, severity, quality) times their quality's factor, the sum capped."""
+    def lookup(column: str, table: dict[str, float], default: float) -> Column:
+        out = F.lit(default)
+        for name, value in table.items():
+            out = F.when(F.col(column) == name, F.lit(value)).otherwise(out)
+        return out
+
+    points = lookup("severity", penalties, 0.0) * lookup("quality", qualities, 1.0)
+    return findings.groupBy("review").agg(F.round(10 - F.least(F.sum(points), F.lit(cap)), 2).alias("score"))

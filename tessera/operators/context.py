@@ -181,3 +181,23 @@ def file_name(task: str, at: dt.datetime) -> str:
 
 def describe(template: Template) -> dict:
     return asdict(template.clamped()) | {"titles": [SECTIONS[s] for s in template.clamped().sections]}
+
+
+def diff_paths(diffs: DataFrame) -> DataFrame:
+    """(id, path): files that unified diffs (id, diff) change, the new name of renamed ones."""
+    lines = diffs.select("id", F.explode(F.split("diff", "\r?\n")).alias("line"))
+    return lines.select("id", F.regexp_extract("line", r"^\+\+\+ (?:b/)?(\S+)", 1).alias("path")).where("path NOT IN ('', '/dev/null')").distinct()
+
+
+def related_candidates(changed: DataFrame, files: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, path, reason, priority) of files beside changed ones (id, path): imports, importers, tests by stem, the folder's manifest; each by its best reason."""
+    stem = lambda c: F.regexp_replace(F.regexp_replace(F.element_at(F.split(c, "/"), -1), r"\.[^.]+$", ""), r"(?i)([._-]?(test|spec))$", "")
+    e = edges.where("to_path IS NOT NULL")
+    out = changed.join(e.select(F.col("from_path").alias("path"), "to_path"), "path").select("id", F.col("to_path").alias("path"), F.lit("imported").alias("reason"), F.lit(80).alias("priority"))
+    into = changed.join(e.select(F.col("to_path").alias("path"), "from_path"), "path").select("id", F.col("from_path").alias("path"), F.lit("importer").alias("reason"), F.lit(70).alias("priority"))
+    tests = files.where(F.col("path").rlike(r"(?i)(\.(test|spec)\.|/tests?/|Test\.php$)")).select(stem("path").alias("stem"), F.col("path").alias("other"))
+    tested = changed.select("id", stem("path").alias("stem")).join(tests, "stem").select("id", F.col("other").alias("path"), F.lit("test").alias("reason"), F.lit(90).alias("priority"))
+    manifests = files.where(F.col("path").rlike(r"(^|/)(package|composer)\.json$")).select("path")
+    config = changed.select("id").distinct().join(F.broadcast(manifests.orderBy("path").limit(5))).select("id", "path", F.lit("config").alias("reason"), F.lit(20).alias("priority"))
+    both = out.unionByName(into).unionByName(tested).unionByName(config).join(files.select("path"), "path", "left_semi").join(changed, ["id", "path"], "left_anti")
+    return both.groupBy("id", "path").agg(F.max_by(F.struct("reason", "priority"), F.struct("priority", "reason")).alias("r")).select("id", "path", "r.reason", "r.priority")

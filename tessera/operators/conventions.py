@@ -76,3 +76,19 @@ def declared(spark: SparkSession, path: str) -> DataFrame:
     """Conventions that a project declares in JSON: (id, label, confidence, category)."""
     rows = spark.read.json(path, multiLine=True, schema="conventions array<struct<id:string,label:string,confidence:string,category:string>>")
     return rows.select(F.explode("conventions").alias("c")).select("c.*").where("id IS NOT NULL AND label IS NOT NULL")
+
+
+# A convention, the paths it speaks about, and text or paths that depart from it.
+DIVERGENCES = (
+    ("arch:actions-pattern", r"(?i)/services?/", r"(?i)class\s+\w+Service\b", "domain work in a service while actions dominate"),
+    ("layering:services-over-helpers", r"(?i)/helpers?/", r"(?i)function\s+\w+", "domain work in a helper while services dominate"),
+    ("testing:specs", r"(?i)/tests?/", r"(?i)class\s+\w+Test\b", "test class where spec files are the style"),
+    ("typing:strict", r"(?i)\.tsx?$", r":\s*any\b", "untyped value under strict typing"),
+)
+
+
+def divergences(files: DataFrame, active: DataFrame, rules=DIVERGENCES) -> DataFrame:
+    """(convention, path, reason): files (path, text) that depart from an active convention (id). One pass over the files; the conventions are a short list."""
+    tests = [F.when(F.col("path").rlike(where) & F.col("text").rlike(what), F.struct(F.lit(i).alias("convention"), F.lit(why).alias("reason"))) for i, where, what, why in rules]
+    found = files.select("path", F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())).alias("d")).select("d.convention", "path", "d.reason")
+    return found.join(F.broadcast(active.select(F.col("id").alias("convention")).distinct()), "convention", "left_semi")

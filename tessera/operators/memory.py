@@ -94,3 +94,9 @@ def merged_text(existing: Column, generated: Column) -> Column:
     """Generated text with the human block of the existing one, between its markers, kept."""
     block = F.regexp_extract(existing, r"(?s)(<!-- human:start -->.*?<!-- human:end -->)", 1)
     return F.when(F.coalesce(block, F.lit("")) == "", generated).otherwise(F.concat(F.rtrim(generated), F.lit("\n\n"), block, F.lit("\n")))
+
+
+def accepted(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents that may be written, the others with their errors): faultless, and in a folder for generated memory."""
+    checked = documents.join(faults(documents), "path").withColumn("errors", F.when(generated_path(F.col("path")), F.col("errors")).otherwise(F.concat("errors", F.array(F.lit("outside-generated-folder")))))
+    return checked.where("size(errors) = 0").drop("errors"), checked.where("size(errors) > 0").select("path", "errors")

@@ -55,3 +55,19 @@ def task_risks(text: Column, callers: Column, tests: Column, most: int = 8) -> C
 def freshness(at: Column, now: Column, days: int = 7) -> Column:
     """fresh or stale by age in days; unknown without a time."""
     return F.when(at.isNull(), F.lit("unknown")).when(now.cast("double") - at.cast("double") > days * 86_400, F.lit("stale")).otherwise(F.lit("fresh"))
+
+
+# Names of fields that could hold a person's text.
+PRIVATE_KEYS = ("query", "text", "content", "excerpt", "path", "code", "prompt", "body")
+
+
+def scrubbed(payload: Column) -> Column:
+    """A map of strings without fields that could hold a person's text or look like a path."""
+    return F.map_filter(payload, lambda k, v: ~F.lower(k).isin(*PRIVATE_KEYS) & ~F.coalesce(v, F.lit("")).rlike(r"[/\\]\w+[/\\]|\n"))
+
+
+def evaluation_tasks(feedback: DataFrame) -> DataFrame:
+    """(task, query, item): feedback on missing context (at, query, missing array of paths) as retrieval tasks."""
+    w = Window.orderBy("at", "query")
+    few = feedback.select("at", "query", "missing").withColumn("task", F.concat(F.lit("feedback-"), F.row_number().over(w)))  # rows that people wrote
+    return few.select("task", "query", F.explode("missing").alias("item"))

@@ -167,3 +167,35 @@ def conflict_groups(hits: DataFrame) -> DataFrame:
         F.count_distinct("path").alias("n_files"),
         F.when(F.every(F.col("confidence") == "high"), "high").when(F.some(F.col("confidence") == "high"), "medium").otherwise("low").alias("confidence"),
     )
+
+
+# ------------------------------------------------------------------ conflict rules as JSON
+
+CONFLICT_RULE = "id string, description string, detector string, appliesTo array<string>, forbiddenImports array<string>, forbiddenDirectories array<string>, databaseAccessPatterns array<string>, environmentPatterns array<string>, requiredTests array<string>, requiredAbstractions array<string>, namingPattern string, enabled boolean, userConfirmed boolean"
+
+
+def conflict_rules(raw: DataFrame) -> DataFrame:
+    """Rules of JSON rows (value), with their detector: the one named, else the one whose field is filled. Disabled and undetectable ones go."""
+    r = raw.select(F.from_json("value", CONFLICT_RULE).alias("r"))
+    own = r.select("r.*").where("id IS NOT NULL AND coalesce(enabled, true)")
+    filled = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    inferred = (
+        F.when(filled("databaseAccessPatterns"), "direct_database_access")
+        .when(filled("forbiddenDirectories"), "forbidden_directory_dependency")
+        .when(filled("forbiddenImports"), "forbidden_imports")
+        .when(filled("environmentPatterns"), "environment_access")
+        .when(filled("requiredTests"), "required_tests")
+        .when(filled("requiredAbstractions"), "required_abstraction")
+        .when(F.coalesce("namingPattern", F.lit("")) != "", "naming_convention")
+    )
+    return own.withColumn("detector", F.coalesce("detector", inferred)).where("detector IS NOT NULL")
+
+
+def activated(extracted: DataFrame) -> DataFrame:
+    """Extracted rules (id, status, ambiguous, detector, applies_to) that count: confirmed or edited by a person, clear, with a detector and a scope."""
+    return extracted.where(F.col("status").isin("confirmed", "edited") & ~F.col("ambiguous") & F.col("detector").isNotNull() & (F.size("applies_to") > 0))
+
+
+def configured_first(configured: DataFrame, extracted: DataFrame) -> DataFrame:
+    """Both rule sets, a configured rule hiding an extracted one of its id."""
+    return configured.unionByName(extracted.join(configured.select("id"), "id", "left_anti"), allowMissingColumns=True)

@@ -128,3 +128,21 @@ def old_index(spark: SparkSession, path: str) -> DataFrame:
     fields = "struct<path:string,hash:string,language:string,byteLength:long,privacy:string>"
     rows = spark.read.json(path, multiLine=True, schema=f"version int, files map<string,{fields}>").where("version BETWEEN 1 AND 4")
     return rows.select(F.explode("files").alias("k", "f")).select(F.coalesce("f.path", "k").alias("path"), "f.hash", "f.language", F.col("f.byteLength").alias("size"), "f.privacy")
+
+
+def context_documents(files: DataFrame, configured: DataFrame | None = None) -> DataFrame:
+    """(path, doc_type, authored, binding, scope, user_configured, text): steering and documentation files of a tree, each once; configured ones (path) count as such wherever they lie."""
+    from ..operators.extract import context_class
+
+    known = F.lower("path").rlike(r"\.(md|mdx|mdc)$|(^|/)\.(cursor|windsurf)rules$")
+    marked = files.withColumn("user_configured", F.lit(False)) if configured is None else files.join(configured.select("path", F.lit(True).alias("__own")).distinct(), "path", "left").withColumn("user_configured", F.coalesce("__own", F.lit(False)))
+    rows = marked.where(known | F.col("user_configured")).withColumn("c", context_class(F.col("path")))
+    return rows.where((F.col("c.doc_type") != "other") | F.col("user_configured")).select("path", "c.*", "user_configured", "text")
+
+
+def instruction_documents(documents: DataFrame) -> DataFrame:
+    """(path, rules): each context document's list items that read as instructions, in order."""
+    from ..operators.chunks import bullets, looks_like_instruction
+
+    found = bullets(documents).where(looks_like_instruction(F.col("text")))
+    return found.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]).alias("rules"))

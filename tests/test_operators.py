@@ -320,3 +320,40 @@ def test_change_feed(spark, tmp_path):
     (tmp_path / "feed" / "1.json").write_text("\n".join(map(json.dumps, changes)))
     usage.apply_change_feed(spark, str(tmp_path / "feed"), index, str(tmp_path / "cp")).awaitTermination()
     assert rows(index.read("files"), "path", "hash") == [("a", "9"), ("c", "2")]
+
+
+def test_more_audits_and_rules(spark):
+    from tessera.operators import context
+
+    faults = spark.range(1).select(audit.explanation_faults(F.create_map(F.lit("what"), F.lit("short"), F.lit("why"), F.lit("it does stuff for all of the callers"))).alias("f")).first().f
+    assert faults == ["short:what", "vague:why", "missing:how"]
+    found = spark.createDataFrame([("r", "error", "weak"), ("r", "error", "strong")], "review string, severity string, quality string")
+    assert audit.pack_score(found, {"error": 2.0}, {"weak": 0.5}).first().score == 7.0
+    files = spark.createDataFrame([("app/services/a.ts", "class AService {}"), ("app/b.ts", "let x: any")], "path string, text string")
+    active = spark.createDataFrame([("arch:actions-pattern",)], "id string")
+    assert rows(conventions.divergences(files, active), "convention", "path") == [("arch:actions-pattern", "app/services/a.ts")]
+    raw = spark.createDataFrame([('{"id": "a", "forbiddenImports": ["x"]}',), ('{"id": "b"}',), ('{"id": "c", "detector": "required_tests", "enabled": false}',), ("not json",)], "value string")
+    assert rows(rules.conflict_rules(raw), "id", "detector") == [("a", "forbidden_imports")]
+    taken = spark.createDataFrame([("x", "confirmed", False, "required_tests", ["**"]), ("y", "pending", False, "required_tests", ["**"]), ("z", "edited", True, "required_tests", ["**"])], "id string, status string, ambiguous boolean, detector string, applies_to array<string>")
+    assert rows(rules.activated(taken), "id") == [("x",)] and rows(rules.configured_first(taken.limit(1), taken), "id") == [("x",), ("y",), ("z",)]
+    r = spark.range(1).select(text.snake_case(F.lit("OrderItem")).alias("s"), text.plural(F.lit("category")).alias("p"), text.plural(F.lit("box")).alias("q"), text.without_role(F.lit("OrderController")).alias("w")).first()
+    assert (r.s, r.p, r.q, r.w) == ("order_item", "categories", "boxes", "Order")
+    diffs = spark.createDataFrame([("d", "--- a/src/a.ts\n+++ b/src/a.ts\n@@\n+x\n--- a/z\n+++ /dev/null")], "id string, diff string")
+    changed = context.diff_paths(diffs)
+    tree = spark.createDataFrame([("src/a.ts",), ("src/b.ts",), ("src/a.test.ts",), ("package.json",)], "path string")
+    e = edge_frame(spark, [("src/a.ts", "src/b.ts", "import", "high")])
+    assert rows(context.related_candidates(changed, tree, e), "path", "reason") == [("package.json", "config"), ("src/a.test.ts", "test"), ("src/b.ts", "imported")]
+
+
+def test_documents_memory_guard_and_scrub(spark):
+    files = spark.createDataFrame([("AGENTS.md", "- Always test\n- ok"), ("src/a.ts", "x"), ("notes/own.txt", "- Never guess it"), ("docs/x.md", "t")], "path string, text string")
+    docs = workspace.context_documents(files, spark.createDataFrame([("notes/own.txt",)], "path string"))
+    assert rows(docs, "path", "doc_type", "user_configured") == [("AGENTS.md", "instruction", False), ("docs/x.md", "documentation", False), ("notes/own.txt", "other", True)]
+    assert rows(workspace.instruction_documents(docs), "path", "rules") == [("AGENTS.md", ["Always test"]), ("notes/own.txt", ["Never guess it"])]
+    ok = (".memory/generated/a.md", "generated", [("c", "t", [("src/a.ts", 1, 1, "h")])])
+    good, bad = memory.accepted(spark.createDataFrame([ok, ("src/a.md", "generated", ok[2])], memory.DOCUMENT))
+    assert rows(good, "path") == [(ok[0],)] and rows(bad, "path", "errors") == [("src/a.md", ["outside-generated-folder"])]
+    payload = F.create_map(*map(F.lit, ("hits", "3", "query", "who", "at", "/home/x/y")))
+    assert spark.range(1).select(metrics.scrubbed(payload).alias("p")).first().p == {"hits": "3"}
+    feedback = spark.createDataFrame([(1, "q", ["a", "b"])], "at int, query string, missing array<string>")
+    assert rows(metrics.evaluation_tasks(feedback), "task", "item") == [("feedback-1", "a"), ("feedback-1", "b")]

@@ -40,7 +40,7 @@ from .common import U64, materialise, mix, slices, table, utf8
 
 LENGTH, GRAM = 200, 32
 SPAN = LENGTH - GRAM + 1
-PIECE = 1 << 20
+PIECE = 1 << 19
 BITMAP_BITS = 27
 #: Multipliers for sums of mixed 8-byte words, odd and fixed.
 ODD = np.random.default_rng(3).integers(0, 1 << 63, 64, dtype=np.int64).astype(U64) * U64(2) + U64(1)

@@ -4,8 +4,10 @@ Three base patterns (assignments, access keys, hex runs) give base spans. Beyond
 every value in a credential context (a name such as ``pwd`` or ``auth_token`` with a
 separator, a connection string's password) is segmented at minimum guess cost into
 dictionary words, dates, repeats, sequences, keyboard walks and brute-force characters by
-dynamic programming, in the number of its characters. A value that takes at least
-``10 ** min_log_guesses`` guesses is a secret; placeholders such as ``changeme2024`` aren't.
+dynamic programming over its characters. A value that takes at least
+``10 ** min_log_guesses`` guesses is a secret, also one of letters alone; placeholders such
+as ``changeme2024`` aren't. A value in which another context starts is judged, and so is
+that context's value, so guess spans may lie inside each other.
 
 One pass over all whole texts without a shuffle; offsets are code points, ends exclusive.
 
@@ -19,6 +21,7 @@ import math
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,11 +33,15 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
-# Names that make what follows a credential.
-CONTEXT_NAMES = ("pass", "pwd", "secret", "token", "api_key", "apikey", "api-key", "auth", "credential", "private_key", "access_key", "bearer", "://")
-CONTEXT = re.compile(r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|auth(?:orization)?|credentials?|(?:private|access)[_-]?key|bearer)["']?\s{0,8}(?:=>|:=|[:=]|\bis\b)?\s{0,8}["']?([^\s"'<>,;]{6,})""", re.IGNORECASE)
-NEEDS_SEPARATOR = re.compile(r"""(?:=>|:=|[:=]|\bis\b)\s{0,8}["']?\Z|bearer["']?\s{1,8}["']?\Z""", re.IGNORECASE)
-URL_PASSWORD = re.compile(r"://[^\s:/@]{1,64}:([^\s/@]{6,})@")
+# Names that make what follows a credential. A name goes on to the end of its run of letters, digits,
+# _ and -, so AWS_SECRET_ACCESS_KEY and passwordHash are names; ordinary words (author, passenger, secretary) aren't.
+CONTEXT_NAMES = ("pass", "pwd", "secret", "token", "api_key", "apikey", "api-key", "auth", "credential", "private", "access", "bearer", "://", "\u017f")
+NAME = re.compile(r"""(?:pass(?!age|eng|ion|iv|port)|pwd|secret(?!ar|e|i|ly)|token(?!i[sz])|api[_-]?key|auth(?!or(?!i[sz])|entic(?!at))|credential|(?:private|access)[_-]?key|bearer)[A-Za-z0-9_-]*+""", re.IGNORECASE)
+SEPARATOR = re.compile(r"""["']?\s*(?:=>|:=|[:=]|\bis\b)\s*["']?""", re.IGNORECASE)
+BEARER = re.compile(r"""["']?\s+["']?""")
+VALUE = re.compile(r"""[^\s"'<>,;]+""")
+LEAST = 6
+URL_PASSWORD = re.compile(r"://[^\s:/@]*:([^\s/@]{6,})@")
 # Words that people and placeholders use, most frequent first.
 COMMON = (
     "password pass word qwerty admin welcome login letmein secret token key api test user root master dragon monkey "
@@ -77,44 +84,46 @@ def runs(value: str, same) -> list[int]:
     return out
 
 
-def log_guesses(value: str, dictionary: tuple[str, ...] = tuple(COMMON)) -> float:
-    """log10 of the guesses for the cheapest segmentation of value; 0 for an empty one."""
-    n, low = len(value), value.lower()
+def suffix_costs(value: str, dictionary: tuple[str, ...] = tuple(COMMON)) -> list[float]:
+    """For each position, log10 of the guesses for the cheapest segmentation of value from there on; 0 at its end."""
+    n, low = len(value), "".join(c if len(x := c.lower()) > 1 else x for c in value)
     costs, longest = word_costs(dictionary)
-    plain = low.translate(LEET) if low.isascii() else low
+    plain = low.translate(LEET)
     up = runs(low, lambda a, b: ord(b) - ord(a) == 1 and (a + b).isalnum())
     down = runs(low, lambda a, b: ord(a) - ord(b) == 1 and (a + b).isalnum())
     walk = runs(low, lambda a, b: b in BESIDE.get(a, ()))
-    spans: dict[int, list[tuple[int, float]]] = {}
-    for m in DATE.finditer(low):
-        spans.setdefault(m.start(), []).append((m.end(), math.log10(365 * 120)))
-    for m in YEAR.finditer(low):
-        spans.setdefault(m.start(), []).append((m.end(), math.log10(120)))
-    best = [0.0] + [math.inf] * n
-    for i in range(n):
-        here = best[i]
-        ends = [(i + 1, 1.0)]  # one brute-force character: ten guesses
+    again = [[0] * (n + 1) for _ in range(9)]  # by block size: how far the text from here on equals that one block further
+    logs = np.log10(np.maximum(np.arange(n + 2), 1))
+    best = np.zeros(n + 1)
+    for i in range(n - 1, -1, -1):
+        least = 1.0 + best[i + 1]  # one brute-force character: ten guesses
         for j in range(i + 2, min(n, i + longest) + 1):
             word = low[i:j]
             cost = costs.get(word)
             if cost is None and plain[i:j] in costs:
                 cost = costs[plain[i:j]] + math.log10(4)
             if cost is not None:
-                ends.append((j, cost + (0 if value[i:j] == word else math.log10(2)) + 0.3))
+                least = min(least, best[j] + cost + (0 if value[i:j] == word else math.log10(2)) + 0.3)
         for length, base in ((up[i], 26), (down[i], 52), (walk[i], 47 * 4)):
-            ends.extend((i + k, math.log10(base * k)) for k in range(3, length + 1))
+            if length >= 3:
+                least = min(least, (best[i + 3 : i + length + 1] + logs[3 : length + 1]).min() + math.log10(base))
         for size in range(1, 9):
-            block, times = low[i : i + size], 1
-            if len(block) < size or low[i + size : i + 2 * size] != block:
-                continue
-            while low[i + times * size : i + (times + 1) * size] == block:
-                times += 1
-                if times * size > 2:
-                    ends.append((i + times * size, size + math.log10(times)))
-        for end, cost in (*ends, *spans.get(i, ())):
-            if here + cost < best[end]:
-                best[end] = here + cost
-    return best[n]
+            if i + size < n and low[i] == low[i + size]:
+                again[size][i] = again[size][i + 1] + 1
+                first, times = 3 if size == 1 else 2, again[size][i] // size + 1
+                if times >= first:
+                    least = min(least, (best[i + first * size : i + times * size + 1 : size] + logs[first : times + 1]).min() + size)
+        if low[i].isdigit():
+            for pattern, guesses in ((DATE, 365 * 120), (YEAR, 120)):
+                if m := pattern.match(low, i):
+                    least = min(least, best[m.end()] + math.log10(guesses))
+        best[i] = least
+    return best.tolist()
+
+
+def log_guesses(value: str, dictionary: tuple[str, ...] = tuple(COMMON)) -> float:
+    """log10 of the guesses for the cheapest segmentation of value; 0 for an empty one."""
+    return suffix_costs(value, dictionary)[0]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -134,12 +143,25 @@ def guess_spans(text: str, min_log_guesses: float) -> list[tuple[int, int, int]]
     if not any(w in low for w in CONTEXT_NAMES):
         return []
     found = set()
-    for m in CONTEXT.finditer(text):
-        if not NEEDS_SEPARATOR.search(text, m.start(), m.start(1)):
+    begin = end = last = 0
+    costs: list[float] | None = None
+    for name in NAME.finditer(text):
+        m = SEPARATOR.match(text, name.end()) or (BEARER.match(text, name.end()) if name[0].lower().endswith("bearer") else None)
+        if not m:
+            continue
+        start = m.end()
+        if start >= end:  # else inside the last value: one that ends where that ends
+            run = VALUE.match(text, start)
+            if not run:
+                continue
+            begin, end, costs = start, run.end(), None
+            last = start + len(run[0].rstrip(".)]}!?"))
+        if end - start < LEAST or last - start < min_log_guesses:  # no character takes more than ten guesses
             continue
-        value = m[1].rstrip(".)]}!?")
-        if re.search(r"[^a-zA-Z]", value) and log_guesses(value) >= min_log_guesses:
-            found.add((m.start(1), 3, m.start(1) + len(value)))
+        if costs is None:
+            begin, costs = start, suffix_costs(text[start:last])
+        if costs[start - begin] >= min_log_guesses:
+            found.add((start, 3, last))
     for m in URL_PASSWORD.finditer(text):
         if log_guesses(m[1]) >= min_log_guesses:
             found.add((m.start(1), 3, m.end(1)))

@@ -313,6 +313,32 @@ def test_guess_costs_rank_values():
     assert math.isfinite(cost("z" * 5000))
 
 
+def test_guess_spans_equal_every_position():
+    rnd = random.Random(11)
+    hard, soft = "xK9#mQ2$vL7pW", "changeme2024"
+    near = lambda text: [text[a:b] for a, _, b in secret_scan.guess_spans(text, 10.0)]
+    for lead in ("Authorization: Bearer ", "auth_token=", "AWS_SECRET_ACCESS_KEY=", "auth token: ", "secretKey1 => '", "private-key:", "pwd" + " " * 12 + "= ", "password is Bearer "):
+        assert near(lead + hard) == [hard] and near(lead + soft) == []
+    assert near("pwd=Wjgqzvkrtxbhm") == ["Wjgqzvkrtxbhm"] and near(f"redis://:{hard}@h and x://{'u' * 90}:{hard}@h") == [hard] * 2
+    assert near(f"author: {hard} passenger={hard}") == []
+    name = re.compile(r"(?:pass(?!age|eng|ion|iv|port)|pwd|secret(?!ar|e|i|ly)|token(?!i[sz])|api[_-]?key|auth(?!or(?!i[sz])|entic(?!at))|credential|(?:private|access)[_-]?key|bearer)[A-Za-z0-9_-]*", re.I)
+    rest = re.compile(r"""["']?\s*(?:=>|:=|[:=]|\bis\b)\s*["']?([^\s"'<>,;]{6,})""", re.I)
+    parts = ["auth", "Token", "_SECRET_", "pass", "word", "bearer", "Bearer ", " ", " ", "=", ":", " => ", " is ", "'", ",", "(", ")", "\n", "author", "é", hard, hard, soft, "2024-01-02", "abcabcabc", "zzzz", "Wjgqzvkrtxbhm", "u://a:"]
+    for _ in range(400):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(0, 25)))
+        want = set()
+        for p in range(len(text)):
+            if m := name.match(text, p):
+                v = rest.match(text, m.end()) or (m[0].lower().endswith("bearer") and re.compile(r"""["']?\s+["']?([^\s"'<>,;]{6,})""").match(text, m.end()))
+                if v and secret_scan.log_guesses(value := v[1].rstrip(".)]}!?")) >= 10:
+                    want.add((v.start(1), 3, v.start(1) + len(value)))
+        for m in re.finditer(r"://[^\s:/@]*:([^\s/@]{6,})@", text):
+            if secret_scan.log_guesses(m[1]) >= 10:
+                want.add((m.start(1), 3, m.end(1)))
+        assert secret_scan.guess_spans(text, 10.0) == sorted(want), text
+    secret_scan.guess_spans("token=" * 20_000, 10.0)  # values inside values share one pass
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     docs = documents(spark, [*ODD, (50, 'x token = "11cfdfb36bb72224148e6160f674b4be45601bff" y')])
     got = secret_scan.redact(docs.withColumn("secrets", docs.doc_id))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Caps of one retrieval.
 BUDGETS = {"file": 12, "symbol": 20, "chunk": 24}
@@ -58,26 +61,56 @@ def drop_overlaps(hits: DataFrame) -> DataFrame:
     return own.repartition("path").sortWithinPartitions("path", F.desc("score"), "start_line", "id").mapInPandas(_settle_sorted, SEATS)
 
 
+def literal(value, kind) -> Column:
+    """A value collected from a column of type kind, as a column of that type."""
+    if isinstance(kind, StructType) and value is not None:
+        return F.struct(*[literal(value[f.name], f.dataType).alias(f.name) for f in kind])
+    return F.lit(value).cast(kind)
+
+
+def plain(value):
+    """A row as a tuple that equals another where the columns do (NaN too)."""
+    return tuple(map(plain, value)) if isinstance(value, tuple) else "NaN" if value != value else value
+
+
 def within_budget(ranked: DataFrame, k: int = 20, max_chars: int = MAX_CHARS, max_tokens: int = MAX_TOKENS, budgets: dict[str, int] | None = None, order: tuple[str, ...] = ("rank",), pool: int = 1000) -> DataFrame:
     """The first hits that fit: (id, type, rank, chars). A hit that doesn't fit is passed over, later smaller ones may fit.
 
-    One fold over the ``pool`` best hits (a top-k, far beyond k), which is a bounded array.
+    All hits are walked, in passes of a top-k of ``pool`` rows each: of the rows behind
+    the last one looked at, those that still fit. The first row of a pass always fits,
+    so there are at most k passes and an empty one. Passes run when this is called.
     """
     caps = budgets or BUDGETS
-    best = ranked.orderBy(*order).limit(pool).select(F.struct(*dict.fromkeys([*order, "id", "type", "chars"])).alias("hit"))
-    rows = best.agg(F.array_sort(F.collect_list("hit")).alias("hits"))
-    kind = rows.schema["hits"].dataType.simpleString()
-    start = F.struct(F.expr(f"cast(array() as {kind})").alias("kept"), F.lit(0).cast("long").alias("chars"), *[F.lit(0).alias(t) for t in caps])
-
-    def step(acc, hit):
-        chars = acc["chars"] + hit["chars"]
-        fits = (F.size(acc["kept"]) < k) & (chars <= max_chars) & (F.ceil(chars / 4) <= max_tokens)
-        for t, most in caps.items():
-            fits = fits & ((hit["type"] != t) | (acc[t] < most))
-        return F.struct(
-            F.when(fits, F.concat(acc["kept"], F.array(hit))).otherwise(acc["kept"]).alias("kept"),
-            F.when(fits, chars).otherwise(acc["chars"]).cast("long").alias("chars"),
-            *[(acc[t] + F.when(fits & (hit["type"] == t), F.lit(1)).otherwise(F.lit(0))).alias(t) for t in caps],
-        )
-
-    return rows.select(F.explode(F.aggregate("hits", start, step)["kept"]).alias("h")).select("h.*")
+    names = list(dict.fromkeys([*order, "id", "type", "chars"]))
+    rows = ranked.select(F.struct(*names).alias("hit"))
+    kind = rows.schema["hit"].dataType
+    kept, chars, taken = [], 0, dict.fromkeys(caps, 0)
+    last, seen = None, 0  # the last row looked at, and how many rows like it
+
+    def fits(hit) -> bool:
+        size = chars + hit["chars"]
+        return size <= max_chars and math.ceil(size / 4) <= max_tokens
+
+    while len(kept) < k:
+        size = F.col("hit.chars") + F.lit(chars).cast("long")
+        left = rows.where((size <= max_chars) & (F.ceil(size / 4) <= max_tokens))
+        full = [t for t, most in caps.items() if taken[t] >= most]
+        if full:
+            left = left.where(~F.col("hit.type").isin(full))
+        if last is not None:
+            left = left.where(F.col("hit") >= literal(last, kind))
+        block = [r["hit"] for r in left.orderBy("hit").limit(pool + seen).collect()]
+        skip = 0
+        while skip < min(seen, len(block)) and plain(block[skip]) == plain(last):
+            skip += 1
+        block = block[skip:]
+        if not block:
+            break
+        for hit in block:
+            last, seen = hit, seen + 1 if last is not None and plain(hit) == plain(last) else 1
+            if len(kept) < k and fits(hit) and all(hit["type"] != t or taken[t] < most for t, most in caps.items()):
+                kept.append(hit)
+                chars += hit["chars"]
+                if hit["type"] in taken:
+                    taken[hit["type"]] += 1
+    return ranked.sparkSession.createDataFrame(kept, kind)

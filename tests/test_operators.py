@@ -131,6 +131,25 @@ def test_overlaps_and_budget_match_loops(spark):
     assert rows(select.within_budget(items, 3, budgets={"file": 1}), "id") == [("a",), ("c",)]
 
 
+@pytest.mark.parametrize("pool", [1, 7, 1000])
+def test_budget_walks_all_hits(spark, pool):
+    rnd = random.Random(pool)
+    items = [(float(rnd.randint(0, 40)), f"i{rnd.randint(0, 300)}", rnd.choice(["file", "symbol", "chunk", "test", None]), rnd.choice([900, 2_500, 9_000, None])) for _ in range(400)]
+    items += [items[0]] * 9 + [(float("nan"), "n", "chunk", 10)] * 3 + [(50.0 + i, f"z{i}", "chunk", 30 + i) for i in range(5)]
+    key = lambda x: (x[0] != x[0], x[0] if x[0] == x[0] else 0, x[1], x[2] is not None, x[2] or "", x[3] is not None, x[3] or 0)
+    df = spark.createDataFrame(items, "rank double, id string, type string, chars long")
+    for k, caps in ((20, {"file": 2, "symbol": 3, "chunk": 24}), (40, {"file": 1, "symbol": 0, "chunk": 7})):
+        want, chars, taken = [], 0, dict.fromkeys(caps, 0)
+        for _, i, t, n in sorted(items, key=key):
+            if len(want) < k and n is not None and chars + n <= 24_000 and all(m < caps[c] or (t is not None and t != c) for c, m in taken.items()):
+                want.append((i, t, n))
+                chars += n
+                taken.update({t: taken[t] + 1} if t in taken else {})
+        assert rows(select.within_budget(df, k, budgets=caps, pool=pool), "id", "type", "chars") == sorted(want, key=str)
+    late = spark.createDataFrame([(i, f"i{i:04}", "file", 23_990) for i in range(1200)] + [(9_999, "small", "chunk", 10)], "rank int, id string, type string, chars long")
+    assert rows(select.within_budget(late, pool=pool), "id") == [("i0000",), ("small",)]
+
+
 def test_hybrid_prefers_the_exact_symbol(spark):
     files = spark.createDataFrame([("src/refunds.ts", 100, 1), ("src/other.ts", 100, 2), ("dist/refunds.min.js", 300_000, 3)], "path string, size long, mtime long")
     cut = spark.createDataFrame([("c1", "src/refunds.ts", "refund logic here", 1, 9, "source", 1.0), ("c2", "src/other.ts", "unrelated words", 1, 9, "source", 1.0)], "id string, path string, text string, start_line int, end_line int, kind string, weight double")

@@ -28,12 +28,13 @@ def merged(candidates: DataFrame) -> DataFrame:
     )
 
 
-def candidates(chunks: DataFrame, files: DataFrame, symbols: DataFrame, edges: DataFrame, query: str, selected: tuple[str, ...] = (), depth: int = 2, lexical_pool: int = 48) -> DataFrame:
-    """All branches' rows.
+def candidates(chunks: DataFrame, files: DataFrame, symbols: DataFrame, edges: DataFrame, query: str, selected: tuple[str, ...] = (), depth: int = 2, lexical_pool: int = 48, documents: DataFrame | None = None) -> DataFrame:
+    """All branches' rows: symbols, import and export names, paths, text, import distance, calls, tests and coverage, documents.
 
     chunks: id, path, text, start_line, end_line, kind, weight; files: path, size, mtime;
-    symbols: id, name, path, start_line, end_line; edges as in graph. Text candidates are
-    a top-k; the others follow from names and graph distance.
+    symbols: id, name, path, start_line, end_line; edges as in graph; documents as in
+    policy.applicable, with a title if there is one. Text candidates are a top-k; the
+    others follow from names and graph distance.
     """
     bounds = files.agg(F.min("mtime").alias("oldest"), F.max("mtime").alias("newest"))
     dated = files.crossJoin(F.broadcast(bounds))  # one row
@@ -63,6 +64,9 @@ def candidates(chunks: DataFrame, files: DataFrame, symbols: DataFrame, edges: D
         id=F.concat(F.lit("chunk:"), "id"), result_type=F.lit("chunk"), path=F.col("path"), start_line=F.col("start_line"), end_line=F.col("end_line"), chars=F.least(F.length("text"), F.lit(1500)),
     )
     seeds = named.select(F.col("path").alias("node")).unionByName(wanted.where(F.col("score") >= 20).select(F.col("path").alias("node")))
+    if selected:
+        seeds = seeds.unionByName(files.where(F.col("path").isin(*selected)).select(F.col("path").alias("node")))
+    seeds = seeds.distinct()
     near = graph.import_distance(edges, seeds, depth).where("distance > 0").join(graph.degrees(edges), "node", "left").withColumnRenamed("node", "path")
     by_import = candidate(
         near, {"import_distance": scores.import_distance_score(F.col("distance"), F.coalesce("degree", F.lit(0))), "path_relevance": path_value, "generated_penalty": scores.generated_penalty(F.col("path"))},
@@ -79,10 +83,43 @@ def candidates(chunks: DataFrame, files: DataFrame, symbols: DataFrame, edges: D
         tests, {"test_relation": F.lit(28), "path_relevance": scores.path_score(query, F.col("from_path"))},
         id=F.concat(F.lit("test:"), "from_path"), result_type=F.lit("test"), path=F.col("from_path"), deterministic=scores.deterministic(F.col("confidence"), F.col("method")),
     )
+    by_method = F.coalesce(F.col("method").isin(*scores.DETERMINISTIC_METHODS), F.lit(False))
+    by_alias = candidate(
+        edges.where(F.col("kind").isin("import", "export") & (F.col("specifier") != "")).withColumn("alias", scores.symbol_scores(query, F.col("specifier"))[1]).where("alias >= 20"),
+        {"symbol_alias": F.col("alias"), "path_relevance": scores.path_score(query, F.col("from_path"))},
+        id=F.concat(F.lit("alias:"), "id"), result_type=F.lit("dependency"), path=F.col("from_path"), chars=F.lit(120), deterministic=by_method,
+    )
+    covers = edges.where("kind = 'likelyTestCoverage'").withColumn("score", F.greatest(scores.path_score(query, F.col("to_path")), scores.path_score(query, F.col("from_path"))))
+    covers = covers.join(seeds.select("node", F.lit(True).alias("seed")), F.col("to_path") == F.col("node"), "left").where((F.col("score") >= 15) | F.col("seed"))
+    guessed = F.coalesce(F.col("confidence") == "heuristic", F.lit(False))
+    by_coverage = candidate(
+        covers, {"test_relation": F.when(guessed, F.lit(18)).otherwise(F.lit(38)), "path_relevance": F.col("score")},
+        id=F.concat(F.lit("testcov:"), "id"), result_type=F.lit("test"), path=F.col("from_path"), chars=F.lit(400), deterministic=~guessed & by_method,
+    )
     out = by_symbol
-    for branch in (by_path, by_text, by_import, by_call, by_test):
+    for branch in (by_alias, by_path, by_text, by_import, by_call, by_test, by_coverage):
         out = out.unionByName(branch)
-    return out
+    if documents is None:
+        return out
+    return out.unionByName(document_candidates(documents, seeds, wanted.select(F.col("path").alias("node"), "score"), query))
+
+
+def document_candidates(documents: DataFrame, seeds: DataFrame, scored: DataFrame, query: str) -> DataFrame:
+    """Instruction and architecture documents that apply to a seed (node), or without any seed to the three best paths."""
+    best = scored.where("score > 0").orderBy(F.desc("score"), "node").limit(3).select("node").join(seeds.limit(1).select(F.lit(1).alias("any")), F.lit(True), "left_anti")
+    fits = policy.applicable(seeds.unionByName(best).select(F.col("node").alias("target")), documents).select("doc_path").distinct()
+    title = F.coalesce("title", F.lit("")) if "title" in documents.columns else F.lit("")
+    own = fits.join(documents.withColumn("lex", scores.overlap_score(query, F.concat_ws(" ", title, "doc_path"))), "doc_path")
+    built = F.col("doc_type").isin("architecture", "decision")
+    own = own.where(~(F.lower("doc_path").contains("readme") & (F.col("lex") < 12) & (scores.path_score(query, F.col("doc_path")) < 10)))
+    own = own.withColumns({
+        "arch": F.when(built, 28 + F.least("lex", F.lit(15))),
+        "instr": F.when(F.col("doc_type").isin("instruction", "convention"), F.lit(32)).when(F.col("lex") > 10, F.lit(12)),
+    }).where("arch IS NOT NULL OR instr IS NOT NULL")
+    return candidate(
+        own, {"instruction_scope": F.col("instr"), "architecture": F.col("arch"), "lexical": F.when(F.col("lex") > 0, F.col("lex"))},
+        id=F.concat(F.lit("doc:"), "doc_path"), result_type=F.when(built, F.lit("architecture")).otherwise(F.lit("instruction")), path=F.col("doc_path"), end_line=F.lit(40), chars=F.lit(800), deterministic=F.lit(True),
+    )
 
 
 def ranked(found: DataFrame) -> DataFrame:
@@ -98,7 +135,7 @@ def search(chunks: DataFrame, files: DataFrame, symbols: DataFrame, edges: DataF
     rows = best.join(kept.select("id", "seat_score", "seat_line", "seat_id"), "id")
     if decisions is not None:
         rows = policy.for_model(rows, decisions)
-    rows = rows.withColumn("order", F.struct(-F.col("seat_score"), "path", "seat_line", "seat_id")).withColumn("type", F.col("result_type"))
+    rows = rows.withColumn("order", F.struct(-F.col("seat_score"), "path", "seat_line", "seat_id")).withColumn("type", F.col("result_type")).persist()  # read in each pass
     chosen = select.within_budget(rows.select("order", "id", "type", "chars"), k=k, order=("order",))
     return rows.join(F.broadcast(chosen.select("id")), "id").drop("type", "order").select("id", "result_type", "path", "symbol_id", "start_line", "end_line", "score", "confidence", "deterministic", *SIGNALS)
 

@@ -129,10 +129,12 @@ def document_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A question over all documents' chunks, paths, first words and sources."""
+    """A question over all documents' chunks, paths, first words and sources, and the instruction documents of a project."""
     from ..operators import hybrid
+    from .governance import DOCS
 
-    got = hybrid.search(*document_index(spark, sf_dir), "inea edes ontion src3 french", k=20)
+    docs = spark.createDataFrame(DOCS, "doc_path string, doc_type string, scope string, binding string, status string, globs string, user_configured boolean")
+    got = hybrid.search(*document_index(spark, sf_dir), "inea edes ontion src3 french", k=20, documents=docs)
     return got.select("id", "result_type", "path", F.round("score", 4).alias("score"), "confidence")
 
 

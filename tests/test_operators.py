@@ -160,6 +160,22 @@ def test_hybrid_prefers_the_exact_symbol(spark):
     assert hybrid.best_files(hybrid.search(cut, files, symbols, e, "refund"), 1).first().path == "src/refunds.ts"
 
 
+def test_hybrid_names_coverage_and_documents(spark):
+    files = spark.createDataFrame([("src/refunds.ts", 100, 1), ("src/pay.ts", 100, 2)], "path string, size long, mtime long")
+    cut = spark.createDataFrame([("c1", "src/pay.ts", "unrelated words", 1, 9, "source", 1.0)], "id string, path string, text string, start_line int, end_line int, kind string, weight double")
+    symbols = spark.createDataFrame([("s1", "other", "src/pay.ts", 2, 4)], "id string, name string, path string, start_line int, end_line int")
+    e = edge_frame(spark, [("src/pay.ts", "lib/x.ts", "export", "certain"), ("t/a.test.ts", "src/refunds.ts", "likelyTestCoverage", "heuristic"), ("t/b.test.ts", "src/none.ts", "likelyTestCoverage", "high")])
+    e = e.withColumn("specifier", F.when(F.col("kind") == "export", F.lit("refundsApi")))
+    docs = [("RULES.md", "instruction", "src", "Rules"), ("far/RULES.md", "instruction", "far", "Rules"), ("ADR.md", "architecture", "", "Why refunds"), ("README.md", "documentation", "", "Hello"), ("NOTES.md", "documentation", "", "About refunds")]
+    own = spark.createDataFrame([(p, t, s, "binding", None, None, False, x) for p, t, s, x in docs], "doc_path string, doc_type string, scope string, binding string, status string, globs string, user_configured boolean, title string")
+    got = {r.id: r for r in hybrid.search(cut, files, symbols, e, "refunds", documents=own).collect()}
+    assert got["alias:e:src/pay.ts->lib/x.ts:export"].symbol_alias >= 20
+    assert got["testcov:e:t/a.test.ts->src/refunds.ts:likelyTestCoverage"].test_relation == 18 and not any("b.test" in i for i in got)
+    assert {(i, got[i].result_type, got[i].instruction_scope, got[i].architecture) for i in got if i.startswith("doc:")} == {("doc:RULES.md", "instruction", 32, None), ("doc:ADR.md", "architecture", 12, 43), ("doc:NOTES.md", "instruction", 12, None)}
+    few = spark.createDataFrame([("a/refundsx/y", 1, 1)], "path string, size long, mtime long")
+    assert "doc:ADR.md" in {r.id for r in hybrid.search(cut, few, symbols.limit(0), e.limit(0), "refunds one two three four", documents=own).collect()}  # no seed: the best paths
+
+
 # ------------------------------------------------------------------ rules and policy
 
 

@@ -74,18 +74,21 @@ def line_findings(rule: Rule, text: Column) -> Column:
     return F.transform(rows, lambda x: F.struct(*named, x["line"].alias("line"), evidence(x["text"]).alias("evidence")))
 
 
-def scan(files: DataFrame, rules: list[Rule], per_rule: int | None = 50, max_bytes: int = 512 * 1024) -> DataFrame:
+def scan(files: DataFrame, rules: list[Rule], per_rule: int | None = 50, max_bytes: int | None = None) -> DataFrame:
     """(rule_id, category, severity, path, line, evidence) for files (path, language, text).
 
     The files' rules are found first (path, language, patterns, negative patterns), then
     only matching lines leave the row. ``per_rule`` keeps each rule's first findings in
-    path and line order (a report's limit; None keeps all).
+    path and line order (a report's limit; None keeps all). ``max_bytes`` leaves longer
+    files out (an interactive scan's limit; None scans all).
     """
     path, language, text = F.col("path"), F.col("language"), F.col("text")
     found = [F.when(applies(r, path, language) & file_hit(r, text), line_findings(r, text)) for r in rules]
     if not found:
         raise ValueError("no rules")
-    rows = files.where(F.octet_length(text) <= max_bytes).select(path, F.explode(F.flatten(F.filter(F.array(*found), lambda x: x.isNotNull()))).alias("f"))
+    if max_bytes is not None:
+        files = files.where(F.octet_length(text) <= max_bytes)
+    rows = files.select(path, F.explode(F.flatten(F.filter(F.array(*found), lambda x: x.isNotNull()))).alias("f"))
     rows = rows.select("f.rule_id", "f.category", "f.severity", "path", "f.line", "f.evidence")
     if per_rule is None:
         return rows

@@ -189,6 +189,13 @@ def test_rules_gate_suppress_and_cap(spark):
     assert rules.fingerprint(own) == rules.fingerprint(own[::-1])
 
 
+def test_rules_scan_long_files(spark):
+    own = [rules.Rule("r", "race", "error", "t", ("bad",))]
+    files = spark.createDataFrame([("a", "x", "line\n" * 120_000 + "bad"), ("b", "x", "bad"), ("c", "x", None)], "path string, language string, text string")
+    assert rows(rules.scan(files, own, None), "path", "line") == [("a", 120_001), ("b", 1)]
+    assert rows(rules.scan(files, own, None, 512 * 1024), "path") == [("b",)]
+
+
 @pytest.mark.parametrize(("glob", "path", "fits"), [("**/*.ts", "a/b/c.ts", True), ("*.ts", "a/b.ts", False), ("src/{a,b}/?.md", "SRC/b/x.md", True), ("src/**", "src/a/b", True), ("a.b", "aXb", False)])
 def test_globs(glob, path, fits):
     assert bool(re.search(policy.glob_regex(glob), path)) is fits

@@ -12,8 +12,8 @@ what is broadcast has a bound that doesn't depend on either table. The documents
 never shuffled.
 
 Defined cases: a null or empty text has no words, no hits and isn't contaminated; an
-item without words is in nothing; repeated rows and repeated items are each judged by
-themselves; empty tables give no rows, or rows without hits; input columns whose names
+item without words is in nothing; repeated rows are each judged by themselves; items of
+one id are named once, whatever the number of blocks; empty tables give no rows, or rows without hits; input columns whose names
 the results take are replaced.
 """
 
@@ -117,7 +117,7 @@ def scan(block: Block):
                     spans.append([{"start": s, "end": e} for s, e in edge.reshape(-1, 2).tolist()])
                 else:
                     spans.append([])
-                items.append(sorted(block.ids[i] for i in named[d]))
+                items.append(sorted({block.ids[i] for i in named[d]}))
         span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         return [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, span), string_lists(items), pa.array(longest, pa.int64())]
 
@@ -125,10 +125,10 @@ def scan(block: Block):
 
 
 def benchmark_blocks(bench: DataFrame, text_col: str, id_col: str, block_words: int) -> Iterator[Block]:
-    """Items in blocks of at most about block_words words, one at a time on the driver."""
+    """Items in blocks of at most about block_words words, one at a time on the driver; one empty block if there are none."""
     ids: list[str] = []
     texts: list[str] = []
-    size = 0
+    size, given = 0, False
     for row in bench.select(F.col(id_col).cast("string"), F.col(text_col)).toLocalIterator():
         if row[1] is None:
             continue
@@ -137,8 +137,9 @@ def benchmark_blocks(bench: DataFrame, text_col: str, id_col: str, block_words:
         size += len(row[1]) // 4
         if size >= block_words:
             yield Block(ids, texts, WINDOW)
-            ids, texts, size = [], [], 0
-    yield Block(ids, texts, WINDOW)
+            ids, texts, size, given = [], [], 0, True
+    if ids or not given:
+        yield Block(ids, texts, WINDOW)
 
 
 MERGE = """aggregate(array_sort(concat(hit_spans, old_spans)), cast(array() as array<struct<start:int,end:int>>), (acc, x) ->
@@ -150,23 +151,25 @@ MERGE = """aggregate(array_sort(concat(hit_spans, old_spans)), cast(array() as a
 def find_matches(docs: DataFrame, bench: DataFrame, text_col: str = "text", bench_text: str = "text", bench_id: str = "item_id", keep: list[str] | None = None, block_words: int = 4_000_000) -> DataFrame:
     """Docs with n_words, n_hit, hit_spans (word ranges), items (whose windows occur, sorted) and longest_match (words)."""
     sc = docs.sparkSession.sparkContext
-    kept = docs.columns if keep is None else keep
     taken = {field.split()[0] for field in FIELDS.replace("start:int,end:int", "").split(", ")}
-    out = None
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in taken]
+    out, text, own = None, text_col, docs
     for block in benchmark_blocks(bench, bench_text, bench_id, block_words):
         shared = sc.broadcast(block)
         make = lambda shared=shared: scan(shared.value)
         if out is None:
-            out = map_text(docs, FIELDS, make, text_col, [c for c in kept if c not in taken])
+            first = make
+            out = map_text(own, FIELDS, make, text, kept)
             continue
-        if text_col not in out.columns:
-            raise ValueError(f"a benchmark of more than {block_words} words takes several passes: keep {text_col}")
+        if own is docs and text_col not in kept:  # the next passes read the text; it goes at the end
+            text, own = "__passes_text", docs.withColumn("__passes_text", F.col(f"`{text_col}`"))
+            out = map_text(own, FIELDS, first, text, [*kept, text])
         renamed = out.withColumnsRenamed({"hit_spans": "old_spans", "items": "old_items", "longest_match": "old_longest"})
-        out = map_text(renamed, FIELDS, make, text_col)
+        out = map_text(renamed, FIELDS, make, text)
         out = out.withColumn("hit_spans", F.expr(MERGE)).withColumn("items", F.array_sort(F.array_distinct(F.concat("items", "old_items"))))
         out = out.withColumn("longest_match", F.greatest("longest_match", "old_longest")).drop("old_spans", "old_items", "old_longest")
         out = out.withColumn("n_hit", F.expr("aggregate(hit_spans, 0L, (n, x) -> n + x.end - x.start)"))
-    return out
+    return out if own is docs else out.drop(text)
 
 
 def contaminated(share: float = 0.05):

@@ -370,6 +370,19 @@ def test_contamination_equals_sql(spark):
         assert sorted(map(tuple, got.collect())) == want
 
 
+def test_contamination_needs_no_kept_text(spark):
+    text = [" ".join(f"{c}{i}" for i in range(20)) for c in "abc"]
+    bench = spark.createDataFrame([(1, text[0]), (1, text[1]), (1, text[0]), (2, text[2])], "item_id long, text string")
+    docs = documents(spark, [(1, " ".join(text)), (2, text[2] + " filler"), (3, None), (4, text[1])])
+    want = sorted(duck(decontaminate.SQL, documents=docs, benchmark=bench))
+    results = "doc_id", "n_words", "n_hit", "cast(size(items) as long)", "sha2(concat_ws(',', items), 256)", "n_hit > 0 AND 20 * n_hit >= n_words"
+    for block in (4_000_000, 1):
+        found = decontaminate.find_matches(docs, bench, keep=["doc_id"], block_words=block)
+        assert found.columns[0] == "doc_id" and "text" not in found.columns and len(found.columns) == 6
+        assert sorted(map(tuple, found.selectExpr(*results).collect())) == want
+    assert len(list(decontaminate.benchmark_blocks(bench, "text", "item_id", 1))) == 4 and len(list(decontaminate.benchmark_blocks(bench.limit(0), "text", "item_id", 1))) == 1
+
+
 def test_longest_match_and_removal(spark):
     text = " ".join(f"w{i}" for i in range(60))
     bench = spark.createDataFrame([(1, text)], "item_id long, text string")

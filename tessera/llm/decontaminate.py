@@ -1,8 +1,8 @@
-"""Benchmark decontamination by suffix arrays of the training text.
+"""Benchmark decontamination by sorted word windows of the training text.
 
-Each Arrow slice of documents is a shard. Its suffix array holds the positions of all
-words, ordered by the window of 13 words that starts there, and every suffix of every
-benchmark item is binary-searched in it (``numpy.searchsorted`` on both sides gives the
+Each Arrow slice of documents is a shard. The positions of all its words are ordered by
+the hash of the window of 13 words that starts there, and every window of every benchmark
+item is binary-searched in it (``numpy.searchsorted`` on both sides gives the
 range of equal windows). Hits are then verified word by word against the item, and runs
 on one diagonal (same item, same distance) give the longest verbatim match.
 

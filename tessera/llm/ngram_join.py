@@ -1,11 +1,10 @@
-"""N-gram Jaccard join by a MinHash LSH forest, with exact verification.
+"""N-gram Jaccard join by banded MinHash, with exact verification.
 
 A document's set holds its shingles: the 64-bit hashes of all five consecutive words (of
-all its words, where it has fewer). MinHash values form ``trees`` labels of ``depth``
-values each; sorted, a tree's labels are the leaves of a prefix trie, and documents below
-one node share a prefix. The matched prefix starts at the full label and is shortened
-until a pair at the threshold meets in some tree with the target probability
-(``1 - (1 - t**d)**trees``), and no further, so nodes stay as small as the recall allows.
+all its words, where it has fewer). MinHash values form ``trees`` bands, each one hash of
+its values. Their number is at most ``depth`` and the largest at which a pair at the
+threshold meets in some band with the target probability (``1 - (1 - t**d)**trees``): a
+formula, no trie that is shortened on the data. Documents that share a band's hash meet.
 
 Equal sets are one class from the start; only one representative goes on, with the number
 of its copies. Documents that share a node are candidates, and candidates are joined into

@@ -1,29 +1,36 @@
-"""N-gram Jaccard join by banded MinHash, with exact verification.
+"""N-gram Jaccard join by a MinHash LSH forest, with exact verification.
 
 A document's set holds its shingles: the 64-bit hashes of all five consecutive words (of
-all its words, where it has fewer). MinHash values form ``trees`` bands, each one hash of
-its values. Their number is at most ``depth`` and the largest at which a pair at the
-threshold meets in some band with the target probability (``1 - (1 - t**d)**trees``): a
-formula, no trie that is shortened on the data. Documents that share a band's hash meet.
-
-Equal sets are one class from the start; only one representative goes on, with the number
-of its copies. Documents that share a node are candidates, and candidates are joined into
-connected components (each node links its members to its smallest, so a node of n members
-gives n - 1 links, not all pairs). Each component is verified exactly: its sets are cut
-into blocks of similar size, and each pair of blocks whose sizes can reach the threshold is
-one task's work, a sparse-to-dense matrix product that counts common shingles. It returns
-each document's number of links and a spanning forest of them, never the pairs, so a group
-of thousands of near copies is dealt over many tasks and gives rows in proportion to its
-members and blocks. The forest's components are the result's classes.
-
-Result: one row a document with class_id (its class's smallest document id; its own where
-it is alone) and n_links (documents, copies included, whose sets have Jaccard similarity of
-the threshold or more with its own, itself left out).
+all its words, where it has fewer). Equal sets are one set, with the number of its copies.
+
+Forest: each of ``trees`` trees gives a set a label of eight MinHash values, one byte
+each, so that labels in order are the leaves of a prefix trie and the first d bytes name
+its node at depth d. The search begins at full length, where only very similar sets share
+a node, and shortens the matched prefix in all trees together, one value at a time. After
+each level the links found so far are counted by similarity. A link of similarity s is
+found at depth d with probability ``p = 1 - (1 - s**d)**trees``, so each stands for
+``1 / p`` links that exist (Horvitz-Thompson). The search ends when links found over links
+estimated reach the target recall; ``doubt`` adds a share of links right at the threshold
+to the estimate, for those of which nothing was seen. It ends at the latest at the depth
+at which a pair at the threshold itself meets with the target probability.
+
+Verification: a set's home is its largest node. The sets of one home are dealt by size and
+a hash into blocks of bounded size; two blocks that share some node and whose sizes can
+reach the threshold are one task's work, once for all trees and levels: a sparse-to-dense
+matrix product that counts common shingles. It returns each set's number of links and a
+spanning forest of them, never the pairs, so a group of thousands of near copies is dealt
+over many tasks and gives rows in proportion to its members and blocks. Sets that share no
+node never meet, however long the chain that joins them.
+
+Result: one row a document with class_id (the smallest document id of its class, the sets
+that chains of links join; its own where it is alone) and n_links (documents, copies
+included, whose sets have Jaccard similarity of the threshold or more with its own, itself
+left out).
 
 Defined cases: null or wordless texts and rows without id have no set, are alone and have
-no links; copies link
-to each other; repeated rows with one id count as copies, and n_links counts rows; empty
-tables give no rows; extra columns aren't read.
+no links; copies link to each other; rows that share an id are documents of their own,
+whether their texts are equal or not, and n_links counts rows; empty tables give no rows;
+extra columns aren't read.
 """
 
 from __future__ import annotations
@@ -35,23 +42,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, U64, document_windows, map_text, materialise, mix, slices, table, utf8, words
+from .common import ALNUM, U64, document_windows, map_text, materialise, mix, set_aside, slices, table, utf8, words
 
-SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9995
+SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
 TREES, DEPTH = 24, 8
+#: Links at the threshold that the recall estimate supposes for each link found.
+DOUBT = 0.01
 #: Shingles and documents of one block at most, unless one document has more.
 BLOCK_SHINGLES, BLOCK_DOCS = 1_000_000, 256
 #: Parts into which a join deals the rows of one key.
 SALTS = 16
+#: Sizes of a band differ by less than this factor.
+BAND = 1.25
+VERIFIED = "set binary, links long, to binary, bins array<long>"
+#: Classes of similarity between threshold and 1 by which links are counted.
+BINS = 20
 
 
-def prefix_depth(trees: int, depth: int, threshold: float, recall: float) -> int:
-    """The longest prefix at which a pair at the threshold meets in some tree with the target probability."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
+def found_share(similarity: float, depth: int, trees: int) -> float:
+    """The probability that a pair shares a node at this depth in some tree; one-byte values also agree by chance."""
+    agree = similarity + (1 - similarity) / 256
+    return 1 - (1 - agree**depth) ** trees
+
+
+def guaranteed_depth(trees: int, depth: int, threshold: float, recall: float) -> int:
+    """The longest prefix at which a pair at the threshold itself meets with the target probability."""
+    while depth > 1 and found_share(threshold, depth, trees) < recall:
         depth -= 1
     return depth
 
 
+def estimated_recall(links: list[int], depth: int, trees: int, threshold: float, doubt: float) -> float:
+    """Links found over links that they stand for; links counts them by similarity class, from the threshold up."""
+    odds = [1 / found_share(threshold + (1 - threshold) * k / BINS, depth, trees) - 1 for k in range(BINS)]
+    n = sum(links)
+    missing = sum(k * o for k, o in zip(links, odds, strict=True)) + (1 + doubt * n) * odds[0]
+    return (n + 1) / (n + 1 + missing)
+
+
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingles of consecutive documents, and their n+1 offsets."""
     n = len(offsets) - 1
@@ -64,52 +92,57 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return key[new], np.searchsorted(doc[new], np.arange(n + 1))
 
 
-def forest_labels(key: np.ndarray, rows: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """One 64-bit prefix of ``depth`` MinHash values for each document with shingles and tree."""
+def forest_labels(key: np.ndarray, rows: np.ndarray, trees: int) -> np.ndarray:
+    """The label of each document with shingles in each tree: eight MinHash values of one byte, the first on top."""
     low, high = (key & U64(0xFFFFFFFF)).astype(np.uint32), (key >> U64(32)).astype(np.uint32)
     rng = np.random.default_rng(11)
-    factors = rng.integers(0, 1 << 32, (trees, depth, 2), dtype=np.uint32) | np.uint32(1)
-    out = np.empty((len(rows) - 1, trees), U64)
+    factors = rng.integers(0, 1 << 32, (trees, DEPTH, 2), dtype=np.uint32) | np.uint32(1)
+    out = np.zeros((len(rows) - 1, trees), U64)
+    value = np.empty_like(low)
     for t in range(trees):
-        label = np.full(len(rows) - 1, U64(t + 1))
-        for d in range(depth):
-            value = low * factors[t, d, 0]
+        for d in range(DEPTH):
+            np.multiply(low, factors[t, d, 0], out=value)
             value ^= value >> np.uint32(15)
             value += high
             value *= factors[t, d, 1]
-            label = mix(label ^ np.minimum.reduceat(value, rows[:-1]).astype(U64) * U64(0x9E3779B97F4A7C15))
-        out[:, t] = label
+            least = np.minimum.reduceat(value, rows[:-1]).astype(U64)
+            out[:, t] = out[:, t] << U64(8) | mix(least) >> U64(56)
     return out
 
 
-def signatures(docs: DataFrame, trees: int, depth: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, digest of the set, n_shingles, prefixes); documents without words have no digest."""
+def digest_of(key: np.ndarray, rows: np.ndarray) -> list[bytes | None]:
+    """What identifies each document's set (two sums of its mixed shingles, and their number); none for an empty one."""
+    count = np.diff(rows)
+    some = np.flatnonzero(count)
+    sums = np.zeros((len(count), 2), U64)
+    if len(some):
+        sums[some, 0] = np.add.reduceat(key, rows[:-1][some])
+        sums[some, 1] = np.add.reduceat(mix(key ^ U64(0x5DEECE66D)), rows[:-1][some])
+    return [sums[d].tobytes() + int(count[d]).to_bytes(4, "little") if count[d] else None for d in range(len(count))]
+
+
+def signatures(docs: DataFrame, trees: int, keep: list[str], text_col: str) -> DataFrame:
+    """Docs' columns ``keep`` with set (its digest; none without words), n_shingles and labels."""
 
     def make():
         def work(column):
             raw, offs = utf8(column)
-            digest, size, prefixes = [], [], []
+            digest, size, labels = [], [], []
             for a, b in slices(offs):
                 key, rows = shingle_sets(raw[offs[a] : offs[b]], offs[a : b + 1])
                 count = np.diff(rows)
                 some = np.flatnonzero(count)
                 size += count.tolist()
-                labels = np.zeros((b - a, 0), U64)
-                sums = np.zeros((b - a, 2), U64)
+                digest += digest_of(key, rows)
+                own = np.zeros((b - a, trees), U64)
                 if len(some):
-                    ptr = rows[:-1][some]
-                    sums[some, 0] = np.add.reduceat(key, ptr)
-                    sums[some, 1] = np.add.reduceat(mix(key ^ U64(0x5DEECE66D)), ptr)
-                    labels = np.zeros((b - a, trees), U64)
-                    labels[some] = forest_labels(key, np.append(ptr, len(key)), trees, depth)
-                for d in range(b - a):
-                    digest.append(sums[d].tobytes() + int(count[d]).to_bytes(4, "little") if count[d] else None)
-                    prefixes.append(labels[d].view(np.int64) if count[d] else np.zeros(0, np.int64))
-            return pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))
+                    own[some] = forest_labels(key, np.append(rows[:-1][some], len(key)), trees)
+                labels += [own[d].view(np.int64) if count[d] else None for d in range(b - a)]
+            return pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(labels, pa.list_(pa.int64()))
 
         return work
 
-    return map_text(docs, "digest binary, n_shingles long, prefixes array<long>", make, text_col, [id_col])
+    return map_text(docs, "set binary, n_shingles long, labels array<long>", make, text_col, keep)
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -136,8 +169,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         label = label.select("node", "root")
 
 
-def links_in(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs with Jaccard similarity of the threshold or more: within left (i < j), or of left with right."""
+def links_in(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs with Jaccard similarity of the threshold or more, and that: within left (i < j), or of left with right."""
     rest = left if right is None else right
     sizes, other = np.array([len(x) for x in left]), np.array([len(x) for x in rest])
     keys = np.concatenate(left if right is None else left + right)
@@ -162,27 +195,31 @@ def links_in(left: list[np.ndarray], right: list[np.ndarray] | None, threshold:
     linked = common >= threshold * union - 1e-6
     if right is None:
         linked = np.triu(linked, 1)
-    return np.nonzero(linked)
+    i, j = np.nonzero(linked)
+    return i, j, common[i, j] / union[i, j]
 
 
 def verify(threshold: float):
-    """applyInArrow function: the sets of one or two blocks to links per document and a spanning forest."""
+    """applyInArrow function: the sets of one or two blocks to links per set, a spanning forest, and links by similarity."""
 
     def work(group: pa.Table) -> pa.Table:
-        ids = group["rep"].to_numpy()
+        ids = group["set"].to_pylist()
         block = group["block"].to_numpy()
         copies = group["copies"].to_numpy()
         low, high = group["low"][0].as_py(), group["high"][0].as_py()
         sets = [x.values.to_numpy().view(U64) for x in group["shingles"]]
         a, b = np.flatnonzero(block == low), np.flatnonzero(block == high)
         count = np.zeros(len(ids), np.int64)
-        parent = np.full(len(ids), -1, np.int64)
+        to = list(ids)
+        bins: list = [None] * len(ids)
         if len(a) and len(b) and not (low == high and len(a) == 1):
-            i, j = links_in([sets[k] for k in a], None if low == high else [sets[k] for k in b], threshold)
+            i, j, similarity = links_in([sets[k] for k in a], None if low == high else [sets[k] for k in b], threshold)
             i, j = a[i], (a if low == high else b)[j]
             np.add.at(count, i, copies[j])
             np.add.at(count, j, copies[i])
-            root = np.arange(len(ids))
+            level = np.clip((similarity - threshold) / (1 - threshold) * BINS, 0, BINS - 1).astype(np.int64) if threshold < 1 else np.full(len(i), BINS - 1)
+            bins[0] = np.bincount(level, minlength=BINS).tolist()
+            root = list(range(len(ids)))
 
             def find(x: int) -> int:
                 while root[x] != x:
@@ -195,77 +232,126 @@ def verify(threshold: float):
                 if p != q:
                     p, q = (p, q) if ids[p] < ids[q] else (q, p)
                     root[q] = p
-                    parent[q] = p
-        to = np.where(parent >= 0, ids[parent], ids)
-        return pa.table({"rep": pa.array(ids, pa.int64()), "links": pa.array(count, pa.int64()), "to": pa.array(to, pa.int64())})
+                    to[q] = ids[p]
+        return pa.table({"set": pa.array(ids, pa.binary()), "links": pa.array(count, pa.int64()), "to": pa.array(to, pa.binary()), "bins": pa.array(bins, pa.list_(pa.int64()))})
 
     return work
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, class_id, n_links), one row a document; see the module."""
-    depth = prefix_depth(trees, depth, threshold, recall)
-    signed = signatures(docs, trees, depth, id_col, text_col).withColumnRenamed(id_col, "id")
-    signed = materialise(signed.withColumn("digest", F.when(F.col("id").isNotNull(), F.col("digest"))), "forest")
-    reps = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("prefixes").alias("prefixes"))
-    reps = materialise(reps, "forest-reps")
-
-    nodes = reps.select("rep", F.explode("prefixes").alias("prefix"))
-    smallest = nodes.groupBy("prefix").agg(F.min("rep").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    edges = nodes.join(smallest, "prefix").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
-    member = components(edges, "candidates")
-
-    # blocks: a component's sets by size (bands of a factor 1.25), each band dealt by a hash over as many blocks as its sets and shingles need
-    sized = reps.join(member, reps.rep == member.node).select("rep", "copies", "n_shingles", "root", F.floor(F.log("n_shingles") / math.log(1.25)).alias("band"))
-    sized = materialise(sized.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")), "candidate-sets")
-    cells = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
-    bands = sized.groupBy("root", "band").agg(cells.alias("cells")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    cell = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("cells"))
-    blocked = sized.join(bands, ["root", "band", "salt"]).select("rep", "copies", "n_shingles", "root", (F.shiftleft(F.col("band"), 32) + cell).alias("block"))
-    blocked = materialise(blocked, "candidate-blocks")
-    ranges = blocked.groupBy("root", "block").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
-    other = ranges.select("root", F.col("block").alias("high"), F.col("least").alias("high_least"), F.col("most").alias("high_most"))
-    # two blocks meet if some sizes of theirs can reach the threshold
-    near = (F.col("most") >= threshold * F.col("high_least") - 1e-6) & (F.col("high_most") >= threshold * F.col("least") - 1e-6)
-    pairs = ranges.join(other, "root").where((F.col("block") <= F.col("high")) & near)
-    pairs = pairs.select("root", F.col("block").alias("low"), "high")
-    sides = pairs.select("root", "low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
-    wanted = materialise(blocked.join(sides, ["root", "block"]), "candidate-sides")
+def shingles_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(set, shingles) of the sets in wanted (set, id, text_hash)."""
 
     def make():
         def work(column):
             raw, offs = utf8(column)
-            out = []
+            digest, out = [], []
             for a, b in slices(offs):
                 key, rows = shingle_sets(raw[offs[a] : offs[b]], offs[a : b + 1])
+                digest += digest_of(key, rows)
                 out += np.split(key.view(np.int64), rows[1:-1])
-            return [pa.array(out, pa.list_(pa.int64()))]
+            return [pa.array(digest, pa.binary()), pa.array(out, pa.list_(pa.int64()))]
 
         return work
 
-    ids = blocked.select(F.col("rep").alias("__rep"))
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__body")).join(ids, F.col("__id") == F.col("__rep"), "left_semi").dropDuplicates(["__id"])
-    sets = map_text(texts, "shingles array<long>", make, "__body", ["__id"])
-    work = wanted.join(sets, F.col("rep") == F.col("__id")).select("root", "low", "high", "rep", "copies", "block", "shingles")
-    found = work.groupBy("root", "low", "high").applyInArrow(verify(threshold), "rep long, links long, to long")
-    found = materialise(found, "verified")
-    counted = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = components(found.where("rep <> to").select(F.col("rep").alias("a"), F.col("to").alias("b")), "classes")
-    final = reps.join(counted, "rep", "left").join(classes, F.col("rep") == F.col("node"), "left")
-    final = materialise(final.select("digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "rep").alias("class_id")), "classes-of-sets")
-    salted = final.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = signed.select("id", "digest", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
-    own = dealt.where("digest IS NOT NULL").join(salted, ["digest", "salt"]).select("id", "class_id", "n_links")
-    alone = dealt.where("digest IS NULL").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return own.unionByName(alone).withColumnRenamed("id", id_col)
-
-
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each class, the one with the smallest id; columns as they were."""
-    kept = near_duplicates(docs, **options).where("class_id = doc_id").select("doc_id")
-    chosen = docs.join(kept, "doc_id", "left_semi").withColumn("__text_of", F.xxhash64("text")).dropDuplicates(["doc_id", "__text_of"])
-    columns = [f"`{c}`" for c in docs.columns]
-    return chosen.select(*columns).unionByName(docs.where("doc_id IS NULL").select(*columns))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("body"))
+    texts = texts.join(wanted.select("id", "text_hash"), ["id", "text_hash"], "left_semi").dropDuplicates(["id", "text_hash"])
+    return map_text(texts, "set binary, shingles array<long>", make, "body", [])
+
+
+def candidates(shared: DataFrame, depth: int, homes: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """One level of the forest: (set, copies, block, band) of all sets that have a node so far, and (low, high) of the blocks that share one.
+
+    ``homes`` are those of the level before; a set keeps its block.
+    """
+    cut = shared.withColumn("prefix", F.shiftrightunsigned("label", 8 * (DEPTH - depth)))
+    nodes = cut.groupBy("tree", "prefix").agg(F.count("*").alias("n")).where("n > 1")
+    inside = materialise(cut.join(nodes, ["tree", "prefix"]).select("set", "copies", "n_shingles", "tree", "prefix", "n"), f"forest-{depth}")
+    new = inside.groupBy("set").agg(F.first("copies").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.max(F.struct("n", "tree", "prefix")).alias("home"))
+    if homes is not None:
+        new = new.join(homes.select("set"), "set", "left_anti")
+    band = F.floor(F.log("n_shingles") / math.log(BAND))
+    cells = F.greatest(F.ceil(F.col("home.n") / BLOCK_DOCS), F.ceil(F.col("home.n") * F.pow(F.lit(BAND), F.col("band") + 1) / BLOCK_SHINGLES))
+    block = F.xxhash64(F.lit(depth), "home.tree", "home.prefix", "band", F.pmod(F.xxhash64("set"), cells))
+    new = new.withColumn("band", band).select("set", "copies", block.alias("block"), "band")
+    homes = materialise(new if homes is None else homes.unionByName(new), f"homes-{depth}")
+    parts = inside.select("set", "tree", "prefix").join(homes, "set").select("tree", "prefix", "block", "band").distinct()
+    left, right = parts.withColumnsRenamed({"block": "low", "band": "low_band"}), parts.withColumnsRenamed({"block": "high", "band": "high_band"})
+    return homes, left.join(right, ["tree", "prefix"]).where("low <= high").select("low", "high", "low_band", "high_band").distinct()
+
+
+def links_of(docs: DataFrame, reps: DataFrame, threshold: float, recall: float, trees: int, doubt: float, id_col: str, text_col: str) -> DataFrame:
+    """(set, links, to) of the verified candidates, level by level until the target recall."""
+    shortest = guaranteed_depth(trees, DEPTH, threshold, recall)
+    leaves = reps.select("set", "copies", "n_shingles", F.posexplode("labels").alias("tree", "label"))
+    end = leaves.withColumn("end", F.shiftrightunsigned("label", 8 * (DEPTH - shortest)))
+    common = end.groupBy("tree", "end").agg(F.count("*").alias("n")).where("n > 1").select("tree", "end")
+    shared = materialise(end.join(common, ["tree", "end"]).drop("end"), "forest-shared")
+    wanted = materialise(reps.join(shared.select("set").distinct(), "set", "left_semi").select("set", "first.id", "first.text_hash"), "sets-wanted")
+    sets = materialise(shingles_of(docs, wanted, id_col, text_col), "sets")
+    far = math.ceil(-math.log(threshold) / math.log(BAND) - 1e-9)
+    homes = done = found = None
+    counts = [0] * BINS
+    for depth in range(DEPTH, shortest - 1, -1):
+        homes, pairs = candidates(shared, depth, homes)
+        pairs = pairs.where(F.abs(F.col("low_band") - F.col("high_band")) <= far).select("low", "high")
+        pairs = materialise(pairs if done is None else pairs.join(done, ["low", "high"], "left_anti"), f"pairs-{depth}")
+        if pairs.head(1):
+            sides = pairs.select("low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
+            work = sides.join(homes, "block").join(sets, "set").select("low", "high", "set", "copies", "block", "shingles")
+            level = materialise(work.groupBy("low", "high").applyInArrow(verify(threshold), VERIFIED), f"verified-{depth}")
+            done = pairs if done is None else done.unionByName(pairs)
+            found = level if found is None else found.unionByName(level)
+            for row in level.select(F.posexplode("bins").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():
+                counts[row["k"]] += row["n"]
+        if estimated_recall(counts, depth, trees, threshold, doubt) >= recall:
+            break
+    return (docs.sparkSession.createDataFrame([], VERIFIED) if found is None else found).select("set", "links", "to")
+
+
+def classes_of(docs: DataFrame, threshold: float, recall: float, trees: int, doubt: float, id_col: str, text_col: str) -> DataFrame:
+    """(id, text_hash, wordless, first: id and text_hash of the class's first document, n_links), one row a document."""
+    hashed = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("body"))
+    signed = signatures(hashed, trees, ["id", "text_hash"], "body")
+    signed = materialise(signed.withColumn("set", F.when(F.col("id").isNotNull(), F.col("set"))), "forest")
+    reps = signed.where("set IS NOT NULL").groupBy("set").agg(F.min(F.struct("id", "text_hash")).alias("first"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("labels").alias("labels"))
+    reps = materialise(reps, "forest-sets")
+    found = links_of(docs, reps, threshold, recall, trees, doubt, id_col, text_col)
+    counted = found.groupBy("set").agg(F.sum("links").alias("links"))
+    member = components(found.where("set <> to").select(F.col("set").alias("a"), F.col("to").alias("b")), "classes")
+    member = materialise(member.join(reps.select(F.col("set").alias("node"), "first"), "node"), "class-members")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    smallest = member.groupBy("root").agg(F.min("first").alias("smallest")).select("root", "smallest", salts)
+    named = member.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(smallest, ["root", "salt"]).select(F.col("node").alias("set"), "smallest")
+    final = reps.select("set", "first", "copies").join(counted, "set", "left").join(named, "set", "left")
+    links = (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+    final = materialise(final.select("set", "copies", "first", F.coalesce("smallest", "first").alias("smallest"), links), "classes-of-sets")
+    once = final.where("copies = 1").select("first.id", "first.text_hash", F.lit(False).alias("wordless"), F.col("smallest").alias("first"), "n_links")
+    copied = final.where("copies > 1").select("set", F.col("smallest").alias("first"), "n_links", salts)
+    dealt = signed.select("id", "text_hash", "set", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"))
+    more = dealt.where("set IS NOT NULL").join(copied, ["set", "salt"]).select("id", "text_hash", F.lit(False).alias("wordless"), "first", "n_links")
+    alone = signed.where("set IS NULL").select("id", "text_hash", F.lit(True).alias("wordless"), F.struct("id", "text_hash").alias("first"), F.lit(0).cast("long").alias("n_links"))
+    return once.unionByName(more).unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, doubt: float = DOUBT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, class_id, n_links), one row a document; see the module."""
+    found = classes_of(docs, threshold, recall, trees, doubt, id_col, text_col)
+    return found.select(F.col("id").alias(id_col), F.col("first.id").alias("class_id"), "n_links")
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, doubt: float = DOUBT) -> DataFrame:
+    """One document of each class, the one with the smallest id; wordless documents and those without id all stay; columns as they were."""
+    own, back = set_aside(docs, ["__text_hash"])
+    found = materialise(classes_of(docs, threshold, recall, trees, doubt, "doc_id", "text").where("NOT wordless"), "kept-classes")
+    is_first = (F.col("id") == F.col("first.id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    key = [F.col("id").alias("doc_id"), F.col("text_hash").alias("__text_hash")]
+    gone = found.where(~is_first).select(*key).distinct()
+    kept = own.withColumn("__text_hash", F.xxhash64("text")).join(gone, ["doc_id", "__text_hash"], "left_anti")
+    often = found.where(is_first).groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    if often.head(1):  # equal rows: one of them stays
+        on = ["doc_id", "__text_hash"]
+        kept = kept.join(often, on, "left_anti").unionByName(kept.join(often, on, "left_semi").dropDuplicates(on))
+    return kept.drop("__text_hash").withColumnsRenamed(back).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

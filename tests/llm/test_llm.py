@@ -86,11 +86,13 @@ def test_bpe_counts(spark):
 # ------------------------------------------------------------------ 2 n-gram join
 
 
+def word_shingles(text):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({(len(w), *w)} if w else set())
+
+
 def brute_links(rows, threshold=0.8):
-    sets = {}
-    for k, (_, text) in enumerate(rows):
-        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-        sets[k] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({(len(w), *w)} if w else set())
+    sets = {k: word_shingles(text) for k, (_, text) in enumerate(rows)}
     links = {k: [j for j in sets if j != k and sets[k] and sets[j] and len(sets[k] & sets[j]) >= threshold * len(sets[k] | sets[j]) - 1e-9] for k in sets}
     root = list(sets)
 
@@ -138,9 +140,36 @@ def test_near_duplicates_of_odd_rows(spark):
     assert ngram_join.keep_one(documents(spark, ODD)).where("doc_id = 7").count() == 1
 
 
-def test_prefix_shortens_until_recall():
-    d = ngram_join.prefix_depth(24, 8, 0.8, 0.9995)
-    assert 1 - (1 - 0.8**d) ** 24 >= 0.9995 > 1 - (1 - 0.8 ** (d + 1)) ** 24
+def test_near_duplicates_where_ids_and_names_clash(spark):
+    a, b = [" ".join(f"{c}{i}" for i in range(60)) for c in "ab"]
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (3, b + " more")]
+    docs = documents(spark, rows).selectExpr("*", "'x' AS id", "1 AS set", "2 AS class_id", "3 AS __text_hash", "4 AS body")
+    got = sorted(map(tuple, ngram_join.near_duplicates(docs).collect()))
+    assert got == brute_links(rows) == [(1, 1, 1), (1, 1, 2), (2, 1, 1), (3, 1, 2), (3, 1, 2)]
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, a), (1, b)]
+
+
+def test_forest_shortens_prefixes_until_recall():
+    assert ngram_join.guaranteed_depth(24, 8, 0.8, 0.9999) == 5
+    alike, far = [0] * 19 + [10**6], [10**6] + [0] * 19
+    estimate = lambda links, depth: ngram_join.estimated_recall(links, depth, 24, 0.8, 0.01)
+    assert estimate(alike, 8) < 0.9999 < estimate(alike, 7) and estimate(far, 6) < 0.9999 < estimate(far, 5)
+    rng = np.random.default_rng(2)
+    key = np.sort(rng.integers(0, 1 << 63, 1000, dtype=np.int64)).view(np.uint64)
+    labels = ngram_join.forest_labels(np.concatenate([key, key[:900]]), np.array([0, 1000, 1900]), 500)
+    bytes_alike = (labels[0].view(np.uint8) == labels[1].view(np.uint8)).mean()
+    assert bytes_alike == pytest.approx(0.9, abs=0.03)
+
+
+def test_forest_recall_against_all_pairs(spark):
+    """Queries are the rows with an id divisible by 100, against all rows."""
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents")
+    got = {r.doc_id: r.n_links for r in ngram_join.near_duplicates(docs).collect()}
+    sets = {r.doc_id: word_shingles(r.text) for r in docs.collect()}
+    asked = [i for i in sets if i % 100 == 0]
+    want = {i: sum(j != i and len(sets[i] & s) >= 0.8 * len(sets[i] | s) for j, s in sets.items() if sets[i] and s) for i in asked}
+    assert all(got[i] <= want[i] for i in asked) and sum(got[i] for i in asked) >= 0.9 * sum(want.values())
 
 
 # ------------------------------------------------------------------ 3 repeats
@@ -388,12 +417,44 @@ def test_longest_match_and_removal(spark):
     bench = spark.createDataFrame([(1, text)], "item_id long, text string")
     docs = documents(spark, [(1, "intro " + " ".join(f"w{i}" for i in range(10, 50))), (2, "clean words only"), (3, None), (4, " ".join(f"w{i}" for i in range(13)) + " filler" * 300)]).withColumn("items", decontaminate.F.lit("own"))
     found = {r.doc_id: r for r in decontaminate.find_matches(docs, bench).collect()}
-    assert found[1].longest_match == 40 and [tuple(s) for s in found[1].hit_spans] == [(1, 41)] and found[4].n_hit == 13
+    assert tuple(found[1].longest) == (40, 1, "1", 10) and [tuple(s) for s in found[1].hit_spans] == [(1, 41)] and found[4].n_hit == 13
+    assert found[2].longest is None and found[3].longest is None and tuple(found[4].longest) == (13, 0, "1", 0)
     kept = decontaminate.remove_contaminated(docs, bench)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4]
     assert decontaminate.find_matches(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
 
+def test_longest_matches_equal_brute_force():
+    rnd = random.Random(12)
+    for _ in range(20):
+        texts = lambda n, most: [" ".join(rnd.choice("ab" if rnd.random() < 0.5 else "abcd") for _ in range(rnd.randint(0, most))) for _ in range(n)]
+        items, docs = texts(6, 30), texts(12, 60)
+        block = decontaminate.Block([str(i) for i in range(6)], items, 13, 3)
+        got = decontaminate.scan(block)(pa.array(docs))[4].to_pylist()
+        for doc, found in zip(docs, got, strict=True):
+            d = doc.split()
+            best = max((n for i in items for s in range(len(i.split())) for p in range(len(d)) for n in [run(d, p, i.split(), s)]), default=0)
+            assert best == found["words"] if best >= 3 else found is None
+            if found:
+                item = items[int(found["item"])].split()[found["item_start"] : found["item_start"] + best]
+                assert len(item) == best and d[found["start"] : found["start"] + best] == item
+
+
+def run(a, p, b, s):
+    n = 0
+    while p + n < len(a) and s + n < len(b) and a[p + n] == b[s + n]:
+        n += 1
+    return n
+
+
+def test_contamination_of_repeated_words():
+    items = ["same " * 6_000, "same " * 12, "x y z"]
+    column = pa.array(["same " * 1_000_000, "same " * 11 + "other", None, "pre x y z"])
+    n_words, n_hit, spans, found, longest = [a.to_pylist() for a in decontaminate.scan(decontaminate.Block(["a", "b", "c"], items))(column)]
+    assert n_words == [1_000_000, 12, 0, 4] and n_hit == [1_000_000, 0, 0, 3] and found == [["a", "b"], [], [], ["c"]]
+    assert longest[0]["words"] == 6_000 and longest[1]["words"] == 11 and spans[3] == [{"start": 1, "end": 4}]
+
+
 # ------------------------------------------------------------------ 10 quality
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 U64 = np.uint64
 #: Bytes of text that the helpers handle at a time, unless one document is longer.
 SLICE_BYTES = 1 << 20
+PART_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -187,7 +188,8 @@ def map_text(docs: DataFrame, fields: str, make, text_col: str = "text", keep: l
     ``fields`` is the DDL of the added columns. ``make()`` runs once in each task and
     returns a function from a text column to the list of added Arrow arrays, one value
     a row. ``keep`` names the input columns to return (all but those whose names the
-    added columns take, by default).
+    added columns take, by default). Batches of large values are worked on in parts of
+    about PART_BYTES, unless one value is longer.
     """
     spark = docs.sparkSession
     added = spark.createDataFrame([], fields).schema
@@ -202,10 +204,11 @@ def map_text(docs: DataFrame, fields: str, make, text_col: str = "text", keep: l
     def run(batches):
         work = make()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [batch.column(i) for i in range(len(kept))] + list(work(batch.column(at)))
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            rows = max(1, batch.num_rows * PART_BYTES // max(PART_BYTES, batch.column(at).nbytes))
+            for first in range(0, batch.num_rows, rows):
+                part = batch.slice(first, rows)
+                columns = [part.column(i) for i in range(len(kept))] + list(work(part.column(at)))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return source.mapInArrow(run, schema)
 

@@ -9,10 +9,12 @@ random-access points. Both work on whole Arrow columns; packets are NumPy rows,
 work for one is a few vector operations a stream.
 
 Defined cases: a null or empty payload is stored as 64 zero bytes by the query (the
-operator stores an empty payload as tables only); bytes that don't start packets are
-skipped up to the next sync byte that repeats after 188 bytes; a stream without tables
-has no payload; lost or repeated packets count in continuity_errors; equal payloads give
-equal streams.
+operator stores an empty payload as tables only); a packet counts if a sync byte follows
+it; where none does, the reader goes on at the next sync byte that repeats every 188 bytes
+and counts what it skips in lost_bytes; a stream without tables has no payload. A packet
+sent twice in a row is legal and taken once; a gap in the counters, a packet that the
+demodulator marked as broken and one that is scrambled count in continuity_errors, and no
+payload is taken from the latter two. Equal payloads give equal streams.
 """
 
 from __future__ import annotations
@@ -31,7 +33,9 @@ PMT_PID, STREAM_PID, STREAM_TYPE, STREAM_ID = 0x1000, 0x0100, 0x06, 0xBD
 ACCESS_UNIT, CLOCK = 16_384, 90_000
 #: Time stamps of neighbouring access units differ by a 25th of a second.
 TICKS = CLOCK // 25
-FIELDS = "payload binary, n_packets long, continuity_errors long, pts array<long>, random_access array<long>"
+FIELDS = "payload binary, n_packets long, continuity_errors long, lost_bytes long, pts array<long>, random_access array<long>"
+#: Sync bytes in a row, 188 bytes apart, that show where packets begin.
+SYNCS = 4
 
 
 @lru_cache(maxsize=1)
@@ -103,36 +107,79 @@ def mux(payload: bytes) -> bytes:
     return b"".join(out)
 
 
-def aligned(stream: bytes) -> np.ndarray:
-    """Packets as rows, from the first sync byte that the next packet repeats; a torn tail is left out."""
-    data = np.frombuffer(stream, np.uint8)
-    for at in np.flatnonzero(data[:PACKET] == SYNC).tolist():
-        rows = data[at : at + (len(data) - at) // PACKET * PACKET].reshape(-1, PACKET)
-        if len(rows) and (rows[:2, 0] == SYNC).all():
-            return rows[rows[:, 0] == SYNC]
-    return np.zeros((0, PACKET), np.uint8)
+def sync_at(data: np.ndarray, at: int) -> int:
+    """The first offset from ``at`` on where packets begin; the end if there is none."""
+    found = np.flatnonzero(data[at:] == SYNC) + at
+    found = found[found + PACKET <= len(data)]
+    for k in range(1, SYNCS):
+        later = found + k * PACKET
+        found = found[(later >= len(data)) | (data[np.minimum(later, len(data) - 1)] == SYNC)]
+    return int(found[0]) if len(found) else len(data)
 
 
-def section(rows: np.ndarray, table_id: int) -> bytes | None:
-    """The body of the first whole section with this table id and a right check sum."""
+def aligned(stream: bytes) -> tuple[np.ndarray, int]:
+    """Packets as rows, and the bytes that belong to none."""
+    data = np.frombuffer(stream, np.uint8)
+    parts, at, used = [], 0, 0
+    while (at := sync_at(data, at)) < len(data):
+        rows = data[at : at + (len(data) - at) // PACKET * PACKET].reshape(-1, PACKET)
+        # a packet is whole if the next one, or nothing, follows where it ends
+        next_sync = np.append(rows[1:, 0] == SYNC, at + rows.size == len(data) or data[min(at + rows.size, len(data) - 1)] == SYNC)
+        torn = np.flatnonzero(~next_sync)
+        rows = rows[: torn[0]] if len(torn) else rows
+        parts.append(rows)
+        used += rows.size
+        at += rows.size + 1 if len(torn) else rows.size
+        if not len(torn):
+            break
+    return np.concatenate(parts) if parts else np.zeros((0, PACKET), np.uint8), len(data) - used
+
+
+def sections(rows: np.ndarray):
+    """The table sections that one packet id's packets carry, however many packets each takes, if their check sums are right."""
+    buffer = None
     for row in rows:
-        if row[1] & 0x40 and row[3] & 0x10:
-            data = row.tobytes()[5 + (row[4] + 1 if row[3] & 0x20 else 0) :]
-            data = data[int(row[4]) if not row[3] & 0x20 else 0 :]
-            end = 3 + ((data[1] & 15) << 8 | data[2])
-            if data[0] == table_id and end <= len(data) and crc32_mpeg(data[:end]) == 0:
-                return data[8 : end - 4]
-    return None
+        if not row[3] & 0x10:
+            continue
+        data = row[5 + int(row[4]) if row[3] & 0x20 else 4 :].tobytes()
+        starts = bool(row[1] & 0x40) and len(data) > 0
+        if starts:
+            before, data = data[1 : 1 + data[0]], data[1 + data[0] :]
+            if buffer is not None:
+                buffer += before
+        elif buffer is not None:
+            buffer += data
+        for stage in (0, 1):
+            while buffer and buffer[0] != 0xFF and len(buffer) >= 3 and len(buffer) >= (end := 3 + ((buffer[1] & 15) << 8 | buffer[2])):
+                if crc32_mpeg(buffer[:end]) == 0:
+                    yield buffer[:end]
+                buffer = buffer[end:]
+            if not starts or stage:
+                break
+            buffer = data
+
+
+def table_body(rows: np.ndarray, table_id: int) -> bytes:
+    """The bodies of a table's sections, in order, of the first version that is complete."""
+    parts: dict[tuple[int, int], bytes] = {}
+    for section in sections(rows):
+        if section[0] == table_id and len(section) >= 12:
+            version, number, last = section[5], section[6], section[7]
+            parts[version, number] = section[8:-4]
+            if all((version, k) in parts for k in range(last + 1)):
+                first = [parts[version, k] for k in range(last + 1)]
+                return first[0] + b"".join(x[4 + ((x[2] & 15) << 8 | x[3]) :] if table_id == 0x02 and len(x) > 3 else x for x in first[1:])
+    return b""
 
 
 def programmes(rows: np.ndarray, pids: np.ndarray) -> dict[int, int]:
     """Elementary streams of all programs: packet id to stream type."""
     found: dict[int, int] = {}
-    association = section(rows[pids == 0], 0x00) or b""
+    association = table_body(rows[pids == 0], 0x00)
     for k in range(0, len(association) - 3, 4):
         if association[k : k + 2] == b"\0\0":
             continue
-        body = section(rows[pids == ((association[k + 2] & 31) << 8 | association[k + 3])], 0x02) or b""
+        body = table_body(rows[pids == ((association[k + 2] & 31) << 8 | association[k + 3])], 0x02)
         at = 4 + ((body[2] & 15) << 8 | body[3]) if len(body) > 3 else 0
         while at + 5 <= len(body) and at:
             found[(body[at + 1] & 31) << 8 | body[at + 2]] = body[at]
@@ -140,21 +187,30 @@ def programmes(rows: np.ndarray, pids: np.ndarray) -> dict[int, int]:
     return found
 
 
-def demux(stream: bytes | None) -> tuple[bytes, int, int, list[int], list[int]]:
-    """Payload, packets, continuity errors, time stamps, and the payload offsets of random-access points."""
-    rows = aligned(stream or b"")
+def demux(stream: bytes | None) -> tuple[bytes, int, int, int, list[int], list[int]]:
+    """Payload, packets, continuity errors, lost bytes, time stamps, and the payload offsets of random-access points."""
+    rows, lost = aligned(stream or b"")
+    bad = (rows[:, 1] & 0x80) > 0
+    errors, payload, stamps, access, size = int(bad.sum()), [], [], [], 0
+    n_packets, rows = len(rows), rows[~bad]
     pids = (rows[:, 1].astype(np.int32) & 31) << 8 | rows[:, 2]
-    errors, payload, stamps, access, size = 0, [], [], [], 0
     for pid in programmes(rows, pids):
         own = rows[pids == pid]
         own = own[(own[:, 3] & 0x10) > 0]
         if not len(own):
             continue
-        counter = own[:, 3] & 15
-        step = np.diff(counter.astype(np.int16)) & 15
-        repeat = np.append(False, step == 0)
-        errors += int((step != 1).sum())
+        step = np.diff((own[:, 3] & 15).astype(np.int16)) & 15
+        repeat = np.append(False, (step == 0) & (own[1:] == own[:-1]).all(axis=1))
+        repeat[1:] &= ~repeat[:-1]  # once is legal, twice is not
         own = own[~repeat]
+        step = np.diff((own[:, 3] & 15).astype(np.int16)) & 15
+        marked = ((own[:, 3] & 0x20) > 0) & (own[:, 4] > 0) & ((own[:, 5] & 0x80) > 0)  # the sender says that the counter starts anew
+        errors += int(((step != 1) & ~marked[1:]).sum())
+        scrambled = (own[:, 3] & 0xC0) > 0
+        errors += int(scrambled.sum())
+        own = own[~scrambled]
+        if not len(own):
+            continue
         adapted = (own[:, 3] & 0x20) > 0
         skip = np.where(adapted, 5 + own[:, 4].astype(np.int32), 4)
         flags = np.where(adapted & (own[:, 4] > 0), own[:, 5], 0)
@@ -182,7 +238,7 @@ def demux(stream: bytes | None) -> tuple[bytes, int, int, list[int], list[int]]:
             unit = pes[9 + pes[8] : 6 + length if length else None]
             payload.append(unit)
             size += len(unit)
-    return b"".join(payload), len(rows), errors, stamps, access
+    return b"".join(payload), n_packets, errors, lost, stamps, access
 
 
 def to_transport_stream(df: DataFrame, payload_col: str, media_col: str = "media", keep: list[str] | None = None) -> DataFrame:
@@ -192,12 +248,12 @@ def to_transport_stream(df: DataFrame, payload_col: str, media_col: str = "media
 
 
 def parse(df: DataFrame, media_col: str = "media", keep: list[str] | None = None) -> DataFrame:
-    """df with payload, n_packets, continuity_errors, pts (90 kHz) and random_access (payload offsets)."""
+    """df with payload, n_packets, continuity_errors, lost_bytes, pts (90 kHz) and random_access (payload offsets)."""
 
     def make():
         def work(column):
             found = [demux(x) for x in column.to_pylist()]
-            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             return [pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)]
 
         return work
@@ -226,6 +282,8 @@ def op4_media_ts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         F.concat_ws(";", F.concat(F.lit("packets="), "n_packets"), F.concat(F.lit("errors="), "continuity_errors"), F.concat(F.lit("pes="), F.size("pts")), F.concat(F.lit("pts="), F.coalesce(F.element_at("pts", 1), F.lit(-1)), F.lit("-"), F.coalesce(F.element_at("pts", -1), F.lit(-1))), F.concat(F.lit("rap="), F.size("random_access"))).alias("feature"),
+        "pts",
+        "random_access",
     )
 
 

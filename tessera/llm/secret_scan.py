@@ -4,12 +4,17 @@ Three base patterns (assignments, access keys, hex runs) give base spans. Beyond
 every value in a credential context (a name such as ``pwd`` or ``auth_token`` with a
 separator, a connection string's password) is segmented at minimum guess cost into
 dictionary words, dates, repeats, sequences, keyboard walks and brute-force characters by
-dynamic programming over its characters. A value that takes at least
+dynamic programming over its characters. Runs count as far as they go, or one or two
+characters (one block, for repeats) less, so the work is in proportion to the value's
+length, however long it is. The dictionary is a short list of common passwords and
+placeholders, followed by the corpus's most frequent words in order (``common_words``
+counts them over all documents; what it collects is bounded by ``size``). A value that takes at least
 ``10 ** min_log_guesses`` guesses is a secret, also one of letters alone; placeholders such
 as ``changeme2024`` aren't. A value in which another context starts is judged, and so is
 that context's value, so guess spans may lie inside each other.
 
-One pass over all whole texts without a shuffle; offsets are code points, ends exclusive.
+Scanning is one pass over all whole texts without a shuffle; offsets are code points, ends
+exclusive.
 
 Defined cases: null and empty texts have no spans; repeated rows get the same spans;
 input columns whose names the results take are replaced; empty tables give no rows.
@@ -19,9 +24,7 @@ from __future__ import annotations
 
 import math
 import re
-from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,14 +68,28 @@ def neighbours() -> dict[str, set[str]]:
 
 
 BESIDE = neighbours()
+#: Frequent words that the dictionary takes from the corpus.
+DICTIONARY_SIZE = 20_000
 
 
-@lru_cache(maxsize=4)
-def word_costs(words: tuple[str, ...]) -> tuple[dict[str, float], int]:
-    costs: dict[str, float] = {}
-    for rank, word in enumerate(words, 1):
-        costs.setdefault(word, math.log10(rank + 1))
-    return costs, max(map(len, words), default=0)
+class Words:
+    """A dictionary: words to log10 of their rank."""
+
+    def __init__(self, words: list[str]):
+        self.costs: dict[str, float] = {}
+        for rank, word in enumerate([*COMMON, *words], 1):
+            self.costs.setdefault(word, math.log10(rank + 1))
+        self.longest = max(map(len, self.costs))
+
+
+DEFAULT = Words([])
+
+
+def common_words(docs: DataFrame, size: int = DICTIONARY_SIZE, text_col: str = "text") -> Words:
+    """The dictionary with the ``size`` most frequent words (3 to 24 letters a-z) of all texts."""
+    letters = F.explode(F.split(F.lower(text_col), "[^a-z]+")).alias("word")
+    counted = docs.select(letters).where("length(word) BETWEEN 3 AND 24").groupBy("word").agg(F.count("*").alias("n"))
+    return Words([r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()])
 
 
 def runs(value: str, same) -> list[int]:
@@ -84,17 +101,16 @@ def runs(value: str, same) -> list[int]:
     return out
 
 
-def suffix_costs(value: str, dictionary: tuple[str, ...] = tuple(COMMON)) -> list[float]:
+def suffix_costs(value: str, words: Words) -> list[float]:
     """For each position, log10 of the guesses for the cheapest segmentation of value from there on; 0 at its end."""
-    n, low = len(value), "".join(c if len(x := c.lower()) > 1 else x for c in value)
-    costs, longest = word_costs(dictionary)
+    n, low = len(value), "".join(x if len(x := c.lower()) == 1 else c for c in value)
+    costs, longest = words.costs, words.longest
     plain = low.translate(LEET)
     up = runs(low, lambda a, b: ord(b) - ord(a) == 1 and (a + b).isalnum())
     down = runs(low, lambda a, b: ord(a) - ord(b) == 1 and (a + b).isalnum())
     walk = runs(low, lambda a, b: b in BESIDE.get(a, ()))
-    again = [[0] * (n + 1) for _ in range(9)]  # by block size: how far the text from here on equals that one block further
-    logs = np.log10(np.maximum(np.arange(n + 2), 1))
-    best = np.zeros(n + 1)
+    again = [0] * 9  # by block size: how far the text from here on equals that one block further
+    best = [0.0] * (n + 1)
     for i in range(n - 1, -1, -1):
         least = 1.0 + best[i + 1]  # one brute-force character: ten guesses
         for j in range(i + 2, min(n, i + longest) + 1):
@@ -105,25 +121,27 @@ def suffix_costs(value: str, dictionary: tuple[str, ...] = tuple(COMMON)) -> lis
             if cost is not None:
                 least = min(least, best[j] + cost + (0 if value[i:j] == word else math.log10(2)) + 0.3)
         for length, base in ((up[i], 26), (down[i], 52), (walk[i], 47 * 4)):
-            if length >= 3:
-                least = min(least, (best[i + 3 : i + length + 1] + logs[3 : length + 1]).min() + math.log10(base))
+            for size in range(max(3, length - 2), length + 1):
+                least = min(least, best[i + size] + math.log10(base * size))
         for size in range(1, 9):
             if i + size < n and low[i] == low[i + size]:
-                again[size][i] = again[size][i + 1] + 1
-                first, times = 3 if size == 1 else 2, again[size][i] // size + 1
-                if times >= first:
-                    least = min(least, (best[i + first * size : i + times * size + 1 : size] + logs[first : times + 1]).min() + size)
+                again[size] += 1
+                times = again[size] // size + 1
+                for t in range(max(3 if size == 1 else 2, times - 1), times + 1):
+                    least = min(least, best[i + t * size] + size + math.log10(t))
+            else:
+                again[size] = 0
         if low[i].isdigit():
             for pattern, guesses in ((DATE, 365 * 120), (YEAR, 120)):
                 if m := pattern.match(low, i):
                     least = min(least, best[m.end()] + math.log10(guesses))
         best[i] = least
-    return best.tolist()
+    return best
 
 
-def log_guesses(value: str, dictionary: tuple[str, ...] = tuple(COMMON)) -> float:
+def log_guesses(value: str, words: Words | None = None) -> float:
     """log10 of the guesses for the cheapest segmentation of value; 0 for an empty one."""
-    return suffix_costs(value, dictionary)[0]
+    return suffix_costs(value, words or DEFAULT)[0]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -137,7 +155,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found + [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
 
 
-def guess_spans(text: str, min_log_guesses: float) -> list[tuple[int, int, int]]:
+def guess_spans(text: str, min_log_guesses: float, words: Words = DEFAULT) -> list[tuple[int, int, int]]:
     """(start, kind, end) of credential values that take at least 10 ** min_log_guesses guesses."""
     low = text.lower()
     if not any(w in low for w in CONTEXT_NAMES):
@@ -159,41 +177,43 @@ def guess_spans(text: str, min_log_guesses: float) -> list[tuple[int, int, int]]
         if end - start < LEAST or last - start < min_log_guesses:  # no character takes more than ten guesses
             continue
         if costs is None:
-            begin, costs = start, suffix_costs(text[start:last])
+            begin, costs = start, suffix_costs(text[start:last], words)
         if costs[start - begin] >= min_log_guesses:
             found.add((start, 3, last))
     for m in URL_PASSWORD.finditer(text):
-        if log_guesses(m[1]) >= min_log_guesses:
+        if log_guesses(m[1], words) >= min_log_guesses:
             found.add((m.start(1), 3, m.end(1)))
     return sorted(found)
 
 
-def find_spans(text: str | None, min_log_guesses: float = 10.0) -> list[tuple[int, int, int]]:
-    return sorted(base_spans(text) + guess_spans(text, min_log_guesses)) if text else []
+def find_spans(text: str | None, min_log_guesses: float = 10.0, words: Words = DEFAULT) -> list[tuple[int, int, int]]:
+    return sorted(base_spans(text) + guess_spans(text, min_log_guesses, words)) if text else []
 
 
-def scan(docs: DataFrame, min_log_guesses: float = 10.0, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def scan(docs: DataFrame, min_log_guesses: float = 10.0, text_col: str = "text", keep: list[str] | None = None, words: Words = DEFAULT) -> DataFrame:
     """Docs with secrets: array of (kind, start, end), by start, then kind as in KINDS."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def make():
         def work(column):
-            return [pa.array([[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in find_spans(t, min_log_guesses)] for t in column.to_pylist()], kind)]
+            return [pa.array([[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in find_spans(t, min_log_guesses, shared.value)] for t in column.to_pylist()], kind)]
 
         return work
 
     return map_text(docs, "secrets array<struct<kind:string,start:int,end:int>>", make, text_col, keep)
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]", min_log_guesses: float = 10.0) -> DataFrame:
+def redact(docs: DataFrame, mark: str = "[SECRET]", min_log_guesses: float = 10.0, words: Words = DEFAULT) -> DataFrame:
     """Docs with every secret in text replaced by mark, and n_chars (if there) set anew; all rows stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def make():
         def work(column):
             texts = []
             for text in column.to_pylist():
                 out, at = [], 0
-                for start, _, end in find_spans(text, min_log_guesses):
+                for start, _, end in find_spans(text, min_log_guesses, shared.value):
                     if start >= at:
                         out += [text[at:start], mark]
                     at = max(at, end)
@@ -209,7 +229,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", min_log_guesses: float = 10.
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    docs = table(spark, sf_dir, "documents")
+    found = scan(docs, keep=["doc_id"], words=common_words(docs))
     listed = "array_join(transform({}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
     count = "cast(size(filter(secrets, s -> s.kind = '{}')) as long)"
     return found.select(

@@ -6,16 +6,23 @@ targets sum up is found by running sums over the sources in order of their limit
 source's complete epochs come first: every document that many times. The rest is filled
 with documents in order of exponential keys ``-ln(u) / quality``, prefix-summed to the
 budget; ``u`` is a hash of the document's id, so reruns agree, and the document at the
-edge gives the words that are left.
+edge gives the words that are left. Documents of one key stand in order of id, then of
+their text's hash.
 
-No source is sorted in one task. Keys fall into about the square root of all documents
-bins; sizes are summed by source and bin before the shuffle, the running sum over bins
+No source is sorted in one task. A key's bin is its logarithm in steps of one over the
+square root of the number of documents: whatever the qualities, an exponential key's
+logarithm has a density of at most 1/e, so no bin holds more than about 0.37 times that
+root of documents. Sizes are summed by source and bin before the shuffle, the running sum over bins
 finds the bin at the budget's edge, and only that bin's documents are sorted. Documents
 meet their source's figures in a join that salts the source, so that a source with a
 third of all rows is dealt over all tasks.
 
+The targets' windows see one row a source. Weights are a cycle given to the sources in
+order, so none is missing.
+
 Defined cases: null texts have no words and quality 1; a null source is one source, last
-in order; equal rows share a key; a source without words has target 0; empty tables give
+in order; null ids share one ``u``; rows that share an id and a text are interchangeable;
+extra columns aren't read; a source without words has target 0; empty tables give
 no rows.
 """
 
@@ -64,10 +71,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
         (-F.log(u) / quality(text)).alias("key"),
+        F.md5(F.coalesce(text, F.lit(""))).alias("text_hash"),
     )
     base = materialise(base, "mix-documents")
     bins = max(1, math.isqrt(base.count()))
-    base = base.withColumn("bin", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * bins))
+    base = base.withColumn("bin", F.floor(F.log("key") * bins))
     binned = materialise(base.groupBy("source", "bin").agg(F.sum("size").alias("in_bin")), "mix-bins")
     goals = targets(binned.groupBy("source").agg(F.sum("in_bin").alias("source_size")), weights, share, max_epochs)
     goals = goals.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
@@ -75,15 +83,15 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int
     upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     edges = binned.withColumn("before", F.coalesce(F.sum("in_bin").over(upto), F.lit(0))).alias("b")
     goals = goals.alias("g").join(edges, F.col("g.source").eqNullSafe(F.col("b.source")) & (F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("in_bin")), "left")
-    goals = goals.select("g.*", F.coalesce("b.bin", F.lit(-1)).alias("edge"), F.coalesce("before", F.lit(0)).alias("before"))
+    goals = goals.select("g.*", F.coalesce("b.bin", F.lit(-(1 << 62))).alias("edge"), F.coalesce("before", F.lit(0)).alias("before"))
     goals = materialise(goals, "mix-goals")
 
     salted = goals.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("g")
-    dealt = base.withColumn("salt", F.pmod(F.xxhash64("doc_id", "key"), F.lit(SALTS)).cast("int")).alias("d")
+    dealt = base.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)).cast("int")).alias("d")
     joined = dealt.join(salted, (F.col("d.salt") == F.col("g.salt")) & F.col("d.source").eqNullSafe(F.col("g.source")))
-    joined = joined.select("d.doc_id", "d.source", "d.size", "d.key", "d.bin", "source_size", "target", "epochs", "rest", "edge", "before")
+    joined = joined.select("d.doc_id", "d.source", "d.size", "d.key", "d.text_hash", "d.bin", "source_size", "target", "epochs", "rest", "edge", "before")
     whole = joined.where(F.col("bin") != F.col("edge")).withColumn("part", F.when(F.col("bin") < F.col("edge"), F.col("size")).otherwise(F.lit(0)))
-    within = Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source").orderBy("key", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     room = F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(within), F.lit(0))
     at_edge = joined.where(F.col("bin") == F.col("edge")).withColumn("part", F.greatest(F.lit(0), F.least("size", room)))
     both = whole.unionByName(at_edge)
@@ -96,7 +104,7 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-  greatest(0.05::DOUBLE, 1.0::DOUBLE - 4.0::DOUBLE * (length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#$%&*!|', ''))) / greatest(length(coalesce(text, '')), 1)) AS q,
+  greatest(0.05::DOUBLE, 1.0::DOUBLE - 4.0::DOUBLE * (length(coalesce(text, '')) - length(translate(coalesce(text, ''), '#$%&*!|', ''))) / greatest(length(coalesce(text, '')), 1)) AS q, md5(coalesce(text, '')) AS text_hash,
   (('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [3, 1, 2][1 + (row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3] AS weight FROM s),
@@ -109,7 +117,7 @@ t AS (SELECT source, source_size, least(cap::DOUBLE, (SELECT arg_min(level, pos)
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
 g AS (SELECT *, floor(target - epochs * source_size)::BIGINT AS rest FROM e),
 k AS (SELECT d.doc_id, d.size, g.source_size, g.target, g.epochs, g.rest,
-  coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY -ln(u) / q, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY -ln(u) / q, doc_id NULLS FIRST, text_hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
 SELECT doc_id, size, source_size, target, CAST(epochs * size + greatest(0, least(size, rest - before)) AS BIGINT) AS taken FROM k
 """

@@ -7,9 +7,11 @@ listed, level 3 the listed ones that level 2 takes for those, and so on until no
 left; the first level that rejects a key tells its side. A key's side is so exact for the
 whole universe. One cascade tells listed keys, a second one which of them block.
 
-Building scans the distinct keys once a level and collects only set bits; their number is
-bounded by the listed keys (``max_listed``, checked before; a longer list is refused and
-belongs in a semi join). Judging is a projection of the URL column: no join, no shuffle.
+Building scans the distinct keys once a level and collects only a level's non-zero bytes, as
+Arrow columns. Their number is bounded by the listed keys (``max_listed``, checked before; a
+longer list is refused and belongs in a semi join): a level takes at most 43 bits a key, so 27
+MB at the default, and stands once in the plan. Judging is a projection of the URL column:
+no join, no shuffle.
 
 Defined cases: a null URL or one without ``://`` has empty host and path and no rule;
 repeated rows are judged alike; a URL that no rule fits takes the default verdict; empty
@@ -24,7 +26,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, set_aside, table
 
 # The contract's rules.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -36,17 +38,18 @@ class Level:
     hashes: int
     data: bytes
 
-    def position(self, key: Column, number: int, j: int) -> Column:
-        return F.pmod(F.xxhash64(key, F.lit(number), F.lit(j)), F.lit(self.bits))
+    def positions(self, key: Column, number: int) -> Column:
+        return F.array(*[F.pmod(F.xxhash64(key, F.lit(number), F.lit(j)), F.lit(self.bits)) for j in range(self.hashes)])
 
     def takes(self, key: Column, number: int) -> Column:
         """Whether all of the key's bits are set."""
-        out = F.lit(True)
-        for j in range(self.hashes):
-            at = self.position(key, number, j)
-            byte = F.conv(F.hex(F.substring(F.lit(self.data), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-            out = out & (F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1)
-        return out
+        data = F.lit(self.data)
+
+        def is_set(at: Column) -> Column:
+            byte = F.conv(F.hex(F.substring(data, (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+            return F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1
+
+        return F.forall(self.positions(key, number), is_set)
 
 
 @dataclass
@@ -70,16 +73,21 @@ def sized(n: int, others: int, first: bool) -> tuple[int, int]:
 
 def encode(keys: DataFrame, bits: int, hashes: int, number: int) -> Level:
     level = Level(bits, min(hashes, 24), b"")
-    at = F.explode(F.array(*[level.position(F.col("key"), number, j) for j in range(level.hashes)])).alias("at")
-    rows = keys.select(at).groupBy(F.shiftright("at", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(at & 7 as int))")).alias("mask")).collect()
-    data = bytearray(bits // 8)
-    for row in rows:
-        data[row["byte"]] = row["mask"]
-    level.data = bytes(data)
+    at = F.explode(level.positions(F.col("key"), number)).alias("at")
+    found = keys.select(at).groupBy(F.shiftright("at", 3).alias("byte")).agg(F.bit_or(F.expr("shiftleft(1, cast(at & 7 as int))")).alias("mask")).toArrow()
+    level.data = filled(bits // 8, found["byte"].to_pylist(), found["mask"].to_pylist())
     return level
 
 
-def build(universe: DataFrame, listed: DataFrame, max_listed: int = 50_000_000, max_levels: int = 64) -> BloomCascade:
+def filled(size: int, at: list[int], values: list[int]) -> bytes:
+    """``size`` bytes with values at some places, else 0."""
+    data = bytearray(size)
+    for k, value in zip(at, values, strict=True):
+        data[k] = value
+    return bytes(data)
+
+
+def build(universe: DataFrame, listed: DataFrame, max_listed: int = 5_000_000, max_levels: int = 64) -> BloomCascade:
     """Cascade that tells which keys of ``universe`` are in ``listed`` (one string column ``key`` each)."""
     tagged = universe.select("key", F.lit(0).alias("side")).unionByName(listed.select("key", F.lit(2).alias("side")))
     tagged = tagged.groupBy("key").agg(F.max("side").alias("top"), F.min("side").alias("low")).where("low = 0")
@@ -125,14 +133,15 @@ def candidates(rules) -> Column:
 def judge(df: DataFrame, rules=RULES, url_col: str = "url", default: str = "allow") -> DataFrame:
     """df with host, path, rule (the longest that fits, else null) and verdict."""
     spark = df.sparkSession
-    split = split_url(df, url_col).withColumn("__keys", candidates(rules))
+    own, back = set_aside(df, ["__keys"])
+    split = split_url(own, url_col).withColumn("__keys", candidates(rules))
     universe = split.select(F.explode("__keys").alias("key")).distinct()
     listed = spark.createDataFrame([(h + p, v) for v, h, p in rules], "key string, verdict string")
     rule_cascade = build(universe, listed)
     block_cascade = build(listed.select("key"), listed.where("verdict = 'block'"))
     found = split.withColumn("rule", F.get(F.filter("__keys", rule_cascade.contains), F.lit(0)))
     verdict = F.when(F.col("rule").isNull(), F.lit(default)).when(block_cascade.contains(F.col("rule")), F.lit("block")).otherwise(F.lit("allow"))
-    return found.withColumn("verdict", verdict).drop("__keys")
+    return found.withColumn("verdict", verdict).drop("__keys").withColumnsRenamed(back)
 
 
 def op6_url_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -218,8 +219,8 @@ def test_transport_stream_round_trip():
         payload = rnd.randbytes(n)
         stream = media_ts.mux(payload)
         back = media_ts.demux(stream)
-        assert back[0] == payload and back[2] == 0 and len(stream) % 188 == 0 and len(back[3]) == len(back[4]) == -(-n // 16_384)
-        assert back[3] == [90_000 + 3600 * k for k in range(len(back[3]))]
+        assert back[0] == payload and back[2] == back[3] == 0 and len(stream) % 188 == 0 and len(back[4]) == len(back[5]) == -(-n // 16_384)
+        assert back[4] == [90_000 + 3600 * k for k in range(len(back[4]))]
 
 
 def test_transport_stream_faults():
@@ -231,6 +232,58 @@ def test_transport_stream_faults():
     assert media_ts.crc32_mpeg(b"123456789") == 0x0376E6E7
 
 
+def test_transport_stream_finds_packets_again():
+    payload = bytes(random.Random(4).randbytes(51_200))
+    stream = media_ts.mux(payload)
+    at = 188 * 40 + 60
+    lost = media_ts.demux(stream[:at] + stream[at + 10 :])  # ten bytes missing inside one packet
+    assert len(payload) - 200 < len(lost[0]) < len(payload) and lost[2] >= 1 and lost[3] == 178
+    more = media_ts.demux(stream[:at] + b"\0" * 300 + stream[at:])
+    assert len(more[0]) > len(payload) - 200 and more[2] >= 1 and more[3] == 488
+    k = 188 * 40
+    assert media_ts.demux(stream[:k] + stream[k : k + 188] + stream[k:])[::2] == (payload, 0, [90_000 + 3600 * i for i in range(4)])  # sent twice
+    broken = bytearray(stream)
+    broken[k + 1] |= 0x80
+    assert media_ts.demux(bytes(broken))[2] == 2 and len(media_ts.demux(bytes(broken))[0]) == len(payload) - 184
+
+
+def test_transport_stream_written_by_hand():
+    """Tables over several packets after an adaptation field and a pointer, two streams, PES with and without time stamps."""
+
+    def packets(pid, data, counter, lead=b""):
+        out, first = b"", True
+        while data or first:
+            field = (b"\x03\x00\xff\xff" if first and lead else b"")
+            room = 184 - len(field)
+            body, data = data[:room], data[room:]
+            if len(body) < room:
+                gap = room - len(body)
+                field = bytes([len(field) + gap - 1]) + (b"\x00" + b"\xff" * (len(field) + gap - 2) if len(field) + gap > 1 else b"")
+            out += bytes([0x47, (0x40 if first else 0) | pid >> 8, pid & 255, (0x30 if field else 0x10) | counter & 15]) + field + body
+            counter, first = counter + 1, False
+        return out, counter
+
+    def crc(data):
+        c = 0xFFFFFFFF
+        for byte in data:
+            for k in range(7, -1, -1):
+                c = (c << 1 ^ (0x04C11DB7 if (c >> 31) ^ (byte >> k & 1) else 0)) & 0xFFFFFFFF
+        return data + c.to_bytes(4, "big")
+
+    pat = crc(bytes([0, 0xB0, 17, 0, 1, 0xC1, 0, 0, 0, 0, 0xE0, 0x10, 0, 1, 0xE0, 0x20]))
+    many = b"".join(bytes([0x06, 0xE1, k, 0xF0, 0]) for k in range(60))
+    pmt = crc(bytes([2, 0xB0 | (13 + len(many)) >> 8, (13 + len(many)) & 255, 0, 1, 0xC1, 0, 0, 0xE1, 0, 0xF0, 0]) + many)
+    stream, _ = packets(0, b"\x00" + pat, 0)
+    part, _ = packets(0x20, b"\x03abc" + pmt, 0, b"x")
+    stream += part
+    timed = bytes([0, 0, 1, 0xBD, 0, 13, 0x80, 0x80, 5, 0x21, 0, 1, 0, 3]) + b"hello"  # time stamp 1
+    plain = bytes([0, 0, 1, 0xBD, 0, 8, 0x80, 0, 0]) + b"world"
+    for pid, unit in ((0x105, timed), (0x100, plain)):
+        part, _ = packets(pid, unit, 7)
+        stream += part
+    assert media_ts.demux(stream) == (b"worldhello", 5, 0, 0, [1], [])
+
+
 def test_media_query_columns(spark, tmp_path):
     documents(spark, ODD).write.parquet(str(tmp_path / "documents.parquet"))
     for r in media_ts.op4_media_ts(spark, str(tmp_path)).collect():
@@ -295,6 +348,11 @@ def test_url_rules_equal_sql(spark):
     got = [tuple(r) for r in url_cascade.judge(pages).select("page_id", "host", "path", "rule", "verdict").collect()]
     assert sorted(got, key=str) == sorted(duck(url_cascade.SQL, pages=pages), key=str)
     assert url_cascade.judge(pages.limit(0)).count() == 0
+    clash = url_cascade.judge(pages.selectExpr("*", "1 AS host", "2 AS rule", "3 AS __keys", "4 AS verdict"))
+    assert {r["__keys"] for r in clash.collect()} == {3} and clash.where("verdict = 'block'").count() > 0
+    keys = spark.createDataFrame([("a",), ("b",)], "key string")
+    with pytest.raises(ValueError, match="max_listed"):
+        url_cascade.build(keys, keys, max_listed=1)
 
 
 # ------------------------------------------------------------------ 7 mixing
@@ -319,6 +377,17 @@ def test_mix_equals_sql_and_meets_targets(spark):
     assert source_mix.mix(docs.limit(0)).count() == 0
 
 
+def test_mix_agrees_on_reruns_and_deals_noisy_sources(spark):
+    texts = ["word " * 5, "word " * 9, "word " * 2]
+    docs = spark.createDataFrame([(7, t, "en", "a", 0) for t in texts] + [(None, "x y", "en", "a", 0)] * 2, DOCS).withColumn("key", source_mix.F.lit(1)).withColumn("bin", source_mix.F.lit(2))
+    runs = [sorted(map(tuple, source_mix.mix(docs.repartition(n)).collect()), key=str) for n in (1, 2, 5)]
+    assert runs[0] == runs[1] == runs[2]
+    assert [(r[0], r[1], r[4]) for r in runs[0]] == sorted([(w[0], w[1], w[4]) for w in duck(source_mix.SQL, documents=docs)], key=str)
+    noisy = spark.range(4000).selectExpr("id AS doc_id", "'#$% #$%' AS text", "'s' AS source")
+    bins = noisy.select((-source_mix.F.log((source_mix.F.rand(1) + 1e-9)) / source_mix.quality(noisy.text)).alias("key")).selectExpr("floor(ln(key) * 63) AS bin").groupBy("bin").count()
+    assert bins.agg({"count": "max"}).first()[0] < 0.6 * 4000 / 63 + 30
+
+
 # ------------------------------------------------------------------ 8 secrets
 
 
@@ -342,6 +411,58 @@ def test_guess_costs_rank_values():
     assert math.isfinite(cost("z" * 5000))
 
 
+def test_guess_cost_equals_all_segmentations():
+    rnd = random.Random(13)
+    words = secret_scan.Words(["river", "stone"])
+    keys = {c: (x + 0.5 * y, y) for y, row in enumerate(("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")) for x, c in enumerate(row)}
+    beside = lambda a, b: a in keys and b in keys and a != b and abs(keys[a][1] - keys[b][1]) <= 1 and abs(keys[a][0] - keys[b][0]) < 1.1
+    leet = str.maketrans("013457@$!", "oieastasi")
+
+    def part(v, i, j):
+        """The least log10 cost of v[i:j] as one piece."""
+        w, low = v[i:j], "".join(c if len(c.lower()) > 1 else c.lower() for c in v)
+        x, found = low[i:j], []
+        if j - i == 1:
+            found.append(1.0)
+        elif x in words.costs:
+            found.append(words.costs[x] + 0.3 + (x != w) * math.log10(2))
+        elif x.translate(leet) in words.costs:
+            found.append(words.costs[x.translate(leet)] + math.log10(4) + 0.3 + (x != w) * math.log10(2))
+        for same, base in ((lambda a, b: ord(b) - ord(a) == 1 and (a + b).isalnum(), 26), (lambda a, b: ord(a) - ord(b) == 1 and (a + b).isalnum(), 52), (beside, 188)):
+            end = i + 1
+            while end < len(low) and same(low[end - 1], low[end]):
+                end += 1
+            if max(i + 3, end - 2) <= j <= end:
+                found.append(math.log10(base * (j - i)))
+        for size in range(1, 9):
+            times = 1
+            while low[i + times * size : i + (times + 1) * size] == low[i : i + size] and len(low[i : i + size]) == size:
+                times += 1
+            if any(j == i + t * size for t in (times, times - 1) if t >= (3 if size == 1 else 2)):
+                found.append(size + math.log10((j - i) // size))
+        if re.fullmatch(secret_scan.DATE.pattern, x):
+            found.append(math.log10(365 * 120))
+        if re.fullmatch(r"(?:19|20)\d\d", x):
+            found.append(math.log10(120))
+        return min(found, default=math.inf)
+
+    def all_ways(v):
+        if len(v) <= 1:
+            return part(v, 0, 1) if v else 0.0
+        return min(sum(part(v, a, b) for a, b in zip((0, *cut), (*cut, len(v)), strict=True)) for n in range(len(v)) for cut in itertools.combinations(range(1, len(v)), n))
+
+    pieces = ["pass", "river", "St0ne", "aaaa", "abcd", "9876", "qwer", "ab", "ab", "2024", "x", "#", "1990", "İ", "Z"]
+    for _ in range(60):
+        value = "".join(rnd.choice(pieces) for _ in range(5))[:11]
+        assert secret_scan.log_guesses(value, words) == pytest.approx(all_ways(value)), value
+
+
+def test_secret_scan_of_odd_letters_and_long_values():
+    assert [s[1] for s in secret_scan.find_spans("password: \u0130x9#qwXtzK!v7$Lm")] == [3]
+    assert secret_scan.find_spans("pwd=" + "qw" * 50_000) == [] and secret_scan.find_spans(None) == []
+    assert secret_scan.find_spans("pwd=" + "z" * 100_000) == [] and len(secret_scan.find_spans("pwd=" + "".join(random.Random(1).choices("xK9#mQ2$vL7pW", k=100_000)))) == 1
+
+
 def test_guess_spans_equal_every_position():
     rnd = random.Random(11)
     hard, soft = "xK9#mQ2$vL7pW", "changeme2024"

@@ -92,12 +92,16 @@ def evidence(text: Column, most: int = 240) -> Column:
     return F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most - 3), F.lit("..."))).otherwise(flat)
 
 
-def repetition(text: Column) -> Column:
-    """Share of repeated non-empty lines (first 120 characters, trimmed); of repeated 8-grams, every fourth of the first 4000 characters, below eight lines; 0 below 200 characters."""
+def repetition(text: Column, chars: int | None = None, line_chars: int | None = None) -> Column:
+    """Share of repeated non-empty trimmed lines; below eight lines, of repeated 8-grams, every fourth; 0 below 200 characters.
+
+    ``chars`` and ``line_chars`` (4000 and 120 in an interactive search) bound the text
+    read for 8-grams and what counts of a line; by default all of both does.
+    """
     full = F.filter(F.transform(lines(text), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
-    keys = F.transform(full, lambda x: F.substring(x, 1, 120))
+    keys = full if line_chars is None else F.transform(full, lambda x: F.substring(x, 1, line_chars))
     by_line = (F.size(keys) - F.size(F.array_distinct(keys))) / F.size(keys)
-    last = F.least(F.length(text), F.lit(4000)) - 7
+    last = (F.length(text) if chars is None else F.least(F.length(text), F.lit(chars))) - 7
     grams = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1)), F.lit(4)), lambda i: F.substring(text, i, F.lit(8)))
     by_gram = (F.size(grams) - F.size(F.array_distinct(grams))) / F.size(grams)
     return F.when(F.length(text) < 200, F.lit(0.0)).when(F.size(full) < 8, by_gram).otherwise(by_line)
@@ -107,19 +111,41 @@ def generated_path(path: Column) -> Column:
     return path.rlike(GENERATED_PATH) | path.rlike(GENERATED_NAME)
 
 
+# Folders and names of tests, of places where requests enter, and outside services.
+TEST_PATH = r"(?i)\.(test|spec)\.|/__tests__/|/tests?/"
+TEST_FILE = r"(?i)\.(test|spec)\.|/__tests__/|/tests?/|Test\.php$"
+ENTRY_FOLDERS = ("controller", "controllers", "route", "routes", "http", "handler", "handlers", "api")
+ENTRY_FILES = ("main", "index", "app", "server")
+ENTRY_ENDINGS = ("ts", "js", "php")
+ENTRY_NAMES = ("Controller", "Handler", "Route")
+SERVICES = ("stripe", "twilio", "sendgrid", "openai", "anthropic", "aws-sdk", "paypal", "braintree", "sentry", "segment")
+
+
 def test_path(path: Column) -> Column:
-    return path.rlike(r"(?i)\.(test|spec)\.") | path.rlike(r"(?i)/__tests__/") | path.rlike(r"(?i)/tests?/")
+    return path.rlike(TEST_PATH)
 
 
 def entry_point(path: Column, name: Column | None = None) -> Column:
-    by_path = path.rlike(r"(?i)/(controllers?|routes?|http|handlers?|api)/") | path.rlike(r"(?i)/(main|index|app|server)\.(ts|js|php)$")
-    return by_path if name is None else by_path | F.coalesce(name.rlike(r"Controller$|Handler$|Route$"), F.lit(False))
+    """Whether a path (below some folder) lies in a folder of entry points or is named as one; or a symbol's name ends like one."""
+    parts = F.split(F.lower(path), "/")
+    folders, file = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), F.element_at(parts, -1)
+    in_folder = F.arrays_overlap(folders, F.array(*map(F.lit, ENTRY_FOLDERS)))
+    as_file = (F.size(parts) > 1) & file.isin(*[f"{f}.{e}" for f in ENTRY_FILES for e in ENTRY_ENDINGS])
+    by_path = in_folder | as_file
+    return by_path if name is None else by_path | F.coalesce(F.greatest(*[F.endswith(name, F.lit(e)) for e in ENTRY_NAMES]), F.lit(False))
+
+
+def is_entry(path: str) -> bool:
+    """The same for one path in a task."""
+    parts = path.lower().split("/")
+    return bool(set(parts[1:-1]) & set(ENTRY_FOLDERS)) or (len(parts) > 1 and parts[-1] in {f"{f}.{e}" for f in ENTRY_FILES for e in ENTRY_ENDINGS})
 
 
 def integration(specifier: Column) -> Column:
     """Whether an imported specifier names an outside service."""
     low = F.lower(specifier)
-    return low.rlike("stripe|twilio|sendgrid|openai|anthropic|aws-sdk|paypal|braintree|sentry|segment") | low.startswith("http://") | low.startswith("https://")
+    named = F.exists(F.array(*map(F.lit, SERVICES)), lambda s: low.contains(s))
+    return named | low.startswith("http://") | low.startswith("https://")
 
 
 def slug(text: Column, most: int = 48) -> Column:

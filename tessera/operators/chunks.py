@@ -9,32 +9,34 @@ from ..functions.text import base_name, chunk_id, extension, lines
 
 WINDOW_LINES, OVERLAP = 80, 12
 # Names of files that steer tools, which weigh most.
-PRIORITY_MEMORY = r"(?i)(^|/)(agents|claude|conventions|architecture|contributing|readme)\.md$|(^|/)\.cursorrules$|(^|/)(docs/)?(adr|decisions)/"
+#: A line that declares a type or a function.
+PHP_BLOCK = r"(?m)^\s*(?:(?:abstract|final|readonly|public|protected|private|static)\s+)*(?:(?:class|interface|trait|enum)\s+\w|function\s+&?\s*\w+\s*\()"
+PRIORITY_MEMORY = ("readme.md", "architecture.md", "decisions.md", "agents.md", "contributing.md", "coding-standards.md", "agile.md", ".cursorrules")
 
 
-def window_chunks(files: DataFrame, size: int = WINDOW_LINES, overlap: int = OVERLAP, path_col: str = "path", text_col: str = "text") -> DataFrame:
-    """(path, start_line, end_line, text): windows of ``size`` lines that overlap; blank windows are left out.
+def window_chunks(files: DataFrame, size: int = WINDOW_LINES, overlap: int = OVERLAP, path_col: str = "path", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(path, start_line, end_line, text, columns ``keep``): windows of ``size`` lines that overlap; blank windows are left out.
 
     A window after the first begins only while lines beyond the previous window's overlap are left.
     """
-    own = files.select(F.col(path_col).alias("path"), lines(F.col(text_col)).alias("l"))
+    own = files.select(F.col(path_col).alias("path"), *keep, lines(F.col(text_col)).alias("l"))
     starts = F.filter(F.sequence(F.lit(0), F.size("l") - 1, F.lit(size - overlap)), lambda s: (s == 0) | (s + overlap < F.size("l")))
-    cut = own.where("size(l) > 0").select("path", "l", F.explode(starts).alias("s"))
+    cut = own.where("size(l) > 0").select("path", *keep, "l", F.explode(starts).alias("s"))
     text = F.trim(F.array_join(F.slice("l", F.col("s") + 1, size), "\n"), F.lit(" \t\n\r"))
-    rows = cut.select("path", (F.col("s") + 1).alias("start_line"), F.least(F.col("s") + size, F.size("l")).alias("end_line"), text.alias("text"))
+    rows = cut.select("path", (F.col("s") + 1).alias("start_line"), F.least(F.col("s") + size, F.size("l")).alias("end_line"), text.alias("text"), *keep)
     return rows.where("text <> ''")
 
 
-def section_chunks(files: DataFrame, weight: float = 1.5, path_col: str = "path", text_col: str = "text") -> DataFrame:
-    """(path, section, title, start_line, end_line, text, weight): text cut before headings of level 1 to 3, inside each row by array functions, so no file is shuffled."""
-    own = files.select(F.col(path_col).alias("path"), lines(F.col(text_col)).alias("l"))
+def section_chunks(files: DataFrame, weight: float = 1.5, path_col: str = "path", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(path, section, title, start_line, end_line, text, weight, columns ``keep``): text cut before headings of level 1 to 3, inside each row by array functions, so no file is shuffled."""
+    own = files.select(F.col(path_col).alias("path"), *keep, lines(F.col(text_col)).alias("l"))
     heading = F.filter(F.sequence(F.lit(1), F.size("l")), lambda i: F.element_at(F.col("l"), i).rlike(r"^#{1,3}\s+\S"))
     own = own.where("size(l) > 0").withColumn("h", F.array_distinct(F.concat(F.array(F.lit(1)), heading)))
-    cut = own.select("path", "l", "h", F.posexplode("h").alias("section", "start_line"))
+    cut = own.select("path", *keep, "l", "h", F.posexplode("h").alias("section", "start_line"))
     end = F.coalesce(F.get("h", F.col("section") + 1) - 1, F.size("l"))
     text = F.trim(F.array_join(F.slice("l", F.col("start_line"), end - F.col("start_line") + 1), "\n"), F.lit(" \t\n\r"))
     title = F.regexp_extract(F.element_at("l", F.col("start_line")), r"^#{1,3}\s+(.*?)\s*$", 1)
-    return cut.select("path", "section", title.alias("title"), "start_line", end.alias("end_line"), text.alias("text"), F.lit(weight).alias("weight")).where("text <> ''")
+    return cut.select("path", "section", title.alias("title"), "start_line", end.alias("end_line"), text.alias("text"), F.lit(weight).alias("weight"), *keep).where("text <> ''")
 
 
 def heading_sections(files: DataFrame, path_col: str = "path", text_col: str = "text") -> DataFrame:
@@ -76,14 +78,21 @@ def frontmatter(text: Column) -> Column:
 
 
 def chunk_files(files: DataFrame) -> DataFrame:
-    """(id, path, start_line, end_line, text, kind, weight, file_hash) by file type: sections of Markdown, line windows of the rest."""
+    """(id, path, symbol, start_line, end_line, text, kind, weight, file_hash) by file type: sections of Markdown, types and functions of PHP (windows where it has none), line windows of the rest."""
+    from .extract import php_chunks
+
     keyed = files.select("path", "text", F.sha2("text", 256).alias("file_hash"))
-    is_doc = extension(F.col("path")).isin("md", "mdx", "mdc")
-    priority = F.col("path").rlike(PRIORITY_MEMORY)
-    sections = section_chunks(keyed.where(is_doc)).select("path", "start_line", "end_line", "text", F.lit("memory").alias("kind"), F.when(priority, F.lit(2.0)).otherwise(F.lit(1.4)).alias("weight"))
-    rest = window_chunks(keyed.where(~is_doc)).select("path", "start_line", "end_line", "text", F.lit("config").alias("kind"), F.lit(0.9).alias("weight"))
-    both = sections.unionByName(rest).join(keyed.select("path", "file_hash"), "path")
-    return both.select(chunk_id(F.col("path"), F.col("start_line"), F.col("end_line"), F.lit("")).alias("id"), "*")
+    is_doc, is_php = extension(F.col("path")).isin("md", "mdx", "mdc", "markdown"), F.col("path").endswith(".php")
+    priority = F.lower(base_name(F.col("path"))).isin(*PRIORITY_MEMORY)
+    none = F.lit(None).cast("string").alias("symbol")
+    row = lambda symbol, kind, weight: ("path", symbol, "start_line", "end_line", "text", F.lit(kind).alias("kind"), weight.alias("weight"), "file_hash")
+    sections = section_chunks(keyed.where(is_doc), keep=("file_hash",)).select(*row(none, "memory", F.when(priority, F.lit(2.0)).otherwise(F.lit(1.4))))
+    blocks = php_chunks(keyed, keep=("file_hash",)).select(*row(F.col("symbol"), "source", F.col("weight")))
+    whole = keyed.where(is_php & ~F.coalesce("text", F.lit("")).rlike(PHP_BLOCK))
+    plain = window_chunks(whole, keep=("file_hash",)).select(*row(none, "source", F.lit(1.0)))
+    rest = window_chunks(keyed.where(~is_doc & ~is_php), keep=("file_hash",)).select(*row(none, "config", F.lit(0.9)))
+    both = sections.unionByName(blocks).unionByName(plain).unionByName(rest)
+    return both.select(chunk_id(F.col("path"), F.col("start_line"), F.col("end_line"), F.coalesce("symbol", F.lit(""))).alias("id"), "*")
 
 
 def annotate_with_symbols(chunks: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -1,163 +1,122 @@
-"""Code to symbols and edges by patterns: declarations, imports, routes, class relations, test coverage.
+"""Code to symbols and edges: declarations, imports, routes, class relations, test coverage.
 
-These are heuristics over lines, in Arrow batches of whole files (path, text); edges are
-marked so. Exact resolution needs a compiler, which this engine leaves to its input tables.
+Files (path, text) are read in Arrow batches by the token grammar of functions.code; edges
+are marked by how they were found. Exact resolution needs a compiler, which this engine
+leaves to its input tables. What links files (extensions, routes, namespaces, tests) is
+joins.
 """
 
 from __future__ import annotations
 
-import posixpath
 import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SYMBOLS = "path string, id string, name string, kind string, start_line int, end_line int, exported boolean, container string"
-EDGES = "path string, id string, kind string, specifier string, to_path string, from_symbol string, line int, confidence string, method string"
-
-SCRIPT_DECLARATIONS = (
-    ("class", re.compile(r"^\s*(export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+([A-Za-z_$][\w$]*)")),
-    ("function", re.compile(r"^\s*(export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)")),
-    ("function", re.compile(r"^\s*(export\s+)?(?:const|let)\s+([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*(?::[^=]+)?=>")),
-    ("interface", re.compile(r"^\s*(export\s+)?interface\s+([A-Za-z_$][\w$]*)")),
-    ("type", re.compile(r"^\s*(export\s+)?type\s+([A-Za-z_$][\w$]*)\s*(?:<[^=]*>)?\s*=")),
-    ("enum", re.compile(r"^\s*(export\s+)?(?:const\s+)?enum\s+([A-Za-z_$][\w$]*)")),
-)
-PHP_TYPE = re.compile(r"^\s*(?:(?:abstract|final|readonly)\s+)*(class|interface|trait|enum)\s+(\w+)")
-PHP_FUNCTION = re.compile(r"^\s*(?:(?:public|protected|private|static|abstract|final)\s+)*function\s+&?(\w+)\s*\(")
-PHP_NAMESPACE = re.compile(r"^\s*namespace\s+([\w\\]+)\s*;")
-PHP_PARENTS = re.compile(r"\bextends\s+([\w\\]+)|\bimplements\s+([\w\\,\s]+)")
-SCRIPT_IMPORTS = (
-    ("import", re.compile(r"""^\s*import\s+(?:[^'"]*?\sfrom\s+)?['"]([^'"]+)['"]""")),
-    ("export", re.compile(r"""^\s*export\s+[^'"]*?\sfrom\s+['"]([^'"]+)['"]""")),
-    ("require", re.compile(r"""\brequire\(\s*['"]([^'"]+)['"]\s*\)""")),
-    ("import", re.compile(r"""\bimport\(\s*['"]([^'"]+)['"]\s*\)""")),
-)
-PHP_USE = re.compile(r"^\s*use\s+(?:function\s+|const\s+)?([A-Z][\w\\]*)(?:\s+as\s+\w+)?\s*;")
-PHP_REQUIRE = re.compile(r"""\b(?:require|include)(?:_once)?\s*\(?\s*(?:__DIR__\s*\.\s*)?['"]([^'"]+)['"]""")
-PHP_ROUTE = re.compile(r"""\bRoute::(get|post|put|patch|delete|any)\(\s*['"]([^'"]+)['"]""")
-PHP_SELF_CALL = re.compile(r"\$this->(\w+)\s*\(")
-COMMENT = re.compile(r"^\s*(//|\*|/\*|#(?!\[))")
-
-
-def block_end(lines: list[str], start: int) -> int:
-    """Last line (0-based) of the brace block that opens at or after ``start``; the line itself without one."""
-    depth, opened = 0, False
-    for i in range(start, len(lines)):
-        depth += lines[i].count("{") - lines[i].count("}")
-        opened = opened or "{" in lines[i]
-        if opened and depth <= 0:
-            return i
-        if not opened and lines[i].rstrip().endswith(";"):
-            return i
-    return len(lines) - 1 if opened else start
-
-
-def script_symbols(path: str, text: str) -> list[tuple]:
-    lines, out = text.splitlines(), []
-    for n, line in enumerate(lines):
-        if COMMENT.match(line):
-            continue
-        for kind, pattern in SCRIPT_DECLARATIONS:
-            if m := pattern.match(line):
-                out.append((path, f"js:{path}:{m[2]}:{kind}:{n + 1}", m[2], kind, n + 1, block_end(lines, n) + 1, bool(m[1]), None))
-                break
-    return out
+from ..functions import code
+from ..functions.text import TEST_FILE, language
 
+SYMBOLS = "path string, id string, name string, kind string, start_line int, end_line int, exported boolean, container string, role string, parameters array<string>, summary string"
+EDGES = "path string, id string, kind string, specifier string, to_path string, from_symbol string, to_symbol string, line int, confidence string, method string, evidence string"
+SCRIPT = r"\.[mc]?[jt]sx?$"
 
-def php_symbols(path: str, text: str) -> list[tuple]:
-    lines, out, namespace, owner, until = text.splitlines(), [], "", None, -1
-    for n, line in enumerate(lines):
-        if COMMENT.match(line):
-            continue
-        if m := PHP_NAMESPACE.match(line):
-            namespace = m[1]
-        elif m := PHP_TYPE.match(line):
-            owner, until = f"{namespace}\\{m[2]}".lstrip("\\"), block_end(lines, n)
-            out.append((path, f"php:{path}:{m[2]}:{m[1]}:{n + 1}", owner, m[1], n + 1, until + 1, True, None))
-        elif m := PHP_FUNCTION.match(line):
-            inside = owner if n <= until else None
-            name = f"{inside}::{m[1]}" if inside else m[1]
-            out.append((path, f"php:{path}:{name}:function:{n + 1}", name, "method" if inside else "function", n + 1, block_end(lines, n) + 1, "private" not in line, inside))
-    return out
 
+def script_language(path: str) -> str:
+    return "typescript" if re.search(r"\.[mc]?tsx?$", path) else "javascript"
 
-def resolved(path: str, specifier: str) -> str:
-    """A relative specifier as a path, without extension as written; a package name as it is."""
-    return posixpath.normpath(posixpath.join(posixpath.dirname(path), specifier)) if specifier.startswith(".") else specifier
 
+def symbol_rows(path: str, text: str) -> list[tuple]:
+    if path.endswith(".php"):
+        raw, out = re.split(r"\r?\n", text), []
+        for d in code.php_declarations(text):
+            name = f"{d.container}::{d.name}" if d.kind in ("method", "constructor") else f"namespace:{d.name}" if d.kind == "namespace" else d.name
+            part = code.role(path, d) if d.kind in code.TYPES else None
+            out.append((path, f"php:{path}:{name}:{d.line}", d.name, d.kind, d.line, d.end, d.exported, d.container, part, d.parameters, code.summary(raw, d.line)))
+        return out
+    if re.search(SCRIPT, path):
+        own = script_language(path)
+        return [(path, f"{own}:{path}:{d.name}:{d.line}", d.name, d.kind, d.line, d.end, d.exported, None, None, [], None) for d in code.script_declarations(text)]
+    return []
 
-def script_edges(path: str, text: str) -> list[tuple]:
+
+def edge_rows(path: str, text: str) -> list[tuple]:
+    names = [f.split()[0] for f in EDGES.split(", ")][1:]
+    if path.endswith(".php"):
+        return [(path, *(e[n] for n in names)) for e in code.php_edges(path, text)]
     out = []
-    for n, line in enumerate(text.splitlines()):
-        if COMMENT.match(line):
-            continue
-        for kind, pattern in SCRIPT_IMPORTS:
-            if m := pattern.search(line):
-                out.append((kind, m[1], resolved(path, m[1]), None, n + 1, "medium"))
-                break
+    if re.search(SCRIPT, path):
+        for line in code.read_lines(text):
+            found = None if line.is_comment else code.script_import(line)
+            if found:
+                kind, spec = found
+                out.append((path, "edge:" + code.digest(path, kind, spec, line.number), kind, spec, code.resolved(path, spec), None, None, line.number, "heuristic", "heuristic", "script-import"))
     return out
 
 
-def php_edges(path: str, text: str) -> list[tuple]:
-    out, symbols = [], php_symbols(path, text)
-    names = {s[2].rsplit("::", 1)[-1]: s[1] for s in symbols if s[3] == "method"}
-
-    def enclosing(line: int) -> str | None:
-        inside = [s for s in symbols if s[4] <= line <= s[5]]
-        return min(inside, key=lambda s: s[5] - s[4])[1] if inside else None
-
-    for n, line in enumerate(text.splitlines(), 1):
-        if COMMENT.match(line):
-            continue
-        if m := PHP_USE.match(line):
-            out.append(("import", m[1], m[1], None, n, "medium"))
-        if m := PHP_REQUIRE.search(line):
-            out.append(("require", m[1], resolved(path, f"./{m[1].lstrip('/')}"), None, n, "medium"))
-        if m := PHP_ROUTE.search(line):
-            out.append(("route", f"route:{m[1]} {m[2]}", None, None, n, "high"))
-        if PHP_TYPE.match(line):
-            for m in PHP_PARENTS.finditer(line.split("{")[0]):
-                kind = "extends" if m[1] else "implements"
-                out += [(kind, p.strip(), p.strip(), enclosing(n), n, "medium") for p in (m[1] or m[2]).split(",") if p.strip()]
-        for m in PHP_SELF_CALL.finditer(line):
-            if m[1] in names:
-                out.append(("call", names[m[1]], path, enclosing(n), n, "medium"))
-    return out
+def chunk_rows(path: str, text: str) -> list[tuple]:
+    return [(path, *block) for block in code.php_blocks(text)]
 
 
-def _rows(pick, fields: str, shape):
-    names = [f.split()[0] for f in fields.split(", ")]
+def per_file(rows, fields: str):
+    """A mapInPandas function that turns each file into rows."""
+    names = [re.split(r"\s", f)[0] for f in fields.split(", ")]
 
     def run(batches):
         for batch in batches:
             out = []
             for path, text in zip(batch["path"], batch["text"], strict=True):
-                work = pick(path)
-                if work and text:
-                    out += shape(path, work(path, text))
+                if path and text:
+                    out += rows(path, text)
             yield pd.DataFrame(out, columns=names)
 
     return run
 
 
-def _by_ending(script, php):
-    return lambda path: php if path.endswith(".php") else script if re.search(r"\.[mc]?[jt]sx?$", path) else None
-
-
 def symbols(files: DataFrame) -> DataFrame:
     """SYMBOLS rows of scripts and PHP files (path, text)."""
-    return files.select("path", "text").mapInPandas(_rows(_by_ending(script_symbols, php_symbols), SYMBOLS, lambda _, rows: rows), SYMBOLS)
+    return files.select("path", "text").mapInPandas(per_file(symbol_rows, SYMBOLS), SYMBOLS)
 
 
 def edges(files: DataFrame) -> DataFrame:
     """EDGES rows of scripts and PHP files (path, text), each id once."""
+    return files.select("path", "text").mapInPandas(per_file(edge_rows, EDGES), EDGES).dropDuplicates(["id"])
+
+
+PHP_CHUNKS = "path string, symbol string, start_line int, end_line int, text string, weight double"
+
+
+def php_chunks(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """PHP_CHUNKS rows and columns ``keep``: a chunk for each type and each function, which may lie inside each other."""
+    source = files.where(F.col("path").endswith(".php")).select("path", "text", *keep)
+    names = [f.split()[0] for f in PHP_CHUNKS.split(", ")]
+    schema = files.sparkSession.createDataFrame([], PHP_CHUNKS).schema
+    for c in keep:
+        schema = schema.add(source.schema[c])
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False, name=None):
+                out += [(*found, *row[2:]) for found in (chunk_rows(row[0], row[1]) if row[1] else [])]
+            yield pd.DataFrame(out, columns=[*names, *keep])
+
+    return source.mapInPandas(run, schema)
+
+
+def enclosing_functions(positions: DataFrame) -> DataFrame:
+    """(path, line, name, start_line, end_line): the function around each position (path, line, text); null where there is none."""
+    fields = "path string, line int, name string, start_line int, end_line int"
 
-    def shape(path, rows):
-        return [(path, f"{kind}:{path}:{line}:{spec}", kind, spec, to, symbol, line, trust, "heuristic") for kind, spec, to, symbol, line, trust in rows]
+    def run(batches):
+        for batch in batches:
+            out = []
+            for path, line, text in zip(batch["path"], batch["line"], batch["text"], strict=True):
+                kind = "python" if path.endswith(".py") else "php" if path.endswith(".php") else "script"
+                out.append((path, line, *(code.enclosing(text or "", int(line), kind) or (None, None, None))))
+            yield pd.DataFrame(out, columns=[f.split()[0] for f in fields.split(", ")]).astype({"start_line": "Int32", "end_line": "Int32"})
 
-    return files.select("path", "text").mapInPandas(_rows(_by_ending(script_edges, php_edges), EDGES, shape), EDGES).dropDuplicates(["id"])
+    return positions.select("path", F.col("line").cast("int").alias("line"), "text").mapInPandas(run, fields)
 
 
 def with_extensions(found: DataFrame, files: DataFrame) -> DataFrame:
@@ -184,7 +143,7 @@ def route_links(found: DataFrame, files: DataFrame) -> DataFrame:
 
     Quoted paths are pulled out of the scripts first, so the link is an equi join.
     """
-    routes = found.where("kind = 'route'").select(F.col("id").alias("route_id"), F.col("path").alias("to_path"), F.regexp_extract("specifier", r"^route:\w+ /?(.*)$", 1).alias("route"))
+    routes = found.where("startswith(specifier, 'route:')").select(F.col("id").alias("route_id"), F.col("path").alias("to_path"), F.regexp_extract("specifier", r"^route:\w+ /?(.*)$", 1).alias("route"))
     quoted = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("['\"`]/?([\\w/{}.-]+)['\"`]"), 1)))
     named = files.where(F.col("path").rlike(r"\.[mc]?[jt]sx?$")).select(F.col("path").alias("from_path"), quoted.alias("route"))
     return routes.join(named, "route").select("route_id", "from_path", "to_path")
@@ -192,7 +151,7 @@ def route_links(found: DataFrame, files: DataFrame) -> DataFrame:
 
 def test_coverage(found: DataFrame, files: DataFrame) -> DataFrame:
     """likelyTestCoverage edges (from_path, to_path, confidence): a test's imports are high, a shared stem alone is heuristic."""
-    is_test = F.col("path").rlike(r"(?i)(\.(test|spec)\.|/__tests__/|/tests?/|Test\.php$)")
+    is_test = F.col("path").rlike(TEST_FILE)
     tests = files.select("path").where(is_test)
     imported = with_extensions(found.where(F.col("kind").isin("import", "require")), files).where("resolved_path IS NOT NULL").join(tests, "path", "left_semi")
     high = imported.select(F.col("path").alias("from_path"), F.col("resolved_path").alias("to_path"), F.lit("high").alias("confidence"))
@@ -205,22 +164,50 @@ def test_coverage(found: DataFrame, files: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ instructions
 
 
+# What an instruction must say to be mapped to a detector. Words that forbid, and what they forbid.
+FORBIDS = ("must not", "must never", "never", "do not", "don't", "shall not", "cannot", "may not")
+FORBIDS_SHORT = ("must not", "never", "do not", "don't")
+DATABASES = ("prismaclient", "prisma", "typeorm", "sequelize", "mongoose", "knex", "eloquent", "doctrine")
+PROVIDERS = ("stripe", "twilio", "sendgrid", "aws-sdk", "@aws-sdk", "openai", "anthropic")
+
+
+def says(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether one of the words stands in the text as a whole word."""
+    return text.rlike(r"(?i)(^|[^\w@])(" + "|".join(map(re.escape, words)) + r")($|\W)")
+
+
+def after(text: Column, words: tuple[str, ...], verbs: tuple[str, ...], rest: str) -> Column:
+    """What ``rest`` captures behind one of the words and one of the verbs; empty where nothing does."""
+    return F.regexp_extract(text, rf"(?i)\b(?:{'|'.join(words)})\s+(?:{'|'.join(verbs)})\s+{rest}", 1)
+
+
 def rule_of(text: Column) -> Column:
-    """(detector, subject, ambiguous) of an instruction's text: the first pattern that fits, else an ambiguous one; null below twelve characters."""
+    """(detector, subject, ambiguous) of an instruction's text: the first branch that fits; an order without one is ambiguous; null for others and below twelve characters."""
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))
-    negative = flat.rlike(r"(?i)\b(must not|must never|never|do not|don't|shall not|cannot|may not)\b")
-    kinds = (
-        ("direct_database_access", negative & flat.rlike(r"(?i)\b(prisma(client)?|typeorm|sequelize|mongoose|knex|eloquent|doctrine)\b"), r"(?i)\b(prisma(?:client)?|typeorm|sequelize|mongoose|knex|eloquent|doctrine)\b"),
-        ("forbidden_imports", flat.rlike(r"(?i)\b(must not|never|do not|don't)\s+(import|require|use)\s+\S"), r"(?i)\b(?:must not|never|do not|don't)\s+(?:import|require|use)\s+[`'\"]?([@\w./-]+)"),
-        ("forbidden_directory_dependency", negative & flat.rlike(r"(?i)\bdepend on\b"), r"(?i)\bdepend on\s+[`'\"]?([\w./*-]+)"),
-        ("environment_access", flat.rlike(r"(?i)\b(process\.env|env\(|environment variables?)"), r"(?i)(process\.env|env\(|environment variables?)"),
-        ("required_tests", flat.rlike(r"(?i)\b(must|should|always)\b.*\btests?\b"), r"(?i)\b(tests?)\b"),
-        ("required_abstraction", flat.rlike(r"(?i)\b(must|should|always)\s+(use|go through|extend|implement)\s+\S"), r"(?i)\b(?:use|go through|extend|implement)\s+[`'\"]?([\w\\./-]+)"),
-        ("naming_convention", flat.rlike(r"(?i)\b(named?|naming|suffix|prefix)\b"), r"(?i)\b(camelCase|PascalCase|snake_case|kebab-case|\*?[A-Z]\w+)\b"),
+    name = r"[`'\"]?([@\w./-]+)"
+    module = after(flat, FORBIDS_SHORT, ("import", "require", "use"), name)
+    layer = after(flat, ("must", "should", "always"), ("use", "go through", "call"), r"(?:the\s+)?[`'\"]?([\w./-]+(?:Service|Repository|Gateway|Client|Facade))")
+    folder = after(flat, FORBIDS_SHORT, ("import", r"depend(?:\s+on)?"), r"(?:from\s+)?[`'\"]?([\w./*-]+)")
+    form = F.regexp_extract(flat, r"(?i)\b(?:must|should)\s+(?:be\s+)?named\s+[`'\"]?([*\w.-]+\.\w+)", 1)
+    tests = F.regexp_extract(flat, r"[`'\"]([^`'\"]+\.(?:test|spec)\.\w+)[`'\"]", 1)
+    place = F.when(tests != "", tests).when(flat.rlike(r"(?i)\bnext to\b|\bco-?located\b"), F.lit("**/*.{test,spec}.{ts,tsx,js}")).otherwise(F.lit(""))
+    provider = F.lower(F.regexp_extract(flat, r"(?i)(?:^|[^\w@])(" + "|".join(map(re.escape, PROVIDERS)) + r")($|\W)", 1))
+    database = F.lower(F.regexp_extract(flat, r"(?i)\b(" + "|".join(DATABASES) + r")\b", 1))
+    variable = F.regexp_extract(flat, r"\b(?:must not|never|do not|don't)\s+(?:read|access|use)\s+(?:process\.env\.|getenv\(|ENV\[)?[`'\"]?([A-Z][A-Z0-9_]*)", 1)
+    branches = (
+        ("direct_database_access", (database != "") & says(flat, FORBIDS) & says(flat, ("access", "use", "import", "call", "query", "instantiate")), database),
+        ("forbidden_imports", module != "", module),
+        ("required_abstraction", (layer != "") & flat.rlike(r"(?i)\b(instead|not\s+direct|rather than)\b"), layer),
+        ("prohibited_directory_deps", (folder != "") & (folder.contains("/") | folder.rlike("domain|infra|internal")), F.regexp_replace(folder, r"\*$", "")),
+        ("naming_rules", form != "", form),
+        ("required_test_location", says(flat, ("test", "tests", "spec", "specs")) & says(flat, (*FORBIDS_SHORT, "must", "should")) & (place != ""), place),
+        ("network_provider_access", (provider != "") & says(flat, FORBIDS_SHORT) & says(flat, ("call", "access", "import", "use", "invoke")), provider),
+        ("environment_variable_access", variable != "", variable),
     )
-    out = F.struct(F.lit("ambiguous").alias("detector"), F.lit("").alias("subject"), F.lit(True).alias("ambiguous"))
-    for name, test, subject in reversed(kinds):
-        out = F.when(test, F.struct(F.lit(name).alias("detector"), F.regexp_extract(flat, subject, 1).alias("subject"), F.lit(False).alias("ambiguous"))).otherwise(out)
+    shape = lambda detector, subject, ambiguous: F.struct(F.lit(detector).alias("detector"), subject.alias("subject"), F.lit(ambiguous).alias("ambiguous"))
+    out = F.when(says(flat, ("must", "should", "never", "always", "do not", "don't")), shape("forbidden_imports", F.lit(""), True))
+    for detector, test, subject in reversed(branches):
+        out = F.when(test, shape(detector, subject, False)).otherwise(out)
     return F.when(F.length(flat) >= 12, out)
 
 

@@ -68,6 +68,5 @@ def scrubbed(payload: Column) -> Column:
 
 def evaluation_tasks(feedback: DataFrame) -> DataFrame:
     """(task, query, item): feedback on missing context (at, query, missing array of paths) as retrieval tasks."""
-    w = Window.orderBy("at", "query")
-    few = feedback.select("at", "query", "missing").withColumn("task", F.concat(F.lit("feedback-"), F.row_number().over(w)))  # rows that people wrote
-    return few.select("task", "query", F.explode("missing").alias("item"))
+    task = F.concat(F.lit("feedback-"), F.substring(F.sha2(F.concat_ws("|", F.col("at").cast("string"), "query"), 256), 1, 16))
+    return feedback.select(task.alias("task"), "query", F.explode("missing").alias("item"))

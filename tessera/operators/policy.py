@@ -120,6 +120,11 @@ def for_model(items: DataFrame, decisions: DataFrame) -> DataFrame:
     return items.join(decisions.select("path", "allows_model"), "path", "left").where(F.coalesce("allows_model", F.lit(True))).drop("allows_model")
 
 
+def without_ignored(items: DataFrame, ignored_paths: DataFrame) -> DataFrame:
+    """Items (path, ...) that no ignore file hides (path)."""
+    return items.join(ignored_paths.select("path").distinct(), "path", "left_anti")
+
+
 def redacted(text: Column, classification: Column) -> Column:
     return F.when(classification.isin("never_index", "metadata_only"), F.lit("")).when(classification.isin("never_send_to_model", "local_only"), F.lit("[redacted]")).otherwise(text)
 

@@ -42,17 +42,21 @@ class ProjectIndex:
             fresh = now
         open_files = fresh.where(F.col("privacy").isin("normal", "local_only", "never_send_to_model"))
         new = {"chunks": chunks.chunk_files(open_files.select("path", "text")), "symbols": extract.symbols(open_files), "edges": self._edges(open_files, now)}
-        tables = {"files": now.select("path", "size", "mtime", "language", "hash", "privacy")}
+        readable = F.when(F.col("privacy").isin("normal", "local_only", "never_send_to_model"), F.col("text"))
+        tables = {"files": now.select("path", "size", "mtime", "language", "hash", "privacy", readable.alias("text"))}
         for name, df in new.items():
             if versions:
                 old = store.pruned(store.removed(self.store.read(name), fresh.select("path")), now)
                 df = old.unionByName(df)
             tables[name] = df
-        return self.store.publish(tables)
+        try:
+            return self.store.publish(tables)
+        finally:
+            now.unpersist()
 
     def _edges(self, files: DataFrame, known: DataFrame) -> DataFrame:
         found = extract.with_extensions(extract.edges(files), known)
-        return found.select("path", "id", F.col("path").alias("from_path"), F.coalesce("resolved_path", "to_path").alias("to_path"), "kind", "specifier", "from_symbol", F.when(F.col("kind") == "call", F.col("specifier")).alias("to_symbol"), "line", "confidence", "method")
+        return found.select("path", "id", F.col("path").alias("from_path"), F.coalesce("resolved_path", "to_path").alias("to_path"), "kind", "specifier", "from_symbol", "to_symbol", "line", "confidence", "method")
 
     def table(self, name: str) -> DataFrame:
         if not self.store.versions():
@@ -74,8 +78,7 @@ class ProjectIndex:
             raise QueryError("not_found", f"no symbol {name}")
         if len(found) > 1 and not path:
             raise QueryError("ambiguous", f"{name} is in several places: name a path")
-        calls = graph.callers(self.table("edges"), found[0].id).groupBy().agg(F.count("*").alias("callers"))
-        return own.limit(1).crossJoin(F.broadcast(calls))
+        return own.limit(1).withColumn("callers", F.lit(graph.callers(self.table("edges"), found[0].id).count()))
 
     def impact(self, path: str, budget: paths.Budget | None = None) -> DataFrame:
         return paths.change_impact(self.table("edges"), self.spark.createDataFrame([(path,)], "node string"), budget)
@@ -85,8 +88,8 @@ class ProjectIndex:
         return hybrid.related_files(paths.relationship_paths(self.table("edges"), seeds), self.search(query), k)
 
     def risks(self, own: list[rules.Rule]) -> DataFrame:
-        """Findings over the indexed texts, best first."""
-        texts = self.table("chunks").select("path", language(F.col("path")).alias("language"), "text")
+        """Findings over the indexed files, best first."""
+        texts = self.table("files").where("text IS NOT NULL").select("path", language(F.col("path")).alias("language"), "text")
         return rules.ordered(rules.scan(texts, own))
 
     def status(self) -> DataFrame:

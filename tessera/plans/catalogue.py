@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import governance, insight, relations, retrieval, tables
+from . import codebase, evidence, governance, insight, relations, retrieval, tables
 
-MODULES = (retrieval, relations, governance, tables, insight)
+MODULES = (retrieval, relations, governance, tables, insight, codebase, evidence)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _module in MODULES:

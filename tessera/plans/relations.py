@@ -104,7 +104,7 @@ SELECT seed, path, CAST(100 - 8 * hops + CASE WHEN sure THEN 40 ELSE -25 END + 4
 p AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS path, l_linenumber * 13 AS line FROM lineitem)
 SELECT path, line, id AS symbol FROM (SELECT p.path, p.line, s.id, row_number() OVER (PARTITION BY p.path, p.line ORDER BY b - a, s.id) AS n FROM p JOIN s ON p.path = s.path AND line BETWEEN a AND b) WHERE n = 1""",
     "overlap_pairs": f"WITH h AS ({HITS_SQL}) SELECT x.path, x.id AS a, y.id AS b FROM h x JOIN h y ON x.path = y.path AND x.id < y.id AND x.start_line <= y.end_line AND y.start_line <= x.end_line",
-    "budget_select": """WITH RECURSIVE h AS (SELECT id, type, chars, row_number() OVER (ORDER BY rank, id) AS n FROM (SELECT doc_id AS id, CASE lang WHEN 'en' THEN 'chunk' WHEN 'fr' THEN 'symbol' ELSE 'file' END AS type, n_chars AS chars, -n_chars % 977 AS rank FROM documents) ORDER BY rank, id LIMIT 200),
+    "budget_select": """WITH RECURSIVE h AS (SELECT id, type, chars, row_number() OVER (ORDER BY rank, id) AS n FROM (SELECT doc_id AS id, CASE lang WHEN 'en' THEN 'chunk' WHEN 'fr' THEN 'symbol' ELSE 'file' END AS type, n_chars AS chars, -n_chars % 977 AS rank FROM documents)),
 r(n, kept, used, f, s, c, fits) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), 0, 0, 0, false
 UNION ALL SELECT h.n, kept + x::INT, used + CASE WHEN x THEN chars ELSE 0 END, f + (x AND type = 'file')::INT, s + (x AND type = 'symbol')::INT, c + (x AND type = 'chunk')::INT, x
 FROM (SELECT h.*, r.kept, r.used, r.f, r.s, r.c, kept < 20 AND used + chars <= 24000 AND ceil((used + chars) / 4) <= 6000 AND (type <> 'file' OR f < 12) AND (type <> 'symbol' OR s < 20) AND (type <> 'chunk' OR c < 24) AS x FROM r JOIN h ON h.n = r.n + 1) h)

@@ -156,8 +156,8 @@ SELECT id, path, round(s, 6) AS score FROM x ORDER BY s DESC, id LIMIT 20""",
     "lexical_overlap": f"""SELECT id, overlap FROM (SELECT id, CAST(least(40, floor((list_contains(t, 'inea')::INT + list_contains(t, 'edes')::INT + list_contains(t, 'ontion')::INT) / 3 * 40 + 0.5)) AS BIGINT) AS overlap
 FROM (SELECT id, {TOKENS.format('text')} AS t FROM ({FILES_SQL}))) WHERE overlap > 0""",
     "path_scores": f"SELECT path, CAST(least(50, floor((contains(path, 'src3')::INT + contains(path, 'french')::INT + contains(path, 'fr')::INT) / 3 * 50 + 0.5)) AS BIGINT) AS score FROM ({FILES_SQL})",
-    "repetition_ratio": f"""WITH d AS (SELECT id, text, list_transform(list_filter(list_transform({LINES}, lambda x: trim(x)), lambda x: length(x) > 0), lambda x: substr(x, 1, 120)) AS k FROM ({FILES_SQL})),
-g AS (SELECT *, list_transform(range(1, greatest(least(length(text), 4000) - 7, 1) + 1, 4), lambda i: substr(text, i, 8)) AS grams FROM d),
+    "repetition_ratio": f"""WITH d AS (SELECT id, text, list_transform(list_filter(list_transform({LINES}, lambda x: trim(x)), lambda x: length(x) > 0), lambda x: x) AS k FROM ({FILES_SQL})),
+g AS (SELECT *, list_transform(range(1, greatest(length(text) - 7, 1) + 1, 4), lambda i: substr(text, i, 8)) AS grams FROM d),
 r AS (SELECT id, text, CASE WHEN length(text) < 200 THEN 0.0 WHEN len(k) < 8 THEN (len(grams) - len(list_distinct(grams))) / len(grams) ELSE (len(k) - len(list_distinct(k))) / len(k) END AS ratio FROM g)
 SELECT id, round(ratio, 6) AS ratio, CAST(CASE WHEN length(text) > 200000 THEN 25 ELSE 0 END + CASE WHEN ratio > 0.45 THEN floor(ratio * 30 + 0.5) ELSE 0 END AS BIGINT) AS penalty FROM r""",
     "cosine_topk": f"SELECT vec_id, round({COSINE}, 5) AS score FROM embeddings ORDER BY {COSINE} DESC, vec_id LIMIT 25",

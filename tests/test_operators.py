@@ -301,10 +301,11 @@ PHP = "<?php\nnamespace App\\Http;\nuse App\\Models\\Order;\nclass OrderControll
 def test_extractors(spark):
     files = spark.createDataFrame([("src/order.ts", TS), ("src/lib/a.ts", "export function a() {}\n"), ("src/order.test.ts", "import { Order } from './order';\n"), ("app/OrderController.php", PHP), ("x.bin", None)], "path string, text string")
     found = {(r.name, r.kind, r.start_line, r.end_line) for r in extract.symbols(files).collect()}
-    assert {("Order", "class", 3, 5), ("run", "function", 6, 8), ("App\\Http\\OrderController", "class", 4, 9), ("App\\Http\\OrderController::show", "method", 5, 7)} <= found
+    assert {("Order", "class", 3, 5), ("run", "function", 6, 8), ("App\\Http", "namespace", 2, 2), ("OrderController", "class", 4, 9), ("show", "method", 5, 7)} <= found
+    assert {"typescript:src/order.ts:Order:3", "php:app/OrderController.php:OrderController::show:5"} <= {r.id for r in extract.symbols(files).collect()}
     e = extract.edges(files)
     kinds = {(r.path, r.kind, r.specifier) for r in e.collect()}
-    assert {("src/order.ts", "import", "./lib/a"), ("src/order.ts", "require", "fs"), ("app/OrderController.php", "extends", "Controller"), ("app/OrderController.php", "implements", "B"), ("app/OrderController.php", "route", "route:get /orders")} <= kinds
+    assert {("src/order.ts", "import", "./lib/a"), ("src/order.ts", "require", "fs"), ("app/OrderController.php", "extends", "Controller"), ("app/OrderController.php", "implements", "B"), ("app/OrderController.php", "reference", "route:GET /orders")} <= kinds
     assert any(r.kind == "call" for r in e.collect())
     assert extract.with_extensions(e, files).where("specifier = './lib/a'").first().resolved_path == "src/lib/a.ts"
     assert rows(extract.route_links(e, files), "from_path", "to_path") == [("src/order.ts", "app/OrderController.php")]
@@ -317,7 +318,13 @@ def test_instruction_rules_and_classes(spark):
     r = lambda t: spark.range(1).select(extract.rule_of(F.lit(t)).alias("r")).first().r
     assert r("Controllers must not use Prisma directly").detector == "direct_database_access"
     assert tuple(r("Never import lodash anywhere"))[:2] == ("forbidden_imports", "lodash")
-    assert r("Write clearly, please do").ambiguous and r("short") is None
+    assert r("You should write clearly, please").ambiguous and r("Write clearly, please do") is None and r("short") is None
+    assert tuple(r("Handlers must use the OrderService instead of models"))[:2] == ("required_abstraction", "OrderService")
+    assert tuple(r("Never depend on src/infra/*"))[:2] == ("prohibited_directory_deps", "src/infra/")
+    assert tuple(r("Classes must be named *.service.ts"))[:2] == ("naming_rules", "*.service.ts")
+    assert r("Tests must live next to the code").detector == "required_test_location"
+    assert tuple(r("UI code must not call Stripe itself"))[:2] == ("network_provider_access", "stripe")
+    assert tuple(r("Views must not read process.env.SECRET_KEY"))[:2] == ("environment_variable_access", "SECRET_KEY")
     c = lambda p: spark.range(1).select(extract.context_class(F.lit(p)).alias("c")).first().c
     assert c("app/AGENTS.md").doc_type == "instruction" and c("app/AGENTS.md").scope == "app" and c("docs/adr/001.md").doc_type == "adr"
 
@@ -398,4 +405,5 @@ def test_documents_memory_guard_and_scrub(spark):
     payload = F.create_map(*map(F.lit, ("hits", "3", "query", "who", "at", "/home/x/y")))
     assert spark.range(1).select(metrics.scrubbed(payload).alias("p")).first().p == {"hits": "3"}
     feedback = spark.createDataFrame([(1, "q", ["a", "b"])], "at int, query string, missing array<string>")
-    assert rows(metrics.evaluation_tasks(feedback), "task", "item") == [("feedback-1", "a"), ("feedback-1", "b")]
+    tasks = rows(metrics.evaluation_tasks(feedback), "task", "item")
+    assert [t[1] for t in tasks] == ["a", "b"] and len({t[0] for t in tasks}) == 1 and tasks[0][0].startswith("feedback-")

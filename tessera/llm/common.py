@@ -237,10 +237,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     """(id, text, label) of at most max_rows labelled training rows, the first by a hash of the id.
 
     The chosen labels, and so what is broadcast, are at most max_rows rows of two
-    numbers; the texts aren't shuffled. A document labelled twice takes the larger label.
+    numbers; only the sample's texts are shuffled. A document labelled twice takes the
+    larger label; of rows with one id, the smallest text counts, so an id is one row.
     """
     from pyspark.sql import functions as F
 
     once = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).cast("int").alias("__label"))
     chosen = once.where(fold_of(id_col, folds) != held_out).orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
-    return docs.select(id_col, "text").join(F.broadcast(chosen), id_col)
+    rows = docs.select(id_col, "text").join(F.broadcast(chosen), id_col)
+    return rows.groupBy(id_col).agg(F.min("text").alias("text"), F.max("__label").alias("__label"))

@@ -6,21 +6,24 @@ all its words, where it has fewer). Equal sets are one set, with the number of i
 Forest: each of ``trees`` trees gives a set a label of eight MinHash values, one byte
 each, so that labels in order are the leaves of a prefix trie and the first d bytes name
 its node at depth d. The search begins at full length, where only very similar sets share
-a node, and shortens the matched prefix in all trees together, one value at a time. After
-each level the links found so far are counted by similarity. A link of similarity s is
-found at depth d with probability ``p = 1 - (1 - s**d)**trees``, so each stands for
-``1 / p`` links that exist (Horvitz-Thompson). The search ends when links found over links
-estimated reach the target recall; ``doubt`` adds a share of links right at the threshold
-to the estimate, for those of which nothing was seen. It ends at the latest at the depth
-at which a pair at the threshold itself meets with the target probability.
-
-Verification: a set's home is its largest node. The sets of one home are dealt by size and
-a hash into blocks of bounded size; two blocks that share some node and whose sizes can
-reach the threshold are one task's work, once for all trees and levels: a sparse-to-dense
-matrix product that counts common shingles. It returns each set's number of links and a
-spanning forest of them, never the pairs, so a group of thousands of near copies is dealt
-over many tasks and gives rows in proportion to its members and blocks. Sets that share no
-node never meet, however long the chain that joins them.
+a node, and shortens the matched prefix in all trees together. After each level the links
+found so far are counted by similarity. A link of similarity s is found at depth d with
+probability ``p = 1 - (1 - s**d)**trees``, so each stands for ``1 / p`` links that exist
+(Horvitz-Thompson); ``doubt`` adds a share of links right at the threshold, for those of
+which nothing was seen. The search ends when the estimate says that the target recall is
+reached; else it goes on at the longest prefix for which it promises that. It ends at the
+latest at the depth at which a pair at the threshold itself meets with the target
+probability.
+
+Verification: sets that nodes of full length join into one component (each node links its
+members to its smallest, so a node of n members gives n - 1 links) are dealt by size and a
+hash into blocks of bounded size; sets that meet others only at a shorter prefix are dealt
+likewise by their largest node. Two blocks that share some node and whose sizes can reach
+the threshold are one task's work, once for all trees and levels: a sparse-to-dense matrix
+product that counts common shingles. It returns each set's number of links and a spanning
+forest of them, never the pairs, so a group of thousands of near copies is dealt over many
+tasks and gives rows in proportion to its members and blocks. Blocks that share no node
+never meet, however long the chain that joins them.
 
 Result: one row a document with class_id (the smallest document id of its class, the sets
 that chains of links join; its own where it is alone) and n_links (documents, copies
@@ -39,7 +42,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ALNUM, U64, document_windows, map_text, materialise, mix, set_aside, slices, table, utf8, words
@@ -72,12 +75,12 @@ def guaranteed_depth(trees: int, depth: int, threshold: float, recall: float) ->
     return depth
 
 
-def estimated_recall(links: list[int], depth: int, trees: int, threshold: float, doubt: float) -> float:
-    """Links found over links that they stand for; links counts them by similarity class, from the threshold up."""
-    odds = [1 / found_share(threshold + (1 - threshold) * k / BINS, depth, trees) - 1 for k in range(BINS)]
-    n = sum(links)
-    missing = sum(k * o for k, o in zip(links, odds, strict=True)) + (1 + doubt * n) * odds[0]
-    return (n + 1) / (n + 1 + missing)
+def estimated_recall(links: list[int], depth: int, at: int, trees: int, threshold: float, doubt: float) -> float:
+    """Recall at depth ``at`` by the links found at ``depth``, counted by similarity class from the threshold up: each stands for 1 / p links."""
+    classes = [threshold + (1 - threshold) * k / BINS for k in range(BINS)]
+    exist = [n / found_share(s, depth, trees) for n, s in zip(links, classes, strict=True)]
+    exist[0] += 1 + doubt * sum(links)
+    return sum(n * found_share(s, at, trees) for n, s in zip(exist, classes, strict=True)) / sum(exist)
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -258,22 +261,39 @@ def shingles_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
     return map_text(texts, "set binary, shingles array<long>", make, "body", [])
 
 
+def size_band() -> Column:
+    return F.floor(F.log("n_shingles") / math.log(BAND))
+
+
+def dealt_components(inside: DataFrame) -> DataFrame:
+    """(set, copies, block, band): the components that shared nodes make, dealt by size and a hash into blocks of bounded size."""
+    member = components(inside.select(F.col("set").alias("a"), F.col("least").alias("b")).where("a <> b"), "candidates")
+    sized = inside.select("set", "copies", "n_shingles").distinct().join(member.withColumnRenamed("node", "set"), "set").withColumn("band", size_band())
+    sized = materialise(sized.withColumn("salt", F.pmod(F.xxhash64("set"), F.lit(SALTS)).cast("int")), "candidate-sets")
+    cells = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
+    bands = sized.groupBy("root", "band").agg(cells.alias("cells")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    block = F.xxhash64("root", "band", F.pmod(F.xxhash64("set", F.lit(1)), F.col("cells")))
+    return sized.join(bands, ["root", "band", "salt"]).select("set", "copies", block.alias("block"), "band")
+
+
+def dealt_nodes(inside: DataFrame, homes: DataFrame, depth: int) -> DataFrame:
+    """The same for sets that met nobody before: a set's home is its largest node."""
+    new = inside.join(homes.select("set"), "set", "left_anti").groupBy("set").agg(F.first("copies").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.max(F.struct("n", "tree", "prefix")).alias("home"))
+    new = new.withColumn("band", size_band())
+    cells = F.greatest(F.ceil(F.col("home.n") / BLOCK_DOCS), F.ceil(F.col("home.n") * F.pow(F.lit(BAND), F.col("band") + 1) / BLOCK_SHINGLES))
+    block = F.xxhash64(F.lit(depth), "home.tree", "home.prefix", "band", F.pmod(F.xxhash64("set"), cells))
+    return new.select("set", "copies", block.alias("block"), "band")
+
+
 def candidates(shared: DataFrame, depth: int, homes: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """One level of the forest: (set, copies, block, band) of all sets that have a node so far, and (low, high) of the blocks that share one.
 
     ``homes`` are those of the level before; a set keeps its block.
     """
     cut = shared.withColumn("prefix", F.shiftrightunsigned("label", 8 * (DEPTH - depth)))
-    nodes = cut.groupBy("tree", "prefix").agg(F.count("*").alias("n")).where("n > 1")
-    inside = materialise(cut.join(nodes, ["tree", "prefix"]).select("set", "copies", "n_shingles", "tree", "prefix", "n"), f"forest-{depth}")
-    new = inside.groupBy("set").agg(F.first("copies").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.max(F.struct("n", "tree", "prefix")).alias("home"))
-    if homes is not None:
-        new = new.join(homes.select("set"), "set", "left_anti")
-    band = F.floor(F.log("n_shingles") / math.log(BAND))
-    cells = F.greatest(F.ceil(F.col("home.n") / BLOCK_DOCS), F.ceil(F.col("home.n") * F.pow(F.lit(BAND), F.col("band") + 1) / BLOCK_SHINGLES))
-    block = F.xxhash64(F.lit(depth), "home.tree", "home.prefix", "band", F.pmod(F.xxhash64("set"), cells))
-    new = new.withColumn("band", band).select("set", "copies", block.alias("block"), "band")
-    homes = materialise(new if homes is None else homes.unionByName(new), f"homes-{depth}")
+    nodes = cut.groupBy("tree", "prefix").agg(F.count("*").alias("n"), F.min("set").alias("least")).where("n > 1")
+    inside = materialise(cut.join(nodes, ["tree", "prefix"]).select("set", "copies", "n_shingles", "tree", "prefix", "n", "least"), f"forest-{depth}")
+    homes = materialise(dealt_components(inside) if homes is None else homes.unionByName(dealt_nodes(inside, homes, depth)), f"homes-{depth}")
     parts = inside.select("set", "tree", "prefix").join(homes, "set").select("tree", "prefix", "block", "band").distinct()
     left, right = parts.withColumnsRenamed({"block": "low", "band": "low_band"}), parts.withColumnsRenamed({"block": "high", "band": "high_band"})
     return homes, left.join(right, ["tree", "prefix"]).where("low <= high").select("low", "high", "low_band", "high_band").distinct()
@@ -290,8 +310,8 @@ def links_of(docs: DataFrame, reps: DataFrame, threshold: float, recall: float,
     sets = materialise(shingles_of(docs, wanted, id_col, text_col), "sets")
     far = math.ceil(-math.log(threshold) / math.log(BAND) - 1e-9)
     homes = done = found = None
-    counts = [0] * BINS
-    for depth in range(DEPTH, shortest - 1, -1):
+    counts, depth = [0] * BINS, DEPTH
+    while True:
         homes, pairs = candidates(shared, depth, homes)
         pairs = pairs.where(F.abs(F.col("low_band") - F.col("high_band")) <= far).select("low", "high")
         pairs = materialise(pairs if done is None else pairs.join(done, ["low", "high"], "left_anti"), f"pairs-{depth}")
@@ -303,8 +323,9 @@ def links_of(docs: DataFrame, reps: DataFrame, threshold: float, recall: float,
             found = level if found is None else found.unionByName(level)
             for row in level.select(F.posexplode("bins").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():
                 counts[row["k"]] += row["n"]
-        if estimated_recall(counts, depth, trees, threshold, doubt) >= recall:
+        if depth == shortest or estimated_recall(counts, depth, depth, trees, threshold, doubt) >= recall:
             break
+        depth = next((d for d in range(depth - 1, shortest, -1) if estimated_recall(counts, depth, d, trees, threshold, doubt) >= recall), shortest)
     return (docs.sparkSession.createDataFrame([], VERIFIED) if found is None else found).select("set", "links", "to")
 
 

@@ -1,22 +1,27 @@
 """Repeated-string removal by prefix-free parsing.
 
-A rolling hash of 32 bytes triggers phrases: each 200-byte window belongs to its smallest
-trigger, so equal windows have the same trigger at the same distance, wherever they are.
-Consecutive windows of one trigger form a phrase, kept with the bytes that its windows
-cover. The *dictionary* holds the distinct phrases with the number of their occurrences,
-the *parse* where they occur:
+A rolling hash of 32 bytes triggers where it is 0 modulo 64; a *phrase* is the text from
+behind one trigger to the next, with the bytes that follow as far as a 200-byte window that
+begins in it reaches. Whether a place triggers depends on its 32 bytes alone, so equal
+windows are parsed alike wherever they are. (A window without a trigger takes its smallest
+32 bytes, the leftmost of equals, for one.) The *dictionary* holds the distinct phrases with
+the number of their occurrences, the *parse* where they occur; a phrase that follows itself,
+as in a run of one letter, is one row with its times.
 
 1. Triggers are counted over the corpus; those that occur once need no further look. A
    bitmap of fixed size, of the repeated ones, thins the second pass.
 2. Phrases of repeated triggers make the parse; summed by phrase (partial sums before the
    shuffle) they make the dictionary. A phrase that occurs twice has only repeated windows,
-   wherever it occurs: highly repetitive text ends here, at one row for a phrase.
+   wherever it occurs: highly repetitive text ends here, at one row for a phrase. (Phrases
+   are told apart by 64 bits beside their trigger's 64.)
 3. Other phrases, and one occurrence of each phrase that shares their trigger, fetch their
-   bytes. The dictionary's suffixes (one for each window) are sorted trigger by trigger, by
-   a 64-bit hash of their first 200 bytes in place of their letters, as only equality
-   counts; equal neighbours in that order are repeated windows. A trigger with more than
-   ``hot`` phrases isn't sorted in one task: its suffixes are counted one by one in a
-   shuffle with partial sums.
+   bytes. Trigger by trigger, what stands before the trigger is sorted from its end (the
+   dictionary's suffixes: equal endings stand together), and what follows it from its
+   beginning (the parse's suffixes, to the 200 bytes that a window can see). For every
+   distance between a window's start and the trigger the two orders are combined into corpus
+   order: windows are equal where both orders' neighbours share enough bytes. This is exact,
+   by the bytes themselves. A trigger with more than ``hot`` phrases isn't sorted in one
+   task: its windows are counted one by one, by hash, in a shuffle with partial sums.
 4. Repeated windows of each document meet its text, which loses the bytes they cover.
 
 Texts are shuffled compressed, and only those that step 3 or 4 needs (a bitmap of fixed
@@ -38,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, materialise, mix, slices, table, utf8
 
-LENGTH, GRAM = 200, 32
+LENGTH, GRAM, MODULUS = 200, 32, 64
 SPAN = LENGTH - GRAM + 1
 PIECE = 1 << 19
 BITMAP_BITS = 27
@@ -69,10 +74,27 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def next_trigger(gram: np.ndarray, windows: int) -> np.ndarray:
+    """For each window's start, the place of its trigger: the first gram of it that is 0 modulo MODULUS, else the leftmost of its smallest."""
+    m = len(gram)
+    place = np.where(gram & U64(MODULUS - 1) == 0, np.arange(m), 2 * m + SPAN)
+    out = np.minimum.accumulate(place[::-1])[::-1][:windows]
+    without = np.flatnonzero(out - np.arange(windows) >= SPAN)
+    if len(without):
+        # running minima over blocks of the window's length, from both ends
+        ranked = np.full(-(-m // SPAN) * SPAN + SPAN, U64(0xFFFFFFFFFFFFFFFF))
+        ranked[:m] = (gram & TOP) | np.arange(m).astype(U64)
+        blocks = ranked.reshape(-1, SPAN)
+        fore = np.minimum.accumulate(blocks, axis=1).ravel()
+        back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+        out[without] = (np.minimum(back[without], fore[SPAN - 1 + without]) & ~TOP).astype(np.int64)
+    return out
+
+
 def phrases(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Phrases of consecutive documents: document, first window (from its start), windows, trigger's distance, trigger, phrase hash."""
+    """Phrases of consecutive documents: document, first window (from its start), windows, trigger's distance, trigger, phrase hash, times it follows itself."""
     offsets = offsets - offsets[0]
-    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, U64, U64))
+    empty = tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.int64, U64, U64, np.int64))
     n = len(raw)
     if n < LENGTH:
         return empty
@@ -86,26 +108,22 @@ def phrases(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     for j in range(1, GRAM // 8):
         gram += eights[8 * j : 8 * j + m] * ODD[j]
     gram = mix(gram)
-    # the smallest trigger of every window, the leftmost of equals: running minima over blocks of the window's length, from both ends
-    ranked = np.full(-(-m // SPAN) * SPAN + SPAN, U64(0xFFFFFFFFFFFFFFFF))
-    ranked[:m] = (gram & TOP) | np.arange(m).astype(U64)
-    blocks = ranked.reshape(-1, SPAN)
-    fore = np.minimum.accumulate(blocks, axis=1).ravel()
-    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    w = n - LENGTH + 1
-    trigger = (np.minimum(back[:w], fore[SPAN - 1 : SPAN - 1 + w]) & ~TOP).astype(np.int64)
-    begins = np.append(True, (trigger[1:] != trigger[:-1]) | ~fits[:-1] | (last[1:] != last[:-1])) & fits
-    lo = np.flatnonzero(begins)
-    stops = np.append((trigger[1:] != trigger[:-1]) | ~fits[1:] | (last[1:] != last[:-1]), True) & fits
-    hi = np.flatnonzero(stops)
+    trigger = next_trigger(gram, n - LENGTH + 1)
+    changes = (trigger[1:] != trigger[:-1]) | (last[1:] != last[:-1])
+    lo = np.flatnonzero(np.append(True, changes | ~fits[:-1]) & fits)
+    hi = np.flatnonzero(np.append(changes | ~fits[1:], True) & fits)
     run = hi - lo + 1
     at = trigger[lo]
     up, down = powers(n)
     total = np.append(U64(0), np.cumsum(gram * up[:m]))
     phrase = (total[hi + SPAN] - total[lo]) * down[lo]
     phrase = mix(phrase ^ (run * 1024 + (at - lo)).astype(U64) * U64(0x9E3779B97F4A7C15))
+    new = np.append(True, (phrase[1:] != phrase[:-1]) | (lo[1:] != lo[:-1] + run[:-1]) | (last[lo[1:]] != last[lo[:-1]]))
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(lo)))
+    lo, run, at, phrase = lo[first], run[first], at[first], phrase[first]
     doc = np.searchsorted(offsets, lo, "right") - 1
-    return doc, lo - offsets[doc], run, at - lo, gram[at], phrase
+    return doc, lo - offsets[doc], run, at - lo, gram[at], phrase, times
 
 
 def pieces(raw: np.ndarray, offs: np.ndarray):
@@ -159,7 +177,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def parse(docs: DataFrame, repeated=None) -> DataFrame:
-    """Without ``repeated``: (trigger, n), counted in each batch. With it: (key, place, trigger, phrase) of the phrases whose triggers it has.
+    """Without ``repeated``: (trigger, n), counted in each batch. With it: (key, place, trigger, phrase, times) of the phrases whose triggers it has.
 
     place packs first window, windows and the trigger's distance.
     """
@@ -170,16 +188,20 @@ def parse(docs: DataFrame, repeated=None) -> DataFrame:
             raw, offs = utf8(batch.column(1))
             key = batch.column(0).to_numpy(zero_copy_only=False)
             for first, base, part, part_offs in pieces(raw, offs):
-                doc, lo, count, distance, trigger, phrase = phrases(part, part_offs)
+                doc, lo, count, distance, trigger, phrase, times = phrases(part, part_offs)
                 if bits is None:
-                    trigger, n = np.unique(trigger, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(trigger.view(np.int64)), pa.array(n.astype(np.int64))], names=["trigger", "n"])
+                    trigger, which = np.unique(trigger, return_inverse=True)
+                    n = np.bincount(which, times, len(trigger)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(trigger.view(np.int64)), pa.array(n)], names=["trigger", "n"])
                     continue
                 some = in_bitmap(bits, trigger)
                 place = (lo[some] + base) << 20 | count[some] << 10 | distance[some]
-                yield pa.RecordBatch.from_arrays([pa.array(key[first + doc[some]]), pa.array(place), pa.array(trigger[some].view(np.int64)), pa.array(phrase[some].view(np.int64))], names=["key", "place", "trigger", "phrase"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[first + doc[some]]), pa.array(place), pa.array(trigger[some].view(np.int64)), pa.array(phrase[some].view(np.int64)), pa.array(times[some])],
+                    names=["key", "place", "trigger", "phrase", "times"],
+                )
 
-    fields = "trigger long, n long" if repeated is None else "key long, place long, trigger long, phrase long"
+    fields = "trigger long, n long" if repeated is None else "key long, place long, trigger long, phrase long, times long"
     return docs.select("key", "body").mapInArrow(run, fields)
 
 
@@ -229,33 +251,72 @@ def binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offs[0] : offs[-1]], offs - offs[0]
 
 
+def in_order(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lexicographic order of byte rows within their groups, and how many bytes each shares with the one before it (-1: another group)."""
+    n, width = rows.shape
+    wide = np.zeros((n, -(-width // 8) * 8), np.uint8)
+    wide[:, :width] = rows
+    keys = wide.view(">u8").astype(U64)
+    order = np.lexsort((*[keys[:, j] for j in range(keys.shape[1] - 1, -1, -1)], group))
+    rows, group = rows[order], group[order]
+    shared = np.full(n, -1)
+    differ = rows[1:] != rows[:-1]
+    shared[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    shared[1:][group[1:] != group[:-1]] = -1
+    return order, shared
+
+
+def repeated_windows(raw: np.ndarray, offs: np.ndarray, group: np.ndarray, count: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(phrase, offset) of the windows that another window of the same trigger equals.
+
+    Phrases are byte strings with their trigger's distance and number of windows.
+    """
+    n, padded = len(count), np.append(raw, np.zeros(2 * LENGTH, np.uint8))
+    trigger = offs[:-1] + distance
+    right = padded[np.minimum(trigger[:, None] + np.arange(LENGTH), len(padded) - 1)]
+    right[np.arange(LENGTH) >= (offs[1:] - trigger)[:, None]] = 0
+    before = np.arange(1, SPAN)
+    left = padded[np.maximum(trigger[:, None] - before, 0)]
+    left[before > distance[:, None]] = 0
+    right_order, right_shared = in_order(right, group)
+    left_order, left_shared = in_order(left, group)
+    ending, following = np.empty(n, np.int64), np.empty(n, np.int64)
+    rows, steps = [], []
+    for back in range(int(distance.max(initial=-1)) + 1):
+        has = np.flatnonzero((back <= distance) & (back > distance - count))
+        if len(has) < 2:
+            continue
+        # left contexts that are too short share less than ``back`` bytes with all others, so they stand apart
+        ending[left_order] = np.cumsum(left_shared < back)
+        following[right_order] = np.cumsum(right_shared < LENGTH - back)
+        key = ending[has] * (n + 1) + following[has]
+        order = np.argsort(key, kind="stable")
+        same = key[order][1:] == key[order][:-1]
+        twice = np.zeros(len(has), bool)
+        twice[order[1:]] |= same
+        twice[order[:-1]] |= same
+        rows.append(has[twice])
+        steps.append(distance[has[twice]] - back)
+    return (np.concatenate(rows), np.concatenate(steps)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
 def sorted_suffixes(rows: DataFrame) -> DataFrame:
-    """(key, place, repeated windows as start, end): a trigger's phrases stand together; equal neighbours in suffix order are repeats."""
+    """(key, place, repeated windows as start, end): a trigger's phrases stand together and are put in corpus order."""
 
     def work(batch: pa.RecordBatch):
         raw, offs = binary(batch.column(4))
         place = batch.column(2).to_numpy(zero_copy_only=False)
         single = batch.column(3).to_numpy(zero_copy_only=False) == 1
-        counts = place >> 10 & 1023
-        hashed, owner = window_hashes(raw, offs, counts)
-        hashed ^= batch.column(0).to_numpy(zero_copy_only=False).view(U64)[owner] * U64(0xD6E8FEB86659FD93)
-        order = np.argsort(hashed, kind="stable")
-        same = hashed[order][1:] == hashed[order][:-1]
-        twice = np.zeros(len(hashed), bool)
-        twice[order[1:]] |= same
-        twice[order[:-1]] |= same
-        twice &= single[owner]
-        edge = np.diff(np.concatenate([[0], twice.view(np.int8), [0]]))
-        # a run of repeats also ends where its phrase does
-        first = np.zeros(len(hashed) + 1, bool)
-        first[np.cumsum(counts)[:-1]] = True
-        first[0] = True
-        both = np.append(False, twice) & np.append(twice, False) & first
-        begin, end = np.flatnonzero((edge > 0) | both), np.flatnonzero((edge < 0) | both)
-        row = owner[begin]
-        base = (place >> 20)[row] - (np.cumsum(counts) - counts)[row]
-        key = batch.column(1).to_numpy(zero_copy_only=False)[row]
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(begin + base), pa.array(end + base)], names=["key", "start", "end"])
+        _, group = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
+        row, step = repeated_windows(raw, offs, group, place >> 10 & 1023, place & 1023)
+        row, step = row[single[row]], step[single[row]]
+        order = np.lexsort((step, row))
+        row, start = row[order], (place >> 20)[row[order]] + step[order]
+        new = np.append(True, (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)) if len(row) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        key = batch.column(1).to_numpy(zero_copy_only=False)[row[first]]
+        end = start[np.append(first[1:], len(row)) - 1] + 1 if len(row) else start
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(start[first]), pa.array(end)], names=["key", "start", "end"])
 
     def run(batches):
         left = None
@@ -314,13 +375,13 @@ def cut_out(body: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, i
 RESULT = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = 200_000, with_kept: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = 20_000, with_kept: bool = True) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row: its text without repeated 200-byte strings."""
     spark = docs.sparkSession
     source = keyed(docs, id_col, text_col)
     repeated = bitmap(spark, parse(source).groupBy("trigger").agg(F.sum("n").alias("n")).where("n > 1"), "trigger")
     occurs = materialise(parse(source, repeated), "parse")
-    dictionary = materialise(occurs.groupBy("trigger", "phrase").agg(F.count("*").alias("n"), F.min(F.struct("key", "place")).alias("at")), "dictionary")
+    dictionary = materialise(occurs.groupBy("trigger", "phrase").agg(F.sum("times").alias("n"), F.min(F.struct("key", "place")).alias("at")), "dictionary")
     by_trigger = dictionary.groupBy("trigger").agg(F.count("*").alias("phrases"), F.min("n").alias("least")).where("phrases > 1 AND least = 1")
     look = dictionary.join(by_trigger, "trigger").select("trigger", "n", "at.key", "at.place", "phrases")
     look = materialise(look, "unsettled")
@@ -333,7 +394,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         partial = sorted_suffixes(cut)
     whole = occurs.join(dictionary.where("n > 1").select("trigger", "phrase"), ["trigger", "phrase"])
     lo = F.shiftright("place", 20)
-    whole = whole.select("key", lo.alias("start"), (lo + F.shiftright("place", 10).bitwiseAND(F.lit(1023))).alias("end"))
+    whole = whole.select("key", lo.alias("start"), (lo + F.shiftright("place", 10).bitwiseAND(F.lit(1023)) * F.col("times")).alias("end"))
     flags = whole.unionByName(partial).groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     flags = materialise(flags, "repeated-windows")
     flagged = bitmap(spark, flags, "key")

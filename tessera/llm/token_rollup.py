@@ -4,13 +4,15 @@ A batch is a set of signed rows (documents, tokens and characters gained or lost
 key). Batches are summed by key before they are stored, and totals are sums over stored
 batches, so inserts, deletes and revised counts (an old count lost, a new one gained) are
 all additive and may come in any order. A batch is committed under its id: its rows are
-written first (overwriting what a lost attempt left), then a commit row; a batch whose
-id is committed changes nothing, and rows without a commit row don't count. ``compact``
-folds committed batches into one.
+written first, below a name of this attempt's own, then a commit file of the id's hash that
+names the attempt and can be made only once. So a batch whose id is committed changes
+nothing, of two writers of one id one wins whole, and what a lost attempt left doesn't
+count. ``compact`` folds committed batches into one.
 
-Tokenizers are column expressions by version name; ``bpe_counter`` makes one of a public
-vocabulary file in Arrow batches. Everything else is DataFrame functions: one scan, then
-sums with a partial aggregate before the shuffle.
+Tokenizers are column expressions by version name; ``bpe_counts`` counts by a public
+vocabulary in Arrow batches (the vocabulary, some 50,000 entries, is read once and sent to
+the tasks). Everything else is DataFrame functions: one scan, then sums with a partial
+aggregate before the shuffle.
 
 Defined cases: a null text has 0 tokens and characters but is a document; null sources and
 languages are keys of their own; repeated rows count each; empty batches commit and add
@@ -20,10 +22,12 @@ nothing; keys whose documents, tokens and characters are all 0 aren't in the tot
 from __future__ import annotations
 
 import base64
+import hashlib
 import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,33 +57,53 @@ class TokenRollup:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
+    def is_committed(self, batch_id: str) -> bool:
+        if exists(self.spark, self.commit_file(batch_id)):
+            return True
+        folded = f"{self.path}/folded"
+        return exists(self.spark, folded) and bool(self.spark.read.schema("batch string").parquet(folded).where(F.col("batch") == batch_id).head(1))
+
+    def commit_file(self, batch_id: str) -> str:
+        return f"{self.path}/commits/{hashlib.sha256(batch_id.encode()).hexdigest()}"
+
+    def commit(self, batch_id: str, attempt: str) -> bool:
+        """Make the commit file; False if somebody else has."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.commit_file(batch_id))
+        try:
+            out = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(at, False)
+        except Py4JJavaError as error:
+            if exists(self.spark, self.commit_file(batch_id)):
+                return False
+            raise error
+        out.write(bytearray(f"{attempt}\n".encode()))
+        out.close()
+        return True
+
     def apply(self, batch_id: str, deltas: DataFrame) -> bool:
         """Add signed rows (SCHEMA) under batch_id; False if it is committed already."""
-        commit = f"{self.path}/commits/batch={batch_id}"
-        if exists(self.spark, f"{commit}/_SUCCESS"):
+        if self.is_committed(batch_id):
             return False
+        attempt = uuid.uuid4().hex
         summed = deltas.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
-        summed.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/deltas/batch={batch_id}")
-        self.spark.range(1).select(F.current_timestamp().alias("at")).coalesce(1).write.mode("overwrite").parquet(commit)
-        return True
+        summed.coalesce(1).write.parquet(f"{self.path}/deltas/attempt={attempt}")
+        return self.commit(batch_id, attempt)
 
     def committed(self) -> DataFrame:
         """Stored rows of committed batches."""
         if not exists(self.spark, f"{self.path}/commits"):
-            return self.spark.createDataFrame([], f"{SCHEMA}, batch string")
-        rows = self.spark.read.schema(f"{SCHEMA}, batch string").parquet(f"{self.path}/deltas")
-        return rows.join(self.spark.read.schema("at timestamp, batch string").parquet(f"{self.path}/commits").select("batch"), "batch", "left_semi")
+            return self.spark.createDataFrame([], f"{SCHEMA}, attempt string")
+        rows = self.spark.read.schema(f"{SCHEMA}, attempt string").parquet(f"{self.path}/deltas")
+        return rows.join(self.spark.read.text(f"{self.path}/commits").select(F.col("value").alias("attempt")), "attempt", "left_semi")
 
     def totals(self) -> DataFrame:
         summed = self.committed().groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
         return summed.where("docs <> 0 OR tokens <> 0 OR chars <> 0")
 
-    def compact(self, path: str) -> TokenRollup:
-        """The same totals at a new path, in one batch, with the ids of all that it holds committed."""
+    def compact(self, path: str, batch_ids: list[str]) -> TokenRollup:
+        """The same totals at a new path, in one batch; batch_ids (what the writers still might send again) count as committed there."""
         new = TokenRollup(self.spark, path)
+        self.spark.createDataFrame([(b,) for b in batch_ids], "batch string").coalesce(1).write.parquet(f"{path}/folded")
         new.apply("base", self.committed().select(*KEYS, *SUMS))
-        for row in self.committed().select("batch").distinct().collect():
-            new.apply(row["batch"], self.spark.createDataFrame([], SCHEMA))
         return new
 
 
@@ -101,13 +125,14 @@ def revised(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def bpe_counts(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """Docs with n_tokens by a byte-level BPE; ``vocabulary`` is a file of base64 tokens and ranks on every executor."""
+    """Docs with n_tokens by a byte-level BPE; ``vocabulary`` is a file of base64 tokens and ranks that Spark can read."""
+    lines = docs.sparkSession.read.text(vocabulary).collect()
+    shared = docs.sparkSession.sparkContext.broadcast([row["value"] for row in lines])
 
     def make():
         import tiktoken
 
-        with open(vocabulary) as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines)}
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in shared.value)}
         own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         return lambda column: [pa.array([len(own.encode_ordinary(t)) if t else 0 for t in column.to_pylist()], pa.int64())]
 

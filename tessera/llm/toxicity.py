@@ -9,9 +9,10 @@ normalised by the length in words, go through a logistic curve that is fitted on
 same labelled rows: one harmless match in a long text stays harmless.
 
 Entries come from a bounded sample of labelled training rows (``max_fit_rows``): their
-words and word beginnings are counted by class in Spark, the best ``max_candidates`` are
-matched in the sample, and a greedy cover keeps the few that explain the toxic rows, so
-that words which merely stand beside them don't enter. An entry is counted twice, for
+words and word beginnings are counted by class in Spark, those of at least ``min_support``
+toxic rows are ranked, the best ``max_candidates`` are matched in the sample, and a greedy
+cover keeps the few that explain the toxic rows, so that words which merely stand beside
+them don't enter. (These bounds shape the lexicon only; scoring reads every text whole.) An entry is counted twice, for
 rows that have it and for rows that have it at least two times (``entry+``): some words
 are toxic only where they pile up. A small seed list takes part with
 a prior weight. Scoring is one pass over all whole texts without a shuffle.
@@ -66,11 +67,11 @@ INNER = re.compile(r"(?<=\w)[@$](?=\w)")
 
 
 def fold(text: str) -> str:
-    """Lower-cased, with look-alikes and substitutes as letters; signs count as letters only inside a word."""
+    """Lower-cased, with look-alikes and substitutes as letters and single blanks; signs count as letters only inside a word."""
     low = text.lower()
     if "$" in low or "@" in low:
         low = INNER.sub(lambda m: "a" if m[0] == "@" else "s", low).translate(SIGNS)
-    return low.translate(FOLD)
+    return " ".join(low.translate(FOLD).split())
 
 
 @dataclass

@@ -64,7 +64,7 @@ def test_rollup_is_additive_and_idempotent(spark, tmp_path):
     rollup.apply("empty", rows.limit(0))
     want = {("s", "en", "w", 2, 3, 5), (None, None, "w", 1, 5, 1)}
     assert {tuple(r) for r in rollup.totals().collect()} == want
-    compact = rollup.compact(str(tmp_path / "c"))
+    compact = rollup.compact(str(tmp_path / "c"), ["b1", "b2"])
     assert {tuple(r) for r in compact.totals().collect()} == want and not compact.apply("b2", rows)
 
 
@@ -72,7 +72,8 @@ def test_uncommitted_rows_do_not_count(spark, tmp_path):
     rollup = token_rollup.TokenRollup(spark, str(tmp_path / "r"))
     row = spark.createDataFrame([("s", "en", "w", 1, 7, 9)], token_rollup.SCHEMA)
     rollup.apply("good", row)
-    row.write.parquet(f"{rollup.path}/deltas/batch=torn")  # an attempt that died before its commit
+    row.write.parquet(f"{rollup.path}/deltas/attempt=torn")  # an attempt that died before its commit
+    assert not rollup.commit("good", "another")  # of two writers, one wins
     assert rollup.totals().first()["tokens"] == 7
     rollup.apply("torn", row)
     assert rollup.totals().first()["tokens"] == 14
@@ -154,8 +155,9 @@ def test_near_duplicates_where_ids_and_names_clash(spark):
 def test_forest_shortens_prefixes_until_recall():
     assert ngram_join.guaranteed_depth(24, 8, 0.8, 0.9999) == 5
     alike, far = [0] * 19 + [10**6], [10**6] + [0] * 19
-    estimate = lambda links, depth: ngram_join.estimated_recall(links, depth, 24, 0.8, 0.01)
+    estimate = lambda links, depth: ngram_join.estimated_recall(links, depth, depth, 24, 0.8, 0.01)
     assert estimate(alike, 8) < 0.9999 < estimate(alike, 7) and estimate(far, 6) < 0.9999 < estimate(far, 5)
+    assert ngram_join.estimated_recall(far, 8, 5, 24, 0.8, 0.01) == pytest.approx(ngram_join.found_share(0.8, 5, 24))
     rng = np.random.default_rng(2)
     key = np.sort(rng.integers(0, 1 << 63, 1000, dtype=np.int64)).view(np.uint64)
     labels = ngram_join.forest_labels(np.concatenate([key, key[:900]]), np.array([0, 1000, 1900]), 500)
@@ -206,6 +208,35 @@ def test_repeats_equal_brute_force(spark, hot, monkeypatch):
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in got.collect())
 
 
+def test_repetitive_text_makes_few_phrases():
+    for text, most in ((b"a" * 20_000, 2), (b"abc" * 7_000, 8), (bytes(random.Random(3).randbytes(20_000)), 20_000 // 30)):
+        raw = np.frombuffer(text, np.uint8)
+        doc, lo, count, distance, _, _, times = suffix_dedup.phrases(raw, np.array([0, len(raw)]))
+        assert (count * times).sum() == len(raw) - 199 and len(lo) <= most and (distance < 169).all()
+
+
+def test_corpus_order_equals_brute_force():
+    rnd = random.Random(15)
+    for _ in range(30):
+        stem = bytes(rnd.choice(b"ab") for _ in range(700))
+        parts, count, distance = [], [], []
+        for _ in range(rnd.randint(1, 12)):
+            d, c = rnd.randint(0, 168), 1
+            c = rnd.randint(1, d + 1)
+            at = rnd.randint(0, 300)
+            body = bytearray(stem[at : at + 199 + c])
+            if rnd.random() < 0.6:
+                body[rnd.randrange(len(body))] = 99
+            parts.append(bytes(body))
+            count.append(c)
+            distance.append(d)
+        offs = np.append(0, np.cumsum([len(x) for x in parts]))
+        group = np.array([rnd.randrange(2) for _ in parts])
+        got = set(zip(*map(np.ndarray.tolist, suffix_dedup.repeated_windows(np.frombuffer(b"".join(parts), np.uint8), offs, group, np.array(count), np.array(distance))), strict=True))
+        seen = collections.Counter((group[k], distance[k] - o, parts[k][o : o + 200]) for k in range(len(parts)) for o in range(count[k]))
+        assert got == {(k, o) for k in range(len(parts)) for o in range(count[k]) if seen[group[k], distance[k] - o, parts[k][o : o + 200]] > 1}
+
+
 def test_repeats_of_nothing(spark):
     assert suffix_dedup.remove_repeats(documents(spark, [])).count() == 0
 
@@ -298,13 +329,36 @@ def test_media_query_columns(spark, tmp_path):
 
 
 def test_folding_and_boundaries():
-    assert toxicity.fold("1D1ОТ ｓｔｕｐíｄ m0r​0n $5 cl@wn") == "idiot stupid moron  s clawn"
+    assert toxicity.fold("1D1ОТ ｓｔｕｐíｄ m0r​0n $5 cl@wn") == "idiot stupid moron s clawn"
     lexicon = toxicity.Lexicon({"idiot": 5.0, "scum*": 2.0})
     words = lambda t: [m[2] for m in toxicity.matches(toxicity.fold(t), lexicon.automaton())]
     assert words("an 1d10t! idiotic scumbag xscum") == ["idiot", "scum*"]
     assert toxicity.matches(toxicity.fold("the clown fish and a clown"), toxicity.Lexicon({"clown": 3.0}).automaton()) == [(21, 26, "clown", 3.0)]
 
 
+def test_matches_and_scores_equal_brute_force():
+    rnd = random.Random(16)
+    lexicon = toxicity.Lexicon({"idiot": 5.0, "scum*": 2.0, "scumbag": 3.0, "clown": 3.0, "i*": 0.5})
+    parts = ["idiot", "idiots", "scum", "scumbag", "clown", "clown  fish", "clown\nfish", "xclown", "id1ot", " ", ". ", "trash can", "i"]
+    automaton = lexicon.automaton()
+    for _ in range(300):
+        text = "".join(rnd.choice(parts) + rnd.choice(["", " "]) for _ in range(rnd.randint(0, 12)))
+        folded = toxicity.fold(text)
+        at_word = lambda p: p == 0 or not folded[p - 1].isalnum()  # noqa: B023, E731
+        ends = lambda p: p >= len(folded) or not folded[p].isalnum()  # noqa: B023, E731
+        safe = [(p, p + len(e)) for e in toxicity.EXCEPTIONS for p in range(len(folded)) if folded.startswith(e, p) and at_word(p) and ends(p + len(e))]
+        want = [(p, p + len(e.rstrip("*")), e, w) for e, w in lexicon.weights.items() for p in range(len(folded)) if folded.startswith(e.rstrip("*"), p) and at_word(p) and (e[-1] == "*" or ends(p + len(e)))]
+        want = [h for h in want if not any(a <= h[0] and h[1] <= b for a, b in safe)]
+        assert sorted(toxicity.matches(folded, automaton)) == sorted(want)
+        best = {}
+        for p, _, _, w in want:
+            best[p] = max(best.get(p, 0), w)
+        total = sum(best.values())
+        a, b, c = lexicon.curve
+        margin = a * math.log(1 + total) + b * math.log(1 + 100 * total / max(20, len(folded.split()))) + c if want else c
+        assert toxicity.score_texts([text], lexicon, automaton)[0][0] == pytest.approx(1 / (1 + math.exp(-margin)))
+
+
 def test_toxicity_learns_and_holds_out(spark):
     rnd = random.Random(3)
     rows, labels = [], []
@@ -607,6 +661,22 @@ def test_quality_learns_and_holds_out(spark):
     assert quality_fm.score(docs, quality_fm.fit(docs, marks.limit(0)), keep=["doc_id"]).first().score == pytest.approx(0.5)
 
 
+def test_quality_query_equals_brute_force(spark):
+    docs = documents(spark, [*ODD, (20, "Some good words. And more of them!"), (21, "BAD!!! %%% $$$")]).withColumn("score", quality_fm.F.lit(9))
+    rng = np.random.default_rng(4)
+    m = quality_fm.Machine(0.1, rng.normal(size=quality_fm.SIZE) * 0.1, rng.normal(size=(quality_fm.SIZE, 2)) * 0.1)
+    got = {(r.doc_id, r.text): r.score for r in quality_fm.score(docs, m).collect()}
+    for (_, text), score in got.items():
+        ids, values, _ = quality_fm.features(*common.utf8(pa.array([text], pa.string())))
+        weights = collections.Counter()
+        for i, x in zip(ids.tolist(), values.tolist(), strict=True):
+            weights[i] = x
+        keys = list(weights)
+        pairs = sum(float(m.factors[a] @ m.factors[b]) * weights[a] * weights[b] for k, a in enumerate(keys) for b in keys[k + 1 :])
+        margin = m.bias + sum(m.linear[a] * weights[a] for a in keys) + pairs
+        assert len(keys) == len(ids) and score == pytest.approx(1 / (1 + math.exp(-margin)), abs=1e-9)
+
+
 # ------------------------------------------------------------------ pipeline
 
 
@@ -623,7 +693,7 @@ def test_pipeline_equals_its_stages_by_hand(spark):
     bench = [r.text for r in common.table(spark, DATA, "benchmark").collect()]
     tokens = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     windows = {tuple(w[i : i + 13]) for w in map(tokens, bench) for i in range(len(w) - 12)}
-    kept = {}
+    kept, masked = {}, {}
     for i, r in single.items():
         w = tokens(r.text)
         hit = set()
@@ -631,16 +701,38 @@ def test_pipeline_equals_its_stages_by_hand(spark):
             if tuple(w[p : p + 13]) in windows:
                 hit.update(range(p, p + 13))
         if not (hit and 20 * len(hit) >= len(w)):
-            kept[i] = len(re.findall(r"[^\x20\x09-\x0D]+", secret_masked(r.text)))
+            masked[i] = r.text
+    dictionary = secret_scan.common_words(documents(spark, list(masked.items())))
+    for i, text in masked.items():
+        kept[i] = len(re.findall(r"[^\x20\x09-\x0D]+", secret_masked(text, dictionary)))
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, DATA).collect()}
     assert {i: r["size"] for i, r in got.items()} == kept
     assert abs(sum(r.taken for r in got.values()) - 1.5 * sum(kept.values())) <= 20
     assert corpus_pipeline.ORACLE_SQL is None and [name for name, _ in corpus_pipeline.STAGES][0] == "toxicity"
 
 
-def secret_masked(text):
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, extra columns with clashing names; and an empty table."""
+    import corpus_pipeline
+
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [*ODD, (None, "no id at all"), (30, "password: \u0130" + "z" * 40_000), (31, long), (32, long + " more"), (33, "x " * 10)]
+    clash = [*("score n_matches __text_hash set block items n_words secrets size taken target body".split())]
+    docs = documents(spark, rows).selectExpr("*", *[f"{k} AS {c}" for k, c in enumerate(clash)])
+    frames = {"documents": docs, "labels": spark.createDataFrame([(33, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int"), "benchmark": spark.createDataFrame([(1, "never seen here"), (2, None)], "item_id long, text string")}
+    for name in ("full", "empty"):
+        for table, frame in frames.items():
+            (frame if name == "full" else frame.limit(0)).write.parquet(str(tmp_path / name / f"{table}.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "full")).collect()
+    left = collections.Counter(r.doc_id for r in got)
+    assert left == collections.Counter({1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1, 8: 1, None: 1, 30: 1, 31: 1, 33: 1})
+    assert next(r.size for r in got if r.doc_id == 31) == 60_000
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
+
+
+def secret_masked(text, words):
     out, at = [], 0
-    for start, _, end in secret_scan.find_spans(text):
+    for start, _, end in secret_scan.find_spans(text, words=words):
         if start >= at:
             out += [text[at:start], "[SECRET]"]
         at = max(at, end)

@@ -182,6 +182,23 @@ def fnv1a_32(text: str) -> str:
     return f"{value:08x}"
 
 
+def code_units(text: Column) -> Column:
+    """The code points of a text, as numbers."""
+    return F.transform(F.filter(F.split(text, ""), lambda c: F.length(c) > 0), lambda c: F.ascii(c).cast("long"))
+
+
+def fnv1a(text: Column) -> Column:
+    """FNV-1a of 32 bits over a column's code points, as a number."""
+    return F.aggregate(code_units(text), F.lit(0x811C9DC5).cast("long"), lambda h, c: (h.bitwiseXOR(c) * F.lit(0x01000193)).bitwiseAND(F.lit(0xFFFFFFFF)))
+
+
+def short_hash(text: Column) -> Column:
+    """The 31-polynomial of a text's code points in 32 signed bits: its absolute value, at most eight hex digits."""
+    value = F.aggregate(code_units(text), F.lit(0).cast("long"), lambda h, c: (h * 31 + c).bitwiseAND(F.lit(0xFFFFFFFF)))
+    signed = F.when(value >= 1 << 31, value - (1 << 32)).otherwise(value)
+    return F.substring(F.lower(F.hex(F.abs(signed))), 1, 8)
+
+
 def strip_trailing_blanks(text: Column) -> Column:
     """A diff without blanks at line ends, so that equal changes share a cache key."""
     return F.regexp_replace(F.regexp_replace(text, "\r\n", "\n"), "(?m)[ \t]+$", "")

@@ -64,6 +64,23 @@ def import_distance(edges: DataFrame, seeds: DataFrame, depth: int = 2, kinds: t
     return reached.groupBy("node").agg(F.min("distance").alias("distance"))
 
 
+def symbol_walk(edges: DataFrame, seeds: DataFrame, depth: int = 3, direction: str = "outgoing", kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """(seed, symbol, depth): symbols that a walk from each seed (symbol) reaches, each once at its smallest depth.
+
+    A level is one join of distinct (seed, symbol) pairs with the steps; pairs that an earlier level had go on no more.
+    """
+    own = edges.where("from_symbol IS NOT NULL AND to_symbol IS NOT NULL")
+    own = own if kinds is None else own.where(F.col("kind").isin(*kinds))
+    out, into = own.select(F.col("from_symbol").alias("a"), F.col("to_symbol").alias("b")), own.select(F.col("to_symbol").alias("a"), F.col("from_symbol").alias("b"))
+    step = (out if direction == "outgoing" else into if direction == "incoming" else out.unionByName(into)).distinct()
+    level = seeds.select(F.col("symbol").alias("seed"), "symbol").distinct()
+    reached = level.withColumn("depth", F.lit(0))
+    for d in range(1, depth + 1):
+        level = level.join(step, F.col("symbol") == F.col("a")).select("seed", F.col("b").alias("symbol")).distinct().join(reached.select("seed", "symbol"), ["seed", "symbol"], "left_anti")
+        reached = reached.unionByName(level.withColumn("depth", F.lit(d)))
+    return reached
+
+
 def meets_confidence(edges: DataFrame, least: str = "heuristic", kinds: tuple[str, ...] | None = None) -> DataFrame:
     kept = edges.where(confidence_rank(F.col("confidence")) >= CONFIDENCE[least])
     return kept if kinds is None else kept.where(F.col("kind").isin(*kinds))

@@ -146,6 +146,18 @@ def best_files(hits: DataFrame, k: int = 10) -> DataFrame:
     return best.orderBy(F.desc("score"), "path").limit(k)
 
 
+def relevant_symbols(hits: DataFrame, k: int = 30) -> DataFrame:
+    """A search's symbols, best first."""
+    return hits.where("result_type = 'symbol' OR symbol_id IS NOT NULL").orderBy(F.desc("score"), "id").limit(k)
+
+
+def with_definition(hits: DataFrame, symbols: DataFrame, symbol: str) -> DataFrame:
+    """Hits of a symbol's context; its definition is put in front, at 200, where the search didn't find it."""
+    own = symbols.where(F.col("id") == symbol).select(F.concat(F.lit("sym:"), "id").alias("id"), F.lit("symbol").alias("result_type"), "path", F.col("id").alias("symbol_id"), "start_line", "end_line", F.lit(200.0).alias("score"), F.lit("high").alias("confidence"))
+    missing = own.join(hits.select("symbol_id"), "symbol_id", "left_anti")
+    return hits.unionByName(missing, allowMissingColumns=True)
+
+
 def related_files(paths: DataFrame, hits: DataFrame, k: int = 20) -> DataFrame:
     """(path, score, labels): graph paths' nodes and hits by file, the better score, all labels."""
     walked = paths.select(F.explode("nodes").alias("path"), "seed", F.col("score").cast("double").alias("score"), F.array_join("kinds", ">").alias("label")).where("path <> seed").drop("seed")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import FUNCTIONALITY_CATEGORIES, js_round, review_score, severity_penalty
+from ..functions.text import fnv1a
 
 # What a text must mention to carry a risk.
 RISKS = {
@@ -45,6 +46,38 @@ def scored_findings(findings: DataFrame, by: str) -> DataFrame:
     return sums.withColumn("score", review_score(F.col("functionality_penalty") + F.col("style_penalty")))
 
 
+def seniority(score: Column) -> Column:
+    """The band of a score out of ten."""
+    return F.when(score >= 9, "Senior").when(score >= 7.5, "Mid-level").when(score >= 6, "Junior").otherwise("Novice")
+
+
+def demo_score(findings: DataFrame, reviews: DataFrame, most: int) -> DataFrame:
+    """(id, score): 10 less the penalties of each review's first findings (id, n, severity), at least 3; one without findings is moved by up to 0.1, by a hash of its seed (reviews: id, seed)."""
+    counted = findings.where(F.col("n") <= most).groupBy("id").agg(F.sum(severity_penalty(F.col("severity"))).alias("penalty"))
+    jitter = ((fnv1a(F.col("seed")) % 10_000) / 10_000 - 0.5) * 0.2
+    raw = F.coalesce(10 - F.col("penalty"), 10 + jitter)
+    return reviews.join(counted, "id", "left").select("id", F.round(F.least(F.lit(10.0), F.greatest(F.lit(3.0), raw)), 2).alias("score"))
+
+
+def index_health(files: DataFrame, chunks: DataFrame, now: Column, days: int = 14) -> DataFrame:
+    """One row: files, chunks, the newest file's time, incomplete without chunks, possibly stale without them or with age."""
+    counts = files.agg(F.count("*").alias("files"), F.max("mtime").alias("updated_at"))
+    cut = chunks.agg(F.count("*").alias("chunks"))
+    both = counts.crossJoin(cut)  # one row each
+    old = F.coalesce(now.cast("double") - F.col("updated_at").cast("double") > days * 86_400, F.lit(True))
+    return both.select("files", "chunks", "updated_at", (F.col("chunks") == 0).alias("incomplete"), ((F.col("chunks") == 0) | old).alias("possibly_stale"))
+
+
+def parser_failures(files: DataFrame, most: int = 40) -> DataFrame:
+    """The first files (path, parse_status) that couldn't be parsed (a report's limit)."""
+    return files.where("parse_status = 'error'").select("path", F.lit("parseStatus=error").alias("message")).orderBy("path").limit(most)
+
+
+def added_counts(a: Column, b: Column) -> Column:
+    """Two maps of counts, summed key by key."""
+    return F.map_zip_with(a, b, lambda _, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)))
+
+
 def task_risks(text: Column, callers: Column, tests: Column, most: int = 8) -> Column:
     """Risk ids of a task's evidence: what it mentions, many callers, no tests."""
     named = [F.when(text.rlike(p), F.lit(name)) for name, p in RISKS.items()]

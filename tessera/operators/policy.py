@@ -115,6 +115,30 @@ def with_capabilities(decisions: DataFrame) -> DataFrame:
     return decisions.withColumns({"allows_retrieval": c != "never_index", "allows_model": c == "normal", "allows_content": c.isin("normal", "local_only", "never_send_to_model")})
 
 
+def full_capabilities(decisions: DataFrame) -> DataFrame:
+    """Decisions (classification, rule_source, language_scoped) with all flags and why a path is held back, if it is."""
+    c, source = F.col("classification"), F.col("rule_source")
+    by_source = F.when(source == "global", "global-exclusion").when(source == "workspace", "workspace-exclusion")
+    hidden = F.coalesce(by_source, F.when(source.isin("toolignore", "gitignore"), source), F.lit("privacy-rule"))
+    reason = F.when(c == "never_index", hidden).when(F.col("language_scoped") & (c != "normal"), "language-exclusion").when(c != "normal", F.coalesce(by_source, F.lit("privacy-rule")))
+    return with_capabilities(decisions).withColumns({"allows_symbols": c != "never_index", "included": c != "never_index", "exclusion_reason": reason})
+
+
+def preview(files: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(path, outcome, reason): what an index would do with files (path, reason the gate gives, or null) under decisions: included, restricted or excluded."""
+    both = files.join(decisions.select("path", "classification"), "path", "left").withColumn("classification", F.coalesce("classification", F.lit("normal")))
+    gone, c = F.col("reason").isNotNull(), F.col("classification")
+    outcome = F.when(gone | (c == "never_index"), "excluded").when(c != "normal", "restricted").otherwise("included")
+    return both.select("path", outcome.alias("outcome"), F.coalesce("reason", F.when(c != "normal", c)).alias("reason"))
+
+
+def overridden(stored: DataFrame, own: DataFrame, key: list[str]) -> DataFrame:
+    """Settings (privacy overrides, conflict ignores, statuses) with a person's new ones by key; a null value takes one back."""
+    value = [c for c in stored.columns if c not in key]
+    kept = stored.join(own.select(*key), key, "left_anti")
+    return kept.unionByName(own.where(" AND ".join(f"`{c}` IS NOT NULL" for c in value)))
+
+
 def for_model(items: DataFrame, decisions: DataFrame) -> DataFrame:
     """Items (path, ...) that may go to a model; paths without a decision pass."""
     return items.join(decisions.select("path", "allows_model"), "path", "left").where(F.coalesce("allows_model", F.lit(True))).drop("allows_model")

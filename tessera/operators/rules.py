@@ -66,24 +66,33 @@ def file_hit(rule: Rule, text: Column) -> Column:
     return hit & ~any_of([text.rlike(f"(?m){p}") for p in rule.negative], False)
 
 
-def line_findings(rule: Rule, text: Column) -> Column:
-    """Array of the rule's findings, one a matching line."""
+def matching(pattern: str):
+    return lambda row: row["text"].rlike(pattern)
+
+
+def line_findings(rule: Rule, text: Column, per_pattern: int | None = None) -> Column:
+    """Array of the rule's findings, one a matching line; ``per_pattern`` keeps each pattern's first lines."""
     rows = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct((i + 1).alias("line"), x.alias("text")))
-    rows = F.filter(rows, lambda x: any_of([x["text"].rlike(p) for p in rule.patterns], False))
+    if per_pattern is None:
+        rows = F.filter(rows, lambda x: any_of([x["text"].rlike(p) for p in rule.patterns], False))
+    else:
+        first = [F.slice(F.filter(rows, matching(p)), 1, per_pattern) for p in rule.patterns]
+        rows = F.array_sort(F.array_distinct(F.concat(*first)))
     named = (F.lit(rule.id).alias("rule_id"), F.lit(rule.category).alias("category"), F.lit(rule.severity).alias("severity"))
     return F.transform(rows, lambda x: F.struct(*named, x["line"].alias("line"), evidence(x["text"]).alias("evidence")))
 
 
-def scan(files: DataFrame, rules: list[Rule], per_rule: int | None = 50, max_bytes: int | None = None) -> DataFrame:
+def scan(files: DataFrame, rules: list[Rule], per_rule: int | None = 50, max_bytes: int | None = None, per_pattern: int | None = None) -> DataFrame:
     """(rule_id, category, severity, path, line, evidence) for files (path, language, text).
 
     The files' rules are found first (path, language, patterns, negative patterns), then
     only matching lines leave the row. ``per_rule`` keeps each rule's first findings in
     path and line order (a report's limit; None keeps all). ``max_bytes`` leaves longer
-    files out (an interactive scan's limit; None scans all).
+    files out and ``per_pattern`` keeps each pattern's first lines of a file (an interactive
+    scan's limits; None scans all).
     """
     path, language, text = F.col("path"), F.col("language"), F.col("text")
-    found = [F.when(applies(r, path, language) & file_hit(r, text), line_findings(r, text)) for r in rules]
+    found = [F.when(applies(r, path, language) & file_hit(r, text), line_findings(r, text, per_pattern)) for r in rules]
     if not found:
         raise ValueError("no rules")
     if max_bytes is not None:

@@ -64,6 +64,12 @@ def apply_changes(stored: DataFrame, changes: DataFrame) -> DataFrame:
     return removed(stored, last).unionByName(last.where("lives").select("path", "hash", "text"))
 
 
+def with_parents(files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Files (path, hash) and one for each path that only chunks (path, file_hash) name."""
+    named = chunks.groupBy("path").agg(F.min("file_hash").alias("file_hash"))
+    return files.join(named, "path", "full_outer").select("path", F.coalesce("hash", "file_hash").alias("hash"), F.col("hash").isNull().alias("implicit"))
+
+
 class IndexStore:
     """Tables of one index as Parquet below a root folder. A publish writes all tables of a version, then the version's marker row; readers take the last marked version, so a half-written one is never seen."""
 
@@ -91,6 +97,12 @@ class IndexStore:
             raise FileNotFoundError(f"no published version below {self.root}")
         return self.spark.read.parquet(f"{self.root}/{name}/version={found}")
 
+    def wipe(self) -> int:
+        """Publish a version in which every table is empty; older versions stay readable by number."""
+        version = max(self.versions())
+        names = [r["name"] for r in self.spark.read.parquet(f"{self.root}/versions/version={version}").collect()]
+        return self.publish({name: self.read(name).limit(0) for name in names})
+
     def counts(self) -> dict[str, int]:
         version = max(self.versions())
         return {r["name"]: self.read(r["name"]).count() for r in self.spark.read.parquet(f"{self.root}/versions/version={version}").collect()}

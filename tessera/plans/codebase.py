@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.scores import stem_of
-from ..operators import chunks, context, extract, graph, hybrid, policy, rules
+from ..operators import chunks, context, extract, graph, hybrid, policy, rules, store
 from ..sources import workspace
 from ..sources.bindings import EDGES_SQL, FILES_SQL, HITS_SQL, PROJECT_SQL, files, key_edges, line_hits, project_paths, table
 
@@ -155,7 +155,95 @@ def redacted_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def capabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.element_at(F.array(*map(F.lit, policy.STRENGTH)), (F.col("id") % 5 + 1).cast("int"))
-    return policy.with_capabilities(files(spark, sf_dir).select("path", kinds.alias("classification")))
+    source = F.element_at(F.array(*map(F.lit, ("global", "workspace", "gitignore", "default"))), (F.col("id") % 4 + 1).cast("int"))
+    return policy.full_capabilities(files(spark, sf_dir).select("path", kinds.alias("classification"), source.alias("rule_source"), (F.col("id") % 3 == 0).alias("language_scoped")))
+
+
+def rules_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an index would do with project paths: the gate's reason first, then the privacy class."""
+    own = project_paths(spark, sf_dir)
+    decisions = policy.privacy_decisions(own, policy.rules_frame(spark, policy.DEFAULT_RULES))
+    gated = own.select("path", workspace.exclusion(F.col("path"), F.length("path").cast("long"), F.lit(False)).alias("reason"))
+    return policy.preview(gated, decisions).groupBy("outcome", "reason").agg(F.count("*").alias("files"))
+
+
+def setting_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' segments as settings, orders' statuses as a person's changes of them; open ones take a setting back."""
+    stored = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("value"))
+    own = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.max("o_orderstatus").alias("value"))
+    return policy.overridden(stored, own.withColumn("value", F.when(F.col("value") != "O", F.col("value"))), ["key"])
+
+
+def conflict_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workspace.conflict_candidates(project_paths(spark, sf_dir)).select("path")
+
+
+def fragment_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workspace.containing(project_paths(spark, sf_dir), ["src1", "/9", "nothing"]).select("path")
+
+
+def memory_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as root files under names of varying case, and as notes of the memory folder."""
+    name = F.element_at(F.array(*map(F.lit, ("README.md", "readme.md", "Agents.MD", "other.md", "AGILE.md"))), (F.col("id") % 5 + 1).cast("int"))
+    path = F.when(F.col("id") % 3 == 0, name).when(F.col("id") % 3 == 1, F.concat(F.lit(".memory/"), "path")).otherwise(F.concat(F.lit(".memory/rag/"), "path"))
+    return workspace.memory_files(files(spark, sf_dir).select(path.alias("path")).distinct())
+
+
+def glob_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return workspace.glob_candidates(project_paths(spark, sf_dir).distinct(), ["src/**/*.ts", "**/src1/*.md", "config/*/1?.json"], 80)
+
+
+def pattern_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each pattern's first two lines of a file, and no more than fifty findings a rule."""
+    own = [rules.Rule("two", "c", "info", "t", ("of", "die "))]
+    return rules.scan(files(spark, sf_dir).where("language IN ('en', 'de')"), own, 50, per_pattern=2).select("path", "line")
+
+
+def symbol_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seeds = table(spark, sf_dir, "region").select(F.concat(F.lit("region/"), "r_regionkey").alias("symbol"))
+    return graph.symbol_walk(key_edges(spark, sf_dir), seeds, 2, "incoming").groupBy("seed", "depth").agg(F.count("*").alias("symbols"), F.min("symbol").alias("first"))
+
+
+def ranked_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as hits: those of even keys are symbols."""
+    even = F.col("c_custkey") % 2 == 0
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("h"), "c_custkey").alias("id"), F.when(even, "symbol").otherwise("chunk").alias("result_type"), F.col("c_name").alias("path"), F.when(even, F.concat(F.lit("s"), "c_custkey")).alias("symbol_id"), (F.col("c_custkey") % 97).cast("double").alias("score"), F.when(F.col("c_nationkey") < 5, "high").when(F.col("c_nationkey") < 12, "medium").otherwise("low").alias("confidence"))
+
+
+def relevant_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hybrid.relevant_symbols(ranked_hits(spark, sf_dir), 30).select("id", "score")
+
+
+def definition_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best hits of a symbol's context, and its definition, which isn't among them."""
+    symbols = table(spark, sf_dir, "customer").select(F.concat(F.lit("s"), "c_custkey").alias("id"), F.col("c_name").alias("path"), F.lit(3).alias("start_line"), F.lit(9).alias("end_line"))
+    hits = hybrid.relevant_symbols(ranked_hits(spark, sf_dir), 20)
+    return hybrid.with_definition(hits, symbols, "s3").select("id", "path", "score", "confidence")
+
+
+def pack_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = context.pack_confidence(ranked_hits(spark, sf_dir).where("score < 12").withColumn("bucket", F.col("score").cast("int")), "bucket")
+    return got.select("bucket", F.round("confidence", 6).alias("confidence"))
+
+
+def chunk_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = files(spark, sf_dir).select("path", F.sha2("text", 256).alias("hash"), "id")
+    cut = own.where("id % 3 > 0").select("path", F.substring("hash", 1, 8).alias("file_hash"))
+    return store.with_parents(own.where("id % 2 = 0").select("path", "hash"), cut.unionByName(cut))
+
+
+def php_test_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as PHP tests that import a class named by their first word; every fifth describes one."""
+    word = F.regexp_extract("text", "([A-Za-z]+)", 1)
+    body = F.concat(F.lit("<?php\nuse App\\"), word, F.lit(";\nuse Tests\\Base;\n"), F.when(F.col("id") % 5 == 0, F.concat(F.lit("describe('"), word, F.lit("', fn() => test('x'));\n"))).otherwise(F.lit("")))
+    path = F.when(F.col("id") % 2 == 0, F.concat(F.lit("tests/"), "id", F.lit("Test.php"))).otherwise(F.concat(F.lit("app/"), "id", F.lit(".php")))
+    own = files(spark, sf_dir).where(word != "").select(path.alias("path"), body.alias("text"))
+    return extract.php_test_edges(extract.edges(own), own, {"App\\": "app/", "Tests\\": "tests/"})
+
+
+def php_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.concat(F.when(F.col("id") % 2 == 0, "<?php\n").otherwise(""), F.when(F.col("id") % 3 == 0, "app('mailer');").otherwise("$x = 1;"))
+    return extract.php_diagnostics(files(spark, sf_dir).select(F.regexp_replace("path", r"\.md$", ".php").alias("path"), body.alias("text")))
 
 
 def best_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -199,6 +287,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         extract_symbols, extract_edges, php_chunks, index_gate, path_marks, related_tests, test_coverage, route_links, namespace_files, annotate_symbols, comment_lines, first_occurrences, required_abstraction, naming_rule,
+        rules_preview, setting_overrides, conflict_candidates, fragment_listing, memory_files, glob_candidates, pattern_cap, symbol_walk, relevant_symbols, definition_context, pack_confidence, chunk_parents, php_test_edges, php_diagnostics,
         worst_findings, visible_hits, redacted_text, capabilities, best_files, hit_excerpts, architecture_layers, changed_paths, related_candidates, test_stems,
     )
 }
@@ -252,7 +341,35 @@ SELECT id, symbol, CASE WHEN symbol IS NULL THEN 'config' ELSE 'source' END AS k
         "worst_findings": f"SELECT rule_id, severity, path, line FROM ({_findings_sql()}) ORDER BY {_RULE_SEVERITY} DESC, path, line, rule_id LIMIT 100",
         "visible_hits": f"WITH p AS ({PROJECT_SQL}), r(pattern, classification, regex) AS (VALUES {_IGNORE}) SELECT path FROM p WHERE NOT ends_with(path, '.json') AND NOT EXISTS (SELECT 1 FROM r WHERE regexp_matches(path, regex) AND classification <> 'normal')",
         "redacted_text": f"SELECT id, sha256(CASE {_case(tuple(_CLASSES), 'id % 5 + 1')} WHEN 'never_index' THEN '' WHEN 'metadata_only' THEN '' WHEN 'normal' THEN text ELSE '[redacted]' END) AS hash FROM ({FILES_SQL})",
-        "capabilities": f"SELECT path, c AS classification, c <> 'never_index' AS allows_retrieval, c = 'normal' AS allows_model, c IN ('normal', 'local_only', 'never_send_to_model') AS allows_content FROM (SELECT path, {_case(tuple(_CLASSES), 'id % 5 + 1')} AS c FROM ({FILES_SQL}))",
+        "capabilities": f"""SELECT path, c AS classification, s AS rule_source, k AS language_scoped, c <> 'never_index' AS allows_retrieval, c = 'normal' AS allows_model, c IN ('normal', 'local_only', 'never_send_to_model') AS allows_content, c <> 'never_index' AS allows_symbols, c <> 'never_index' AS included,
+CASE WHEN c = 'never_index' THEN CASE s WHEN 'global' THEN 'global-exclusion' WHEN 'workspace' THEN 'workspace-exclusion' WHEN 'gitignore' THEN 'gitignore' ELSE 'privacy-rule' END WHEN c = 'normal' THEN NULL WHEN k THEN 'language-exclusion' WHEN s = 'global' THEN 'global-exclusion' WHEN s = 'workspace' THEN 'workspace-exclusion' ELSE 'privacy-rule' END AS exclusion_reason
+FROM (SELECT path, {_case(tuple(_CLASSES), 'id % 5 + 1')} AS c, ['global', 'workspace', 'gitignore', 'default'][id % 4 + 1] AS s, id % 3 = 0 AS k FROM ({FILES_SQL}))""",
+        "rules_preview": f"""WITH p AS ({PROJECT_SQL}), r(pattern, classification, regex) AS (VALUES {_IGNORE}),
+c AS (SELECT path, arg_max(classification, CASE classification WHEN 'never_index' THEN 5 WHEN 'never_send_to_model' THEN 4 WHEN 'metadata_only' THEN 3 WHEN 'local_only' THEN 2 ELSE 1 END) AS c FROM p JOIN r ON regexp_matches(path, regex) GROUP BY path),
+g AS (SELECT p.path, coalesce(c, 'normal') AS c, CASE WHEN starts_with(p.path, 'vendor/') THEN 'excluded-folder' WHEN ends_with(p.path, '.pem') THEN 'unsupported' END AS reason FROM p LEFT JOIN c USING (path))
+SELECT CASE WHEN reason IS NOT NULL OR c = 'never_index' THEN 'excluded' WHEN c <> 'normal' THEN 'restricted' ELSE 'included' END AS outcome, coalesce(reason, nullif(c, 'normal')) AS reason, count(*) AS files FROM g GROUP BY ALL""",
+        "setting_overrides": """WITH o AS (SELECT o_custkey AS key, nullif(max(o_orderstatus), 'O') AS value FROM orders GROUP BY 1)
+SELECT c_custkey AS key, c_mktsegment AS value FROM customer WHERE c_custkey % 2 = 0 AND c_custkey NOT IN (SELECT key FROM o) UNION ALL SELECT key, value FROM o WHERE value IS NOT NULL""",
+        "conflict_candidates": f"SELECT path FROM ({PROJECT_SQL}) WHERE regexp_matches(path, '\\.(ts|php)$') AND NOT starts_with(path, 'vendor/')",
+        "fragment_listing": f"SELECT path FROM ({PROJECT_SQL}) WHERE contains(path, 'src1') OR contains(path, '/9') OR contains(path, 'nothing')",
+        "memory_files": f"""WITH n AS (SELECT id, path, ['README.md', 'readme.md', 'Agents.MD', 'other.md', 'AGILE.md'][id % 5 + 1] AS name FROM ({FILES_SQL})), r AS (SELECT DISTINCT name FROM n WHERE id % 3 = 0 AND name <> 'other.md')
+SELECT '.memory/' || path AS path FROM n WHERE id % 3 = 1 UNION ALL SELECT arg_min(name, (name <> lower(name), name)) FROM r GROUP BY lower(name)""",
+        "glob_candidates": f"""WITH p AS (SELECT DISTINCT path FROM ({PROJECT_SQL})), g AS (SELECT 'src/**/*.ts' AS pattern, path FROM p WHERE regexp_matches(path, '^src/.*\\.ts$') UNION ALL SELECT '**/src1/*.md', path FROM p WHERE regexp_matches(path, '^(.*/)?src1/[^/]*\\.md$') UNION ALL SELECT 'config/*/1?.json', path FROM p WHERE regexp_matches(path, '^config/[^/]*/1[^/]\\.json$'))
+SELECT pattern, path FROM (SELECT *, row_number() OVER (PARTITION BY pattern ORDER BY path) AS n FROM g) WHERE n <= 80""",
+        "pattern_cap": f"""WITH x AS (SELECT path, l[i] AS t, i FROM (SELECT path, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT path, string_split(text, chr(10)) AS l FROM ({FILES_SQL}) WHERE language IN ('en', 'de')))),
+m AS (SELECT path, i, row_number() OVER (PARTITION BY path ORDER BY i) AS n FROM x WHERE contains(t, 'of') UNION ALL SELECT path, i, row_number() OVER (PARTITION BY path ORDER BY i) FROM x WHERE contains(t, 'die ')),
+d AS (SELECT DISTINCT path, i FROM m WHERE n <= 2)
+SELECT path, CAST(i AS INTEGER) AS line FROM (SELECT *, row_number() OVER (ORDER BY path, i) AS k FROM d) WHERE k <= 50""",
+        "symbol_walk": f"""WITH RECURSIVE e AS ({EDGES_SQL}), r(seed, symbol, depth) AS (SELECT 'region/' || r_regionkey, 'region/' || r_regionkey, 0 FROM region UNION ALL SELECT seed, from_symbol, depth + 1 FROM r JOIN e ON to_symbol = symbol WHERE depth < 2)
+SELECT seed, depth, count(DISTINCT symbol) AS symbols, min(symbol) AS first FROM r GROUP BY seed, depth""",
+        "relevant_symbols": "SELECT 'h' || c_custkey AS id, (c_custkey % 97)::DOUBLE AS score FROM customer WHERE c_custkey % 2 = 0 ORDER BY c_custkey % 97 DESC, 'h' || c_custkey LIMIT 30",
+        "definition_context": """(SELECT 'h' || c_custkey AS id, c_name AS path, (c_custkey % 97)::DOUBLE AS score, CASE WHEN c_nationkey < 5 THEN 'high' WHEN c_nationkey < 12 THEN 'medium' ELSE 'low' END AS confidence FROM customer WHERE c_custkey % 2 = 0 ORDER BY c_custkey % 97 DESC, 'h' || c_custkey LIMIT 20)
+UNION ALL SELECT 'sym:s3', c_name, 200.0, 'high' FROM customer WHERE c_custkey = 3""",
+        "pack_confidence": """SELECT CAST(c_custkey % 97 AS INTEGER) AS bucket, round(greatest(0.1, least(0.95, 0.25 + least(0.55, count(*) / 20) + count(*) FILTER (c_nationkey < 5) * 0.03 + count(*) FILTER (c_nationkey BETWEEN 5 AND 11) * 0.015)), 6) AS confidence FROM customer WHERE c_custkey % 97 < 12 GROUP BY 1""",
+        "chunk_parents": f"SELECT path, CASE WHEN id % 2 = 0 THEN sha256(text) ELSE substr(sha256(text), 1, 8) END AS hash, id % 2 = 1 AS implicit FROM ({FILES_SQL}) WHERE id % 2 = 0 OR id % 3 > 0",
+        "php_test_edges": f"""WITH w AS (SELECT id, regexp_extract(text, '([A-Za-z]+)', 1) AS w FROM ({FILES_SQL}) WHERE id % 2 = 0)
+SELECT 'tests/' || id || 'Test.php' AS from_path, 'App\\' || w AS specifier, 'app/' || w || '.php' AS to_path, CASE WHEN id % 5 = 0 THEN 'pest-test' ELSE 'phpunit-test' END AS evidence FROM w WHERE w <> '' UNION ALL SELECT 'tests/' || id || 'Test.php', w, 'app/' || w || '.php', 'pest-describe' FROM w WHERE w <> '' AND id % 5 = 0""",
+        "php_diagnostics": f"SELECT replace(path, '.md', '.php') AS path, 'php-missing-open-tag' AS code FROM ({FILES_SQL}) WHERE id % 2 = 1 UNION ALL SELECT replace(path, '.md', '.php'), 'php-container-runtime' FROM ({FILES_SQL}) WHERE id % 3 = 0",
         "best_files": f"WITH h AS ({HITS_SQL}) SELECT path, max(score) AS score, arg_max(CASE WHEN start_line % 2 = 0 THEN 'symbol' ELSE 'chunk' END, (score, id)) AS result_type FROM h GROUP BY path ORDER BY max(score) DESC, path LIMIT 10",
         "hit_excerpts": f"""WITH c AS (SELECT path, s + 1 AS a, least(s + 20, len(l)) AS b, trim(array_to_string(l[s + 1:s + 20], chr(10)), ' ' || chr(9) || chr(10) || chr(13)) AS t FROM (SELECT path, l, unnest(list_filter(range(0, len(l), 15), lambda s: s = 0 OR s + 5 < len(l))) AS s FROM (SELECT path, string_split_regex(text, '\\r?\\n') AS l FROM ({FILES_SQL})))),
 w AS (SELECT * FROM c WHERE t <> ''), h AS (SELECT 'h' || path || ':' || a AS id, path, a + 16 AS x, a + 18 AS y FROM w WHERE a % 7 = 1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..operators import audit, conventions, metrics
 from ..sources.bindings import EVENTS_SQL, FILES_SQL, PROJECT_SQL, files, project_paths, table, usage_events
 
@@ -72,12 +73,50 @@ def convention_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def task_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.replace(F.replace("text", F.lit(" inea "), F.lit(" invoice ")), F.lit(" edes "), F.lit(" fetchAll "))
-    risks = metrics.task_risks(text, F.length("text") % 20, F.length("text") % 2)
+    body = F.replace(F.replace("text", F.lit(" inea "), F.lit(" invoice ")), F.lit(" edes "), F.lit(" fetchAll "))
+    risks = metrics.task_risks(body, F.length("text") % 20, F.length("text") % 2)
     return files(spark, sf_dir).select("id", F.array_join(risks, ",").alias("risks"))
 
 
-QUERIES = {f.__name__: f for f in (usage_fold, last64, frequent_sources, severity_score, convention_tiers, rival_resolution, convention_dedupe, signal_fingerprint, review_audit, convention_digest, task_risks)}
+def seniority_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as reviews of their line items, by the band of their score."""
+    scored = severity_score(spark, sf_dir)
+    return scored.groupBy(metrics.seniority(F.col("score")).alias("band")).agg(F.count("*").alias("reviews"))
+
+
+def demo_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as reviews with the first three line items as findings; those of even keys have none."""
+    severity = F.element_at(F.array(*map(F.lit, ("info", "hint", "warning", "error", "critical"))), (F.col("l_partkey") % 5 + 1).cast("int"))
+    found = table(spark, sf_dir, "lineitem").where("l_orderkey % 2 = 1").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("n"), severity.alias("severity"))
+    reviews = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("seed"))
+    return metrics.demo_score(found, reviews, 3)
+
+
+def text_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two short hashes of paths."""
+    return files(spark, sf_dir).select("path", text.fnv1a(F.col("path")).alias("fnv"), text.short_hash(F.col("path")).alias("short"))
+
+
+def index_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as files, line items as their chunks, seen on a day."""
+    seen = table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("mtime"))
+    got = metrics.index_health(seen, table(spark, sf_dir, "lineitem"), F.lit("2024-02-20 00:00:00").cast("timestamp"))
+    return got.select("files", "chunks", "incomplete", "possibly_stale")
+
+
+def parser_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = project_paths(spark, sf_dir).select("path", F.when(F.col("path").endswith(".php"), "error").otherwise("ok").alias("parse_status"))
+    return metrics.parser_failures(own.distinct(), 40)
+
+
+def merged_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of two event types of each user, summed key by key."""
+    events = table(spark, sf_dir, "events").select("user_id", F.create_map(F.col("event_type"), F.lit(1)).alias("a"), F.create_map(F.lit("all"), F.lit(1), F.lit("click"), F.lit(2)).alias("b"), "event_id")
+    merged = events.select("event_id", metrics.added_counts(F.col("a"), F.col("b")).alias("m"))
+    return merged.select("event_id", F.array_join(F.array_sort(F.transform(F.map_entries("m"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ",").alias("counts"))
+
+
+QUERIES = {f.__name__: f for f in (seniority_bands, demo_scores, text_hashes, index_health, parser_failures, merged_counts, usage_fold, last64, frequent_sources, severity_score, convention_tiers, rival_resolution, convention_dedupe, signal_fingerprint, review_audit, convention_digest, task_risks)}
 
 _POINTS = "CASE l_partkey % 5 WHEN 0 THEN 0.15 WHEN 1 THEN 0.25 WHEN 2 THEN 0.55 WHEN 3 THEN 0.85 ELSE 1.2 END::DOUBLE"
 _WHY = "replace(replace(text, ' la ', ' because '), ' de ', ' perhaps ')"
@@ -89,7 +128,19 @@ _CONVENTIONS = " UNION ALL ".join(
 )
 _RISK_LIST = ", ".join(f"CASE WHEN regexp_matches(t, '{p}') THEN '{name}' END" for name, p in metrics.RISKS.items())
 
+_SCORES = f"SELECT l_orderkey, round(greatest(0, least(10, 10 - sum({_POINTS}))), 2) AS score FROM lineitem GROUP BY l_orderkey"
+
 ORACLES = {
+    "seniority_bands": f"SELECT CASE WHEN score >= 9 THEN 'Senior' WHEN score >= 7.5 THEN 'Mid-level' WHEN score >= 6 THEN 'Junior' ELSE 'Novice' END AS band, count(*) AS reviews FROM ({_SCORES}) GROUP BY 1",
+    "demo_scores": f"""WITH p AS (SELECT l_orderkey AS id, sum({_POINTS}) AS penalty FROM lineitem WHERE l_orderkey % 2 = 1 AND l_linenumber <= 3 GROUP BY 1),
+h AS (SELECT DISTINCT o_orderpriority AS seed, list_reduce(list_prepend(2166136261::UBIGINT, list_transform(string_split(o_orderpriority, ''), lambda c: ascii(c)::UBIGINT)), lambda a, c: (xor(a, c) * 16777619) % 4294967296) AS h FROM orders)
+SELECT o_orderkey AS id, round(least(10.0, greatest(3.0, coalesce(10 - penalty, 10 + ((h % 10000) / 10000 - 0.5) * 0.2))), 2) AS score FROM orders JOIN h ON seed = o_orderpriority LEFT JOIN p ON id = o_orderkey""",
+    "text_hashes": f"""WITH c AS (SELECT path, list_transform(string_split(path, ''), lambda c: ascii(c)::UBIGINT) AS c FROM ({FILES_SQL})),
+h AS (SELECT path, list_reduce(list_prepend(2166136261::UBIGINT, c), lambda a, x: (xor(a, x) * 16777619) % 4294967296) AS fnv, list_reduce(list_prepend(0::UBIGINT, c), lambda a, x: (a * 31 + x) % 4294967296)::BIGINT AS p FROM c)
+SELECT path, fnv::BIGINT AS fnv, lower(to_hex(CASE WHEN p >= 2147483648 THEN 4294967296 - p ELSE p END)) AS short FROM h""",
+    "index_health": "SELECT (SELECT count(*) FROM events) AS files, (SELECT count(*) FROM lineitem) AS chunks, (SELECT count(*) FROM lineitem) = 0 AS incomplete, (SELECT epoch(TIMESTAMP '2024-02-20 00:00:00') - epoch(max(ts)) > 14 * 86400 FROM events) AS possibly_stale",
+    "parser_failures": f"SELECT DISTINCT path, 'parseStatus=error' AS message FROM ({PROJECT_SQL}) WHERE ends_with(path, '.php') ORDER BY path LIMIT 40",
+    "merged_counts": "SELECT event_id, CASE WHEN event_type = 'click' THEN 'all=1,click=3' ELSE array_to_string(list_sort(['all=1', 'click=2', event_type || '=1']), ',') END AS counts FROM events",
     "usage_fold": f"SELECT kind, sum(greatest(coalesce(n, 1), 1))::BIGINT AS uses, round(coalesce(sum(latency), 0), 3) AS latency_sum, count(latency) AS latency_count, CAST(floor(sum(latency) / count(latency) + 0.5) AS BIGINT) AS latency_avg FROM ({EVENTS_SQL}) GROUP BY kind",
     "last64": f"SELECT kind, id, CAST(n AS INTEGER) AS nth FROM (SELECT kind, id, row_number() OVER (PARTITION BY kind ORDER BY happened DESC, id DESC) AS n FROM ({EVENTS_SQL})) WHERE n <= 64",
     "frequent_sources": f"SELECT path_hash, sum(greatest(coalesce(n, 1), 1))::BIGINT AS uses FROM ({EVENTS_SQL}) GROUP BY path_hash",

@@ -6,11 +6,11 @@ import os
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import extension, language
-from ..operators.policy import ignore_regex
+from ..operators.policy import glob_regex, ignore_regex
 
 # Folders that hold no sources, files and types to index, and types that aren't text.
 SKIP_FOLDERS = ("node_modules", ".git", "vendor", "dist", "build", "out", "coverage", ".next", ".turbo", ".cache", "__pycache__")
@@ -87,6 +87,35 @@ def scanned(files: DataFrame, limit: int = 12_000) -> tuple[DataFrame, DataFrame
     return kept.orderBy(F.desc("priority"), "path").limit(limit), tagged.where("reason IS NOT NULL").select("path", "reason")
 
 
+def conflict_candidates(files: DataFrame) -> DataFrame:
+    """Files whose code conflict rules are held against."""
+    folder = F.exists(F.split("path", "/"), lambda p: p.isin(*SKIP_FOLDERS))
+    return files.where(F.col("path").rlike(r"\.(ts|tsx|js|jsx|mjs|cjs|php)$") & ~folder)
+
+
+def containing(files: DataFrame, fragments: list[str], limit: int | None = None) -> DataFrame:
+    """Files whose paths contain one of the fragments, in order; ``limit`` keeps the first (a listing's limit)."""
+    found = files.where(F.exists(F.array(*map(F.lit, fragments)), lambda f: F.col("path").contains(f)))
+    return found if limit is None else found.orderBy("path").limit(limit)
+
+
+def memory_files(files: DataFrame, folder: str = ".memory") -> DataFrame:
+    """(path, kept files' columns): the root's steering documents, one a name whatever its case (as written first), and the Markdown files of the memory folder outside its index."""
+    from ..operators.chunks import PRIORITY_MEMORY
+
+    low = F.lower("path")
+    root = files.where(low.isin(*PRIORITY_MEMORY)).withColumn("nth", F.row_number().over(Window.partitionBy(low).orderBy(F.desc(F.col("path") == low), "path"))).where("nth = 1").drop("nth")
+    below = files.where(F.col("path").startswith(f"{folder}/") & F.col("path").endswith(".md") & ~F.col("path").contains("/rag/"))
+    return root.unionByName(below)
+
+
+def glob_candidates(files: DataFrame, globs: list[str], most: int = 80) -> DataFrame:
+    """(pattern, path): the first paths that each glob fits (a proposal's limit); globs are compiled into one pass."""
+    fits = F.filter(F.array(*[F.when(F.col("path").rlike(glob_regex(g)), F.lit(g)) for g in globs]), lambda g: g.isNotNull())
+    w = Window.partitionBy("pattern").orderBy("path")
+    return files.select("path", F.explode(fits).alias("pattern")).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most).select("pattern", "path")
+
+
 def ignore_layers(spark: SparkSession, files: DataFrame, names: tuple[str, ...] = (".gitignore",)) -> DataFrame:
     """(dir, rule_no, pattern_regex, negated) of a tree's ignore files, for operators.policy.ignored."""
     rows = []

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name, chunk_id, extension, lines
+from .ranges import binned
 
 WINDOW_LINES, OVERLAP = 80, 12
 # Names of files that steer tools, which weigh most.
@@ -97,8 +98,8 @@ def chunk_files(files: DataFrame) -> DataFrame:
 
 def annotate_with_symbols(chunks: DataFrame, symbols: DataFrame) -> DataFrame:
     """Chunks with the first symbol (by line, then id) that overlaps them; kind becomes source then."""
-    c, s = chunks.alias("c"), symbols.alias("s")
-    over = c.join(s, (F.col("c.path") == F.col("s.path")) & (F.col("c.start_line") <= F.col("s.end_line")) & (F.col("s.start_line") <= F.col("c.end_line")))
+    c, s = binned(chunks.select("id", "path", "start_line", "end_line")).alias("c"), binned(symbols.select("id", "name", "path", "start_line", "end_line")).alias("s")
+    over = c.join(s, (F.col("c.path") == F.col("s.path")) & (F.col("c.bin") == F.col("s.bin")) & (F.col("c.start_line") <= F.col("s.end_line")) & (F.col("s.start_line") <= F.col("c.end_line")))
     first = over.groupBy("c.id").agg(F.min_by("s.name", F.struct("s.start_line", "s.id")).alias("symbol"))
     return chunks.drop("symbol").join(first, "id", "left").withColumn("kind", F.when(F.col("symbol").isNotNull(), F.lit("source")).otherwise(F.col("kind")))
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import evidence
 from . import graph, metrics
+from .ranges import binned
 
 # What a pack may hold at most, and by depth.
 CEILINGS = {"max_files": 40, "max_symbols": 60, "max_chars": 120_000, "dependency_depth": 4}
@@ -98,8 +99,8 @@ def resolve_template(identifier: str | None, own: dict[str, str] | None = None)
 
 def excerpts(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """Hits (id, path, start_line, end_line) with the text of the first chunk that overlaps each."""
-    h, c = hits.alias("h"), chunks.alias("c")
-    over = h.join(c, (F.col("h.path") == F.col("c.path")) & (F.col("c.start_line") <= F.col("h.end_line")) & (F.col("h.start_line") <= F.col("c.end_line")))
+    h, c = binned(hits.select("id", "path", "start_line", "end_line")).alias("h"), binned(chunks.select("id", "path", "start_line", "end_line", "text")).alias("c")
+    over = h.join(c, (F.col("h.path") == F.col("c.path")) & (F.col("h.bin") == F.col("c.bin")) & (F.col("c.start_line") <= F.col("h.end_line")) & (F.col("h.start_line") <= F.col("c.end_line")))
     first = over.groupBy("h.id").agg(F.min_by("c.text", F.struct("c.start_line", "c.id")).alias("excerpt"))
     return hits.join(first, "id", "left")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .ranges import listed
+
 # Rival answers to where domain work lives, weights of confidence, and path conventions with their tiers.
 RIVALS = ("arch:actions-pattern", "layering:services-over-helpers", "arch:commands-and-handlers")
 WEIGHT = {"high": 3, "medium": 2, "low": 1}
@@ -91,4 +93,4 @@ def divergences(files: DataFrame, active: DataFrame, rules=DIVERGENCES) -> DataF
     """(convention, path, reason): files (path, text) that depart from an active convention (id). One pass over the files; the conventions are a short list."""
     tests = [F.when(F.col("path").rlike(where) & F.col("text").rlike(what), F.struct(F.lit(i).alias("convention"), F.lit(why).alias("reason"))) for i, where, what, why in rules]
     found = files.select("path", F.explode(F.filter(F.array(*tests), lambda x: x.isNotNull())).alias("d")).select("d.convention", "path", "d.reason")
-    return found.join(F.broadcast(active.select(F.col("id").alias("convention")).distinct()), "convention", "left_semi")
+    return found.join(listed(active.select(F.col("id").alias("convention")).distinct()), "convention", "left_semi")

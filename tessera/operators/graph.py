@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import CONFIDENCE, confidence_rank, edge_priority
+from .ranges import bin_of, binned
 
 IMPORT_KINDS = ("import", "require", "fileDependency", "export")
 
@@ -102,8 +103,8 @@ def invalidated(edges: DataFrame, changed: DataFrame) -> DataFrame:
 
 def tightest_symbol(positions: DataFrame, symbols: DataFrame) -> DataFrame:
     """(path, line, symbol): the smallest symbol range that holds each position."""
-    p, s = positions.alias("p"), symbols.alias("s")
-    inside = p.join(s, (F.col("p.path") == F.col("s.path")) & (F.col("p.line") >= F.col("s.start_line")) & (F.col("p.line") <= F.col("s.end_line")))
+    p, s = positions.withColumn("bin", bin_of(F.col("line"))).alias("p"), binned(symbols).alias("s")
+    inside = p.join(s, (F.col("p.path") == F.col("s.path")) & (F.col("p.bin") == F.col("s.bin")) & (F.col("p.line") >= F.col("s.start_line")) & (F.col("p.line") <= F.col("s.end_line")))
     return inside.groupBy("p.path", "p.line").agg(F.min_by("s.id", F.struct(F.col("s.end_line") - F.col("s.start_line"), "s.id")).alias("symbol"))
 
 

@@ -22,6 +22,11 @@ def document_frequency(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count("*").alias("df"))
 
 
+def term_frequency(chunks: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, df) straight from texts: each document's distinct terms, one partial sum and one shuffle of terms."""
+    return chunks.select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
 def bm25_term(tf: Column, dl: Column, df: Column, n: Column, average: Column) -> Column:
     idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.greatest(average, F.lit(1.0))))

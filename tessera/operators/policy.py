@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranges import listed
+
 # Strength of privacy classes, precedence of rule sources (0 first), precedence bands of instructions.
 STRENGTH = {"never_index": 5, "never_send_to_model": 4, "metadata_only": 3, "local_only": 2, "normal": 1}
 SOURCE_RANK = {"override": 0, "global": 1, "workspace": 2, "toolignore": 3, "gitignore": 4, "editor": 5, "default": 6}
@@ -93,7 +95,7 @@ def privacy_decisions(paths: DataFrame, rules: DataFrame, overrides: DataFrame |
     override (path, classification) decides alone. Rules are a list that people write, so
     they are broadcast; each path's best match is a partial aggregate.
     """
-    match = paths.join(F.broadcast(rules), F.expr("path rlike regex AND (size(languages) = 0 OR array_contains(languages, language))"))
+    match = paths.join(listed(rules), F.expr("path rlike regex AND (size(languages) = 0 OR array_contains(languages, language))"))
     order = F.struct(strength(F.col("classification")), -source_rank(F.col("source")), "pattern")
     best = match.groupBy("path").agg(F.max_by(F.struct("classification", "source", "pattern"), order).alias("r"))
     decided = paths.select("path").distinct().join(best, "path", "left")
@@ -161,7 +163,7 @@ def ignored(paths: DataFrame, layers: DataFrame) -> DataFrame:
     """
     below = (F.col("dir") == "") | F.expr("startswith(path, concat(dir, '/'))")
     rel = F.expr("if(dir = '', path, substring(path, length(dir) + 2))")
-    hit = paths.select("path").join(F.broadcast(layers), below).withColumn("rel", rel).where(F.expr("rel rlike pattern_regex"))
+    hit = paths.select("path").join(listed(layers), below).withColumn("rel", rel).where(F.expr("rel rlike pattern_regex"))
     per_dir = hit.groupBy("path", "dir").agg(F.max_by("negated", "rule_no").alias("negated"))
     first = per_dir.where("NOT negated").groupBy("path").agg(F.min_by("dir", F.struct(F.length("dir"), "dir")).alias("layer"))
     return paths.select("path").join(first, "path", "left").select("path", F.col("layer").isNotNull().alias("ignored"), "layer")
@@ -190,7 +192,7 @@ def applicable(targets: DataFrame, docs: DataFrame) -> DataFrame:
     live = (F.col("doc_type") != "generated_memory") | ~F.coalesce(F.col("status"), F.lit("generated")).isin("rejected", "stale")
     under = (scope == "") | (t == scope) | F.expr("startswith(target, concat(scope, '/'))")
     fits = F.when(F.col("doc_type") == "generated_memory", F.lit(True)).when(F.col("globs").isNotNull(), F.expr("target rlike globs")).when(F.col("user_configured") | (F.col("binding") == "contextual"), F.lit(True)).otherwise(under)
-    found = targets.join(F.broadcast(docs.where(live)), fits)
+    found = targets.join(listed(docs.where(live)), fits)
     rank = precedence(F.col("doc_type"), scope, t, F.col("binding"), F.col("status"), F.col("globs").isNotNull(), F.col("user_configured"))
     return found.select("target", "doc_path", "binding", rank.alias("precedence"))
 

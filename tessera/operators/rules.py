@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import evidence, fnv1a_32
+from .ranges import listed
 
 SEVERITY = {"info": 1, "hint": 1, "warning": 2, "error": 3, "critical": 4}
 
@@ -128,10 +129,10 @@ def ordered(findings: DataFrame) -> DataFrame:
 def forbidden_imports(imports: DataFrame, rules: DataFrame) -> DataFrame:
     """(rule_id, path, line, detail): imports (path, line, specifier, confidence, method) of forbidden modules.
 
-    rules: (rule_id, path_regex, forbidden); a broadcast of a rule list, the theta condition is a containment.
+    rules: (rule_id, path_regex, forbidden); the theta condition is a containment, the list is short.
     """
     trusted = imports.where(F.coalesce(F.col("confidence"), F.lit("medium")).isin("certain", "high", "medium") | F.col("method").isNull())
-    hit = trusted.join(F.broadcast(rules), F.expr("path rlike path_regex AND contains(specifier, forbidden)"))
+    hit = trusted.join(listed(rules), F.expr("path rlike path_regex AND contains(specifier, forbidden)"))
     return hit.select("rule_id", "path", "line", F.concat(F.lit("import of "), "specifier").alias("detail")).distinct()
 
 
@@ -139,20 +140,20 @@ def required_tests(paths: DataFrame, rules: DataFrame) -> DataFrame:
     """(rule_id, path): files in a rule's scope (rule_id, path_regex) without a test file of their stem."""
     stem = F.regexp_replace(F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]+$", ""), r"(?i)[._-]?(test|spec)$", "")
     tests = paths.where(F.col("path").rlike(r"(?i)(\.(test|spec)\.|/__tests__/|/tests?/|Test\.php$)")).select(stem.alias("stem")).distinct()
-    scoped = paths.where(~F.col("path").rlike(r"(?i)(\.(test|spec)\.|/__tests__/|/tests?/|Test\.php$)")).join(F.broadcast(rules), F.expr("path rlike path_regex"))
+    scoped = paths.where(~F.col("path").rlike(r"(?i)(\.(test|spec)\.|/__tests__/|/tests?/|Test\.php$)")).join(listed(rules), F.expr("path rlike path_regex"))
     return scoped.withColumn("stem", stem).join(tests, "stem", "left_anti").select("rule_id", "path")
 
 
 def missing_abstraction(files: DataFrame, rules: DataFrame) -> DataFrame:
     """(rule_id, path): files in scope whose text has none of the rule's required names (array)."""
-    scoped = files.join(F.broadcast(rules), F.expr("path rlike path_regex"))
+    scoped = files.join(listed(rules), F.expr("path rlike path_regex"))
     return scoped.where(~F.exists("required", lambda r: F.col("text").contains(r))).select("rule_id", "path")
 
 
 def naming(paths: DataFrame, rules: DataFrame) -> DataFrame:
     """(rule_id, path): base names in scope that miss (or, with must_match false, meet) the rule's pattern."""
     name = F.element_at(F.split("path", "/"), -1)
-    scoped = paths.withColumn("base", name).join(F.broadcast(rules), F.expr("path rlike path_regex"))
+    scoped = paths.withColumn("base", name).join(listed(rules), F.expr("path rlike path_regex"))
     return scoped.where(F.expr("(base rlike naming_pattern) <> must_match")).select("rule_id", "path")
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .ranges import binned, first_shared_bin
+
 # Caps of one retrieval.
 BUDGETS = {"file": 12, "symbol": 20, "chunk": 24}
 MAX_CHARS, MAX_TOKENS = 24_000, 6_000
@@ -16,8 +18,8 @@ MAX_CHARS, MAX_TOKENS = 24_000, 6_000
 
 def overlap_pairs(hits: DataFrame) -> DataFrame:
     """(path, a, b): hits of one path whose line ranges meet, a before b by id."""
-    a, b = hits.alias("a"), hits.alias("b")
-    meets = (F.col("a.path") == F.col("b.path")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.start_line") <= F.col("b.end_line")) & (F.col("b.start_line") <= F.col("a.end_line"))
+    a, b = binned(hits).alias("a"), binned(hits).alias("b")
+    meets = (F.col("a.path") == F.col("b.path")) & (F.col("a.bin") == F.col("b.bin")) & (F.col("a.bin") == first_shared_bin(F.col("a.start_line"), F.col("b.start_line"))) & (F.col("a.id") < F.col("b.id")) & (F.col("a.start_line") <= F.col("b.end_line")) & (F.col("b.start_line") <= F.col("a.end_line"))
     return a.join(b, meets).select("a.path", F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 

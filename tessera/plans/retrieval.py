@@ -22,7 +22,7 @@ def doc_token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.document_frequency(lexical.postings(files(spark, sf_dir)))
+    return lexical.term_frequency(files(spark, sf_dir))
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

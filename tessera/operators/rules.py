@@ -21,7 +21,11 @@ SEVERITY = {"info": 1, "hint": 1, "warning": 2, "error": 3, "critical": 4}
 
 @dataclass(frozen=True)
 class Rule:
-    """A finding for each line that a pattern matches, unless a negative pattern matches the file."""
+    """A finding for each line that a pattern matches, unless a negative pattern matches the file.
+
+    With ``flags`` (which may be empty) patterns are searched in the whole text, over lines,
+    and each match is a finding at the line where it begins.
+    """
 
     id: str
     category: str
@@ -35,6 +39,7 @@ class Rule:
     signals: tuple[str, ...] = ()
     version: str = "1"
     origin: str = "builtin"
+    flags: str | None = None
     priority: int = field(default=0, compare=False)
 
 
@@ -58,13 +63,33 @@ def any_of(tests: list[Column], default: bool) -> Column:
 
 def applies(rule: Rule, path: Column, language: Column) -> Column:
     speaks = F.lit(True) if "*" in rule.languages else language.isin(*rule.languages)
-    inside = any_of([path.contains(p) for p in rule.path_includes], True)
-    return speaks & inside & ~any_of([path.contains(p) for p in rule.path_excludes], False)
+    low = F.lower(path)
+    inside = any_of([low.contains(p) for p in rule.path_includes], True)
+    return speaks & inside & ~any_of([low.contains(p) for p in rule.path_excludes], False)
 
 
 def file_hit(rule: Rule, text: Column) -> Column:
-    hit = any_of([text.rlike(f"(?m){p}") for p in rule.patterns], False)
-    return hit & ~any_of([text.rlike(f"(?m){p}") for p in rule.negative], False)
+    how = f"(?m{rule.flags or ''})"
+    hit = any_of([text.rlike(how + p) for p in rule.patterns], False)
+    return hit & ~any_of([text.rlike(how + p) for p in rule.negative], False)
+
+
+def newlines(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
+def match_rows(text: Column, pattern: str, most: int | None) -> Column:
+    """Array of (line, text) of a pattern's matches, where each begins; ``most`` keeps the first."""
+    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
+    found = found if most is None else F.slice(found, 1, most)
+    start = F.struct(F.lit(1).alias("line"), F.array().cast("array<struct<line:int,text:string>>").alias("rows"))
+
+    def step(acc: Column, i: Column) -> Column:
+        here, match = acc["line"] + newlines(F.get(between, i)), F.get(found, i)
+        return F.struct((here + newlines(match)).alias("line"), F.concat(acc["rows"], F.array(F.struct(here.alias("line"), match.alias("text")))).alias("rows"))
+
+    numbers = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(numbers, start, step, lambda acc: acc["rows"])
 
 
 def matching(pattern: str):
@@ -72,14 +97,17 @@ def matching(pattern: str):
 
 
 def line_findings(rule: Rule, text: Column, per_pattern: int | None = None) -> Column:
-    """Array of the rule's findings, one a matching line; ``per_pattern`` keeps each pattern's first lines."""
+    """Array of the rule's findings, one a matching line (a match, with flags); ``per_pattern`` keeps each pattern's first lines."""
+    named = (F.lit(rule.id).alias("rule_id"), F.lit(rule.category).alias("category"), F.lit(rule.severity).alias("severity"))
+    if rule.flags is not None:
+        found = F.array_distinct(F.concat(*[match_rows(text, f"(?m{rule.flags})" + p, per_pattern) for p in rule.patterns]))
+        return F.transform(found, lambda x: F.struct(*named, x["line"].alias("line"), evidence(x["text"]).alias("evidence")))
     rows = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct((i + 1).alias("line"), x.alias("text")))
     if per_pattern is None:
         rows = F.filter(rows, lambda x: any_of([x["text"].rlike(p) for p in rule.patterns], False))
     else:
         first = [F.slice(F.filter(rows, matching(p)), 1, per_pattern) for p in rule.patterns]
         rows = F.array_sort(F.array_distinct(F.concat(*first)))
-    named = (F.lit(rule.id).alias("rule_id"), F.lit(rule.category).alias("category"), F.lit(rule.severity).alias("severity"))
     return F.transform(rows, lambda x: F.struct(*named, x["line"].alias("line"), evidence(x["text"]).alias("evidence")))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.scores import stem_of
 from ..operators import chunks, context, extract, graph, hybrid, policy, rules, store
+from ..operators.risk_rules import BUILTIN, SCAN_LANGUAGES
 from ..sources import workspace
 from ..sources.bindings import EDGES_SQL, FILES_SQL, HITS_SQL, PROJECT_SQL, files, key_edges, line_hits, project_paths, table
 
@@ -47,6 +48,48 @@ def extract_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.edges(code_files(spark, sf_dir)).select("path", "id", "kind", "specifier", "to_path", "line")
 
 
+# The same for the built-in risk rules.
+RISK_MARKS = (
+    (r"^The (\w+)", "setInterval($1, 5);"),
+    (r"^And (\w+)", "console.log('token', $1);"),
+    (r"^Of (\w+)", "Retry(1,\n  allowed_methods=['POST'])"),
+    (r"^Is (\w+)", "try: x()\nexcept Exception:\n    pass"),
+    (r"^It (\w+)", "dump($1)"),
+)
+RISK_ENDINGS = ("ts", "php", "py", "go")
+
+
+def risky_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, language, text): documents as files of four languages; some lines show a production risk."""
+    body = F.regexp_replace("text", r"[{}'\"`;()]", " ")
+    for pattern, line in RISK_MARKS:
+        body = F.regexp_replace(body, "(?m)" + pattern, line)
+    ending = F.element_at(F.array(*map(F.lit, RISK_ENDINGS)), (F.col("id") % 4 + 1).cast("int"))
+    language = F.element_at(F.array(*[F.lit(SCAN_LANGUAGES[e]) for e in RISK_ENDINGS]), (F.col("id") % 4 + 1).cast("int"))
+    return files(spark, sf_dir).select(F.concat(F.regexp_replace("path", r"md$", ""), ending).alias("path"), language.alias("language"), body.alias("text"))
+
+
+def risk_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All findings of the built-in rules that a project of these stacks takes."""
+    own = rules.for_profile(list(BUILTIN), {"path:artisan", "react", "php:composer"})
+    return rules.scan(risky_files(spark, sf_dir), own, None).select("rule_id", "severity", "path", "line")
+
+
+def risk_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = rules.for_profile(list(BUILTIN), {"path:artisan"})
+    return rules.roll_up(rules.scan(risky_files(spark, sf_dir), own, None))
+
+
+def _risk_sql() -> str:
+    body = "regexp_replace(text, '[{}''\"`;()]', ' ', 'g')"
+    for pattern, line in RISK_MARKS:
+        new = line.replace("'", "''").replace("$1", chr(92) + "1").replace("\n", "' || chr(10) || '")
+        body = f"regexp_replace({body}, '(?m){pattern}', '{new}', 'g')"
+    lines = f"SELECT path, k, l[i] AS x, CAST(i AS INTEGER) AS line FROM (SELECT path, k, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT regexp_replace(path, 'md$', '') || {list(RISK_ENDINGS)}[id % 4 + 1] AS path, id % 4 AS k, string_split({body}, chr(10)) AS l FROM ({FILES_SQL})))"
+    shown = (("ts:leak:setinterval-no-clear", "memory-leaks", "warning", "k = 0", "setInterval("), ("any:log:secret-logged", "weak-logging", "error", "true", "console.log("), ("py:retry:requests-retry-post", "retry-duplication", "warning", "k = 2", "Retry("), ("py:log:bare-except-pass", "weak-logging", "error", "k = 2", "except Exception:"), ("any:log:print-in-production", "weak-logging", "hint", "k IN (1, 2)", "dump("))
+    return f"WITH x AS ({lines}) " + " UNION ALL ".join(f"SELECT '{i}' AS rule_id, '{c}' AS category, '{s}' AS severity, path, line FROM x WHERE {test} AND starts_with(x, '{begin}')" for i, c, s, test, begin in shown)
+
+
 def php_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, text): documents as PHP files of one class whose lines are methods, each in one line."""
     body = F.concat(F.lit("<?php\nclass Doc"), F.col("id").cast("string"), F.lit("\n{\n"), F.regexp_replace(F.regexp_replace("text", r"[{}'\"`;()#*/\\$]", " "), r"(?m)^(\w+)", "public function $1() { return 1; } //"), F.lit("\n}\n"))
@@ -286,7 +329,7 @@ def test_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        extract_symbols, extract_edges, php_chunks, index_gate, path_marks, related_tests, test_coverage, route_links, namespace_files, annotate_symbols, comment_lines, first_occurrences, required_abstraction, naming_rule,
+        risk_findings, risk_categories, extract_symbols, extract_edges, php_chunks, index_gate, path_marks, related_tests, test_coverage, route_links, namespace_files, annotate_symbols, comment_lines, first_occurrences, required_abstraction, naming_rule,
         rules_preview, setting_overrides, conflict_candidates, fragment_listing, memory_files, glob_candidates, pattern_cap, symbol_walk, relevant_symbols, definition_context, pack_confidence, chunk_parents, php_test_edges, php_diagnostics,
         worst_findings, visible_hits, redacted_text, capabilities, best_files, hit_excerpts, architecture_layers, changed_paths, related_candidates, test_stems,
     )
@@ -309,6 +352,8 @@ def _oracles() -> dict[str, str]:
 
     lines = _code_sql()
     return {
+        "risk_findings": f"SELECT rule_id, severity, path, line FROM ({_risk_sql()})",
+        "risk_categories": f"SELECT category, count(*) AS findings, count(DISTINCT path) AS files, arg_max(severity, {_RULE_SEVERITY}) AS worst FROM ({_risk_sql()}) GROUP BY category",
         "extract_symbols": f"""WITH x AS ({lines}), k AS (SELECT path, line, x, CASE WHEN regexp_matches(x, '^export class \\w') THEN 'class' WHEN regexp_matches(x, '^function \\w') THEN 'function' WHEN regexp_matches(x, '^export interface \\w') THEN 'interface' WHEN regexp_matches(x, '^type \\w+ =') THEN 'type' WHEN regexp_matches(x, '^enum \\w') THEN 'enum' END AS kind FROM x),
 n AS (SELECT *, regexp_extract(x, '^(?:export )?(?:class|function|interface|type|enum) ([A-Za-z_]\\w*)', 1) AS name FROM k WHERE kind IS NOT NULL)
 SELECT 'typescript:' || path || ':' || name || ':' || line AS id, name, kind, line AS start_line, starts_with(x, 'export') AS exported FROM n WHERE name <> ''""",

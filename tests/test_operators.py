@@ -407,3 +407,24 @@ def test_documents_memory_guard_and_scrub(spark):
     feedback = spark.createDataFrame([(1, "q", ["a", "b"])], "at int, query string, missing array<string>")
     tasks = rows(metrics.evaluation_tasks(feedback), "task", "item")
     assert [t[1] for t in tasks] == ["a", "b"] and len({t[0] for t in tasks}) == 1 and tasks[0][0].startswith("feedback-")
+
+
+def test_builtin_risk_rules(spark):
+    from tessera.operators.risk_rules import BUILTIN
+
+    assert len(BUILTIN) == 48 and len({r.id for r in BUILTIN}) == 48 and len({r.category for r in BUILTIN}) == 9
+    php = "<?php\n$a = 1;\n$acct = Account::find($id);\n$acct->balance -= 5;\n$acct->save();\nvar_dump($a); dd($a);\n"
+    texts = [
+        ("app/Pay.php", "php", php),
+        ("app/Locked.php", "php", php.replace("Account::find($id)", "Account::find($id)->lockForUpdate()")),
+        ("src/a.ts", "typescript", "x\n\nconst c = new Map();\nitems.map(async (i) => {\n  return await db.find(i)\n});\ntry { f() } catch (e) {\n}\n"),
+        ("src/server.ts", "typescript", "console.log('password', p)\n" * 3),
+        ("db/schema.prisma", "prisma", "model A {\n  b B @relation(fields: [bId], references: [id])\n}\n"),
+        ("x.sql", "sql", "create table t (\n a int,\n foreign key (a) references u(id))"),
+    ]
+    found = rules.scan(spark.createDataFrame(texts, "path string, language string, text string"), rules.for_profile(list(BUILTIN), {"path:artisan"}), None)
+    got = rows(found, "path", "rule_id", "line")
+    assert ("app/Pay.php", "php:race:laravel-balance-update", 3) in got and not any(p == "app/Locked.php" and "race" in r for p, r, _ in got)
+    assert [r for r in got if r[0] == "src/a.ts"] == [("src/a.ts", "ts:leak:module-scope-map", 2), ("src/a.ts", "ts:log:swallowed-catch", 7), ("src/a.ts", "ts:nplus1:map-await-find", 4)]
+    assert [r[2] for r in got if r[1] == "any:log:secret-logged"] == [1, 2, 3] and ("db/schema.prisma", "ts:index:prisma-relation-no-index", 2) in got
+    assert ("x.sql", "sql:index:create-table-fk-no-index", 1) in got and sum(r[1] == "any:log:print-in-production" for r in got) == 4

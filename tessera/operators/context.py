@@ -191,6 +191,13 @@ def describe(template: Template) -> dict:
     return asdict(template.clamped()) | {"titles": [SECTIONS[s] for s in template.clamped().sections]}
 
 
+def related_digest(candidates: DataFrame) -> DataFrame:
+    """(id, digest): related candidates (id, path, reason, priority) of each change as one text, the most urgent first."""
+    rows = F.array_sort(F.collect_list(F.struct((-F.col("priority")).alias("order"), "path", "reason")))
+    lines = F.transform(rows, lambda r: F.concat(F.lit("- "), r["path"], F.lit(" ("), r["reason"], F.lit(")")))
+    return candidates.groupBy("id").agg(F.array_join(lines, "\n").alias("digest"))
+
+
 def diff_paths(diffs: DataFrame) -> DataFrame:
     """(id, path): files that unified diffs (id, diff) change, the new name of renamed ones."""
     lines = diffs.select("id", F.explode(F.split("diff", "\r?\n")).alias("line"))

@@ -74,6 +74,14 @@ def manifest_signals(manifests: DataFrame) -> DataFrame:
     return parsed.select("path", F.explode(names).alias("name")).select("path", F.get(F.array(mapping[F.col("name")]), F.lit(0)).alias("signal")).where("signal IS NOT NULL").distinct()
 
 
+def profile(files: DataFrame, signals: DataFrame) -> DataFrame:
+    """One row (fingerprint, conventions): a project's distinct signals (signal), joined, and the active conventions of its paths as id@confidence, sorted."""
+    active = resolved_rivals(path_conventions(files).withColumnRenamed("files", "evidence")).where("active")
+    names = active.agg(F.array_sort(F.collect_list(F.concat_ws("@", "id", "confidence"))).alias("conventions"))
+    print_ = signals.agg(F.array_join(F.array_sort(F.collect_set("signal")), "|").alias("fingerprint"))
+    return print_.crossJoin(names)  # one row each
+
+
 def declared(spark: SparkSession, path: str) -> DataFrame:
     """Conventions that a project declares in JSON: (id, label, confidence, category)."""
     rows = spark.read.json(path, multiLine=True, schema="conventions array<struct<id:string,label:string,confidence:string,category:string>>")

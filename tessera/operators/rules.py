@@ -210,6 +210,13 @@ def conflict_groups(hits: DataFrame) -> DataFrame:
     )
 
 
+def conflict_report(groups: DataFrame) -> DataFrame:
+    """(rule_id, section): groups (rule_id, files, n_files, confidence) as Markdown sections."""
+    title = F.concat(F.lit("## "), "rule_id", F.lit("\n\n"), F.col("n_files").cast("string"), F.when(F.col("n_files") == 1, " file").otherwise(" files"), F.lit(", confidence "), "confidence", F.lit("\n\n"))
+    items = F.array_join(F.transform("files", lambda f: F.concat(F.lit("- `"), f, F.lit("`"))), "\n")
+    return groups.select("rule_id", F.concat(title, items, F.lit("\n")).alias("section"))
+
+
 # ------------------------------------------------------------------ conflict rules as JSON
 
 CONFLICT_RULE = "id string, description string, detector string, appliesTo array<string>, forbiddenImports array<string>, forbiddenDirectories array<string>, databaseAccessPatterns array<string>, environmentPatterns array<string>, requiredTests array<string>, requiredAbstractions array<string>, namingPattern string, enabled boolean, userConfirmed boolean"

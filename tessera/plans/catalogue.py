@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import codebase, evidence, governance, insight, relations, retrieval, tables
+from . import codebase, evidence, governance, insight, relations, retrieval, streams, tables
 
-MODULES = (retrieval, relations, governance, tables, insight, codebase, evidence)
+MODULES = (retrieval, relations, governance, tables, insight, codebase, evidence, streams)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _module in MODULES:

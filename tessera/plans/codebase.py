@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.scores import stem_of
-from ..operators import chunks, context, extract, graph, hybrid, policy, rules, store
+from ..operators import chunks, context, conventions, extract, graph, hybrid, policy, rules, store
 from ..operators.risk_rules import BUILTIN, SCAN_LANGUAGES
 from ..sources import workspace
 from ..sources.bindings import EDGES_SQL, FILES_SQL, HITS_SQL, PROJECT_SQL, files, key_edges, line_hits, project_paths, table
@@ -321,6 +321,25 @@ def related_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.related_candidates(changed, known, edges).groupBy("reason", "priority").agg(F.count("*").alias("files"), F.min("path").alias("first"))
 
 
+def conflict_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as conflict hits of their segment's rule, reported by rule."""
+    hits = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select(F.col("c_mktsegment").alias("rule_id"), F.col("c_name").alias("path"), F.when(F.col("c_nationkey") < 12, "high").otherwise("low").alias("confidence"))
+    return rules.conflict_report(rules.conflict_groups(hits)).select("rule_id", F.sha2("section", 256).alias("hash"), F.length("section").alias("chars"))
+
+
+def related_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as related files of their order, suppliers as reasons."""
+    found = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.concat(F.lit("part/"), "l_partkey", F.lit("-"), "l_linenumber").alias("path"), F.when(F.col("l_suppkey") % 2 == 0, "test").otherwise("imported").alias("reason"), F.when(F.col("l_suppkey") % 2 == 0, 90).otherwise(80).alias("priority"))
+    return context.related_digest(found).select("id", F.sha2("digest", 256).alias("hash"))
+
+
+def project_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = F.element_at(F.array(*map(F.lit, ("app/Actions/", "app/Services/", "src/domain/", "tests/a.spec.", "app/Repositories/", "x/"))), (F.length("path") % 6 + 1).cast("int"))
+    signals = table(spark, sf_dir, "events").select(F.col("event_type").alias("signal"))
+    got = conventions.profile(project_paths(spark, sf_dir).select(F.concat(folder, "path").alias("path")), signals)
+    return got.select("fingerprint", F.array_join("conventions", ",").alias("conventions"))
+
+
 def test_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.col("path")
     return project_paths(spark, sf_dir).groupBy(text.normal_path(F.concat(F.lit("./"), F.regexp_replace(path, "/", "\\\\"))).alias("path")).agg(F.min(stem_of(path)).alias("stem"), F.min(text.language(path)).alias("language"))
@@ -329,7 +348,7 @@ def test_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        risk_findings, risk_categories, extract_symbols, extract_edges, php_chunks, index_gate, path_marks, related_tests, test_coverage, route_links, namespace_files, annotate_symbols, comment_lines, first_occurrences, required_abstraction, naming_rule,
+        conflict_report, related_digest, project_profile, risk_findings, risk_categories, extract_symbols, extract_edges, php_chunks, index_gate, path_marks, related_tests, test_coverage, route_links, namespace_files, annotate_symbols, comment_lines, first_occurrences, required_abstraction, naming_rule,
         rules_preview, setting_overrides, conflict_candidates, fragment_listing, memory_files, glob_candidates, pattern_cap, symbol_walk, relevant_symbols, definition_context, pack_confidence, chunk_parents, php_test_edges, php_diagnostics,
         worst_findings, visible_hits, redacted_text, capabilities, best_files, hit_excerpts, architecture_layers, changed_paths, related_candidates, test_stems,
     )
@@ -347,11 +366,26 @@ _TEST = "regexp_matches(p, '(?i)\\.(test|spec)\\.|/__tests__/|/tests?/')"
 _RULE_SEVERITY = "CASE severity WHEN 'critical' THEN 4 WHEN 'error' THEN 3 WHEN 'warning' THEN 2 ELSE 1 END"
 
 
+def _convention_sql() -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{i}' AS id, count(*) AS files, CASE WHEN count(*) >= {high} THEN 'high' WHEN count(*) >= {medium} THEN 'medium' END AS confidence FROM p WHERE regexp_matches(path, '{pattern}') HAVING count(*) >= {medium}" for i, _, pattern, high, medium in conventions.PATH_CONVENTIONS
+    )
+
+
 def _oracles() -> dict[str, str]:
     from .governance import _findings_sql
 
     lines = _code_sql()
     return {
+        "conflict_report": """WITH h AS (SELECT DISTINCT c_mktsegment AS r, c_name AS p, c_nationkey < 12 AS high FROM customer WHERE c_custkey % 10 = 0),
+g AS (SELECT r, count(DISTINCT p) AS n, CASE WHEN bool_and(high) THEN 'high' WHEN bool_or(high) THEN 'medium' ELSE 'low' END AS c, string_agg(DISTINCT '- `' || p || '`', chr(10) ORDER BY '- `' || p || '`') AS items FROM h GROUP BY r),
+s AS (SELECT r, '## ' || r || chr(10) || chr(10) || n || CASE WHEN n = 1 THEN ' file' ELSE ' files' END || ', confidence ' || c || chr(10) || chr(10) || items || chr(10) AS section FROM g)
+SELECT r AS rule_id, sha256(section) AS hash, CAST(length(section) AS INTEGER) AS chars FROM s""",
+        "related_digest": "SELECT l_orderkey AS id, sha256(string_agg('- part/' || l_partkey || '-' || l_linenumber || CASE WHEN l_suppkey % 2 = 0 THEN ' (test)' ELSE ' (imported)' END, chr(10) ORDER BY l_suppkey % 2, 'part/' || l_partkey || '-' || l_linenumber)) AS hash FROM lineitem GROUP BY l_orderkey",
+        "project_profile": f"""WITH p AS (SELECT ['app/Actions/', 'app/Services/', 'src/domain/', 'tests/a.spec.', 'app/Repositories/', 'x/'][length(path) % 6 + 1] || path AS path FROM ({PROJECT_SQL})), c AS ({_convention_sql()}),
+r AS (SELECT *, files * CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS strength, id IN {conventions.RIVALS} AS rival FROM c),
+w AS (SELECT *, max(strength) FILTER (rival) OVER () AS top, first_value(id) OVER (ORDER BY rival DESC, strength DESC, id) AS best FROM r)
+SELECT (SELECT string_agg(DISTINCT event_type, '|' ORDER BY event_type) FROM events) AS fingerprint, string_agg(id || '@' || confidence, ',' ORDER BY id || '@' || confidence) AS conventions FROM w WHERE NOT rival OR id = best OR strength >= 0.8 * top""",
         "risk_findings": f"SELECT rule_id, severity, path, line FROM ({_risk_sql()})",
         "risk_categories": f"SELECT category, count(*) AS findings, count(DISTINCT path) AS files, arg_max(severity, {_RULE_SEVERITY}) AS worst FROM ({_risk_sql()}) GROUP BY category",
         "extract_symbols": f"""WITH x AS ({lines}), k AS (SELECT path, line, x, CASE WHEN regexp_matches(x, '^export class \\w') THEN 'class' WHEN regexp_matches(x, '^function \\w') THEN 'function' WHEN regexp_matches(x, '^export interface \\w') THEN 'interface' WHEN regexp_matches(x, '^type \\w+ =') THEN 'type' WHEN regexp_matches(x, '^enum \\w') THEN 'enum' END AS kind FROM x),

@@ -3,6 +3,11 @@
 import decimal
 import glob
 import math
+import os
+import pathlib
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -45,3 +50,14 @@ def test_entry_module_lists_everything():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and set(catalogue.QUERIES) <= set(e.queries())
+
+
+def test_entry_module_without_the_training_data_folders(tmp_path):
+    root = pathlib.Path(__file__).parent.parent
+    shutil.copytree(root / "tessera", tmp_path / "tessera", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    for leftover in (False, True):
+        if leftover:
+            (tmp_path / "tessera" / "llm").mkdir()  # an empty folder
+        told = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(q.startswith('op') or q == 'pipeline' for q in e.queries()))"], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
+        assert told.stdout.split() == [str(len(catalogue.QUERIES)), "False"]

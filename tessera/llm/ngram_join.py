@@ -15,15 +15,14 @@ reached; else it goes on at the longest prefix for which it promises that. It en
 latest at the depth at which a pair at the threshold itself meets with the target
 probability.
 
-Verification: sets that nodes of full length join into one component (each node links its
-members to its smallest, so a node of n members gives n - 1 links) are dealt by size and a
-hash into blocks of bounded size; sets that meet others only at a shorter prefix are dealt
-likewise by their largest node. Two blocks that share some node and whose sizes can reach
-the threshold are one task's work, once for all trees and levels: a sparse-to-dense matrix
-product that counts common shingles. It returns each set's number of links and a spanning
-forest of them, never the pairs, so a group of thousands of near copies is dealt over many
-tasks and gives rows in proportion to its members and blocks. Blocks that share no node
-never meet, however long the chain that joins them.
+Verification: sets that share nodes form components (each node links its members to its
+smallest, so a node of n members gives n - 1 links, not all pairs), dealt by size and a hash
+into blocks of bounded size. Each pair of a component's blocks whose sizes can reach the
+threshold is one task's work, once for all trees: a sparse-to-dense matrix product that
+counts common shingles. It returns each set's number of links and a spanning forest of them,
+never the pairs, so a group of thousands of near copies is dealt over many tasks and gives
+rows in proportion to its members and blocks. A shorter prefix is searched anew: it holds
+the longer one's candidates, and links are counted once.
 
 Result: one row a document with class_id (the smallest document id of its class, the sets
 that chains of links join; its own where it is alone) and n_links (documents, copies
@@ -42,7 +41,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ALNUM, U64, document_windows, map_text, materialise, mix, set_aside, slices, table, utf8, words
@@ -261,72 +260,50 @@ def shingles_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
     return map_text(texts, "set binary, shingles array<long>", make, "body", [])
 
 
-def size_band() -> Column:
-    return F.floor(F.log("n_shingles") / math.log(BAND))
-
-
-def dealt_components(inside: DataFrame) -> DataFrame:
-    """(set, copies, block, band): the components that shared nodes make, dealt by size and a hash into blocks of bounded size."""
-    member = components(inside.select(F.col("set").alias("a"), F.col("least").alias("b")).where("a <> b"), "candidates")
-    sized = inside.select("set", "copies", "n_shingles").distinct().join(member.withColumnRenamed("node", "set"), "set").withColumn("band", size_band())
+def blocks_at(leaves: DataFrame, sizes: DataFrame, depth: int) -> DataFrame:
+    """(set, copies, n_shingles, root, block): the components that nodes at this depth make, dealt by size and a hash into blocks of bounded size."""
+    cut = leaves.withColumn("prefix", F.shiftrightunsigned("label", 8 * (DEPTH - depth)))
+    smallest = cut.groupBy("tree", "prefix").agg(F.min("set").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    edges = cut.join(smallest, ["tree", "prefix"]).where("set <> least").select(F.col("set").alias("a"), F.col("least").alias("b")).distinct()
+    member = components(edges, "candidates")
+    sized = sizes.join(member.withColumnRenamed("node", "set"), "set").withColumn("band", F.floor(F.log("n_shingles") / math.log(BAND)))
     sized = materialise(sized.withColumn("salt", F.pmod(F.xxhash64("set"), F.lit(SALTS)).cast("int")), "candidate-sets")
     cells = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
     bands = sized.groupBy("root", "band").agg(cells.alias("cells")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    block = F.xxhash64("root", "band", F.pmod(F.xxhash64("set", F.lit(1)), F.col("cells")))
-    return sized.join(bands, ["root", "band", "salt"]).select("set", "copies", block.alias("block"), "band")
-
+    cell = F.pmod(F.xxhash64("set", F.lit(1)), F.col("cells"))
+    return sized.join(bands, ["root", "band", "salt"]).select("set", "copies", "n_shingles", "root", (F.shiftleft(F.col("band"), 32) + cell).alias("block"))
 
-def dealt_nodes(inside: DataFrame, homes: DataFrame, depth: int) -> DataFrame:
-    """The same for sets that met nobody before: a set's home is its largest node."""
-    new = inside.join(homes.select("set"), "set", "left_anti").groupBy("set").agg(F.first("copies").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.max(F.struct("n", "tree", "prefix")).alias("home"))
-    new = new.withColumn("band", size_band())
-    cells = F.greatest(F.ceil(F.col("home.n") / BLOCK_DOCS), F.ceil(F.col("home.n") * F.pow(F.lit(BAND), F.col("band") + 1) / BLOCK_SHINGLES))
-    block = F.xxhash64(F.lit(depth), "home.tree", "home.prefix", "band", F.pmod(F.xxhash64("set"), cells))
-    return new.select("set", "copies", block.alias("block"), "band")
 
-
-def candidates(shared: DataFrame, depth: int, homes: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """One level of the forest: (set, copies, block, band) of all sets that have a node so far, and (low, high) of the blocks that share one.
-
-    ``homes`` are those of the level before; a set keeps its block.
-    """
-    cut = shared.withColumn("prefix", F.shiftrightunsigned("label", 8 * (DEPTH - depth)))
-    nodes = cut.groupBy("tree", "prefix").agg(F.count("*").alias("n"), F.min("set").alias("least")).where("n > 1")
-    inside = materialise(cut.join(nodes, ["tree", "prefix"]).select("set", "copies", "n_shingles", "tree", "prefix", "n", "least"), f"forest-{depth}")
-    homes = materialise(dealt_components(inside) if homes is None else homes.unionByName(dealt_nodes(inside, homes, depth)), f"homes-{depth}")
-    parts = inside.select("set", "tree", "prefix").join(homes, "set").select("tree", "prefix", "block", "band").distinct()
-    left, right = parts.withColumnsRenamed({"block": "low", "band": "low_band"}), parts.withColumnsRenamed({"block": "high", "band": "high_band"})
-    return homes, left.join(right, ["tree", "prefix"]).where("low <= high").select("low", "high", "low_band", "high_band").distinct()
+def verified_at(leaves: DataFrame, sizes: DataFrame, sets: DataFrame, depth: int, threshold: float) -> DataFrame:
+    """VERIFIED rows of the candidates that share a node at this depth: pairs of a component's blocks whose sizes can reach the threshold."""
+    blocked = materialise(blocks_at(leaves, sizes, depth), f"blocks-{depth}")
+    ranges = blocked.groupBy("root", "block").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+    other = ranges.select("root", F.col("block").alias("high"), F.col("least").alias("high_least"), F.col("most").alias("high_most"))
+    near = (F.col("most") >= threshold * F.col("high_least") - 1e-6) & (F.col("high_most") >= threshold * F.col("least") - 1e-6)
+    pairs = ranges.join(other, "root").where((F.col("block") <= F.col("high")) & near).select("root", F.col("block").alias("low"), "high")
+    sides = pairs.select("root", "low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
+    work = blocked.join(sides, ["root", "block"]).join(sets, "set").select("root", "low", "high", "set", "copies", "block", "shingles")
+    return materialise(work.groupBy("root", "low", "high").applyInArrow(verify(threshold), VERIFIED), f"verified-{depth}")
 
 
 def links_of(docs: DataFrame, reps: DataFrame, threshold: float, recall: float, trees: int, doubt: float, id_col: str, text_col: str) -> DataFrame:
-    """(set, links, to) of the verified candidates, level by level until the target recall."""
+    """(set, links, to) of the verified candidates at the longest prefix that reaches the target recall."""
     shortest = guaranteed_depth(trees, DEPTH, threshold, recall)
-    leaves = reps.select("set", "copies", "n_shingles", F.posexplode("labels").alias("tree", "label"))
+    leaves = reps.select("set", F.posexplode("labels").alias("tree", "label"))
     end = leaves.withColumn("end", F.shiftrightunsigned("label", 8 * (DEPTH - shortest)))
     common = end.groupBy("tree", "end").agg(F.count("*").alias("n")).where("n > 1").select("tree", "end")
-    shared = materialise(end.join(common, ["tree", "end"]).drop("end"), "forest-shared")
-    wanted = materialise(reps.join(shared.select("set").distinct(), "set", "left_semi").select("set", "first.id", "first.text_hash"), "sets-wanted")
-    sets = materialise(shingles_of(docs, wanted, id_col, text_col), "sets")
-    far = math.ceil(-math.log(threshold) / math.log(BAND) - 1e-9)
-    homes = done = found = None
-    counts, depth = [0] * BINS, DEPTH
+    leaves = materialise(end.join(common, ["tree", "end"]).drop("end"), "forest-leaves")
+    sizes = materialise(reps.join(leaves.select("set").distinct(), "set", "left_semi").select("set", "copies", "n_shingles", "first.id", "first.text_hash"), "forest-sizes")
+    sets = materialise(shingles_of(docs, sizes, id_col, text_col), "sets")
+    sizes, depth = sizes.select("set", "copies", "n_shingles"), DEPTH
     while True:
-        homes, pairs = candidates(shared, depth, homes)
-        pairs = pairs.where(F.abs(F.col("low_band") - F.col("high_band")) <= far).select("low", "high")
-        pairs = materialise(pairs if done is None else pairs.join(done, ["low", "high"], "left_anti"), f"pairs-{depth}")
-        if pairs.head(1):
-            sides = pairs.select("low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block"))
-            work = sides.join(homes, "block").join(sets, "set").select("low", "high", "set", "copies", "block", "shingles")
-            level = materialise(work.groupBy("low", "high").applyInArrow(verify(threshold), VERIFIED), f"verified-{depth}")
-            done = pairs if done is None else done.unionByName(pairs)
-            found = level if found is None else found.unionByName(level)
-            for row in level.select(F.posexplode("bins").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():
-                counts[row["k"]] += row["n"]
+        found = verified_at(leaves, sizes, sets, depth, threshold)
+        counts = [0] * BINS
+        for row in found.select(F.posexplode("bins").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():
+            counts[row["k"]] += row["n"]
         if depth == shortest or estimated_recall(counts, depth, depth, trees, threshold, doubt) >= recall:
-            break
+            return found.select("set", "links", "to")
         depth = next((d for d in range(depth - 1, shortest, -1) if estimated_recall(counts, depth, d, trees, threshold, doubt) >= recall), shortest)
-    return (docs.sparkSession.createDataFrame([], VERIFIED) if found is None else found).select("set", "links", "to")
 
 
 def classes_of(docs: DataFrame, threshold: float, recall: float, trees: int, doubt: float, id_col: str, text_col: str) -> DataFrame:

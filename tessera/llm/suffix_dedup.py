@@ -20,8 +20,10 @@ as in a run of one letter, is one row with its times.
    beginning (the parse's suffixes, to the 200 bytes that a window can see). For every
    distance between a window's start and the trigger the two orders are combined into corpus
    order: windows are equal where both orders' neighbours share enough bytes. This is exact,
-   by the bytes themselves. A trigger with more than ``hot`` phrases isn't sorted in one
-   task: its windows are counted one by one, by hash, in a shuffle with partial sums.
+   by the bytes themselves. The phrases of a trigger with more than ``hot`` are sorted in
+   groups that share the bytes behind it (for windows that begin near it) or before it (for
+   the others). If one of these groups still has more than ``most``, the trigger's windows
+   are counted one by one, by hash, in a shuffle with partial sums.
 4. Repeated windows of each document meet its text, which loses the bytes they cover.
 
 Texts are shuffled compressed, and only those that step 3 or 4 needs (a bitmap of fixed
@@ -43,7 +45,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, materialise, mix, slices, table, utf8
 
-LENGTH, GRAM, MODULUS = 200, 32, 64
+LENGTH, GRAM, MODULUS, HALF = 200, 32, 64, 84
 SPAN = LENGTH - GRAM + 1
 PIECE = 1 << 19
 BITMAP_BITS = 27
@@ -266,10 +268,12 @@ def in_order(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order, shared
 
 
-def repeated_windows(raw: np.ndarray, offs: np.ndarray, group: np.ndarray, count: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(phrase, offset) of the windows that another window of the same trigger equals.
+def repeated_windows(raw: np.ndarray, offs: np.ndarray, group: np.ndarray, count: np.ndarray, distance: np.ndarray, far: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(phrase, offset) of the windows that another window of the same group equals.
 
-    Phrases are byte strings with their trigger's distance and number of windows.
+    Phrases are byte strings with their trigger's distance and number of windows. Where
+    ``far`` is given, a phrase stands for its windows that begin more than HALF bytes before
+    the trigger (1), or for the others (0).
     """
     n, padded = len(count), np.append(raw, np.zeros(2 * LENGTH, np.uint8))
     trigger = offs[:-1] + distance
@@ -283,7 +287,8 @@ def repeated_windows(raw: np.ndarray, offs: np.ndarray, group: np.ndarray, count
     ending, following = np.empty(n, np.int64), np.empty(n, np.int64)
     rows, steps = [], []
     for back in range(int(distance.max(initial=-1)) + 1):
-        has = np.flatnonzero((back <= distance) & (back > distance - count))
+        has = (back <= distance) & (back > distance - count)
+        has = np.flatnonzero(has if far is None else has & (far == (back > HALF)))
         if len(has) < 2:
             continue
         # left contexts that are too short share less than ``back`` bytes with all others, so they stand apart
@@ -301,14 +306,15 @@ def repeated_windows(raw: np.ndarray, offs: np.ndarray, group: np.ndarray, count
 
 
 def sorted_suffixes(rows: DataFrame) -> DataFrame:
-    """(key, place, repeated windows as start, end): a trigger's phrases stand together and are put in corpus order."""
+    """(key, place, repeated windows as start, end): a trigger's (or half's) phrases stand together and are put in corpus order."""
 
     def work(batch: pa.RecordBatch):
         raw, offs = binary(batch.column(4))
         place = batch.column(2).to_numpy(zero_copy_only=False)
         single = batch.column(3).to_numpy(zero_copy_only=False) == 1
         _, group = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
-        row, step = repeated_windows(raw, offs, group, place >> 10 & 1023, place & 1023)
+        far = batch.column(5).to_numpy(zero_copy_only=False) if batch.num_columns > 5 else None
+        row, step = repeated_windows(raw, offs, group, place >> 10 & 1023, place & 1023, far)
         row, step = row[single[row]], step[single[row]]
         order = np.lexsort((step, row))
         row, start = row[order], (place >> 20)[row[order]] + step[order]
@@ -343,6 +349,32 @@ def sorted_suffixes(rows: DataFrame) -> DataFrame:
     return rows.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(run, "key long, start long, end long")
 
 
+def halves(rows: DataFrame) -> DataFrame:
+    """The rows of triggers with many phrases, in smaller groups (group in place of trigger, own: the trigger).
+
+    Equal windows that begin at most HALF bytes before the trigger share the bytes from it on
+    that all such windows hold; others share the bytes before it. A phrase stands in one
+    group for its windows of the first kind, in another for those of the second.
+    """
+
+    def run(batches):
+        import xxhash
+
+        for batch in batches:
+            place = batch.column(2).to_numpy(zero_copy_only=False)
+            count, distance = place >> 10 & 1023, place & 1023
+            body = batch.column(4).to_pylist()
+            trigger = batch.column(0).to_pylist()
+            for far, some in ((0, distance - count + 1 <= HALF), (1, distance > HALF)):
+                at = np.flatnonzero(some)
+                cut = [body[k][distance[k] : distance[k] + LENGTH - HALF] if not far else body[k][distance[k] - HALF - 1 : distance[k]] for k in at]
+                group = np.array([xxhash.xxh3_64_intdigest(c, trigger[k] % 2**63 * 2 + far) for c, k in zip(cut, at.tolist(), strict=True)], U64).view(np.int64)
+                part = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(group), *part.columns[1:], pa.array(np.full(len(at), far)), part.column(0)], names=["trigger", "key", "place", "n", "bytes", "far", "own"])
+
+    return rows.mapInArrow(run, "trigger long, key long, place long, n long, bytes binary, far long, own long")
+
+
 def counted_suffixes(rows: DataFrame) -> DataFrame:
     """The same for triggers with very many phrases: every suffix is a row of a grouped count."""
 
@@ -375,7 +407,7 @@ def cut_out(body: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, i
 RESULT = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())]
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = 20_000, with_kept: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = 20_000, most: int = 200_000, with_kept: bool = True) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row: its text without repeated 200-byte strings."""
     spark = docs.sparkSession
     source = keyed(docs, id_col, text_col)
@@ -389,7 +421,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     many = look.where(F.col("phrases") > hot).select("trigger").distinct()
     if many.head(1):
         cut = materialise(cut, "contexts")
-        partial = sorted_suffixes(cut.join(many, "trigger", "left_anti")).unionByName(counted_suffixes(cut.join(many, "trigger", "left_semi")))
+        dense = cut.join(many, "trigger", "left_semi").select("trigger", "key", "place", "n", "bytes")
+        split = materialise(halves(dense), "halves")
+        over = split.groupBy("own", "trigger").count().where(F.col("count") > most).select("own").distinct()
+        partial = sorted_suffixes(cut.join(many, "trigger", "left_anti").select("trigger", "key", "place", "n", "bytes"))
+        partial = partial.unionByName(sorted_suffixes(split.join(over, "own", "left_anti").select("trigger", "key", "place", "n", "bytes", "far")))
+        if over.head(1):
+            partial = partial.unionByName(counted_suffixes(dense.join(over.withColumnRenamed("own", "trigger"), "trigger", "left_semi")))
     else:
         partial = sorted_suffixes(cut)
     whole = occurs.join(dictionary.where("n > 1").select("trigger", "phrase"), ["trigger", "phrase"])

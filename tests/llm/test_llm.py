@@ -195,15 +195,15 @@ def brute_repeats(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("hot", [200_000, 1])
-def test_repeats_equal_brute_force(spark, hot, monkeypatch):
+@pytest.mark.parametrize(("hot", "most"), [(20_000, 200_000), (1, 200_000), (1, 1)])
+def test_repeats_equal_brute_force(spark, hot, most, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 2000)
     rnd = random.Random(1)
     base = "".join(rnd.choice("abcdefgh ") for _ in range(3000))
     rows = [(1, None), (2, ""), (3, "a" * 1000), (4, "ab" * 300), (5, base), (5, base), (6, base[500:1200] + "X" + base[1300:1600]), (7, base[:199]), (8, base[100:300]), (9, base[100:300])]
     rows += [(10, "z" * 150 + base[700:901] + "z" * 150), (11, "é" * 300), (12, "q" * 199), (13, "q" * 199), (14, base[2000:2150] * 3)]
     rows += [(20 + i, "".join(rnd.choice("xyz") for _ in range(90)) + base[1000:1260] + "".join(rnd.choice("xyz") for _ in range(90))) for i in range(9)]
-    got = suffix_dedup.remove_repeats(documents(spark, rows), hot=hot)
+    got = suffix_dedup.remove_repeats(documents(spark, rows), hot=hot, most=most)
     assert sorted((tuple(r)[:5] for r in got.collect()), key=str) == brute_repeats(rows)
     assert all(hashlib.sha256(bytes(r.kept)).hexdigest() == r.kept_sha256 for r in got.collect())
 

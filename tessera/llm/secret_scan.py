@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_text, table
+from .common import map_text, materialise, table
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -89,7 +89,8 @@ def common_words(docs: DataFrame, size: int = DICTIONARY_SIZE, text_col: str = "
     """The dictionary with the ``size`` most frequent words (3 to 24 letters a-z) of all texts."""
     letters = F.explode(F.split(F.lower(text_col), "[^a-z]+")).alias("word")
     counted = docs.select(letters).where("length(word) BETWEEN 3 AND 24").groupBy("word").agg(F.count("*").alias("n"))
-    return Words([r["word"] for r in counted.orderBy(F.desc("n"), "word").limit(size).collect()])
+    best = materialise(counted.orderBy(F.desc("n"), "word").limit(size), "common-words").collect()  # cut to size on executors
+    return Words([r["word"] for r in sorted(best, key=lambda r: (-r["n"], r["word"]))])
 
 
 def runs(value: str, same) -> list[int]:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import code
-from ..functions.text import TEST_FILE, language
+from ..functions.text import TEST_FILE
 
 SYMBOLS = "path string, id string, name string, kind string, start_line int, end_line int, exported boolean, container string, role string, parameters array<string>, summary string"
 EDGES = "path string, id string, kind string, specifier string, to_path string, from_symbol string, to_symbol string, line int, confidence string, method string, evidence string"

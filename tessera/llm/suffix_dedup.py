@@ -1,6 +1,6 @@
 """Repeated-string removal by prefix-free parsing.
 
-A rolling hash of 32 bytes triggers where it is 0 modulo 64; a *phrase* is the text from
+A rolling hash of 32 bytes triggers where it is 0 modulo 128; a *phrase* is the text from
 behind one trigger to the next, with the bytes that follow as far as a 200-byte window that
 begins in it reaches. Whether a place triggers depends on its 32 bytes alone, so equal
 windows are parsed alike wherever they are. (A window without a trigger takes its smallest
@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from .common import U64, materialise, mix, slices, table, utf8
 
-LENGTH, GRAM, MODULUS, HALF = 200, 32, 64, 84
+LENGTH, GRAM, MODULUS, HALF = 200, 32, 128, 84
 SPAN = LENGTH - GRAM + 1
 PIECE = 1 << 19
 BITMAP_BITS = 27

@@ -19,6 +19,7 @@ MODULES = (
     "secret_scan",
     "toxicity",
     "decontaminate",
+    "topk_search",
 )
 
 

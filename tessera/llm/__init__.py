@@ -20,6 +20,7 @@ MODULES = (
     "toxicity",
     "decontaminate",
     "topk_search",
+    "whitening",
 )
 
 

@@ -31,9 +31,10 @@ from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
 from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType
 
 from .common import materialise, table
-from .topk_search import dense, finite
+from .topk_search import finite
 
 SCALE, OFFSET, COMPONENTS = 64, 1_000_000, 16
 #: Rows of a block, columns of a block, row blocks that one task of a transposed product takes.
@@ -106,7 +107,7 @@ def centred(rows: DataFrame, n: int, total: list[int]) -> DataFrame:
                 offsets = pa.array(np.arange(len(vector) + 1, dtype=np.int32) * vector.shape[1])
                 yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(c)) for c in keep], deviation, pa.ListArray.from_arrays(offsets, pa.array(vector.ravel()))], names=[*keep, "deviation", "vector"])
 
-    schema = rows.select(*keep).schema.add("deviation", "bigint").add("vector", "array<double>")
+    schema = rows.select(*keep).schema.add("deviation", LongType()).add("vector", ArrayType(DoubleType()))
     return rows.mapInArrow(work, schema)
 
 
@@ -125,12 +126,11 @@ def scatter(matrix: BlockMatrix, middle: int = MIDDLE) -> np.ndarray:
     return BlockMatrix(product, turned.rowsPerBlock, matrix.colsPerBlock).toLocalMatrix().toArray()
 
 
-def times(matrix: BlockMatrix, right: np.ndarray) -> BlockMatrix:
+def times(spark: SparkSession, matrix: BlockMatrix, right: np.ndarray) -> BlockMatrix:
     """The blocks times a local matrix."""
-    sc = matrix.blocks.context
     high, wide = right.shape
     cut = [((i, j), right[i * BLOCK_COLUMNS : (i + 1) * BLOCK_COLUMNS, j * BLOCK_COLUMNS : (j + 1) * BLOCK_COLUMNS]) for i in range(-(-high // BLOCK_COLUMNS)) for j in range(-(-wide // BLOCK_COLUMNS))]
-    local = sc.parallelize([(at, DenseMatrix(*part.shape, part.ravel(order="F"))) for at, part in cut], len(cut))
+    local = spark.sparkContext.parallelize([(at, DenseMatrix(*part.shape, part.ravel(order="F"))) for at, part in cut], len(cut))
     return matrix.multiply(BlockMatrix(local, BLOCK_COLUMNS, BLOCK_COLUMNS, high, wide))
 
 
@@ -168,13 +168,13 @@ def whiten(rows: DataFrame, components: int = COMPONENTS, scale: int = SCALE, of
         return none
     to_white = vectors / np.sqrt(values)
     # whitened rows of the fit list, centred once more, must have the identity for covariance
-    white = as_rows(times(fitted, to_white))
+    white = as_rows(times(spark, fitted, to_white))
     means = np.array([r[0] for r in white.select(F.posexplode("values").alias("at", "v")).groupBy("at").agg(F.avg("v").alias("m")).orderBy("at").select("m").collect()])
     again = blocks(white.select("index", F.zip_with("values", F.array(*map(F.lit, means.tolist())), lambda v, m: v - m).alias("vector")), n, len(values))
     error = float(np.abs(scatter(again) / n - np.eye(len(values))).max())
     held = materialise(centred(every, n, total), "whitening-centred")
     m = held.count()
-    projected = as_rows(times(blocks(held, m, width), to_white))
+    projected = as_rows(times(spark, blocks(held, m, width), to_white))
     shares = F.array(*[F.lit(float(v)) for v in values / np.trace(covariance)])
     joined = held.select("index", "vec_id", "deviation").join(projected, "index")
     out = joined.select("vec_id", "deviation", F.posexplode("values").alias("at", "whitened"))

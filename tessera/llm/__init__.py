@@ -21,6 +21,7 @@ MODULES = (
     "decontaminate",
     "topk_search",
     "whitening",
+    "conversation_repair",
 )
 
 

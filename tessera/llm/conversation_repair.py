@@ -368,4 +368,41 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op12_conversation_repair": op12_conversation_repair}
-ORACLES: dict = {}
+#: Checksum, damage, faults, and a recursion over rows that keeps the least (cost, audit) of each place.
+ORACLE = f"""
+WITH RECURSIVE crc AS (SELECT {"list_transform(" * 8}range(256){", lambda x: xor(x >> 1, 3988292384 * (x & 1)))" * 8} AS t),
+named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_prepend(4294967295, list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c: CAST(ascii(c) AS BIGINT))) AS key
+  FROM conversations),
+marked AS (SELECT conv_id, turn, role, text, xor(list_reduce(key, lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS how FROM named, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE how WHEN 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM marked, range(2) AS copies(i) WHERE how <> 0 AND (i = 0 OR how = 3)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last FROM damaged),
+judged AS (
+  SELECT *, substr(role, 1, 1) AS initial, CASE WHEN last = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'd' WHEN last NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+    lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before
+  FROM placed),
+steps(p, initial, q) AS (VALUES ('0', 's', 's'), ('0', 'u', 'u'), ('s', 'u', 'u'), ('u', 'a', 'a'), ('a', 'u', 'u')),
+inserted(p, q, cost, letters, lines) AS (VALUES ('0', '0', 0, '', []), ('s', 's', 0, '', []), ('u', 'u', 0, '', []), ('a', 'a', 0, '', []), ('0', 'u', 2, 'I', ['user:']), ('s', 'u', 2, 'I', ['user:']), ('u', 'a', 2, 'I', ['assistant:']), ('a', 'u', 2, 'I', ['user:']), ('0', 'a', 4, 'II', ['user:', 'assistant:']), ('s', 'a', 4, 'II', ['user:', 'assistant:'])),
+edits AS (
+  SELECT conv_id, pos, p, p AS q, 3 AS cost, 'D' AS letter, [] AS lines FROM judged, (SELECT DISTINCT p FROM inserted)
+  UNION ALL SELECT conv_id, pos, p, q, CASE fault WHEN 't' THEN 1 ELSE 0 END, 'K', [role || ':' || text] FROM judged JOIN steps USING (initial) WHERE fault NOT IN ('b', 'd')
+  UNION ALL SELECT conv_id, pos, p, q, CASE fault WHEN 't' THEN 3 ELSE 2 END, 'R', [CASE s.initial WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text] FROM judged, steps s WHERE fault NOT IN ('b', 'd') AND s.initial <> 's'),
+walk AS (
+  SELECT c.conv_id, CAST(0 AS BIGINT) AS pos, q AS place, struct_pack(cost := cost, audit := letters, lines := CAST(lines AS VARCHAR[])) AS best FROM (SELECT DISTINCT conv_id FROM conversations) c, inserted WHERE p = '0'
+  UNION ALL
+  SELECT w.conv_id, e.pos, i.q, min(struct_pack(cost := w.best.cost + e.cost + i.cost, audit := w.best.audit || e.letter || i.letters, lines := list_concat(list_concat(w.best.lines, CAST(e.lines AS VARCHAR[])), CAST(i.lines AS VARCHAR[]))))
+  FROM walk w JOIN edits e ON e.conv_id IS NOT DISTINCT FROM w.conv_id AND e.pos = w.pos + 1 AND e.p = w.place JOIN inserted i ON i.p = e.q
+  GROUP BY w.conv_id, e.pos, i.q),
+ends AS (SELECT conv_id, arg_min(best, (-pos, best)) AS best FROM walk WHERE place IN ('0', 'a') GROUP BY conv_id),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(best.cost AS BIGINT) AS cost, best.audit AS audit, sha256(array_to_string(best.lines, chr(10))) AS repaired_sha256
+FROM ends e LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
+ORACLES = {"op12_conversation_repair": ORACLE}

@@ -7,10 +7,13 @@ dictionary words, dates, repeats, sequences, keyboard walks and brute-force char
 dynamic programming over its characters. Runs count as far as they go, or one or two
 characters (one block, for repeats) less, so the work is in proportion to the value's
 length, however long it is. The dictionary is a short list of common passwords and
-placeholders, followed by the corpus's most frequent words in order (``common_words``
-counts them over all documents; what it collects is bounded by ``size``). A value that takes at least
-``10 ** min_log_guesses`` guesses is a secret, also one of letters alone; placeholders such
-as ``changeme2024`` aren't. A value in which another context starts is judged, and so is
+placeholders, and the corpus's ordinary words (``common_words``): those written as words are,
+outside all credential values, in at least a ``share`` of the documents. A word costs the
+more the fewer documents hold it, so neither entry nor cost depends on the corpus's size, and
+a secret isn't in the dictionary for standing in credentials, however often. What the driver
+collects is bounded by the mean number of distinct words a document over ``share``. A value
+that takes at least ``10 ** min_log_guesses`` guesses is a secret, also one of letters alone;
+placeholders such as ``changeme2024`` aren't. A value in which another context starts is judged, and so is
 that context's value, so guess spans may lie inside each other.
 
 Scanning is one pass over all whole texts without a shuffle; offsets are code points, ends
@@ -24,12 +27,14 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_text, materialise, table
+from .common import map_text, table
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -68,29 +73,52 @@ def neighbours() -> dict[str, set[str]]:
 
 
 BESIDE = neighbours()
-#: Frequent words that the dictionary takes from the corpus.
-DICTIONARY_SIZE = 20_000
+#: Share of the documents that hold an ordinary word, at least; guesses for a word that every document holds.
+SHARE, EVERYWHERE = 1 / 2000, 30
+ORDINARY = re.compile(r"(?<!\w)(?:[A-Za-z][a-z]{2,23}|[A-Z]{3,24})(?!\w)")
 
 
 class Words:
-    """A dictionary: words to log10 of their rank."""
+    """A dictionary: words to log10 of the guesses for them, by rank for listed ones, by share of the documents for others."""
 
-    def __init__(self, words: list[str]):
+    def __init__(self, words: list[str], shares: dict[str, float] | None = None):
         self.costs: dict[str, float] = {}
         for rank, word in enumerate([*COMMON, *words], 1):
             self.costs.setdefault(word, math.log10(rank + 1))
+        for word, share in (shares or {}).items():
+            self.costs[word] = min(self.costs.get(word, math.inf), math.log10(EVERYWHERE / share))
         self.longest = max(map(len, self.costs))
 
 
 DEFAULT = Words([])
 
 
-def common_words(docs: DataFrame, size: int = DICTIONARY_SIZE, text_col: str = "text") -> Words:
-    """The dictionary with the ``size`` most frequent words (3 to 24 letters a-z) of all texts."""
-    letters = F.explode(F.split(F.lower(text_col), "[^a-z]+")).alias("word")
-    counted = docs.select(letters).where("length(word) BETWEEN 3 AND 24").groupBy("word").agg(F.count("*").alias("n"))
-    best = materialise(counted.orderBy(F.desc("n"), "word").limit(size), "common-words").collect()  # cut to size on executors
-    return Words([r["word"] for r in sorted(best, key=lambda r: (-r["n"], r["word"]))])
+def ordinary_words(text: str) -> set[str]:
+    """Words of text outside its credential values, in lower case; runs of mixed case or with digits are none."""
+    out, at = [], 0
+    for _, start, end in sorted((begin, start, end) for begin, start, end, _ in values(text)):
+        out.append(text[at:start])
+        at = max(at, end)
+    return {w.lower() for w in ORDINARY.findall(" ".join([*out, text[at:]]))}
+
+
+def common_words(docs: DataFrame, share: float = SHARE, text_col: str = "text") -> Words:
+    """The dictionary with the words that at least ``share`` of all documents hold outside credential values."""
+    n = docs.count()
+
+    def count(batches):
+        found: Counter = Counter()
+        for batch in batches:
+            for value in batch.column(0):
+                if text := value.as_py():
+                    found.update(ordinary_words(text))
+            if len(found) > 100_000:
+                yield pa.RecordBatch.from_pydict({"word": list(found), "n": list(found.values())})
+                found.clear()
+        yield pa.RecordBatch.from_pydict({"word": pa.array(list(found), pa.string()), "n": pa.array(list(found.values()), pa.int64())})
+
+    counted = docs.select(text_col).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return Words([], {r["word"]: r["n"] / n for r in counted.where(F.col("n") >= share * n).collect()})
 
 
 def runs(value: str, same) -> list[int]:
@@ -156,14 +184,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found + [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
 
 
-def guess_spans(text: str, min_log_guesses: float, words: Words = DEFAULT) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of credential values that take at least 10 ** min_log_guesses guesses."""
+def values(text: str) -> Iterator[tuple[int, int, int, int]]:
+    """Credential values: start of their run (another value may start inside it), own start, run's end, own end without closing signs."""
     low = text.lower()
     if not any(w in low for w in CONTEXT_NAMES):
-        return []
-    found = set()
+        return
     begin = end = last = 0
-    costs: list[float] | None = None
     for name in NAME.finditer(text):
         m = SEPARATOR.match(text, name.end()) or (BEARER.match(text, name.end()) if name[0].lower().endswith("bearer") else None)
         if not m:
@@ -173,17 +199,24 @@ def guess_spans(text: str, min_log_guesses: float, words: Words = DEFAULT) -> li
             run = VALUE.match(text, start)
             if not run:
                 continue
-            begin, end, costs = start, run.end(), None
+            begin, end = start, run.end()
             last = start + len(run[0].rstrip(".)]}!?"))
+        yield begin, start, end, last
+    for m in URL_PASSWORD.finditer(text):
+        yield m.start(1), m.start(1), m.end(1), m.end(1)
+
+
+def guess_spans(text: str, min_log_guesses: float, words: Words = DEFAULT) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of credential values that take at least 10 ** min_log_guesses guesses."""
+    found = set()
+    of, first, costs = (-1, -1), 0, [0.0]
+    for begin, start, end, last in values(text):
         if end - start < LEAST or last - start < min_log_guesses:  # no character takes more than ten guesses
             continue
-        if costs is None:
-            begin, costs = start, suffix_costs(text[start:last], words)
-        if costs[start - begin] >= min_log_guesses:
+        if of != (begin, last):  # values inside one run share its costs
+            of, first, costs = (begin, last), start, suffix_costs(text[start:last], words)
+        if costs[start - first] >= min_log_guesses:
             found.add((start, 3, last))
-    for m in URL_PASSWORD.finditer(text):
-        if log_guesses(m[1], words) >= min_log_guesses:
-            found.add((m.start(1), 3, m.end(1)))
     return sorted(found)
 
 

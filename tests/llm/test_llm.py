@@ -543,6 +543,47 @@ def test_guess_spans_equal_every_position():
     secret_scan.guess_spans("token=" * 20_000, 10.0)  # values inside values share one pass
 
 
+def test_a_corpus_keeps_its_secrets_out_of_its_dictionary(spark):
+    """Values stay secrets under the corpus's own dictionary, whatever its size and however often it holds them."""
+    secrets = ["zqvhwtkfprmxy", "wJalrXUtnFEMIkgh", "aqvbhwtkfprmx"]
+    texts = [f"pwd: {secrets[0]} was set", f"passwd_hash => {secrets[1]}; see the wiki", f"x://u:{secrets[2]}@h", "the gardener wrote internationalisation in the wiki", "pwd: internationalisation"]
+    for times in (1, 400):
+        docs = documents(spark, [(i, t) for i, t in enumerate(texts * times)])
+        words = secret_scan.common_words(docs)
+        found = secret_scan.scan(docs, words=words).where("doc_id < 5").orderBy("doc_id").collect()
+        assert [[r.text[s.start : s.end] for s in r.secrets] for r in found] == [[secrets[0]], [secrets[1]], [secrets[2]], [], []]
+        assert not {s.lower() for s in secrets} & set(words.costs) and words.costs["wiki"] == pytest.approx(math.log10(secret_scan.EVERYWHERE * 5 / 2))
+    lone = documents(spark, [(i, f"secret = {secrets[0]}") for i in range(1000)])
+    assert secret_scan.scan(lone, words=secret_scan.common_words(lone)).where("exists(secrets, s -> s.kind = 'guess')").count() == 1000
+    assert secret_scan.common_words(documents(spark, ODD[:3])).costs == secret_scan.DEFAULT.costs
+    assert secret_scan.common_words(documents(spark, [])).costs == secret_scan.DEFAULT.costs
+
+
+def test_corpus_dictionary_equals_every_position(spark):
+    """Words are counted outside the values that a search from every position finds; spans follow from that dictionary."""
+    rnd = random.Random(21)
+    name = re.compile(r"(?:pass(?!age|eng|ion|iv|port)|pwd|secret(?!ar|e|i|ly)|token(?!i[sz])|api[_-]?key|auth(?!or(?!i[sz])|entic(?!at))|credential|(?:private|access)[_-]?key|bearer)[A-Za-z0-9_-]*", re.I)
+    rest = re.compile(r"""["']?\s*(?:=>|:=|[:=]|\bis\b)\s*["']?([^\s"'<>,;]+)""", re.I)
+    parts = ["auth: ", "pwd=", "x://u:", "@h ", " is ", "bearer ", "river", "Stone", "MOON ", "heRon ", "gravelly7 ", "the ", "sea_", " ", " ", ", ", "\n", "pwd=pwd=", "Wjgqzvkrtxbhm", "gravelstone"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(60)]
+    held: collections.Counter = collections.Counter()
+    for text in texts:
+        gone = set()
+        for p in range(len(text)):
+            if m := name.match(text, p):
+                v = rest.match(text, m.end()) or (m[0].lower().endswith("bearer") and re.compile(r"""["']?\s+["']?([^\s"'<>,;]+)""").match(text, m.end()))
+                gone |= set(range(*v.span(1))) if v else set()
+        for m in re.finditer(r"://[^\s:/@]*:([^\s/@]{6,})@", text):
+            gone |= set(range(*m.span(1)))
+        left = "".join(" " if i in gone else c for i, c in enumerate(text))
+        held.update({w.lower() for w in re.findall(r"\w+", left) if re.fullmatch("[A-Za-z][a-z]{2,23}|[A-Z]{3,24}", w)})
+    docs = documents(spark, list(enumerate(texts)))
+    words = secret_scan.common_words(docs, share=0.05)
+    assert {w: c for w, c in words.costs.items() if w not in secret_scan.DEFAULT.costs} == pytest.approx({w: math.log10(30 * 60 / n) for w, n in held.items() if n >= 3 and w not in secret_scan.DEFAULT.costs})
+    got = {r.doc_id: [(s.start, secret_scan.KINDS.index(s.kind), s.end) for s in r.secrets] for r in secret_scan.scan(docs, words=words).collect()}
+    assert got == {i: secret_scan.find_spans(t, 10.0, words) for i, t in enumerate(texts)} and any(s[1] == 3 for v in got.values() for s in v)
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     docs = documents(spark, [*ODD, (50, 'x token = "11cfdfb36bb72224148e6160f674b4be45601bff" y')])
     got = secret_scan.redact(docs.withColumn("secrets", docs.doc_id))

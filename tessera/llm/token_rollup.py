@@ -5,7 +5,8 @@ key). Batches are summed by key before they are stored, and totals are sums over
 batches, so inserts, deletes and revised counts (an old count lost, a new one gained) are
 all additive and may come in any order. A batch is committed under its id: its rows are
 written first, below a name of this attempt's own, then a commit file of the id's hash that
-names the attempt and can be made only once. So a batch whose id is committed changes
+names the attempt: a whole file that can be made only once (a writer lost on the way leaves
+none, and the batch can be sent again). So a batch whose id is committed changes
 nothing, of two writers of one id one wins whole, and what a lost attempt left doesn't
 count. ``compact`` folds committed batches into one.
 
@@ -27,10 +28,10 @@ import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.markers import exists, make_once
 from .common import map_text, materialise, shared_dir, table
 
 KEYS = ["source", "lang", "version"]
@@ -46,11 +47,6 @@ def counter(pattern: str) -> Callable[[Column], Column]:
 TOKENIZERS = {"words-1": counter(WORD), "pieces-1": counter(PIECE)}
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-
-
 class TokenRollup:
     """Totals kept at a path that driver and executors share."""
 
@@ -68,16 +64,7 @@ class TokenRollup:
 
     def commit(self, batch_id: str, attempt: str) -> bool:
         """Make the commit file; False if somebody else has."""
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.commit_file(batch_id))
-        try:
-            out = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(at, False)
-        except Py4JJavaError as error:
-            if exists(self.spark, self.commit_file(batch_id)):
-                return False
-            raise error
-        out.write(bytearray(f"{attempt}\n".encode()))
-        out.close()
-        return True
+        return make_once(self.spark, self.commit_file(batch_id), f"{attempt}\n")
 
     def apply(self, batch_id: str, deltas: DataFrame) -> bool:
         """Add signed rows (SCHEMA) under batch_id; False if it is committed already."""
@@ -85,24 +72,25 @@ class TokenRollup:
             return False
         attempt = uuid.uuid4().hex
         summed = deltas.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
-        summed.coalesce(1).write.parquet(f"{self.path}/deltas/attempt={attempt}")
+        summed.write.parquet(f"{self.path}/deltas/attempt={attempt}")
         return self.commit(batch_id, attempt)
 
     def committed(self) -> DataFrame:
         """Stored rows of committed batches."""
-        if not exists(self.spark, f"{self.path}/commits"):
+        if not all(exists(self.spark, f"{self.path}/{folder}") for folder in ("commits", "deltas")):
             return self.spark.createDataFrame([], f"{SCHEMA}, attempt string")
         rows = self.spark.read.schema(f"{SCHEMA}, attempt string").parquet(f"{self.path}/deltas")
-        return rows.join(self.spark.read.text(f"{self.path}/commits").select(F.col("value").alias("attempt")), "attempt", "left_semi")
+        named = self.spark.read.text(f"{self.path}/commits").select(F.col("value").alias("attempt"))
+        return rows.join(named.where("attempt <> ''"), "attempt", "left_semi")
 
     def totals(self) -> DataFrame:
         summed = self.committed().groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in SUMS])
         return summed.where("docs <> 0 OR tokens <> 0 OR chars <> 0")
 
-    def compact(self, path: str, batch_ids: list[str]) -> TokenRollup:
-        """The same totals at a new path, in one batch; batch_ids (what the writers still might send again) count as committed there."""
+    def compact(self, path: str, batch_ids: DataFrame) -> TokenRollup:
+        """The same totals at a new path, in one batch; batch_ids (a column ``batch``: what the writers still might send again) count as committed there."""
         new = TokenRollup(self.spark, path)
-        self.spark.createDataFrame([(b,) for b in batch_ids], "batch string").coalesce(1).write.parquet(f"{path}/folded")
+        batch_ids.select("batch").write.parquet(f"{path}/folded")
         new.apply("base", self.committed().select(*KEYS, *SUMS))
         return new
 

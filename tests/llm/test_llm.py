@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from tessera.sources import markers
 from tessera.llm import common, decontaminate, media_ts, ngram_join, quality_fm, secret_scan, source_mix, suffix_dedup, token_rollup, toxicity, url_cascade
 
 DATA = "/root/testdata/sf0.001"
@@ -64,7 +65,7 @@ def test_rollup_is_additive_and_idempotent(spark, tmp_path):
     rollup.apply("empty", rows.limit(0))
     want = {("s", "en", "w", 2, 3, 5), (None, None, "w", 1, 5, 1)}
     assert {tuple(r) for r in rollup.totals().collect()} == want
-    compact = rollup.compact(str(tmp_path / "c"), ["b1", "b2"])
+    compact = rollup.compact(str(tmp_path / "c"), spark.createDataFrame([("b1", 0), ("b2", 0)], "batch string, deltas int"))
     assert {tuple(r) for r in compact.totals().collect()} == want and not compact.apply("b2", rows)
 
 
@@ -79,6 +80,39 @@ def test_uncommitted_rows_do_not_count(spark, tmp_path):
     assert rollup.totals().first()["tokens"] == 14
 
 
+@pytest.mark.parametrize("step", ["before the rows", "after the rows", "before the name", "after the name"])
+def test_a_lost_writer_loses_no_batch(spark, tmp_path, monkeypatch, step):
+    """A writer stops at each step; what it leaves counts only with its commit, and the batch can be sent again."""
+    rollup = token_rollup.TokenRollup(spark, str(tmp_path / "r"))
+    row = spark.createDataFrame([("s", "en", "w", 1, 7, 9, "own")], f"{token_rollup.SCHEMA}, attempt string")
+    rollup.apply("other", row)
+
+    def stop(*_):
+        raise RuntimeError(step)
+
+    if step == "before the rows":
+        monkeypatch.setattr(token_rollup.uuid, "uuid4", stop)
+    elif step == "after the rows":
+        monkeypatch.setattr(token_rollup.TokenRollup, "commit", stop)
+    elif step == "before the name":
+        monkeypatch.setattr(markers.os, "link", stop)
+    else:
+        real = token_rollup.make_once
+        monkeypatch.setattr(token_rollup, "make_once", lambda *a: real(*a) and stop())
+    with pytest.raises(RuntimeError):
+        rollup.apply("b", row)
+    monkeypatch.undo()
+    assert rollup.totals().first()["tokens"] == (14 if step == "after the name" else 7)
+    assert rollup.apply("b", row) == (step != "after the name")
+    assert rollup.totals().first()["tokens"] == 14 and not rollup.apply("b", row)
+
+
+def test_commits_without_rows(spark, tmp_path):
+    rollup = token_rollup.TokenRollup(spark, str(tmp_path / "r"))
+    assert rollup.commit("gone", "attempt") and rollup.totals().count() == 0
+    assert rollup.apply("nothing", spark.createDataFrame([], token_rollup.SCHEMA)) and rollup.totals().count() == 0
+
+
 def test_bpe_counts(spark):
     pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
     got = token_rollup.bpe_counts(documents(spark, [(1, "hello world"), (2, None), (3, "")]), "/opt/tokenizers/byte_bpe_50k.tiktoken", pattern)

@@ -1,18 +1,22 @@
 """Rule scans: data-driven pattern findings over files, conflict detectors, roll-ups.
 
-Rules are rows. Their patterns are compiled on the driver into one literal ``rlike`` each
-(compiled once a task, inside code generation), so a scan is one pass over the files
-whatever the number of rules, not a join of rules and files.
+Rules are rows. From each pattern the driver takes literals that every match must hold; one
+expression finds all rules' literals in one pass over a text, and only patterns whose
+literals are there are searched. So a scan is one pass over the files whatever the number of
+rules, not a join of rules and files, and its work on a text is in proportion to the text and
+its matches.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.literals import finder, required
 from ..functions.text import evidence, fnv1a_32
 from .ranges import listed
 
@@ -68,66 +72,91 @@ def applies(rule: Rule, path: Column, language: Column) -> Column:
     return speaks & inside & ~any_of([low.contains(p) for p in rule.path_excludes], False)
 
 
-def file_hit(rule: Rule, text: Column) -> Column:
+#: Noncharacters that stand around a match while its line is told.
+OPEN, CLOSE = "\ufdd0", "\ufdd1"
+
+
+def candidates(text: Column, patterns: list[str]) -> Column:
+    """Array of the numbers of those patterns of whose literals a text holds one; patterns without literals aren't among them."""
+    needs = {i: required(p) for i, p in enumerate(patterns)}
+    known = frozenset().union(*[n for n in needs.values() if n])
+    if not known:
+        return F.array().cast("array<int>")
+    told = {x: [i for i, need in needs.items() if need and any(n in x for n in need)] for x in known}  # the longest literal at a place tells of those inside it
+    held = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(finder(known)), 1))
+    table = F.from_json(F.lit(json.dumps(told)), "map<string,array<int>>")
+    return F.array_distinct(F.flatten(F.transform(held, lambda x: F.element_at(table, x))))
+
+
+def may_match(there: Column, pattern: str, patterns: dict[str, int]) -> Column:
+    return F.array_contains(there, patterns[pattern]) if required(pattern) else F.lit(True)
+
+
+def silenced(rule: Rule, text: Column, there: Column, patterns: dict[str, int]) -> Column:
     how = f"(?m{rule.flags or ''})"
-    hit = any_of([text.rlike(how + p) for p in rule.patterns], False)
-    return hit & ~any_of([text.rlike(how + p) for p in rule.negative], False)
+    return any_of([may_match(there, p, patterns) & text.rlike(how + p) for p in rule.negative], False)
 
 
-def newlines(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+def unmarked(text: Column) -> Column:
+    """Text without the noncharacters that mark matches."""
+    return F.when(text.rlike(f"[{OPEN}{CLOSE}]"), F.translate(text, OPEN + CLOSE, "  ")).otherwise(text)
 
 
 def match_rows(text: Column, pattern: str, most: int | None) -> Column:
-    """Array of (line, text) of a pattern's matches, where each begins; ``most`` keeps the first."""
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
-    found = found if most is None else F.slice(found, 1, most)
-    start = F.struct(F.lit(1).alias("line"), F.array().cast("array<struct<line:int,text:string>>").alias("rows"))
+    """Array of "line match", a string for each match where it begins; ``most`` keeps the first.
 
-    def step(acc: Column, i: Column) -> Column:
-        here, match = acc["line"] + newlines(F.get(between, i)), F.get(found, i)
-        return F.struct((here + newlines(match)).alias("line"), F.concat(acc["rows"], F.array(F.struct(here.alias("line"), match.alias("text")))).alias("rows"))
-
-    numbers = F.when(F.size(found) > 0, F.sequence(F.lit(0), F.size(found) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(numbers, start, step, lambda acc: acc["rows"])
+    Matches are marked in the text. The marked text's lines, each repeated as often as matches
+    begin in it, are the matches' lines in order: one pass, however many there are.
+    """
+    marked = F.regexp_replace(text, pattern, f"{OPEN}$0{CLOSE}")
+    begun = lambda line, i: F.array_repeat(i + 1, F.length(line) - F.length(F.replace(line, F.lit(OPEN), F.lit(""))))
+    lines = F.flatten(F.transform(F.split(marked, "\n", -1), begun))
+    pieces = F.split(marked, OPEN, -1)
+    rows = F.zip_with(lines, F.slice(pieces, 2, F.size(pieces)), lambda n, piece: F.concat(n.cast("string"), F.lit(" "), F.substring_index(piece, CLOSE, 1)))
+    return rows if most is None else F.slice(rows, 1, most)
 
 
 def matching(pattern: str):
     return lambda row: row["text"].rlike(pattern)
 
 
-def line_findings(rule: Rule, text: Column, per_pattern: int | None = None) -> Column:
-    """Array of the rule's findings, one a matching line (a match, with flags); ``per_pattern`` keeps each pattern's first lines."""
-    named = (F.lit(rule.id).alias("rule_id"), F.lit(rule.category).alias("category"), F.lit(rule.severity).alias("severity"))
+def found_lines(rule: Rule, text: Column, there: Column, patterns: dict[str, int], per_pattern: int | None = None) -> Column:
+    """Array of "line text", one a matching line (a match, with flags); ``per_pattern`` keeps each pattern's first."""
+    none = F.array().cast("array<string>")
     if rule.flags is not None:
-        found = F.array_distinct(F.concat(*[match_rows(text, f"(?m{rule.flags})" + p, per_pattern) for p in rule.patterns]))
-        return F.transform(found, lambda x: F.struct(*named, x["line"].alias("line"), evidence(x["text"]).alias("evidence")))
+        found = [F.when(may_match(there, p, patterns), match_rows(text, f"(?m{rule.flags})" + p, per_pattern)).otherwise(none) for p in rule.patterns]
+        return F.array_distinct(F.concat(*found))
     rows = F.transform(F.split(text, "\n", -1), lambda x, i: F.struct((i + 1).alias("line"), x.alias("text")))
     if per_pattern is None:
         rows = F.filter(rows, lambda x: any_of([x["text"].rlike(p) for p in rule.patterns], False))
     else:
         first = [F.slice(F.filter(rows, matching(p)), 1, per_pattern) for p in rule.patterns]
         rows = F.array_sort(F.array_distinct(F.concat(*first)))
-    return F.transform(rows, lambda x: F.struct(*named, x["line"].alias("line"), evidence(x["text"]).alias("evidence")))
+    return F.transform(rows, lambda x: F.concat(x["line"].cast("string"), F.lit(" "), x["text"]))
 
 
-def scan(files: DataFrame, rules: list[Rule], per_rule: int | None = 50, max_bytes: int | None = None, per_pattern: int | None = None) -> DataFrame:
+def scan(files: DataFrame, rules: list[Rule], per_rule: int | None = None, max_bytes: int | None = None, per_pattern: int | None = None) -> DataFrame:
     """(rule_id, category, severity, path, line, evidence) for files (path, language, text).
 
-    The files' rules are found first (path, language, patterns, negative patterns), then
-    only matching lines leave the row. ``per_rule`` keeps each rule's first findings in
-    path and line order (a report's limit; None keeps all). ``max_bytes`` leaves longer
+    Which rules can hit a file is told first (path, language, literals, negative patterns), then
+    only matches leave the row; equal matches of a line are one finding. ``per_rule`` keeps each
+    rule's first findings in path and line order (a report's limit). ``max_bytes`` leaves longer
     files out and ``per_pattern`` keeps each pattern's first lines of a file (an interactive
-    scan's limits; None scans all).
+    scan's limits). None keeps and scans all.
     """
-    path, language, text = F.col("path"), F.col("language"), F.col("text")
-    found = [F.when(applies(r, path, language) & file_hit(r, text), line_findings(r, text, per_pattern)) for r in rules]
-    if not found:
+    if not rules:
         raise ValueError("no rules")
+    numbers = {p: i for i, p in enumerate(dict.fromkeys(p for r in rules for p in (*r.patterns, *r.negative)))}
     if max_bytes is not None:
-        files = files.where(F.octet_length(text) <= max_bytes)
-    rows = files.select(path, F.explode(F.flatten(F.filter(F.array(*found), lambda x: x.isNotNull()))).alias("f"))
-    rows = rows.select("f.rule_id", "f.category", "f.severity", "path", "f.line", "f.evidence")
+        files = files.where(F.octet_length("text") <= max_bytes)
+    held = files.select("path", "language", unmarked(F.col("text")).alias("text"), candidates(F.col("text"), list(numbers)).alias("there"))
+    path, language, text, there = F.col("path"), F.col("language"), F.col("text"), F.col("there")
+    can = lambda r: applies(r, path, language) & any_of([may_match(there, p, numbers) for p in r.patterns], False)
+    found = [F.when(can(r) & ~silenced(r, text, there, numbers), found_lines(r, text, there, numbers, per_pattern)) for r in rules]
+    rows = held.select(path, F.posexplode(F.array(*found)).alias("nth", "lines")).where("lines IS NOT NULL").select(path, "nth", F.explode("lines").alias("x"))
+    known = F.array(*[F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity")) for r in rules])
+    rows = rows.select(F.get(known, F.col("nth")).alias("r"), path, F.substring_index("x", " ", 1).cast("int").alias("line"), evidence(F.expr("substr(x, locate(' ', x) + 1)")).alias("evidence"))
+    rows = rows.select("r.*", "path", "line", "evidence")
     if per_rule is None:
         return rows
     w = Window.partitionBy("rule_id").orderBy("path", "line")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import attribution, audit, chunks, conventions, extract, lexical, memory, metrics, rules, store
+from ..operators import attribution, audit, chunks, conventions, extract, instructions, lexical, memory, metrics, rules, store
 from ..sources.bindings import EDGES_SQL, FILES_SQL, PROJECT_SQL, files, key_edges, project_paths, table
 
 
@@ -57,8 +57,8 @@ def instruction_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = F.lower(F.regexp_extract("text", "([A-Za-z]+)", 1))
     verb = F.element_at(F.array(*map(F.lit, VERBS)), (F.col("id") % 6 + 1).cast("int"))
     tail = F.element_at(F.array(*map(F.lit, ("lib", "/infra/", "Service instead", ".service.ts", " stripe here"))), (F.col("id") % 5 + 1).cast("int"))
-    found = files(spark, sf_dir).select("id", extract.rule_of(F.concat(F.lit("Controllers "), verb, F.lit(" "), word, tail)).alias("r"))
-    return found.select("id", "r.detector", "r.subject", "r.ambiguous")
+    said = files(spark, sf_dir).select("id", F.concat(F.lit("Controllers "), verb, F.lit(" "), word, tail).alias("text"))
+    return instructions.mapped(said).select("id", "detector", "subject", "ambiguous")
 
 
 def context_classes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -182,7 +182,7 @@ def test_hybrid_names_coverage_and_documents(spark):
 def test_rules_gate_suppress_and_cap(spark):
     own = [rules.Rule("r", "race", "error", "t", ("bad",), negative=("fine",), languages=("php",), path_excludes=("x/",)), rules.Rule("s", "log", "info", "t", ("log",))]
     files = spark.createDataFrame([("a.php", "php", "bad\nok\nbad"), ("b.php", "php", "bad fine"), ("x/c.php", "php", "bad"), ("d.ts", "typescript", "bad log\n" + "log\n" * 60), ("e", "php", None)], "path string, language string, text string")
-    got = rules.scan(files, own)
+    got = rules.scan(files, own, 50)
     assert rows(got.where("rule_id = 'r'"), "path", "line") == [("a.php", 1), ("a.php", 3)] and got.where("rule_id = 's'").count() == 50
     assert rows(rules.roll_up(rules.scan(files, own, None)), "category", "findings", "files", "worst") == [("log", 61, 1, "info"), ("race", 2, 1, "error")]
     assert rules.assembled(own, [rules.Rule("r", "new", "info", "t", ("x",))])[0].category == "new" and len(rules.for_profile(own, set())) == 2
@@ -314,17 +314,7 @@ def test_extractors(spark):
     assert got.p == "domain/Order.php"
 
 
-def test_instruction_rules_and_classes(spark):
-    r = lambda t: spark.range(1).select(extract.rule_of(F.lit(t)).alias("r")).first().r
-    assert r("Controllers must not use Prisma directly").detector == "direct_database_access"
-    assert tuple(r("Never import lodash anywhere"))[:2] == ("forbidden_imports", "lodash")
-    assert r("You should write clearly, please").ambiguous and r("Write clearly, please do") is None and r("short") is None
-    assert tuple(r("Handlers must use the OrderService instead of models"))[:2] == ("required_abstraction", "OrderService")
-    assert tuple(r("Never depend on src/infra/*"))[:2] == ("prohibited_directory_deps", "src/infra/")
-    assert tuple(r("Classes must be named *.service.ts"))[:2] == ("naming_rules", "*.service.ts")
-    assert r("Tests must live next to the code").detector == "required_test_location"
-    assert tuple(r("UI code must not call Stripe itself"))[:2] == ("network_provider_access", "stripe")
-    assert tuple(r("Views must not read process.env.SECRET_KEY"))[:2] == ("environment_variable_access", "SECRET_KEY")
+def test_context_classes(spark):
     c = lambda p: spark.range(1).select(extract.context_class(F.lit(p)).alias("c")).first().c
     assert c("app/AGENTS.md").doc_type == "instruction" and c("app/AGENTS.md").scope == "app" and c("docs/adr/001.md").doc_type == "adr"
 

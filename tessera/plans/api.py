@@ -25,13 +25,12 @@ class ProjectIndex:
         self.spark, self.root, self.store = spark, root, store.IndexStore(spark, storage)
         self.privacy = privacy if privacy is not None else policy.rules_frame(spark, policy.DEFAULT_RULES)
 
-    def refresh(self) -> int:
-        """Index new and changed files, prune gone ones, publish a version; unchanged files are neither cut nor parsed again."""
-        read = workspace.workspace(self.spark, self.root)
-        layers = workspace.ignore_layers(self.spark, read)
-        kept, _ = workspace.scanned(read)
-        ignored = policy.ignored(kept.select("path"), layers).where("ignored").select("path")
-        kept = store.removed(kept, ignored)
+    def refresh(self, limit: int | None = 12_000, max_bytes: int | None = workspace.MAX_BYTES) -> int:
+        """Index new and changed files, prune gone ones, publish a version; unchanged files are neither cut nor parsed again.
+
+        ``limit`` and ``max_bytes`` are an editor's limits on files and their size; None lifts them.
+        """
+        kept, _ = workspace.scanned(workspace.workspace(self.spark, self.root, max_bytes), limit, max_bytes)
         decided = policy.privacy_decisions(kept.select("path", "language"), self.privacy)
         now = kept.join(decided.select("path", F.col("classification").alias("privacy")), "path").where("privacy <> 'never_index'")
         now = now.withColumn("hash", F.sha2(F.coalesce("text", F.lit("")), 256)).persist()

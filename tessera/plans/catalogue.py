@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import codebase, conflicts, evidence, governance, insight, relations, retrieval, streams, tables
+from . import codebase, conflicts, evidence, governance, insight, relations, retrieval, streams, tables, trees
 
-MODULES = (retrieval, relations, governance, tables, insight, codebase, conflicts, evidence, streams)
+MODULES = (retrieval, relations, governance, tables, insight, codebase, conflicts, evidence, streams, trees)
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _module in MODULES:

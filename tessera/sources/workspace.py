@@ -1,76 +1,42 @@
-"""File trees as DataFrames: listing on the driver, reading and classification in Spark."""
+"""File trees as DataFrames: which files are indexed, and what they are."""
 
 from __future__ import annotations
 
-import os
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import extension, language
 from ..operators.policy import glob_regex, ignore_regex
+from .trees import HIDDEN_KEPT, IGNORE_FILE, SKIP_FOLDERS, read_tree
 
-# Folders that hold no sources, files and types to index, and types that aren't text.
-SKIP_FOLDERS = ("node_modules", ".git", "vendor", "dist", "build", "out", "coverage", ".next", ".turbo", ".cache", "__pycache__")
+# Files and types to index, and types that aren't text.
 INDEX_NAMES = ("dockerfile", "makefile", ".env.example", ".cursorrules", ".editorconfig", "composer.json", "package.json")
 INDEX_TYPES = ("ts", "tsx", "js", "jsx", "mjs", "cjs", "php", "md", "mdx", "mdc", "json", "yml", "yaml", "css", "scss", "html", "sql", "toml", "xml", "graphql", "prisma", "vue", "py")
 BINARY_TYPES = ("png", "jpg", "jpeg", "gif", "webp", "ico", "pdf", "zip", "gz", "woff", "woff2", "ttf", "mp4", "mp3", "exe", "dll", "so", "wasm", "sqlite", "db")
 MAX_BYTES = 400_000
 TEMPORARY = r"(?i)(~$|\.tmp$|\.tmp\.|\.swp$|\.swo$|\.bak$|(^|/)\.#|(^|/)~\$)"
-FILE = "path string, size long, mtime timestamp, text string, has_nul boolean"
-
-
-def listing(root: str) -> list[tuple[str, int, float]]:
-    """(path below root, size, time) of all files outside skipped folders, links that lead out of root left out.
-
-    Names with a leading dot count, which Spark's own file sources pass over.
-    """
-    out, top = [], os.path.realpath(root)
-    for folder, folders, names in os.walk(root):
-        folders[:] = sorted(f for f in folders if f not in SKIP_FOLDERS)
-        for name in sorted(names):
-            full = os.path.join(folder, name)
-            real = os.path.realpath(full)
-            if name != ".DS_Store" and os.path.commonpath([top, real]) == top and os.path.isfile(real):
-                stat = os.stat(real)
-                out.append((os.path.relpath(full, root).replace(os.sep, "/"), stat.st_size, stat.st_mtime))
-    return out
-
-
-def workspace(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """FILE rows below a root that driver and executors share; texts of files up to max_bytes are read by executors, in parallel."""
-    paths = spark.createDataFrame(listing(root), "path string, size long, time double")
-    top = os.path.abspath(root)
 
-    def read(batches):
-        for batch in batches:
-            texts, nul = [], []
-            for path, size in zip(batch["path"], batch["size"], strict=True):
-                data = b""
-                if size <= max_bytes:
-                    with open(os.path.join(top, path), "rb") as f:
-                        data = f.read()
-                nul.append(b"\0" in data)
-                texts.append(None if size > max_bytes or nul[-1] else data.decode("utf-8", "replace"))
-            yield pd.DataFrame({"path": batch["path"], "size": batch["size"], "mtime": batch["mtime"], "text": texts, "has_nul": nul})
 
-    parted = paths.select("path", "size", F.timestamp_seconds("time").alias("mtime")).repartition("path")
-    return parted.mapInPandas(read, FILE)
+def workspace(spark: SparkSession, root: str, max_bytes: int | None = MAX_BYTES, ignore: str = IGNORE_FILE) -> DataFrame:
+    """FILE rows below a root that driver and executors share, without what ignore files exclude; texts of files up to max_bytes (None: of all)."""
+    return read_tree(spark, root, max_bytes=max_bytes, ignore=ignore).where("reason IS NULL").drop("reason")
 
 
-def exclusion(path: Column, size: Column, has_nul: Column, max_bytes: int = MAX_BYTES) -> Column:
+def exclusion(path: Column, size: Column, has_nul: Column, max_bytes: int | None = MAX_BYTES) -> Column:
     """Why a file isn't indexed, the first reason that holds; null for one that is."""
     name = F.lower(F.element_at(F.split(path, "/"), -1))
-    folder = F.exists(F.split(path, "/"), lambda p: p.isin(*SKIP_FOLDERS))
+    hidden = lambda p: p.startswith(".") & ~p.isin(*HIDDEN_KEPT)
+    above = F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1)
+    folder = F.exists(F.split(path, "/"), lambda p: p.isin(*SKIP_FOLDERS)) | F.exists(above, hidden)
     known = name.isin(*INDEX_NAMES) | extension(path).isin(*INDEX_TYPES)
     return (
         F.when(folder, "excluded-folder")
         .when(path.rlike(TEMPORARY), "temporary")
         .when(extension(path).isin(*BINARY_TYPES), "binary")
         .when(~known, "unsupported")
-        .when(size > max_bytes, "too-large")
+        .when(F.lit(False) if max_bytes is None else size > max_bytes, "too-large")
         .when(has_nul, "binary")
     )
 
@@ -80,11 +46,12 @@ def priority(path: Column) -> Column:
     return F.when(path.rlike(r"(?i)(^|/)(agents|claude|architecture|conventions|contributing|readme)\.md$"), 3).when(path.rlike(r"(^|/)(package|composer)\.json$"), 2).when(language(path).isin("typescript", "javascript", "php", "python"), 1).otherwise(0)
 
 
-def scanned(files: DataFrame, limit: int = 12_000) -> tuple[DataFrame, DataFrame]:
-    """(indexed files by priority and path, at most ``limit``; excluded files with reason)."""
-    tagged = files.withColumn("reason", exclusion(F.col("path"), F.col("size"), F.coalesce("has_nul", F.lit(False))))
+def scanned(files: DataFrame, limit: int | None = 12_000, max_bytes: int | None = MAX_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(indexed files by priority and path, at most ``limit``, all with None; excluded files with reason)."""
+    tagged = files.withColumn("reason", exclusion(F.col("path"), F.col("size"), F.coalesce("has_nul", F.lit(False)), max_bytes))
     kept = tagged.where("reason IS NULL").drop("reason").withColumns({"language": language(F.col("path")), "priority": priority(F.col("path"))})
-    return kept.orderBy(F.desc("priority"), "path").limit(limit), tagged.where("reason IS NOT NULL").select("path", "reason")
+    kept = kept if limit is None else kept.orderBy(F.desc("priority"), "path").limit(limit)
+    return kept, tagged.where("reason IS NOT NULL").select("path", "reason")
 
 
 def conflict_candidates(files: DataFrame) -> DataFrame:

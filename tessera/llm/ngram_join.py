@@ -37,6 +37,7 @@ extra columns aren't read.
 
 from __future__ import annotations
 
+import logging
 import math
 
 import numpy as np
@@ -46,6 +47,8 @@ from pyspark.sql import functions as F
 
 from .common import ALNUM, U64, document_windows, map_text, materialise, mix, set_aside, slices, table, utf8, words
 
+#: Says after each level where the search stands, and so at which prefix and recall it ended.
+LOG = logging.getLogger(__name__)
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.9999
 TREES, DEPTH = 24, 8
 #: Links at the threshold that the recall estimate supposes for each link found.
@@ -148,27 +151,34 @@ def signatures(docs: DataFrame, trees: int, keep: list[str], text_col: str) -> D
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
-    """(node, root) for the nodes of edges (a, b): each component's smallest node, by hooking to the smallest neighbour and pointer jumping.
+    """(node, root) for the nodes of edges (a, b): each component's smallest node, by hooking and contraction.
 
-    Each round is three joins of narrow tables and ends with one count; rounds grow with
-    the logarithm of a component's diameter. Tables of each round are written to the
-    shared folder.
+    In a round every node hooks to its smallest neighbour, pointer jumping takes it to the end of
+    its chain, and edges between what is left are all that the next round reads. Of the nodes that
+    have an edge at most half are left, most often none, so all rounds together read little more
+    than the edges once. Tables of each round are written to the shared folder.
     """
-    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
-    both = materialise(both.where("node <> other").distinct(), f"{name}-edges")
-    label = materialise(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")), f"{name}-labels")
-    while True:
-        around = both.join(label.select(F.col("node").alias("other"), "root"), "other").groupBy("node").agg(F.min("root").alias("near"))
-        hooked = label.join(around, "node").select("node", F.least("root", "near").alias("new"), F.col("root").alias("old"))
-        # what a root's members have found holds for the root too
-        lowered = hooked.groupBy(F.col("old").alias("node")).agg(F.min("new").alias("low"))
-        hooked = hooked.join(lowered, "node", "left").select("node", F.least("new", F.coalesce("low", "new")).alias("new"), "old")
-        hooked = materialise(hooked, f"{name}-hooked")
-        jump = hooked.select(F.col("node").alias("new"), F.col("new").alias("next"))
-        label = materialise(hooked.join(jump, "new", "left").select("node", F.least("new", F.coalesce("next", "new")).alias("root"), "old"), f"{name}-labels")
-        if not label.where("root <> old").head(1):
-            return label.select("node", "root")
-        label = label.select("node", "root")
+    low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    edges = materialise(edges.where("a <> b").select(low, high).distinct(), f"{name}-edges")
+    member = None
+    while member is None or edges.head(1):
+        both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        label = materialise(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("root")), f"{name}-hooks")
+        while True:
+            above = label.select(F.col("node").alias("root"), F.col("root").alias("above"))
+            label = materialise(label.join(above, "root").select("node", F.col("above").alias("root"), (F.col("root") != F.col("above")).alias("moved")), f"{name}-jumps")
+            moved, label = bool(label.where("moved").head(1)), label.select("node", "root")
+            if not moved:
+                break
+        if member is None:
+            member = label
+        else:
+            top = label.select(F.col("node").alias("root"), F.col("root").alias("top"))
+            member = materialise(member.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root")), f"{name}-members")
+        to = lambda c: label.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+        left = edges.join(to("a"), "a").join(to("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).where("a <> b")
+        edges = materialise(left.select(low, high).distinct(), f"{name}-edges")
+    return member
 
 
 def links_in(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -301,7 +311,9 @@ def links_of(docs: DataFrame, reps: DataFrame, threshold: float, recall: float,
         counts = [0] * BINS
         for row in found.select(F.posexplode("bins").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():
             counts[row["k"]] += row["n"]
-        if depth == shortest or estimated_recall(counts, depth, depth, trees, threshold, doubt) >= recall:
+        reached = estimated_recall(counts, depth, depth, trees, threshold, doubt)
+        LOG.info("prefixes of %d of %d values: %d links between different sets, estimated recall %.6f", depth, DEPTH, sum(counts), reached)
+        if depth == shortest or reached >= recall:
             return found.select("set", "links", "to")
         depth = next((d for d in range(depth - 1, shortest, -1) if estimated_recall(counts, depth, d, trees, threshold, doubt) >= recall), shortest)
 

@@ -199,6 +199,29 @@ def test_forest_shortens_prefixes_until_recall():
     assert bytes_alike == pytest.approx(0.9, abs=0.03)
 
 
+def test_components_by_contraction(spark):
+    """Paths, stars, cycles and random graphs; a chain takes no round for each of its links."""
+    rng = random.Random(6)
+    edges = [(i, i + 1) for i in range(100, 400)] + [(1000, 1000 + i) for i in range(1, 300)] + [(2000 + i, 2000 + (i + 1) % 7) for i in range(7)] + [(5, 5), (rng.randrange(3000, 3060), 3060)]
+    edges += [(rng.randrange(4000, 4200), rng.randrange(4000, 4200)) for _ in range(120)]
+    shuffled = list(range(6000, 6300))
+    rng.shuffle(shuffled)
+    edges += list(zip(shuffled, shuffled[1:], strict=False))
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    got = ngram_join.components(spark.createDataFrame(edges, "a long, b long"), "test").collect()
+    assert {r.node: r.root for r in got} == {x: find(x) for x in list(root)} and len(got) == len(root)
+    assert ngram_join.components(spark.createDataFrame([], "a long, b long"), "none").count() == 0
+
+
 def test_forest_recall_against_all_pairs(spark):
     """Queries are the rows with an id divisible by 100, against all rows."""
     docs = common.table(spark, "/root/testdata/sf0.01", "documents")

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..sources.markers import file_system, make_once, read_text
 
 
 def changed(scanned: DataFrame, stored: DataFrame) -> DataFrame:
@@ -70,42 +76,95 @@ def with_parents(files: DataFrame, chunks: DataFrame) -> DataFrame:
     return files.join(named, "path", "full_outer").select("path", F.coalesce("hash", "file_hash").alias("hash"), F.col("hash").isNull().alias("implicit"))
 
 
+class VersionTaken(RuntimeError):
+    """Somebody else published the version that was to be published; read again and start from there."""
+
+
 class IndexStore:
-    """Tables of one index as Parquet below a root folder. A publish writes all tables of a version, then the version's marker row; readers take the last marked version, so a half-written one is never seen."""
+    """Tables of one index as Parquet below a root folder, each dealt into hash buckets of its key.
+
+    A version is one marker file, which can be made only once and says for each table and bucket
+    which folder holds it. A publish writes the buckets that it changes, each attempt in folders of
+    its own, and takes the others over from the version before; then it makes the marker. So readers
+    see whole versions, a small change rewrites few buckets, of two publishers of one version one
+    fails with VersionTaken, and what a lost one left is never read.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 64):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
     def versions(self) -> list[int]:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/versions")
-        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        fs, at = file_system(self.spark, f"{self.root}/versions")
         if not fs.exists(at):
             return []
-        return sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(at) if "=" in s.getPath().getName() and fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")))
-
-    def publish(self, tables: dict[str, DataFrame]) -> int:
-        version = max(self.versions(), default=0) + 1
-        for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.root}/{name}/version={version}")
-        names = self.spark.createDataFrame([(n,) for n in tables], "name string")
-        names.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/versions/version={version}")
-        return version
+        names = [s.getPath().getName() for s in fs.listStatus(at)]
+        return sorted(int(n) for n in names if n.isdigit())
 
-    def read(self, name: str, version: int | None = None) -> DataFrame:
+    def marker(self, version: int | None = None) -> dict:
+        """What a version (the last one) says: tables, their keys, schemas and buckets, and notes."""
         found = version or max(self.versions(), default=0)
         if not found:
             raise FileNotFoundError(f"no published version below {self.root}")
-        return self.spark.read.parquet(f"{self.root}/{name}/version={found}")
+        return json.loads(read_text(self.spark, f"{self.root}/versions/{found}"))
+
+    def bucket_of(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def touched(self, keys: DataFrame, column: str = "path") -> list[int]:
+        """Buckets that hold these keys; at most as many numbers as there are buckets."""
+        return sorted(r[0] for r in keys.select(self.bucket_of(F.col(column)).alias("b")).distinct().collect())
+
+    def publish(self, tables: dict[str, DataFrame], only: dict[str, list[int]] | None = None, notes: dict | None = None, base: int | None = None) -> int:
+        """Make the version after ``base`` (the last one) of these tables.
+
+        Tables that ``only`` names hold the new rows of those buckets alone, and all their other
+        buckets stay; so do tables that aren't given, while ``only`` is.
+        """
+        before = max(self.versions(), default=0) if base is None else base
+        held = self.marker(before) if before else {"tables": {}, "notes": {}}
+        out = {"tables": dict(held["tables"]) if only is not None else {}, "notes": {**held["notes"], **(notes or {})}}
+        for name, df in tables.items():
+            key = "path" if "path" in df.columns else df.columns[0]
+            folder = f"{name}/{uuid.uuid4().hex}"
+            # one task a bucket, or several where it is large
+            dealt = df.withColumn("bucket", self.bucket_of(F.col(key))).repartition("bucket", F.pmod(F.hash(*df.columns), F.lit(4)))
+            dealt.write.partitionBy("bucket").parquet(f"{self.root}/{folder}")
+            fs, at = file_system(self.spark, f"{self.root}/{folder}")
+            new = {p.split("=")[1]: folder for p in (s.getPath().getName() for s in fs.listStatus(at)) if p.startswith("bucket=")}
+            if only is not None and name in only:
+                new |= {b: f for b, f in held["tables"][name]["buckets"].items() if int(b) not in only[name]}
+            out["tables"][name] = {"key": key, "schema": df.schema.jsonValue(), "buckets": new}
+        if not make_once(self.spark, f"{self.root}/versions/{before + 1}", json.dumps(out)):
+            raise VersionTaken(f"version {before + 1} below {self.root}")
+        return before + 1
+
+    def read(self, name: str, version: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+        """A table of a version (the last one), or some of its buckets."""
+        held = self.marker(version)["tables"][name]
+        schema = StructType.fromJson(held["schema"])
+        paths = [f"{self.root}/{folder}/bucket={b}" for b, folder in held["buckets"].items() if buckets is None or int(b) in buckets]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
     def wipe(self) -> int:
         """Publish a version in which every table is empty; older versions stay readable by number."""
-        version = max(self.versions())
-        names = [r["name"] for r in self.spark.read.parquet(f"{self.root}/versions/version={version}").collect()]
-        return self.publish({name: self.read(name).limit(0) for name in names})
+        return self.publish({name: self.read(name).limit(0) for name in self.marker()["tables"]})
 
     def counts(self) -> dict[str, int]:
-        version = max(self.versions())
-        return {r["name"]: self.read(r["name"]).count() for r in self.spark.read.parquet(f"{self.root}/versions/version={version}").collect()}
+        return {name: self.read(name).count() for name in self.marker()["tables"]}
+
+    def clean(self, keep: int = 2) -> int:
+        """Delete folders that none of the last ``keep`` versions reads, and older markers; how many went. Not while somebody publishes."""
+        kept = self.versions()[-keep:]
+        used = {f for v in kept for t in self.marker(v)["tables"].values() for f in t["buckets"].values()}
+        fs, root = file_system(self.spark, self.root)
+        gone = 0
+        for table in fs.listStatus(root):
+            name = table.getPath().getName()
+            for entry in fs.listStatus(table.getPath()):
+                own = entry.getPath().getName()
+                if own not in map(str, kept) if name == "versions" else f"{name}/{own}" not in used:
+                    gone += fs.delete(entry.getPath(), True)
+        return gone
 
 
 def migrated(old: DataFrame, columns: dict[str, Column]) -> DataFrame:

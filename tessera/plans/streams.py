@@ -50,14 +50,63 @@ def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes.write.json(folder)
     index = store.IndexStore(spark, scratch_path(spark, "stream-store"))
     stored = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("path"), F.col("c_name").alias("hash"), F.col("c_mktsegment").alias("text"))
-    index.publish({"files": stored, "applied": spark.createDataFrame([], "batch long")})
+    index.publish({"files": stored})
     usage.apply_change_feed(spark, folder, index, scratch_path(spark, "stream-state")).awaitTermination()
     return index.read("files").select("path", "hash", "text")
 
 
-QUERIES = {f.__name__: f for f in (stream_totals, stream_last_events, stream_changes)}
+#: Microseconds of the events that make one of the streams below, so that a user's events come about a second apart.
+SCALE = 30_000
+END = "~end"
+
+
+def request_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Events as requests, a day in about three seconds, in files that aren't in order of time; a last one ends the stream."""
+    folder = scratch_path(spark, "request-files")
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))")
+    own = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"), F.timestamp_millis(F.floor(micros / SCALE / 1000)).alias("at"), (F.col("event_id") % 7 * 500).alias("took"), F.col("event_type").alias("path"))
+    own.repartition(4, F.col("id") % 4).write.json(folder)
+    end = own.agg(F.lit(END).alias("key"), F.lit(-1).alias("id"), (F.max("at") + F.expr("INTERVAL 1 DAY")).alias("at"), F.lit(0).alias("took"), F.lit(END).alias("path"))
+    end.coalesce(1).write.mode("append").json(folder)
+    return folder
+
+
+def run_out(stream: DataFrame, spark: SparkSession, name: str) -> DataFrame:
+    """What a stream in append mode gives until its input ends."""
+    target = scratch_path(spark, name)
+    stream.writeStream.format("parquet").outputMode("append").option("path", target).option("checkpointLocation", scratch_path(spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(target).where(F.col("key") != END)
+
+
+def stream_admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests that a throttle of 1,500 ms and two in flight for each user lets pass, and why it stops others."""
+    requests = spark.readStream.schema("key string, id long, at timestamp, took long").json(request_folder(spark, sf_dir))
+    return run_out(usage.admitted(requests), spark, "stream-admitted")
+
+
+def stream_coalesced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of events of each user, gathered until more than 400 ms pass without one."""
+    changes = spark.readStream.schema("key string, path string, at timestamp").json(request_folder(spark, sf_dir))
+    got = run_out(usage.coalesced(changes), spark, "stream-coalesced")
+    return got.select("key", F.unix_millis("began").alias("began"), F.array_join("paths", ",").alias("paths"))
+
+
+QUERIES = {f.__name__: f for f in (stream_totals, stream_last_events, stream_changes, stream_admitted, stream_coalesced)}
+
+_REQUESTS = f"SELECT CAST(user_id AS VARCHAR) AS key, event_id AS id, CAST(floor(epoch_us(ts) / {SCALE} / 1000) AS BIGINT) AS moment, event_id % 7 * 500 AS took, event_type AS path FROM events"
 
 ORACLES = {
+    "stream_admitted": f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY moment, id) AS n FROM ({_REQUESTS})),
+w AS (
+  SELECT key, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, '' AS verdict, CAST(NULL AS BIGINT) AS last, CAST([] AS BIGINT[]) AS running FROM (SELECT DISTINCT key FROM r)
+  UNION ALL
+  SELECT key, n, id, verdict, CASE verdict WHEN 'start' THEN moment ELSE last END, CASE verdict WHEN 'start' THEN list_append(busy, moment + took) ELSE busy END
+  FROM (SELECT *, CASE WHEN len(busy) >= {usage.IN_FLIGHT} THEN 'busy' WHEN moment - last < {usage.GAP_MS} THEN 'too-soon' ELSE 'start' END AS verdict
+        FROM (SELECT r.key, r.n, r.id, r.moment, r.took, w.last, list_filter(w.running, lambda e: e > r.moment) AS busy FROM w JOIN r ON r.key = w.key AND r.n = w.n + 1)))
+SELECT key, id, verdict FROM w WHERE n > 0""",
+    "stream_coalesced": f"""WITH g AS (SELECT *, CASE WHEN moment - lag(moment) OVER (PARTITION BY key ORDER BY moment, id) <= 400 THEN 0 ELSE 1 END AS fresh FROM ({_REQUESTS})),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY key ORDER BY moment, id) AS session FROM g)
+SELECT key, min(moment) AS began, array_to_string(list_sort(list(DISTINCT path)), ',') AS paths FROM s GROUP BY key, session""",
     "stream_totals": f"SELECT kind, sum(greatest(coalesce(n, 1), 1))::BIGINT AS uses, round(coalesce(sum(latency), 0), 3) AS latency_sum, count(latency) AS latency_count FROM ({EVENTS_SQL}) GROUP BY kind",
     "stream_last_events": f"SELECT kind, id FROM (SELECT kind, id, row_number() OVER (PARTITION BY kind ORDER BY happened DESC, id DESC) AS n FROM ({EVENTS_SQL})) WHERE n <= 64",
     "stream_changes": """WITH l AS (SELECT o_custkey AS c, arg_max(CASE o_orderstatus WHEN 'O' THEN 'create' WHEN 'F' THEN 'update' ELSE 'delete' END, o_orderkey) AS type, max(o_orderkey) AS k, arg_max(o_orderpriority, o_orderkey) AS text FROM orders GROUP BY 1)

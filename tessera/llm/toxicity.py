@@ -154,8 +154,12 @@ def entries_of(text: str) -> set[str]:
     return levels(times)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 20_000, max_candidates: int = 2_000, min_support: int = 4) -> Lexicon:
-    """Learn weights and the curve from at most max_fit_rows labelled rows outside the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 20_000, min_support: int = 4) -> Lexicon:
+    """Learn weights and the curve from at most max_fit_rows labelled rows outside the held-out fold.
+
+    Candidates are all entries that stand in ``min_support`` toxic rows of the sample or more and
+    whose odds are surely raised; so what is collected is bounded by the sample.
+    """
     sample = labelled_sample(docs, labels, "toxic", FOLDS, HELD_OUT, max_fit_rows).where("text IS NOT NULL")
     sample = materialise(sample.select("text", "__label"), "toxicity-sample")
 
@@ -173,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_fit_rows: int = 20_000, max_cand
     n_pos, n_neg = int(total[0]), int(total[1] - total[0])
     odds = F.log((F.col("pos") + 0.5) / F.lit(n_pos + 1.0)) - F.log((F.col("neg") + 0.5) / F.lit(n_neg + 1.0))
     bound = F.col("odds") - 1.3 * F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
-    best = counted.where(F.col("pos") >= min_support).withColumn("odds", odds).withColumn("bound", bound).where("bound > 1").orderBy(F.desc(F.col("bound") * F.col("pos")), "entry").limit(max_candidates).collect()
+    best = counted.where(F.col("pos") >= min_support).withColumn("odds", odds).withColumn("bound", bound).where("bound > 1").collect()
     odds_of = {r.entry: (r.odds, r.bound, r.pos) for r in best}
     candidates = Lexicon({e.removesuffix("+"): 1.0 for e in odds_of})
 

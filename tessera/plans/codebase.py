@@ -93,7 +93,7 @@ def _risk_sql() -> str:
 def php_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, text): documents as PHP files of one class whose lines are methods, each in one line."""
     body = F.concat(F.lit("<?php\nclass Doc"), F.col("id").cast("string"), F.lit("\n{\n"), F.regexp_replace(F.regexp_replace("text", r"[{}'\"`;()#*/\\$]", " "), r"(?m)^(\w+)", "public function $1() { return 1; } //"), F.lit("\n}\n"))
-    return files(spark, sf_dir).where("id % 3 = 0").select(F.regexp_replace("path", r"\.md$", ".php").alias("path"), body.alias("text"))
+    return files(spark, sf_dir).select(F.regexp_replace("path", r"\.md$", ".php").alias("path"), body.alias("text"))
 
 
 def php_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,7 +265,7 @@ def definition_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = context.pack_confidence(ranked_hits(spark, sf_dir).where("score < 12").withColumn("bucket", F.col("score").cast("int")), "bucket")
+    got = context.pack_confidence(ranked_hits(spark, sf_dir).withColumn("bucket", F.col("score").cast("int")), "bucket")
     return got.select("bucket", F.round("confidence", 6).alias("confidence"))
 
 
@@ -314,16 +314,16 @@ def changed_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def related_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What stands beside changed customers: their nation (imported) and their orders (importers)."""
+    """What stands beside changed customers, a change for each nation: that (imported) and their orders (importers)."""
     edges = key_edges(spark, sf_dir)
-    changed = table(spark, sf_dir, "customer").where("c_nationkey = 7").select(F.lit(1).alias("id"), F.concat(F.lit("customer/"), "c_custkey").alias("path"))
+    changed = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("id"), F.concat(F.lit("customer/"), "c_custkey").alias("path"))
     known = edges.select(F.explode(F.array("from_path", "to_path")).alias("path")).distinct()
     return context.related_candidates(changed, known, edges).groupBy("reason", "priority").agg(F.count("*").alias("files"), F.min("path").alias("first"))
 
 
 def conflict_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as conflict hits of their segment's rule, reported by rule."""
-    hits = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0").select(F.col("c_mktsegment").alias("rule_id"), F.col("c_name").alias("path"), F.when(F.col("c_nationkey") < 12, "high").otherwise("low").alias("confidence"))
+    hits = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("rule_id"), F.col("c_name").alias("path"), F.when(F.col("c_nationkey") < 12, "high").otherwise("low").alias("confidence"))
     return rules.conflict_report(rules.conflict_groups(hits)).select("rule_id", F.sha2("section", 256).alias("hash"), F.length("section").alias("chars"))
 
 
@@ -377,7 +377,7 @@ def _oracles() -> dict[str, str]:
 
     lines = _code_sql()
     return {
-        "conflict_report": """WITH h AS (SELECT DISTINCT c_mktsegment AS r, c_name AS p, c_nationkey < 12 AS high FROM customer WHERE c_custkey % 10 = 0),
+        "conflict_report": """WITH h AS (SELECT DISTINCT c_mktsegment AS r, c_name AS p, c_nationkey < 12 AS high FROM customer),
 g AS (SELECT r, count(DISTINCT p) AS n, CASE WHEN bool_and(high) THEN 'high' WHEN bool_or(high) THEN 'medium' ELSE 'low' END AS c, string_agg(DISTINCT '- `' || p || '`', chr(10) ORDER BY '- `' || p || '`') AS items FROM h GROUP BY r),
 s AS (SELECT r, '## ' || r || chr(10) || chr(10) || n || CASE WHEN n = 1 THEN ' file' ELSE ' files' END || ', confidence ' || c || chr(10) || chr(10) || items || chr(10) AS section FROM g)
 SELECT r AS rule_id, sha256(section) AS hash, CAST(length(section) AS INTEGER) AS chars FROM s""",
@@ -393,7 +393,7 @@ n AS (SELECT *, regexp_extract(x, '^(?:export )?(?:class|function|interface|type
 SELECT 'typescript:' || path || ':' || name || ':' || line AS id, name, kind, line AS start_line, starts_with(x, 'export') AS exported FROM n WHERE name <> ''""",
         "extract_edges": f"""WITH x AS ({lines}), e AS (SELECT path, line, CASE WHEN starts_with(x, 'import ') THEN 'import' ELSE 'require' END AS kind, coalesce(nullif(regexp_extract(x, '^import ''([^'']+)''', 1), ''), regexp_extract(x, 'require\\(''([^'']+)''\\)', 1)) AS spec FROM x WHERE regexp_matches(x, '^import ''\\.') OR regexp_matches(x, 'require\\('''))
 SELECT path, 'edge:' || substr(sha256(path || '|' || kind || '|' || spec || '|' || line), 1, 24) AS id, kind, spec AS specifier, CASE WHEN starts_with(spec, './') THEN regexp_replace(path, '[^/]*$', '') || substr(spec, 3) ELSE spec END AS to_path, line FROM e WHERE spec <> ''""",
-        "php_chunks": f"""WITH d AS (SELECT replace(path, '.md', '.php') AS path, id, string_split_regex(regexp_replace(text, '[{{}}''"`;()#*/\\\\$]', ' ', 'g'), '\\r?\\n') AS l FROM ({FILES_SQL}) WHERE id % 3 = 0),
+        "php_chunks": f"""WITH d AS (SELECT replace(path, '.md', '.php') AS path, id, string_split_regex(regexp_replace(text, '[{{}}''"`;()#*/\\\\$]', ' ', 'g'), '\\r?\\n') AS l FROM ({FILES_SQL})),
 m AS (SELECT path, id, i, regexp_extract(l[i], '^([0-9A-Za-z_]+)', 1) AS name FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM d))
 SELECT path, 'Doc' || id AS symbol, 2 AS start_line, CAST(4 + len(l) AS INTEGER) AS end_line, 1.0::DOUBLE AS weight FROM d UNION ALL SELECT path, 'Doc' || id || '::' || name, CAST(3 + i AS INTEGER), CAST(3 + i AS INTEGER), 1.1 FROM m WHERE regexp_matches(name, '^[A-Za-z_]')""",
         "index_gate": f"""WITH p AS (SELECT path || ['', '.tmp', '.png', '.exe', '', '~'][{_N} % 6 + 1] AS path, {_N} * 7919 % 800000 AS size, {_N} % 11 = 0 AS nul FROM ({PROJECT_SQL})),
@@ -444,7 +444,7 @@ SELECT seed, depth, count(DISTINCT symbol) AS symbols, min(symbol) AS first FROM
         "relevant_symbols": "SELECT 'h' || c_custkey AS id, (c_custkey % 97)::DOUBLE AS score FROM customer WHERE c_custkey % 2 = 0 ORDER BY c_custkey % 97 DESC, 'h' || c_custkey LIMIT 30",
         "definition_context": """(SELECT 'h' || c_custkey AS id, c_name AS path, (c_custkey % 97)::DOUBLE AS score, CASE WHEN c_nationkey < 5 THEN 'high' WHEN c_nationkey < 12 THEN 'medium' ELSE 'low' END AS confidence FROM customer WHERE c_custkey % 2 = 0 ORDER BY c_custkey % 97 DESC, 'h' || c_custkey LIMIT 20)
 UNION ALL SELECT 'sym:s3', c_name, 200.0, 'high' FROM customer WHERE c_custkey = 3""",
-        "pack_confidence": """SELECT CAST(c_custkey % 97 AS INTEGER) AS bucket, round(greatest(0.1, least(0.95, 0.25 + least(0.55, count(*) / 20) + count(*) FILTER (c_nationkey < 5) * 0.03 + count(*) FILTER (c_nationkey BETWEEN 5 AND 11) * 0.015)), 6) AS confidence FROM customer WHERE c_custkey % 97 < 12 GROUP BY 1""",
+        "pack_confidence": """SELECT CAST(c_custkey % 97 AS INTEGER) AS bucket, round(greatest(0.1, least(0.95, 0.25 + least(0.55, count(*) / 20) + count(*) FILTER (c_nationkey < 5) * 0.03 + count(*) FILTER (c_nationkey BETWEEN 5 AND 11) * 0.015)), 6) AS confidence FROM customer GROUP BY 1""",
         "chunk_parents": f"SELECT path, CASE WHEN id % 2 = 0 THEN sha256(text) ELSE substr(sha256(text), 1, 8) END AS hash, id % 2 = 1 AS implicit FROM ({FILES_SQL}) WHERE id % 2 = 0 OR id % 3 > 0",
         "php_test_edges": f"""WITH w AS (SELECT id, regexp_extract(text, '([A-Za-z]+)', 1) AS w FROM ({FILES_SQL}) WHERE id % 2 = 0)
 SELECT 'tests/' || id || 'Test.php' AS from_path, 'App\\' || w AS specifier, 'app/' || w || '.php' AS to_path, CASE WHEN id % 5 = 0 THEN 'pest-test' ELSE 'phpunit-test' END AS evidence FROM w WHERE w <> '' UNION ALL SELECT 'tests/' || id || 'Test.php', w, 'app/' || w || '.php', 'pest-describe' FROM w WHERE w <> '' AND id % 5 = 0""",
@@ -457,7 +457,7 @@ SELECT id, sha256(arg_min(t, (a, w.path || ':' || a))) AS hash FROM h LEFT JOIN
 SELECT CASE k WHEN 0 THEN 'entry' WHEN 1 THEN 'application' WHEN 2 THEN 'domain' WHEN 3 THEN 'storage' ELSE CASE WHEN ends_with(path, '.md') THEN 'documentation' ELSE 'other' END END AS layer, count(*) AS files, max(s) AS best FROM p GROUP BY 1""",
         "changed_paths": f"""WITH d AS (SELECT id, regexp_extract(text, '([0-9A-Za-z_]+)', 1) || '.ts' AS first, regexp_extract_all(text, '(?m)^The ([0-9A-Za-z_]+)', 1) AS more FROM ({FILES_SQL}))
 SELECT DISTINCT id, unnest(list_prepend(first, list_transform(more, lambda m: m || '.php'))) AS path FROM d""",
-        "related_candidates": f"""WITH e AS ({EDGES_SQL}), c AS (SELECT 'customer/' || c_custkey AS p FROM customer WHERE c_nationkey = 7),
+        "related_candidates": f"""WITH e AS ({EDGES_SQL}), c AS (SELECT 'customer/' || c_custkey AS p FROM customer),
 r AS (SELECT 'imported' AS reason, 80 AS priority, to_path AS path FROM e JOIN c ON from_path = p UNION SELECT 'importer', 70, from_path FROM e JOIN c ON to_path = p)
 SELECT reason, priority, count(DISTINCT path) AS files, min(path) AS first FROM r GROUP BY ALL""",
         "test_stems": f"SELECT path, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]+$', '') AS stem, CASE regexp_extract(path, '([a-z]+)$', 1) WHEN 'ts' THEN 'typescript' WHEN 'php' THEN 'php' WHEN 'md' THEN 'markdown' WHEN 'json' THEN 'json' ELSE 'other' END AS language FROM (SELECT DISTINCT path FROM ({PROJECT_SQL}))",

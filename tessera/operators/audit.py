@@ -1,58 +1,13 @@
-"""Review audits: hedged comments, teaching quality, result guards, quotas."""
+"""Review results: guards, quotas, explanations, scores."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Openings and words that weaken a comment, and words that teach.
-HEDGES = r"(?i)\b(maybe|perhaps|possibly|might want to|could consider|you may want|it seems|i think|probably)\b"
-OPENING = r"(?i)^\s*(maybe|perhaps|possibly|i think|it seems(?: that)?|you may want to|you might want to|consider)[,:]?\s+"
-VAGUE = r"(?i)\b(clean this up|make it better|bad practice|best practice|be careful|improve this)\b"
-WHY = r"(?i)\b(because|so that|otherwise|leads to|causes|results in|means that|risk)\b"
-SIDE_EFFECT = r"(?i)\b(writes?|sends?|deletes?|mutates?|publishes|dispatches)\b[^.]{0,60}"
 SEVERITIES = ("info", "hint", "warning", "error", "critical")
 
 
-def without_hedge(text: Column) -> Column:
-    """Text without a hedging opening, capitalised anew."""
-    bare = F.regexp_replace(text, OPENING, "")
-    return F.when(text.rlike(OPENING), F.concat(F.upper(F.substring(bare, 1, 1)), F.substring(bare, F.lit(2), F.length(bare)))).otherwise(text)
-
-
-def strength_issues(title: Column, why: Column) -> Column:
-    """Issue ids of a finding's wording."""
-    found = [
-        F.when(title.rlike(HEDGES), F.lit("hedged-title")),
-        F.when(why.rlike(HEDGES), F.lit("hedged-reason")),
-        F.when(title.rlike(r"\?\s*$"), F.lit("question-title")),
-    ]
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
-
-
-def teaching_issues(why: Column, fix: Column, shortest: int = 60) -> Column:
-    """Issue ids of a finding's explanation."""
-    why, fix = F.coalesce(why, F.lit("")), F.coalesce(fix, F.lit(""))
-    found = [
-        F.when(F.length(why) < shortest, F.lit("too-short")),
-        F.when(~why.rlike(WHY), F.lit("no-reason")),
-        F.when(why.rlike(VAGUE) | fix.rlike(VAGUE), F.lit("vague")),
-        F.when(F.trim(fix) == "", F.lit("no-fix")),
-        F.when((fix != "") & (F.lower(fix) == F.lower(why)), F.lit("fix-repeats-reason")),
-    ]
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
-
-
-def side_effect(prose: Column) -> Column:
-    return F.nullif(F.regexp_extract(prose, SIDE_EFFECT, 0), F.lit(""))
-
-
-def audited(findings: DataFrame) -> DataFrame:
-    """Findings (id, title, why, fix) with issues and a title that doesn't hedge."""
-    issues = F.concat(strength_issues(F.col("title"), F.col("why")), teaching_issues(F.col("why"), F.col("fix")))
-    return findings.withColumns({"issues": issues, "title": without_hedge(F.col("title"))})
-
-
 def guarded(results: DataFrame, most: int = 25) -> DataFrame:
     """Findings of review results (id, raw JSON) that pass the schema: known severity, title and reason, lines in order; at most ``most`` a result (the schema's limit)."""
     schema = "struct<score:double,findings:array<struct<id:string,severity:string,title:string,why_it_matters:string,evidence:struct<kind:string,snippet:string,start_line:int,end_line:int>>>>"

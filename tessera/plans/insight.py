@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import audit, conventions, metrics
+from ..operators import audit, comment_audit, conventions, metrics
 from ..sources.bindings import EVENTS_SQL, FILES_SQL, PROJECT_SQL, files, project_paths, table, usage_events
 
 
@@ -57,13 +57,29 @@ def signal_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conventions.signal_fingerprint(seen, "user_id")
 
 
+# What comments say, weak and strong, and why; a turn takes one of each by its number.
+COMMENTS = (
+    "It might be a good idea to split it", "It may be worth a look here", "You may wish to rename it", "Might want to cache it", "Think about retries here", "Try to name the target", "Consider the retry budget", "Maybe split this method", "Might split this method", "Could split this method",
+    "Perhaps split it in two", "Possibly split it", "consider", "Fix it", "This needs some work now", "The loop is not ideal", "It is a bit messy in here", "The loop could be nicer", "A sub-optimal query plan", "Make the names cleaner", "Make it cleaner than before", "refactor this.", "Needs a refactor",
+    "The handler silently drops rows", "A silent fallback hides it", "It works under the hood", "The name shadows another", "Has a hidden mutation inside", "An implicit cast of the key", "It has side-effects", "It mutates global settings", "It swallows exceptions", "It suppresses warnings", "A monkey-patched client",
+    "A non-obvious dependency", "It unexpectedly returns", "A gotcha for all", "It leaks memory", "Rename total to grand_total",
+)
+REASONS = (
+    None, "Short.", "this may cause issues", "It can be risky, and that is why nobody should ever want to keep it as it is now", "Every caller that retries sees the old total and writes it back, and that is data loss", "Not good practice, whatever else the callers of this method might say about its name",
+    "When another request comes between, the lock is held by both and neither ends: a deadlock", "Rename total to grand_total", "The total is read twice and that is slow for long orders, whatever the size of the cache", "One should follow best practices",
+)
+
+
 def review_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversation turns as review comments."""
-    turns = table(spark, sf_dir, "conversations")
-    why = F.replace(F.replace("text", F.lit(" la "), F.lit(" because ")), F.lit(" de "), F.lit(" perhaps "))
-    title = F.substring("text", 1, 40)
-    issues = F.concat(audit.strength_issues(title, why), audit.teaching_issues(why, F.when(F.col("role") == "user", title).otherwise(F.lit(""))))
-    return turns.select("conv_id", "turn", F.array_join(issues, ",").alias("issues"), audit.should_escalate(F.size(issues), F.col("turn").cast("double"), 2).alias("escalate"))
+    """Conversation turns as review results of one finding, with comments and reasons that are weak in all ways: what is objected to, and the rewritten comment."""
+    pick = lambda options, by: F.element_at(F.array(*map(F.lit, options)), (by % len(options) + 1).cast("int"))
+    comment, reason = pick(COMMENTS, F.col("conv_id") * 3 + F.col("turn")), pick(REASONS, F.col("conv_id") + F.col("turn") * 7)
+    severity = pick(("critical", "hint", "warning", "odd"), F.col("conv_id") + F.col("turn"))
+    finding = F.struct(F.lit("f").alias("id"), severity.alias("severity"), F.substring("text", 1, 30).alias("title"), comment.alias("message"), reason.alias("whyItMatters"), reason.alias("fixHint"))
+    raw = table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), F.to_json(F.struct(F.array(finding).alias("findings"))).alias("raw"))
+    found = comment_audit.enforced(raw)
+    kinds = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["field"], F.lit("="), x["kind"])), ",")
+    return found.select("id", "message", "side_effect", kinds("strength").alias("strength"), kinds("teaching").alias("teaching"), audit.should_escalate(F.size("teaching"), F.col("n").cast("double"), 0).alias("escalate"))
 
 
 def convention_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,8 +135,38 @@ def merged_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (seniority_bands, demo_scores, text_hashes, index_health, parser_failures, merged_counts, usage_fold, last64, frequent_sources, severity_score, convention_tiers, rival_resolution, convention_dedupe, signal_fingerprint, review_audit, convention_digest, task_risks)}
 
 _POINTS = "CASE l_partkey % 5 WHEN 0 THEN 0.15 WHEN 1 THEN 0.25 WHEN 2 THEN 0.55 WHEN 3 THEN 0.85 ELSE 1.2 END::DOUBLE"
-_WHY = "replace(replace(text, ' la ', ' because '), ' de ', ' perhaps ')"
-_HEDGE = audit.HEDGES
+
+
+def _list(options) -> str:
+    return "[" + ", ".join("NULL" if o is None else "'" + o.replace("'", "''") + "'" for o in options) + "]"
+
+
+def _any(text: str, patterns) -> str:
+    """Whether one of the patterns is met; DuckDB's have no look-ahead, so the one that has it is met in a text without what it forbids."""
+    ahead = "(?! (?:than|version|shape|form))"
+    each = [f"regexp_matches(regexp_replace({text}, '(?i)\\bcleaner (than|version|shape|form)', '', 'g'), '(?i){p.replace(ahead, '')}')" if ahead in p else f"regexp_matches({text}, '(?i){p}')" for p in patterns]
+    return "(" + " OR ".join(each) + ")"
+
+
+def _audit_sql() -> str:
+    cut = "CASE " + " ".join(f"WHEN regexp_matches({{0}}, '(?i)^{o}') THEN ltrim(regexp_replace({{0}}, '(?i)^{o}', ''))" for o in comment_audit.OPENINGS) + " END"
+    bare = lambda c: f"(SELECT CASE WHEN r IS NULL THEN {c} WHEN r = '' THEN {c} ELSE upper(r[1]) || r[2:] END FROM (SELECT {cut.format(c)} AS r))"
+    plain = lambda c: f"trim(regexp_replace(lower({c}), '[\\s.,;:!?\"''`()\\[\\]]+', ' ', 'g'))"
+    openings = [f"^{o}" for o in comment_audit.OPENINGS]
+    field = lambda name, c: f"CASE WHEN {_any(c, openings)} THEN '{name}=hedged-opening' END, CASE WHEN {_any(c, comment_audit.VERDICTS)} THEN '{name}=empty-verdict' END"
+    sign = "CASE " + " ".join(f"WHEN regexp_matches(prose, '(?i){p}') THEN lower(trim(regexp_extract(prose, '(?i)({p})', 1)))" for p in comment_audit.SIDE_EFFECTS) + " END"
+    return f"""WITH a AS (SELECT conv_id || ':' || turn AS id, substr(text, 1, 30) AS title, {_list(COMMENTS)}[(conv_id * 3 + turn) % {len(COMMENTS)} + 1] AS m, {_list(REASONS)}[(conv_id + turn * 7) % {len(REASONS)} + 1] AS w, ['critical', 'hint', 'warning', 'odd'][(conv_id + turn) % 4 + 1] AS severity FROM conversations),
+b AS (SELECT id, title, severity, {bare("m")} AS message, coalesce({bare("w")}, '') AS why FROM a),
+c AS (SELECT *, trim(title, ' ' || chr(9) || chr(10) || chr(13)) || chr(10) || message || chr(10) AS prose, {plain("why")} AS wn, {plain("title")} AS tn, {plain("message")} AS mn FROM b),
+d AS (SELECT *, {sign} AS side_effect FROM c)
+SELECT id, message, side_effect,
+coalesce(array_to_string(list_filter([CASE WHEN length(message) < 12 THEN 'message=too-short' END, {field("message", "message")}, {field("whyItMatters", "why")}, {field("fixHint", "why")}], lambda x: x IS NOT NULL), ','), '') AS strength,
+coalesce(array_to_string(list_filter([CASE WHEN why = '' AND severity IN ('critical', 'warning') THEN 'missing-why' END, CASE WHEN why <> '' AND length(why) < 60 THEN 'shallow-why' END,
+  CASE WHEN wn <> '' AND CASE WHEN tn <> '' AND (contains(tn, wn) OR contains(wn, tn)) THEN length(wn) < length(tn) + 40 ELSE wn = mn END THEN 'restates-title' END, CASE WHEN why <> '' AND {_any("why", comment_audit.VAGUE_RISKS)} THEN 'unspecified-risk' END,
+  CASE WHEN why <> '' AND side_effect IS NOT NULL AND NOT {_any("why", comment_audit.COSTS)} THEN 'undisclosed-side-effect' END], lambda x: x IS NOT NULL).list_transform(lambda x: 'whyItMatters=' || x), ','), '') AS teaching, teaching <> '' AS escalate FROM d"""
+
+
+_AUDIT = _audit_sql()
 _FOLDERS = "['app/Actions/', 'app/Services/', 'src/domain/', 'tests/a.spec.', 'app/Repositories/', 'x/']"
 _CONVENTIONS = " UNION ALL ".join(
     f"SELECT '{i}' AS id, '{label}' AS label, count(*) AS files, CASE WHEN count(*) >= {high} THEN 'high' WHEN count(*) >= {medium} THEN 'medium' END AS confidence FROM p WHERE regexp_matches(path, '{pattern}') HAVING count(*) >= {medium}"
@@ -154,10 +200,7 @@ a AS (SELECT *, id = best OR (strength >= 0.8 * top AND solid AND top_solid) AS
 SELECT c_nationkey, id, strength, active, CASE WHEN NOT active THEN best END AS dominated_by FROM a""",
     "convention_dedupe": "SELECT id, ordinal, confidence FROM (SELECT user_id AS id, event_id AS ordinal, CASE WHEN value > 50 THEN 'high' WHEN value > 20 THEN 'medium' ELSE 'low' END AS confidence, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN value > 50 THEN 3 WHEN value > 20 THEN 2 ELSE 1 END DESC, event_id) AS n FROM events) WHERE n = 1",
     "signal_fingerprint": "SELECT user_id, string_agg(DISTINCT event_type, '|' ORDER BY event_type) AS fingerprint FROM events GROUP BY user_id",
-    "review_audit": f"""WITH x AS (SELECT conv_id, turn, substr(text, 1, 40) AS title, {_WHY} AS why, CASE WHEN role = 'user' THEN substr(text, 1, 40) ELSE '' END AS fix FROM conversations),
-i AS (SELECT *, list_filter([CASE WHEN regexp_matches(title, '{_HEDGE}') THEN 'hedged-title' END, CASE WHEN regexp_matches(why, '{_HEDGE}') THEN 'hedged-reason' END, CASE WHEN regexp_matches(title, '\\?\\s*$') THEN 'question-title' END,
-  CASE WHEN length(why) < 60 THEN 'too-short' END, CASE WHEN NOT regexp_matches(why, '{audit.WHY}') THEN 'no-reason' END, CASE WHEN regexp_matches(why, '{audit.VAGUE}') OR regexp_matches(fix, '{audit.VAGUE}') THEN 'vague' END, CASE WHEN trim(fix) = '' THEN 'no-fix' END, CASE WHEN fix <> '' AND lower(fix) = lower(why) THEN 'fix-repeats-reason' END], lambda v: v IS NOT NULL) AS issues FROM x)
-SELECT conv_id, turn, coalesce(array_to_string(issues, ','), '') AS issues, len(issues) > 0 OR turn < 2 AS escalate FROM i""",
+    "review_audit": _AUDIT,
     "convention_digest": "SELECT user_id, digest, sha256(user_id || '|' || digest) AS cache_key FROM (SELECT user_id, string_agg(DISTINCT event_type || '@' || CASE WHEN value > 50 THEN 'high' ELSE 'low' END, ',' ORDER BY event_type || '@' || CASE WHEN value > 50 THEN 'high' ELSE 'low' END) AS digest FROM events GROUP BY user_id)",
     "task_risks": f"""SELECT id, coalesce(array_to_string(list_filter([{_RISK_LIST}, CASE WHEN length(text) % 20 >= 12 THEN 'high-callers' END, CASE WHEN length(text) % 2 = 0 THEN 'no-tests' END], lambda v: v IS NOT NULL)[1:8], ','), '') AS risks
 FROM (SELECT *, replace(replace(text, ' inea ', ' invoice '), ' edes ', ' fetchAll ') AS t FROM ({FILES_SQL}))""",

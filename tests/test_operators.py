@@ -283,9 +283,6 @@ def test_evaluation_and_conventions(spark):
 
 
 def test_audits(spark):
-    f = spark.createDataFrame([("1", "Maybe rename this?", "It is bad practice", "")], "id string, title string, why string, fix string")
-    r = audit.audited(f).first()
-    assert r.title == "Rename this?" and {"hedged-title", "question-title", "too-short", "no-reason", "vague", "no-fix"} == set(r.issues)
     raw = json.dumps({"score": 7, "findings": [{"id": "a", "severity": "error", "title": "t", "why_it_matters": "w", "evidence": {"start_line": 3, "end_line": 2}}, {"id": "b", "severity": "info", "title": "t", "why_it_matters": "w"}, {"id": "c", "severity": "odd", "title": "t", "why_it_matters": "w"}]})
     assert rows(audit.guarded(spark.createDataFrame([("x", raw)], "id string, raw string")), "n") == [(1,)]
     risky = spark.range(1).select(metrics.task_risks(F.lit("refund via fetch(process.env.X)"), F.lit(20), F.lit(0)).alias("r")).first().r

@@ -181,24 +181,3 @@ def php_diagnostics(files: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     codes = F.array(F.when(~text.contains("<?php") & ~text.contains("<?="), F.lit("php-missing-open-tag")), F.when(text.rlike(r"\b(app|resolve)\((['\"])[^'\"]+\2\)"), F.lit("php-container-runtime")))
     return own.select("path", F.explode(F.filter(codes, lambda c: c.isNotNull())).alias("code"))
-
-
-# ------------------------------------------------------------------ documentation paths
-
-
-def context_class(path: Column) -> Column:
-    """(doc_type, authored, binding, scope) of a documentation path by its place and name, the first that fits."""
-    name, folder = F.lower(F.element_at(F.split(path, "/"), -1)), F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit(""))
-    row = lambda doc_type, authored, binding, scope: F.struct(F.lit(doc_type).alias("doc_type"), F.lit(authored).alias("authored"), F.lit(binding).alias("binding"), scope.alias("scope"))
-    none = F.lit("")
-    return (
-        F.when(path.rlike(r"(^|/)\.?[\w-]*/?generated/.*\.md$"), row("generated_memory", "generated", "generated", none))
-        .when(name.isin("agents.md", "claude.md", "gemini.md", "copilot-instructions.md"), row("instruction", "human", "binding", folder))
-        .when(name.isin(".cursorrules", ".windsurfrules") | path.rlike(r"(^|/)\.cursor/rules/"), row("instruction", "human", "binding", none))
-        .when(path.rlike(r"(?i)(^|/)(adr|adrs|decisions)/.*\.md$") | name.rlike(r"^adr-?\d+"), row("adr", "human", "contextual", none))
-        .when(name == "architecture.md", row("architecture", "human", "contextual", folder))
-        .when(name.isin("conventions.md", "contributing.md"), row("convention", "human", "contextual", folder))
-        .when(name.rlike(r"^readme"), row("readme", "human", "contextual", folder))
-        .when(path.rlike(r"(?i)^docs?/"), row("documentation", "human", "contextual", none))
-        .otherwise(row("other", "human", "contextual", folder))
-    )

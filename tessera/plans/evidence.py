@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators.context_paths import context_class
 from ..operators import attribution, audit, chunks, conventions, extract, instructions, lexical, memory, metrics, rules, store
 from ..sources.bindings import EDGES_SQL, FILES_SQL, PROJECT_SQL, files, key_edges, project_paths, table
 
@@ -61,10 +62,22 @@ def instruction_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return instructions.mapped(said).select("id", "detector", "subject", "ambiguous")
 
 
+# Names of documentation files with what they are: type, confidence, binding, and whether they hold below their folder.
+CONTEXT_NAMES = {
+    "AGENTS.md": ("instruction", "high", "binding", True), "Agent.md": ("instruction", "high", "binding", True), ".cursorrules": ("convention", "high", "binding", False), "x.mdc": ("convention", "high", "binding", False), ".cursor/rules/y.md": ("convention", "high", "binding", False),
+    "adr-12.md": ("decision", "high", "contextual", False), "adr/z.md": ("decision", "high", "contextual", False), "decisions/0012-x.md": ("decision", "high", "contextual", False), "README.de.md": ("general_documentation", "high", "contextual", True), "CONTRIBUTING.md": ("convention", "high", "contextual", False),
+    "Architecture-notes.md": ("architecture", "medium", "contextual", False), "team-glossary.md": ("glossary", "high", "contextual", False), "threat-model.md": ("risk", "medium", "contextual", False), "integrating.md": ("integration", "medium", "contextual", False), "own.md": ("instruction", "medium", "binding", False),
+    "docs/guide.md": ("general_documentation", "medium", "contextual", False), "notes.md": ("general_documentation", "low", "contextual", False), ".memory/rag/r.md": ("generated_memory", "high", "generated", False), ".memory/risks.md": ("risk", "high", "contextual", False), ".memory/other.md": ("general_documentation", "medium", "contextual", False),
+    "generated/g.md": ("generated_memory", "high", "generated", False), ".memory/architecture.md": ("architecture", "high", "contextual", False), ".memory/glossary.md": ("glossary", "high", "contextual", False), ".memory/conventions.md": ("convention", "high", "contextual", False), ".memory/integrations.md": ("integration", "high", "contextual", False),
+}
+
+
 def context_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.element_at(F.array(*map(F.lit, ("AGENTS.md", "adr-12.md", "README.md", "notes.md", "CONTRIBUTING.md", "architecture.md"))), (F.length("path") % 6 + 1).cast("int"))
-    own = project_paths(spark, sf_dir).select(F.concat(F.regexp_replace("path", "[^/]*$", ""), name).alias("path")).distinct()
-    return own.withColumn("c", extract.context_class(F.col("path"))).select("path", "c.doc_type", "c.binding", "c.scope")
+    """Each folder of the project with a file of each name."""
+    name = F.explode(F.array(*map(F.lit, CONTEXT_NAMES)))
+    own = project_paths(spark, sf_dir).select(F.regexp_replace("path", "[^/]*$", "").alias("folder")).distinct().where("NOT startswith(folder, 'generated/')").select("folder", name.alias("name"))
+    own = own.select(F.concat("folder", "name").alias("path"), (F.col("name") == "own.md").alias("configured"))
+    return own.select("path", context_class(F.col("path"), F.col("configured")).alias("c")).select("path", "c.*")
 
 
 def instruction_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -270,8 +283,8 @@ SELECT id, sha256(array_to_string(list_transform(string_split(t, chr(10)), lambd
 SELECT id, CASE WHEN v = 0 THEN 'forbidden_imports' WHEN v = 1 AND t = 2 THEN 'required_abstraction' WHEN v = 2 AND (t = 1 OR regexp_matches(w, 'domain|infra|internal')) THEN 'prohibited_directory_deps' WHEN v = 3 AND t = 3 THEN 'naming_rules' WHEN v IN (2, 5) AND t = 4 AND v = 5 THEN 'network_provider_access' WHEN v = 4 THEN NULL ELSE 'forbidden_imports' END AS detector,
 CASE WHEN v = 0 THEN split_part(s, ' ', 1) WHEN v = 1 AND t = 2 THEN w || 'Service' WHEN v = 2 AND (t = 1 OR regexp_matches(w, 'domain|infra|internal')) THEN split_part(s, ' ', 1) WHEN v = 3 AND t = 3 THEN s WHEN v = 5 AND t = 4 THEN 'stripe' WHEN v = 4 THEN NULL ELSE '' END AS subject,
 CASE WHEN v = 4 THEN NULL ELSE NOT (v = 0 OR (v = 1 AND t = 2) OR (v = 2 AND (t = 1 OR regexp_matches(w, 'domain|infra|internal'))) OR (v = 3 AND t = 3) OR (v = 5 AND t = 4)) END AS ambiguous FROM s""",
-        "context_classes": f"""WITH p AS (SELECT DISTINCT regexp_replace(path, '[^/]*$', '') AS f, length(path) % 6 AS k FROM ({PROJECT_SQL})), q AS (SELECT f, k, regexp_replace(f, '/$', '') AS folder, f || ['AGENTS.md', 'adr-12.md', 'README.md', 'notes.md', 'CONTRIBUTING.md', 'architecture.md'][k + 1] AS path FROM p)
-SELECT path, CASE WHEN starts_with(path, 'generated/') THEN 'generated_memory' ELSE ['instruction', 'adr', 'readme', 'other', 'convention', 'architecture'][k + 1] END AS doc_type, CASE WHEN starts_with(path, 'generated/') THEN 'generated' WHEN k = 0 THEN 'binding' ELSE 'contextual' END AS binding, CASE WHEN starts_with(path, 'generated/') OR k = 1 THEN '' ELSE folder END AS scope FROM q""",
+        "context_classes": f"""WITH p AS (SELECT DISTINCT regexp_replace(path, '[^/]*$', '') AS f FROM ({PROJECT_SQL}) WHERE NOT starts_with(path, 'generated/')), n(name, doc_type, confidence, binding, own) AS (VALUES {", ".join(f"('{n}', '{t}', '{c}', '{b}', {o})" for n, (t, c, b, o) in CONTEXT_NAMES.items())})
+SELECT f || name AS path, doc_type, CASE binding WHEN 'generated' THEN 'generated' ELSE 'human' END AS authored, confidence, binding, CASE WHEN own THEN rtrim(f, '/') ELSE '' END AS scope FROM p, n""",
         "instruction_lists": f"""WITH r AS (SELECT path, i, regexp_extract(l[i], '^\\s*(?:[-*+]|\\d+[.)])\\s+(.+?)\\s*$', 1) AS t FROM (SELECT path, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT path, string_split_regex({marked_sql()}, '\\r?\\n') AS l FROM ({FILES_SQL}))))
 SELECT path, CAST(count(*) AS INTEGER) AS rules, sha256(string_agg(t, chr(10) ORDER BY i)) AS hash FROM r WHERE length(t) >= 4 AND (regexp_matches(t, '(?i)\\b(must|should|never|always|do not|don''t|avoid|prefer|use|ensure|require[sd]?|shall|only)\\b') OR regexp_matches(t, '(?i)^(add|keep|write|run|follow|name|place|put|return|throw|validate)\\b') OR (length(t) >= 8 AND regexp_matches(t, '[A-Za-z]'))) GROUP BY path""",
         "merged_status": """WITH f AS (SELECT c_custkey AS id, c_name AS t FROM customer WHERE c_custkey % 5 > 0), s AS (SELECT c_custkey AS id, c_mktsegment AS t, ['confirmed', 'edited', 'rejected', 'new', 'new'][c_nationkey % 5 + 1] AS st FROM customer WHERE c_custkey % 3 > 0)

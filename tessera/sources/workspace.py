@@ -127,13 +127,13 @@ def old_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def context_documents(files: DataFrame, configured: DataFrame | None = None) -> DataFrame:
-    """(path, doc_type, authored, binding, scope, user_configured, text): steering and documentation files of a tree, each once; configured ones (path) count as such wherever they lie."""
-    from ..operators.extract import context_class
+    """(path, doc_type, authored, confidence, binding, scope, user_configured, text): steering and documentation files of a tree, each once; configured ones (path) count as such wherever they lie."""
+    from ..operators.context_paths import context_class
 
     known = F.lower("path").rlike(r"\.(md|mdx|mdc)$|(^|/)\.(cursor|windsurf)rules$")
     marked = files.withColumn("user_configured", F.lit(False)) if configured is None else files.join(configured.select("path", F.lit(True).alias("__own")).distinct(), "path", "left").withColumn("user_configured", F.coalesce("__own", F.lit(False)))
-    rows = marked.where(known | F.col("user_configured")).withColumn("c", context_class(F.col("path")))
-    return rows.where((F.col("c.doc_type") != "other") | F.col("user_configured")).select("path", "c.*", "user_configured", "text")
+    rows = marked.where(known | F.col("user_configured")).withColumn("c", context_class(F.col("path"), F.col("user_configured")))
+    return rows.where((F.col("c.confidence") != "low") | F.col("user_configured")).select("path", "c.*", "user_configured", "text")
 
 
 def instruction_documents(documents: DataFrame) -> DataFrame:

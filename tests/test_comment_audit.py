@@ -38,7 +38,7 @@ def test_openings_and_verdicts(spark):
     rows = enforced(spark, [{"fixHint": v, "severity": "info"} for v in VERDICTS + FINE])
     assert [kinds(r.strength) for r in rows] == [[("fixHint", "empty-verdict")]] * len(VERDICTS) + [[]] * len(FINE)
     assert kinds(enforced(spark, [{"message": "short", "whyItMatters": "it"}])[0].strength) == [("message", "too-short")]
-    assert enforced(spark, [{"message": "x" * 75 + " not ideal"}])[0].strength[0].offending == "x" * 75 + " not"
+    assert enforced(spark, [{"message": "x" * 75 + " not ideal"}])[0].strength[0].offending == "x" * 75 + " not "
 
 
 def test_signs_costs_and_risks(spark):

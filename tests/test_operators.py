@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import scores, text
-from tessera.operators import attribution, audit, chunks, conventions, evaluate, extract, graph, hybrid, lexical, memory, metrics, paths, policy, rules, select, store
+from tessera.operators import attribution, audit, chunks, context_paths, conventions, evaluate, extract, graph, hybrid, lexical, memory, metrics, paths, policy, rules, select, store
 from tessera.sources import workspace
 from tessera.streaming import usage
 
@@ -312,8 +312,8 @@ def test_extractors(spark):
 
 
 def test_context_classes(spark):
-    c = lambda p: spark.range(1).select(extract.context_class(F.lit(p)).alias("c")).first().c
-    assert c("app/AGENTS.md").doc_type == "instruction" and c("app/AGENTS.md").scope == "app" and c("docs/adr/001.md").doc_type == "adr"
+    c = lambda p: spark.range(1).select(context_paths.context_class(F.lit(p)).alias("c")).first().c
+    assert c("app/AGENTS.md").doc_type == "instruction" and c("app/AGENTS.md").scope == "app" and c("docs/adr/001.md").doc_type == "decision"
 
 
 def test_workspace_scan(spark, tmp_path):

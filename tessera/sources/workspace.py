@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import extension, language
 from ..operators.policy import glob_regex, ignore_regex
+from .markers import exists
 from .trees import HIDDEN_KEPT, IGNORE_FILE, SKIP_FOLDERS, read_tree
 
 # Files and types to index, and types that aren't text.
@@ -119,11 +120,51 @@ def as_rules(rows: DataFrame) -> list:
     return out
 
 
+#: Rows of an older index: its tables, and the columns that this engine gives them.
+OLD_FILE = "path:string,hash:string,language:string,byteLength:bigint,privacy:string"
+OLD_CHUNK = "id:string,path:string,text:string,startLine:int,endLine:int,kind:string,weight:double,fileHash:string"
+OLD_SYMBOL = "id:string,name:string,kind:string,path:string,startLine:int,endLine:int,language:string,exported:boolean"
+OLD_EDGE = "id:string,fromPath:string,toPath:string,kind:string,specifier:string,fromSymbol:string,toSymbol:string,startLine:int,confidence:string,resolutionMethod:string"
+OLD_INDEX = f"version int, files map<string,struct<{OLD_FILE}>>, chunks map<string,struct<{OLD_CHUNK}>>, symbols map<string,struct<{OLD_SYMBOL}>>, edges array<struct<{OLD_EDGE}>>, explanations map<string,string>"
+OLD_VERSIONS = (1, 4)
+
+
+def snake(name: str) -> str:
+    return re.sub("([A-Z])", r"_\1", name).lower()
+
+
+def old_indexes(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """OLD_INDEX rows of JSON indexes (a file each, or one a line) of the versions that are understood and have chunks; what can't be read isn't one."""
+    rows = spark.read.json(path, schema=OLD_INDEX, multiLine=not lines)
+    return rows.where(F.col("version").between(*OLD_VERSIONS) & F.col("chunks").isNotNull())
+
+
+def old_tables(rows: DataFrame) -> dict[str, DataFrame]:
+    """files, chunks, symbols, edges and explanations of OLD_INDEX rows; what an older version lacks is empty, its columns null."""
+    out = {}
+    for name in ("files", "chunks", "symbols"):
+        fields = [f.split(":")[0] for f in {"files": OLD_FILE, "chunks": OLD_CHUNK, "symbols": OLD_SYMBOL}[name].split(",")]
+        key = "path" if name == "files" else "id"
+        own = rows.select(F.explode(name).alias("k", "v"))
+        out[name] = own.select(*[(F.coalesce("v." + f, "k") if f == key else F.col("v." + f)).alias({"byteLength": "size"}.get(f, snake(f))) for f in fields])
+    out["edges"] = rows.select(F.explode("edges").alias("v")).select(*[F.col("v." + f.split(":")[0]).alias({"resolutionMethod": "method"}.get(f.split(":")[0], snake(f.split(":")[0]))) for f in OLD_EDGE.split(",")])
+    out["explanations"] = rows.select(F.explode("explanations").alias("id", "text"))
+    return out
+
+
 def old_index(spark: SparkSession, path: str) -> DataFrame:
     """Files of a JSON index of versions 1 to 4: (path, hash, language, size, privacy); later columns are null in older ones."""
-    fields = "struct<path:string,hash:string,language:string,byteLength:long,privacy:string>"
-    rows = spark.read.json(path, multiLine=True, schema=f"version int, files map<string,{fields}>").where("version BETWEEN 1 AND 4")
-    return rows.select(F.explode("files").alias("k", "f")).select(F.coalesce("f.path", "k").alias("path"), "f.hash", "f.language", F.col("f.byteLength").alias("size"), "f.privacy")
+    return old_tables(old_indexes(spark, path))["files"]
+
+
+def recovered(spark: SparkSession, path: str) -> tuple[str, dict[str, DataFrame]]:
+    """Where an old index was found (whole, temporary, empty), and its tables: the file itself, else the one that a writer left beside it, else nothing."""
+    for state, candidate in (("whole", path), ("temporary", f"{path}.tmp")):
+        if exists(spark, candidate):
+            rows = old_indexes(spark, candidate)
+            if rows.head(1):
+                return state, old_tables(rows)
+    return "empty", old_tables(spark.createDataFrame([], OLD_INDEX))
 
 
 def context_documents(files: DataFrame, configured: DataFrame | None = None) -> DataFrame:

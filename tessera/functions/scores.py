@@ -97,10 +97,13 @@ def generated_penalty(path: Column, size: Column | None = None, text: Column | N
     out = F.when(generated_path(path), F.lit(40)).otherwise(F.lit(0))
     if size is not None:
         out = out + F.when(F.coalesce(size, F.lit(0)) > LARGE_FILE_BYTES, F.lit(25)).otherwise(F.lit(0))
-    if text is not None:
-        share = F.coalesce(repetition(text), F.lit(0.0))
-        out = out + F.when(share > 0.45, js_round(share * 30)).otherwise(F.lit(0))
-    return out
+    return out if text is None else out + repetition_penalty(text)
+
+
+def repetition_penalty(text: Column) -> Column:
+    """What a text's repeated parts count against it."""
+    share = F.coalesce(repetition(text), F.lit(0.0))
+    return F.when(share > 0.45, js_round(share * 30)).otherwise(F.lit(0))
 
 
 def total(signals: dict[str, Column] | None = None) -> Column:

@@ -179,6 +179,7 @@ def assemble(task: str, hits: DataFrame, chunks: DataFrame, edges: DataFrame, in
         "risks": list(risk),
         "open_questions": [] if rows else ["No matching evidence in the index."],
     }
+    few.unpersist()
     return Pack(plan, task, bullets)
 
 

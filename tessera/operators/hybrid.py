@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..functions.scores import SIGNALS
+from ..functions.text import query_tokens, tokens
+from ..sources.scratch import materialised
 from . import graph, lexical, policy, select
 
 KEYS = ("id", "result_type", "path", "symbol_id", "start_line", "end_line", "chars", "deterministic")
@@ -28,13 +30,15 @@ def merged(candidates: DataFrame) -> DataFrame:
     )
 
 
-def candidates(chunks: DataFrame, files: DataFrame, symbols: DataFrame, edges: DataFrame, query: str, selected: tuple[str, ...] = (), depth: int = 2, lexical_pool: int = 48, documents: DataFrame | None = None) -> DataFrame:
+def candidates(chunks: DataFrame, files: DataFrame, symbols: DataFrame, edges: DataFrame, query: str, selected: tuple[str, ...] = (), depth: int = 2, lexical_pool: int | None = None, documents: DataFrame | None = None) -> DataFrame:
     """All branches' rows: symbols, import and export names, paths, text, import distance, calls, tests and coverage, documents.
 
     chunks: id, path, text, start_line, end_line, kind, weight; files: path, size, mtime;
     symbols: id, name, path, start_line, end_line; edges as in graph; documents as in
-    policy.applicable, with a title if there is one. Text candidates are a top-k; the
-    others follow from names and graph distance.
+    policy.applicable, with a title if there is one. All chunks that hold a word of the query
+    are candidates, so that what paths, choices and penalties add can lift any of them;
+    ``lexical_pool`` keeps the best by text alone (an editor's limit). What a chunk's text adds is
+    computed where the text lies; only numbers are joined.
     """
     bounds = files.agg(F.min("mtime").alias("oldest"), F.max("mtime").alias("newest"))
     dated = files.crossJoin(F.broadcast(bounds))  # one row
@@ -54,14 +58,18 @@ def candidates(chunks: DataFrame, files: DataFrame, symbols: DataFrame, edges: D
         wanted, {"path_relevance": F.col("score"), "recency": fresh, "user_selected": chosen, "generated_penalty": penalty},
         id=F.concat(F.lit("file:"), "path"), result_type=F.lit("file"), path=F.col("path"), chars=F.least(F.coalesce("size", F.lit(400)), F.lit(2000)),
     )
-    hits = lexical.top_k(lexical.boosted(lexical.bm25(chunks, query, keep=("path", "kind", "weight"))), lexical_pool)
-    text = hits.select("id", "score").join(chunks, "id").join(files.select("path", "size"), "path", "left")
-    lex = F.least(F.lit(45.0), F.col("score") * 3 + scores.overlap_score(query, F.col("text")))
-    heavy = scores.generated_penalty(F.col("path"), F.col("size"), F.col("text"))
+    hits = lexical.boosted(lexical.bm25(chunks, query, keep=("path", "kind", "weight")))
+    hits = hits if lexical_pool is None else lexical.top_k(hits, lexical_pool)
+    words = F.array(*map(F.lit, dict.fromkeys(query_tokens(query)))).cast("array<string>")
+    own = chunks.where(F.arrays_overlap(tokens(F.col("text")), words))
+    own = own.select("id", "path", "start_line", "end_line", scores.overlap_score(query, F.col("text")).alias("overlap"), scores.repetition_penalty(F.col("text")).alias("repeats"), F.least(F.length("text"), F.lit(1500)).alias("chars"))
+    text = own.join(hits.select("id", "score"), "id").join(files.select("path", "size"), "path", "left")
+    lex = F.least(F.lit(45.0), F.col("score") * 3 + F.col("overlap"))
+    heavy = scores.generated_penalty(F.col("path"), F.col("size")) + F.col("repeats")
     text = text.withColumns({"lex": lex, "heavy": heavy}).where("NOT (heavy >= 50 AND lex < 25)")
     by_text = candidate(
         text, {"lexical": F.col("lex"), "path_relevance": path_value, "user_selected": chosen, "generated_penalty": F.col("heavy")},
-        id=F.concat(F.lit("chunk:"), "id"), result_type=F.lit("chunk"), path=F.col("path"), start_line=F.col("start_line"), end_line=F.col("end_line"), chars=F.least(F.length("text"), F.lit(1500)),
+        id=F.concat(F.lit("chunk:"), "id"), result_type=F.lit("chunk"), path=F.col("path"), start_line=F.col("start_line"), end_line=F.col("end_line"), chars=F.col("chars"),
     )
     seeds = named.select(F.col("path").alias("node")).unionByName(wanted.where(F.col("score") >= 20).select(F.col("path").alias("node")))
     if selected:
@@ -130,12 +138,12 @@ def ranked(found: DataFrame) -> DataFrame:
 
 def search(chunks: DataFrame, files: DataFrame, symbols: DataFrame, edges: DataFrame, query: str, k: int = 20, decisions: DataFrame | None = None, **options) -> DataFrame:
     """The hits that a context of bounded size takes, best first (rank)."""
-    best = ranked(candidates(chunks, files, symbols, edges, query, **options)).persist()  # a few numbers a candidate, read three times below
+    best = materialised(ranked(candidates(chunks, files, symbols, edges, query, **options)), "candidates")  # a few numbers a candidate, read three times below
     kept = select.drop_overlaps(best.select("id", "path", "start_line", "end_line", "score"))
     rows = best.join(kept.select("id", "seat_score", "seat_line", "seat_id"), "id")
     if decisions is not None:
         rows = policy.for_model(rows, decisions)
-    rows = rows.withColumn("order", F.struct(-F.col("seat_score"), "path", "seat_line", "seat_id")).withColumn("type", F.col("result_type")).persist()  # read in each pass
+    rows = materialised(rows.withColumn("order", F.struct((-F.col("seat_score")).alias("score"), "path", "seat_line", "seat_id")).withColumn("type", F.col("result_type")), "ranked")  # read in each pass
     chosen = select.within_budget(rows.select("order", "id", "type", "chars"), k=k, order=("order",))
     return rows.join(F.broadcast(chosen.select("id")), "id").drop("type", "order").select("id", "result_type", "path", "symbol_id", "start_line", "end_line", "score", "confidence", "deterministic", *SIGNALS)
 

@@ -188,6 +188,24 @@ def test_search_equals_its_steps_by_hand(spark):
     assert all(abs(r.score - ranked[r.id]) < 1e-5 for r in got)
 
 
+def test_search_sees_all_text_hits(spark):
+    """A chunk that many others beat by text alone is a candidate too; a pool of the best by text would miss it."""
+    cut = [(f"c{i}", f"lib/other{i}.ts", "refund refund order", 1, 5, "source", 1.0) for i in range(120)] + [("mine", "src/refund/order.ts", "here an order is " + "told at length " * 20, 1, 9, "source", 1.0), ("none", "src/refund/x.ts", "nothing", 1, 9, "source", 1.0)]
+    frames = (
+        spark.createDataFrame(cut, "id string, path string, text string, start_line int, end_line int, kind string, weight double"),
+        spark.createDataFrame([(c[1], 100, 1) for c in cut], "path string, size long, mtime long"),
+        spark.createDataFrame([], "id string, name string, path string, start_line int, end_line int"),
+        frame(spark, []),
+    )
+    every = {r.id: r for r in hybrid.candidates(*frames, "refund order").where("result_type = 'chunk'").collect()}
+    assert set(every) == {f"chunk:{c[0]}" for c in cut} - {"chunk:none"}
+    pooled = {r.id for r in hybrid.candidates(*frames, "refund order", lexical_pool=48).where("result_type = 'chunk'").collect()}
+    assert len(pooled) == 48 and "chunk:mine" not in pooled
+    ranks = {r.id: r.score for r in hybrid.ranked(hybrid.candidates(*frames, "refund order")).collect()}
+    got = {r.id: r.score for r in hybrid.search(*frames, "refund order", k=10).collect()}
+    assert len(got) == 10 and min(got.values()) >= sorted(ranks.values())[-10] - 1e-9  # one path a chunk: nothing overlaps, and the budget is wide
+
+
 def with_seats(rows):
     """(kept, the row that took the seat first)."""
     seats = []

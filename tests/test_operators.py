@@ -384,7 +384,7 @@ def test_more_audits_and_rules(spark):
 def test_documents_memory_guard_and_scrub(spark):
     files = spark.createDataFrame([("AGENTS.md", "- Always test\n- ok"), ("src/a.ts", "x"), ("notes/own.txt", "- Never guess it"), ("docs/x.md", "t")], "path string, text string")
     docs = workspace.context_documents(files, spark.createDataFrame([("notes/own.txt",)], "path string"))
-    assert rows(docs, "path", "doc_type", "user_configured") == [("AGENTS.md", "instruction", False), ("docs/x.md", "documentation", False), ("notes/own.txt", "other", True)]
+    assert rows(docs, "path", "doc_type", "user_configured") == [("AGENTS.md", "instruction", False), ("docs/x.md", "general_documentation", False), ("notes/own.txt", "instruction", True)]
     assert rows(workspace.instruction_documents(docs), "path", "rules") == [("AGENTS.md", ["Always test"]), ("notes/own.txt", ["Never guess it"])]
     ok = (".memory/generated/a.md", "generated", [("c", "t", [("src/a.ts", 1, 1, "h")])])
     good, bad = memory.accepted(spark.createDataFrame([ok, ("src/a.md", "generated", ok[2])], memory.DOCUMENT))

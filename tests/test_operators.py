@@ -415,3 +415,8 @@ def test_builtin_risk_rules(spark):
     assert [r for r in got if r[0] == "src/a.ts"] == [("src/a.ts", "ts:leak:module-scope-map", 2), ("src/a.ts", "ts:log:swallowed-catch", 7), ("src/a.ts", "ts:nplus1:map-await-find", 4)]
     assert [r[2] for r in got if r[1] == "any:log:secret-logged"] == [1, 2, 3] and ("db/schema.prisma", "ts:index:prisma-relation-no-index", 2) in got
     assert ("x.sql", "sql:index:create-table-fk-no-index", 1) in got and sum(r[1] == "any:log:print-in-production" for r in got) == 4
+
+
+def test_names_end_at_letters_beyond_ascii():
+    found = extract.symbol_rows("a/b.ts", "export class Laci\u00f3nbo\nenum Ta\u00f3 {}\ntype Um\u00fc =\nfunction Mi\u00e9(\n")
+    assert [(r[1], r[2], r[3], r[4], r[6]) for r in found] == [("typescript:a/b.ts:Laci:1", "Laci", "class", 1, True), ("typescript:a/b.ts:Ta:2", "Ta", "enum", 2, False), ("typescript:a/b.ts:Um:3", "Um", "type", 3, False), ("typescript:a/b.ts:Mi:4", "Mi", "function", 4, False)]

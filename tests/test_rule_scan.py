@@ -197,3 +197,10 @@ def test_instructions_that_tell_nothing(spark):
     got = instructions.mapped(df).orderBy("id").collect()
     assert [(r.id, r.detector, r.subject) for r in got] == [(1, "forbidden_imports", "lodash"), (2, None, None), (3, None, None)]
     assert instructions.mapped(df.limit(0)).count() == 0
+
+
+def test_scope_of_tests_tells_case_apart_in_file_names():
+    scope = lambda text: instructions.rule_of(text)["applies_to"]
+    routes = ["**/routes/**", "**/http/routes/**"]
+    assert scope("Routes must be named *.TEST.ts") == routes
+    assert scope("Routes must be named *.test.ts") == scope("Routes of Tests must be named *.x.ts") == scope("Routes must be named *.x.ts, TESTS too") == [*routes, instructions.ANY_TEST]

@@ -5,12 +5,13 @@ first levels of folders, until there are enough of them for the tasks; a task wa
 carries the ignore rules down, and never enters what they or the skip list exclude.
 
 ``guarded`` writes rows (path, text) as files below one folder of a root. Tasks write drafts; the
-driver's commit gives them their names and marks the job, or throws all away. It is meant for
-what people read (memory documents, context packs, reports), not for bulk data.
+commit gives them their names and marks the job, or throws all away. ``write_files`` deals the
+naming out to tasks as well, so that the driver passes on folders of drafts only.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import shutil
@@ -19,6 +20,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -29,8 +31,8 @@ SKIP_FOLDERS = ("node_modules", ".git", "vendor", "dist", "build", "out", "cover
 HIDDEN_KEPT = (".memory", ".cursor", ".windsurf", ".github")
 IGNORE_FILE = ".gitignore"
 ROW = "path string, size long, mtime timestamp, text string, has_nul boolean, reason string"
-#: Folders to plan at least, where there are so many; names of one folder for a task; bytes of one batch.
-SPLITS, NAMES, BATCH_BYTES = 64, 20_000, 8 << 20
+#: Folders to plan at least, where there are so many; names of one folder for a task, and shares of one folder at most, as each lists it all; bytes of one batch.
+SPLITS, NAMES, SHARES, BATCH_BYTES = 64, 20_000, 16, 8 << 20
 HUMAN = re.compile(r"<!-- human:start -->.*?<!-- human:end -->", re.S)
 
 
@@ -88,10 +90,11 @@ class Walk:
                 verdict[folder] = not negated
         return any(verdict.values())
 
-    def entries(self, path: str, rules: tuple) -> Iterator[tuple[str, os.DirEntry | None, str | None]]:
-        """(path, entry, reason why it is passed over) of a folder's entries by name; a folder that is gone has none."""
+    def entries(self, path: str, rules: tuple, part: int = 0, parts: int = 1) -> Iterator[tuple[str, os.DirEntry | None, str | None]]:
+        """(path, entry, reason why it is passed over) of a share of a folder's entries by name; a folder that is gone has none."""
         try:
-            listed = sorted(os.scandir(self.at(path)), key=lambda e: e.name)
+            mine = (e for e in os.scandir(self.at(path)) if parts == 1 or zlib.crc32(e.name.encode("utf-8", "surrogateescape")) % parts == part)
+            listed = sorted(mine, key=lambda e: e.name)
         except (FileNotFoundError, NotADirectoryError, PermissionError):
             return
         for e in listed:
@@ -118,7 +121,7 @@ class Walk:
                     names += 1
                     if reason is None and e.is_dir(follow_symlinks=False):
                         below.append((at, rules))
-                parts = -(-names // NAMES) or 1
+                parts = min(-(-names // NAMES), SHARES) or 1
                 done += [Folder(path, False, rules, i, parts) for i in range(parts)]
             waiting = below
         return done + [Folder(path, True, rules) for path, rules in waiting]
@@ -128,9 +131,7 @@ class Walk:
         waiting = [(f.path, self.with_own(f.path, f.rules) if f.deep else f.rules)]
         while waiting:
             path, rules = waiting.pop()
-            for at, e, reason in self.entries(path, rules):
-                if f.parts > 1 and zlib.crc32(e.name.encode("utf-8", "surrogateescape")) % f.parts != f.part:
-                    continue
+            for at, e, reason in self.entries(path, rules, f.part, f.parts):
                 if reason is None and e.is_dir(follow_symlinks=False):
                     if f.deep:
                         waiting.append((at, self.with_own(at, rules)))
@@ -221,57 +222,104 @@ class Drafts(WriterCommitMessage):
     folder: str
 
 
+def marker_of(root: str, within: str, job: str) -> str:
+    return os.path.join(root, within, ".jobs", f"{zlib.crc32(job.encode()):08x}-{re.sub(r'[^A-Za-z0-9_-]', '_', job)[:100]}")
+
+
+def mark(marker: str, job: str) -> None:
+    os.makedirs(os.path.dirname(marker), exist_ok=True)
+    with open(marker, "x", encoding="utf-8") as f:
+        f.write(job)
+
+
+def drafted(folder: str) -> Iterator[tuple[str, str]]:
+    """(draft, path) of a task's folder."""
+    with open(os.path.join(folder, "names"), encoding="utf-8") as names:
+        for n, path in enumerate(names):
+            yield os.path.join(folder, str(n)), path.rstrip("\n")
+
+
+def name_drafts(root: str, folder: str) -> int:
+    """Each draft of a folder gets its name, with the human blocks of what it replaces; a run after one that was cut off does the rest."""
+    made, count = set(), 0
+    for draft, path in drafted(folder):
+        full = os.path.join(root, path)
+        if (above := os.path.dirname(full)) not in made:
+            os.makedirs(above, exist_ok=True)
+            made.add(above)
+        try:
+            if os.path.exists(full):
+                with open(full, encoding="utf-8", newline="") as old, open(draft, encoding="utf-8", newline="") as new:
+                    text = new.read()
+                    merged = with_human_blocks(old.read(), text)
+                if merged != text:
+                    with open(whole := f"{draft}-{uuid.uuid4().hex}", "w", encoding="utf-8", newline="") as f:
+                        f.write(merged)
+                    os.replace(whole, draft)
+            os.replace(draft, full)
+        except FileNotFoundError:  # named by an earlier run of this task
+            if os.path.exists(draft) or not os.path.exists(full):
+                raise
+        count += 1
+    return count
+
+
 class GuardedWriter(DataSourceWriter):
     """Drafts below a hidden folder of this attempt's own, one folder a task, each with a list of what its files are to be called."""
 
     def __init__(self, options: dict[str, str]):
         self.root, self.within = local_path(options["root"]), options["within"].strip("/")
         self.job = options.get("job") or uuid.uuid4().hex
-        self.attempt = os.path.join(self.root, self.within, ".drafts", uuid.uuid4().hex)
+        self.later = "attempt" in options  # write_files names the drafts
+        self.attempt = os.path.join(self.root, self.within, ".drafts", options.get("attempt") or uuid.uuid4().hex)
         os.makedirs(self.attempt)  # here, not by tasks: one that outlives the job finds no folder to write to
-        self.marker = os.path.join(self.root, self.within, ".jobs", f"{zlib.crc32(self.job.encode()):08x}-{re.sub(r'[^A-Za-z0-9_-]', '_', self.job)[:100]}")
+        self.marker = marker_of(self.root, self.within, self.job)
+        self.done = os.path.exists(self.marker)  # a replay's paths are checked, but nothing is drafted
+
+    def check_inside(self, path: str, known: set[str]) -> None:
+        """Raise for a path that links lead out of the folder; ``known`` are folders that were found inside."""
+        full = os.path.join(self.root, path)
+        own = os.path.realpath(os.path.join(self.root, self.within))
+        above = os.path.dirname(full)
+        if above not in known:
+            if not f"{os.path.realpath(above)}/".startswith(own + os.sep):
+                raise OutsideFolder(f"{path!r} leads out of {self.within}")
+            known.add(above)
+        if os.path.islink(full) and not os.path.realpath(full).startswith(own + os.sep):
+            raise OutsideFolder(f"{path!r} leads out of {self.within}")
 
     def write(self, iterator) -> Drafts:
-        folder = os.path.join(self.attempt, uuid.uuid4().hex)
+        folder, known = os.path.join(self.attempt, uuid.uuid4().hex), set()
         os.mkdir(folder)
         with open(os.path.join(folder, "names"), "w", encoding="utf-8") as names:
             for n, row in enumerate(iterator):
                 path = guarded_path(row["path"], self.within)
-                if not os.path.realpath(os.path.join(self.root, path)).startswith(os.path.realpath(os.path.join(self.root, self.within)) + os.sep):
-                    raise OutsideFolder(f"{path!r} leads out of {self.within}")
+                self.check_inside(path, known)
+                if self.done:
+                    continue
                 with open(os.path.join(folder, str(n)), "w", encoding="utf-8", newline="") as f:
                     f.write(row["text"] or "")
                 names.write(f"{path}\n")
         return Drafts(folder)
 
-    def drafts(self, messages) -> Iterator[tuple[str, str]]:
-        for m in messages:
-            with open(os.path.join(m.folder, "names"), encoding="utf-8") as names:
-                for n, path in enumerate(names):
-                    yield os.path.join(m.folder, str(n)), path.rstrip("\n")
-
     def commit(self, messages) -> None:
         """Each draft gets its name, with the human blocks of what it replaces. A job that is marked changes nothing."""
+        if self.later and not self.done:
+            with open(os.path.join(self.attempt, "folders"), "w", encoding="utf-8") as f:
+                f.writelines(f"{m.folder}\n" for m in messages)
+            return
         try:
-            if os.path.exists(self.marker):
+            if self.done or os.path.exists(self.marker):
                 return
             seen = set()
-            for _, path in self.drafts(messages):
-                if path in seen:
-                    raise ValueError(f"{path} is written twice")
-                seen.add(path)
-            for draft, path in self.drafts(messages):
-                full = os.path.join(self.root, path)
-                if os.path.exists(full):
-                    with open(full, encoding="utf-8", newline="") as old, open(draft, encoding="utf-8", newline="") as new:
-                        merged = with_human_blocks(old.read(), new.read())
-                    with open(draft, "w", encoding="utf-8", newline="") as f:
-                        f.write(merged)
-                os.makedirs(os.path.dirname(full), exist_ok=True)
-                os.replace(draft, full)
-            os.makedirs(os.path.dirname(self.marker), exist_ok=True)
-            with open(self.marker, "x", encoding="utf-8") as f:
-                f.write(self.job)
+            for m in messages:
+                for _, path in drafted(m.folder):
+                    if path in seen:
+                        raise ValueError(f"{path} is written twice")
+                    seen.add(path)
+            for m in messages:
+                name_drafts(self.root, m.folder)
+            mark(self.marker, self.job)
         finally:
             self.abort(messages)
 
@@ -281,7 +329,7 @@ class GuardedWriter(DataSourceWriter):
 
 
 class Guarded(DataSource):
-    """Options: root; within (the only folder below it that may be written); job (its name: a job is done once)."""
+    """Options: root; within (the only folder below it that may be written); job (its name: a job is done once); attempt (of write_files: its drafts' folder, which it names itself)."""
 
     @classmethod
     def name(cls) -> str:
@@ -296,8 +344,36 @@ class Guarded(DataSource):
 
 def write_files(rows: DataFrame, root: str, within: str, job: str | None = None) -> None:
     """Rows (path, text) as files below root/within: all of them or none; paths elsewhere are refused, human blocks stay, a job done before changes nothing."""
-    rows.sparkSession.dataSource.register(Guarded)
-    rows.select("path", "text").write.format("guarded").options(root=root, within=within, **({"job": job} if job else {})).mode("append").save()
+    spark = rows.sparkSession
+    spark.dataSource.register(Guarded)
+    options = {"root": root, "within": within, "job": job or uuid.uuid4().hex, "attempt": uuid.uuid4().hex}
+    rows.select("path", "text").write.format("guarded").options(**options).mode("append").save()
+    base = local_path(root)
+    attempt = os.path.join(base, within.strip("/"), ".drafts", options["attempt"])
+    if not os.path.exists(listed := os.path.join(attempt, "folders")):  # a replay
+        return
+    try:
+        with open(listed, encoding="utf-8") as f:
+            folders = f.read().splitlines()
+        dealt = spark.createDataFrame([(x,) for x in folders], "folder string").repartition(max(len(folders), 1))
+
+        def paths(batches):
+            for batch in batches:
+                for folder in batch["folder"]:
+                    own = (path for _, path in drafted(folder))
+                    while part := list(itertools.islice(own, NAMES)):
+                        yield pd.DataFrame({"path": part})
+
+        def name(batches):
+            for batch in batches:
+                yield pd.DataFrame({"files": [name_drafts(base, folder) for folder in batch["folder"]]})
+
+        if twice := dealt.mapInPandas(paths, "path string").groupBy("path").count().where("count > 1").first():
+            raise ValueError(f"{twice.path} is written twice")
+        dealt.mapInPandas(name, "files long").agg({"files": "sum"}).collect()
+        mark(marker_of(base, within.strip("/"), options["job"]), options["job"])
+    finally:
+        shutil.rmtree(attempt, ignore_errors=True)
 
 
 def delete_folder(root: str, within: str) -> bool:

@@ -110,3 +110,30 @@ def test_a_killed_task_is_run_again(tmp_path):
     assert (tmp_path / "died").exists()
     assert {p.name: p.read_text() for p in (tmp_path / "gen/memory").glob("*.md")} == {f"{i}.md": str(i) for i in range(20)}
     assert not list((tmp_path / "gen/memory/.drafts").glob("*"))
+
+
+def test_a_replay_drafts_nothing_and_naming_goes_on_where_it_was_cut_off(spark, tmp_path, monkeypatch):
+    block = "<!-- human:start -->\nmine\n<!-- human:end -->"
+    write(spark, tmp_path, [(f"gen/memory/{i}.md", f"{i}\n{block}\n") for i in range(9)], "j1")
+    options = {"root": str(tmp_path), "within": "gen/memory"}
+    replay = trees.GuardedWriter(options | {"job": "j1"})
+    assert replay.done and os.listdir(replay.write(iter([{"path": "gen/memory/0.md", "text": "x"}])).folder) == ["names"]
+    with pytest.raises(trees.OutsideFolder):
+        replay.write(iter([{"path": "gen/x.md", "text": "x"}]))
+    replay.commit([])
+    second = trees.GuardedWriter(options | {"job": "j2"})
+    drafts = second.write(iter([{"path": f"gen/memory/{i}.md", "text": f"new {i}\n"} for i in range(9)])).folder
+    assert trees.name_drafts(str(tmp_path), drafts) == trees.name_drafts(str(tmp_path), drafts) == 9  # the second run finds all named
+    assert (tmp_path / "gen/memory/8.md").read_text() == f"new 8\n\n{block}\n"
+    second.abort([])
+    monkeypatch.setattr(trees, "name_drafts", None)  # the driver names nothing
+    trees.GuardedWriter(options | {"job": "j3", "attempt": "a"}).commit([])
+    assert (tmp_path / "gen/memory/.drafts/a/folders").exists()
+
+
+def test_wide_folders_have_shares_of_a_fixed_number(tmp_path, monkeypatch):
+    lay(tmp_path, {f"wide/{i}.ts": "x" for i in range(60)})
+    monkeypatch.setattr(trees, "NAMES", 1)
+    planned = trees.Walk(str(tmp_path), (), (), "").folders(1000)
+    wide = [f for f in planned if f.path == "wide"]
+    assert len(wide) == trees.SHARES and sum(len(list(trees.Walk(str(tmp_path), (), (), "").files(f))) for f in wide) == 60

@@ -20,24 +20,32 @@ def window_chunks(files: DataFrame, size: int = WINDOW_LINES, overlap: int = OVE
 
     A window after the first begins only while lines beyond the previous window's overlap are left.
     """
-    own = files.select(F.col(path_col).alias("path"), *keep, lines(F.col(text_col)).alias("l"))
-    starts = F.filter(F.sequence(F.lit(0), F.size("l") - 1, F.lit(size - overlap)), lambda s: (s == 0) | (s + overlap < F.size("l")))
-    cut = own.where("size(l) > 0").select("path", *keep, "l", F.explode(starts).alias("s"))
-    text = F.trim(F.array_join(F.slice("l", F.col("s") + 1, size), "\n"), F.lit(" \t\n\r"))
-    rows = cut.select("path", (F.col("s") + 1).alias("start_line"), F.least(F.col("s") + size, F.size("l")).alias("end_line"), text.alias("text"), *keep)
+    step = size - overlap
+    whole = F.concat(F.replace(F.col(text_col), F.lit("\r\n"), F.lit("\n")), F.lit("\n"))
+    own = files.select(F.col(path_col).alias("path"), *keep, F.regexp_extract_all(whole, F.lit(r"(?:[^\n]*+\n){1,%d}+" % step), 0).alias("blocks"))
+    # A window is a block of ``step`` lines and what follows of the next ones, so that no row carries all lines.
+    window = lambda b, k: F.substring_index(F.concat(b, *[F.coalesce(F.get("blocks", k + j), F.lit("")) for j in range(1, -(-overlap // step) + 1)]), "\n", size)
+    last = F.element_at("blocks", -1)
+    count = (F.size("blocks") - 1) * step + F.length(last) - F.length(F.replace(last, F.lit("\n"), F.lit("")))
+    cut = own.select("path", *keep, count.alias("n"), F.transform("blocks", window).alias("w")).select("path", *keep, "n", F.posexplode("w").alias("k", "text"))
+    start = F.col("k") * step
+    rows = cut.where((F.col("k") == 0) | (start + overlap < F.col("n"))).select("path", (start + 1).alias("start_line"), F.least(start + size, F.col("n")).alias("end_line"), F.trim("text", F.lit(" \t\n\r")).alias("text"), *keep)
     return rows.where("text <> ''")
 
 
 def section_chunks(files: DataFrame, weight: float = 1.5, path_col: str = "path", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(path, section, title, start_line, end_line, text, weight, columns ``keep``): text cut before headings of level 1 to 3, inside each row by array functions, so no file is shuffled."""
-    own = files.select(F.col(path_col).alias("path"), *keep, lines(F.col(text_col)).alias("l"))
+    body = F.col(text_col)
+    own = files.select(F.col(path_col).alias("path"), *keep, lines(body).alias("l"), F.split(body, r"(?<=\n)(?=#{1,3}[^\S\n]+\S)", -1).alias("parts"))
     heading = F.filter(F.sequence(F.lit(1), F.size("l")), lambda i: F.element_at(F.col("l"), i).rlike(r"^#{1,3}\s+\S"))
-    own = own.where("size(l) > 0").withColumn("h", F.array_distinct(F.concat(F.array(F.lit(1)), heading)))
-    cut = own.select("path", *keep, "l", "h", F.posexplode("h").alias("section", "start_line"))
-    end = F.coalesce(F.get("h", F.col("section") + 1) - 1, F.size("l"))
-    text = F.trim(F.array_join(F.slice("l", F.col("start_line"), end - F.col("start_line") + 1), "\n"), F.lit(" \t\n\r"))
-    title = F.regexp_extract(F.element_at("l", F.col("start_line")), r"^#{1,3}\s+(.*?)\s*$", 1)
-    return cut.select("path", "section", title.alias("title"), "start_line", end.alias("end_line"), text.alias("text"), F.lit(weight).alias("weight"), *keep).where("text <> ''")
+    own = own.where("size(l) > 0").select("path", *keep, "parts", F.size("l").alias("n"), F.array_distinct(F.concat(F.array(F.lit(1)), heading)).alias("h"))
+    # A section's text comes by the cut at the same headings, so that no row carries all lines.
+    ends = F.concat(F.slice("h", 2, F.size("h")), F.array(F.col("n") + 1)).alias("e")
+    cut = own.select("path", *keep, F.posexplode(F.arrays_zip("parts", "h", ends)).alias("section", "p"))
+    text = F.trim(F.replace("p.parts", F.lit("\r\n"), F.lit("\n")), F.lit(" \t\n\r"))
+    title = F.regexp_extract(F.substring_index("p.parts", "\n", 1), r"^#{1,3}\s+(.*?)\s*$", 1)
+    rows = cut.select("path", "section", title.alias("title"), F.col("p.h").alias("start_line"), (F.col("p.e") - 1).alias("end_line"), text.alias("text"), F.lit(weight).alias("weight"), *keep)
+    return rows.where("text <> ''")
 
 
 def heading_sections(files: DataFrame, path_col: str = "path", text_col: str = "text") -> DataFrame:

@@ -420,3 +420,29 @@ def test_builtin_risk_rules(spark):
 def test_names_end_at_letters_beyond_ascii():
     found = extract.symbol_rows("a/b.ts", "export class Laci\u00f3nbo\nenum Ta\u00f3 {}\ntype Um\u00fc =\nfunction Mi\u00e9(\n")
     assert [(r[1], r[2], r[3], r[4], r[6]) for r in found] == [("typescript:a/b.ts:Laci:1", "Laci", "class", 1, True), ("typescript:a/b.ts:Ta:2", "Ta", "enum", 2, False), ("typescript:a/b.ts:Um:3", "Um", "type", 3, False), ("typescript:a/b.ts:Mi:4", "Mi", "function", 4, False)]
+
+
+def carried(df):
+    """Names of the columns that the rows of a plan's generators repeat."""
+    plan = df._jdf.queryExecution().sparkPlan().toString().split("Generate ")[1:]
+    return {c.split("#")[0].strip() for x in plan for c in x.split("], false, [", 1)[0].rsplit("[", 1)[1].split(",")}
+
+
+def test_cuts_match_loops_and_no_row_carries_all_lines(spark):
+    r = random.Random(3)
+    texts = ["".join(r.choice(["a", "# ", "## x", "\n", "\r\n", "\n\n", "#### z", "### \t", "\r", "# \r\n", " "]) for _ in range(r.randint(0, 120))) for _ in range(60)] + ["", None, "\n", "# a", "\r\n# b\r\n"]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "path string, text string")
+    split = [(str(i), re.split("\r?\n", t)) for i, t in enumerate(texts) if t is not None]
+    joined = lambda l: "\n".join(l).strip(" \t\n\r")
+    sections = []
+    for path, l in split:
+        starts = [k for k, x in enumerate(l) if k == 0 or re.match(r"#{1,3}\s+\S", x)]
+        sections += [(path, n, a + 1, b, joined(l[a:b])) for n, (a, b) in enumerate(zip(starts, [*starts[1:], len(l)], strict=True)) if joined(l[a:b])]
+    got = chunks.section_chunks(df)
+    assert sorted(tuple(x) for x in got.select("path", "section", "start_line", "end_line", "text").collect()) == sorted(sections)
+    assert carried(got) == {"path"}
+    for size, overlap in ((80, 12), (5, 3), (4, 0)):
+        windows = [(path, s + 1, min(s + size, len(l)), joined(l[s : s + size])) for path, l in split for s in range(0, len(l), size - overlap) if (s == 0 or s + overlap < len(l)) and joined(l[s : s + size])]
+        got = chunks.window_chunks(df, size, overlap)
+        assert sorted(tuple(x) for x in got.select("path", "start_line", "end_line", "text").collect()) == sorted(windows)
+        assert carried(got) == {"path", "n"}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import LARGE_FILE_BYTES, base_name, entry_point, generated_path, identifier_tokens, integration, normal_path, query_tokens, repetition, test_path, tokens
+from .text import LARGE_FILE_BYTES, base_name, entry_point, generated_path, identifier_tokens, integration, normal_path, once, query_tokens, repetition, test_path, tokens
 
 # Ranks of edge confidence; an unknown one counts as medium.
 CONFIDENCE = {"certain": 5, "high": 4, "medium": 3, "low": 2, "heuristic": 1}
@@ -103,7 +103,7 @@ def generated_penalty(path: Column, size: Column | None = None, text: Column | N
 def repetition_penalty(text: Column) -> Column:
     """What a text's repeated parts count against it."""
     share = F.coalesce(repetition(text), F.lit(0.0))
-    return F.when(share > 0.45, js_round(share * 30)).otherwise(F.lit(0))
+    return once(share, lambda s: F.when(s > 0.45, js_round(s * 30)).otherwise(F.lit(0)))
 
 
 def total(signals: dict[str, Column] | None = None) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,12 +101,20 @@ def repetition(text: Column, chars: int | None = None, line_chars: int | None =
     read for 8-grams and what counts of a line; by default all of both does.
     """
     full = F.filter(F.transform(lines(text), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
-    keys = full if line_chars is None else F.transform(full, lambda x: F.substring(x, 1, line_chars))
-    by_line = (F.size(keys) - F.size(F.array_distinct(keys))) / F.size(keys)
+    repeated = lambda a: (F.size(a) - F.size(F.array_distinct(a))) / F.size(a)
     last = (F.length(text) if chars is None else F.least(F.length(text), F.lit(chars))) - 7
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1)), F.lit(4)), lambda i: F.substring(text, i, F.lit(8)))
-    by_gram = (F.size(grams) - F.size(F.array_distinct(grams))) / F.size(grams)
-    return F.when(F.length(text) < 200, F.lit(0.0)).when(F.size(full) < 8, by_gram).otherwise(by_line)
+    count = F.floor((F.greatest(last, F.lit(1)) - 1) / 4).cast("int") + 1
+    # Two neighbours of the parts of four characters make an 8-gram; a substring at each place would read the text from its start.
+    grams = lambda q: F.slice(F.zip_with(q, F.slice(q, 2, F.size(q)), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), 1, count)
+    by_gram = once(F.regexp_extract_all(text, F.lit("(?s).{1,4}"), 0), lambda q: once(grams(q), repeated))
+    keys = lambda k: k if line_chars is None else F.transform(k, lambda x: F.substring(x, 1, line_chars))
+    of_lines = once(full, lambda k: F.when(F.size(k) < 8, by_gram).otherwise(once(keys(k), repeated)))
+    return F.when(F.length(text) < 200, F.lit(0.0)).otherwise(of_lines)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once for each row however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def generated_path(path: Column) -> Column:

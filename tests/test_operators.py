@@ -446,3 +446,17 @@ def test_cuts_match_loops_and_no_row_carries_all_lines(spark):
         got = chunks.window_chunks(df, size, overlap)
         assert sorted(tuple(x) for x in got.select("path", "start_line", "end_line", "text").collect()) == sorted(windows)
         assert carried(got) == {"path", "n"}
+
+
+def test_repetition_matches_a_loop_and_reads_no_text_from_its_start(spark):
+    r = random.Random(5)
+    texts = ["".join(r.choice("ab\u00e4\U0001f600 ") * r.randint(1, 4) for _ in range(r.randint(60, 200))) + "\nx" * r.choice([0, 2, 12]) for _ in range(40)] + ["", "a" * 200]
+
+    def share(t):
+        lines = [x.strip(" ") for x in t.split("\n") if x.strip(" ")]
+        keys = [t[i : i + 8] for i in range(0, max(len(t) - 7, 1), 4)] if len(lines) < 8 else lines
+        return 0.0 if len(t) < 200 else (len(keys) - len(set(keys))) / len(keys)
+
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.repetition(F.col("t")).alias("r"))
+    assert [row.r for row in df.collect()] == pytest.approx([share(t) for t in texts])
+    assert "substring(" not in df._jdf.queryExecution().optimizedPlan().toString()

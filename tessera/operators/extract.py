@@ -19,6 +19,8 @@ from ..functions.text import TEST_FILE
 
 SYMBOLS = "path string, id string, name string, kind string, start_line int, end_line int, exported boolean, container string, role string, parameters array<string>, summary string"
 EDGES = "path string, id string, kind string, specifier string, to_path string, from_symbol string, to_symbol string, line int, confidence string, method string, evidence string"
+#: Characters of texts whose rows are sent on together.
+FLUSH_CHARS = 1 << 20
 SCRIPT = r"\.[mc]?[jt]sx?$"
 
 
@@ -62,15 +64,21 @@ def per_file(rows, fields: str):
     """A mapInPandas function that turns each file into rows."""
     names = [re.split(r"\s", f)[0] for f in fields.split(", ")]
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for path, text in zip(batch["path"], batch["text"], strict=True):
-                if path and text:
-                    out += rows(path, text)
-            yield pd.DataFrame(out, columns=names)
+    return lambda batches: flushed(batches, lambda path, text: rows(path, text) if path else [], names)
 
-    return run
+
+def flushed(batches, rows, names: list[str]):
+    """Frames of the rows that ``rows`` makes of each row with a text (its second value), sent on whenever texts of FLUSH_CHARS are read, so that no task holds a batch's rows at once."""
+    for batch in batches:
+        out, chars = [], 0
+        for row in batch.itertuples(index=False, name=None):
+            if row[1]:
+                out += rows(*row)
+                chars += len(row[1])
+            if chars > FLUSH_CHARS:
+                yield pd.DataFrame(out, columns=names)
+                out, chars = [], 0
+        yield pd.DataFrame(out, columns=names)
 
 
 def symbols(files: DataFrame) -> DataFrame:
@@ -95,11 +103,7 @@ def php_chunks(files: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         schema = schema.add(source.schema[c])
 
     def run(batches):
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False, name=None):
-                out += [(*found, *row[2:]) for found in (chunk_rows(row[0], row[1]) if row[1] else [])]
-            yield pd.DataFrame(out, columns=[*names, *keep])
+        yield from flushed(batches, lambda path, text, *kept: [(*found, *kept) for found in chunk_rows(path, text)], [*names, *keep])
 
     return source.mapInPandas(run, schema)
 

@@ -460,3 +460,12 @@ def test_repetition_matches_a_loop_and_reads_no_text_from_its_start(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.repetition(F.col("t")).alias("r"))
     assert [row.r for row in df.collect()] == pytest.approx([share(t) for t in texts])
     assert "substring(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_of_a_batch_are_sent_on_in_parts(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(extract, "FLUSH_CHARS", 40)
+    batch = pd.DataFrame({"path": [f"{i}.ts" for i in range(9)] + [None, "x.ts"], "text": ["class A {}\nclass B {}\n"] * 10 + [None]})
+    frames = list(extract.per_file(extract.symbol_rows, extract.SYMBOLS)([batch]))
+    assert [len(f) for f in frames] == [4, 4, 4, 4, 2, 0] and list(pd.concat(frames)["path"]) == [f"{i}.ts" for i in range(9) for _ in "AB"]

@@ -205,15 +205,27 @@ def diff_paths(diffs: DataFrame) -> DataFrame:
     return lines.select("id", F.regexp_extract("line", r"^\+\+\+ (?:b/)?(\S+)", 1).alias("path")).where("path NOT IN ('', '/dev/null')").distinct()
 
 
+# What a related file's reason counts; the best one is told.
+REASONS = {"test": 90, "imported": 80, "importer": 70, "config": 20}
+
+
 def related_candidates(changed: DataFrame, files: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, path, reason, priority) of files beside changed ones (id, path): imports, importers, tests by stem, the folder's manifest; each by its best reason."""
+    """(id, path, reason, priority) of files beside changed ones (id, path): imports, importers, tests by stem, the folder's manifest; each by its best reason.
+
+    A priority tells its reason, so numbers are gathered. Rows are dealt out by their key before
+    that, so that no task holds what its part of the edges makes of pairs; ``files`` may repeat paths.
+    """
     stem = lambda c: F.regexp_replace(F.regexp_replace(F.element_at(F.split(c, "/"), -1), r"\.[^.]+$", ""), r"(?i)([._-]?(test|spec))$", "")
+    as_row = lambda path, reason: ("id", F.col(path).alias("path"), F.lit(REASONS[reason]).alias("priority"))
     e = edges.where("to_path IS NOT NULL")
-    out = changed.join(e.select(F.col("from_path").alias("path"), "to_path"), "path").select("id", F.col("to_path").alias("path"), F.lit("imported").alias("reason"), F.lit(80).alias("priority"))
-    into = changed.join(e.select(F.col("to_path").alias("path"), "from_path"), "path").select("id", F.col("from_path").alias("path"), F.lit("importer").alias("reason"), F.lit(70).alias("priority"))
+    out = changed.join(e.select(F.col("from_path").alias("path"), "to_path"), "path").select(*as_row("to_path", "imported"))
+    into = changed.join(e.select(F.col("to_path").alias("path"), "from_path"), "path").select(*as_row("from_path", "importer"))
     tests = files.where(F.col("path").rlike(r"(?i)(\.(test|spec)\.|/tests?/|Test\.php$)")).select(stem("path").alias("stem"), F.col("path").alias("other"))
-    tested = changed.select("id", stem("path").alias("stem")).join(tests, "stem").select("id", F.col("other").alias("path"), F.lit("test").alias("reason"), F.lit(90).alias("priority"))
-    manifests = files.where(F.col("path").rlike(r"(^|/)(package|composer)\.json$")).select("path")
-    config = changed.select("id").distinct().join(F.broadcast(manifests.orderBy("path").limit(5))).select("id", "path", F.lit("config").alias("reason"), F.lit(20).alias("priority"))
-    both = out.unionByName(into).unionByName(tested).unionByName(config).join(files.select("path"), "path", "left_semi").join(changed, ["id", "path"], "left_anti")
-    return both.groupBy("id", "path").agg(F.max_by(F.struct("reason", "priority"), F.struct("priority", "reason")).alias("r")).select("id", "path", "r.reason", "r.priority")
+    tested = changed.select("id", stem("path").alias("stem")).join(tests, "stem").select(*as_row("other", "test"))
+    manifests = files.where(F.col("path").rlike(r"(^|/)(package|composer)\.json$")).select("path").distinct()
+    config = changed.select("id").distinct().join(F.broadcast(manifests.orderBy("path").limit(5))).select(*as_row("path", "config"))
+    own = max(REASONS.values()) + 1
+    both = out.unionByName(into).unionByName(tested).unionByName(config).unionByName(changed.select("id", "path", F.lit(own).alias("priority")))
+    best = both.repartition("id", "path").groupBy("id", "path").agg(F.max("priority").alias("priority")).where(F.col("priority") < own)
+    reason = F.element_at(F.create_map(*[F.lit(x) for r, n in REASONS.items() for x in (n, r)]), F.col("priority"))
+    return best.join(files.select("path"), "path", "left_semi").select("id", "path", reason.alias("reason"), "priority")

@@ -317,7 +317,7 @@ def related_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stands beside changed customers, a change for each nation: that (imported) and their orders (importers)."""
     edges = key_edges(spark, sf_dir)
     changed = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("id"), F.concat(F.lit("customer/"), "c_custkey").alias("path"))
-    known = edges.select(F.explode(F.array("from_path", "to_path")).alias("path")).distinct()
+    known = edges.select(F.explode(F.array("from_path", "to_path")).alias("path"))
     return context.related_candidates(changed, known, edges).groupBy("reason", "priority").agg(F.count("*").alias("files"), F.min("path").alias("first"))
 
 

@@ -381,6 +381,20 @@ def test_more_audits_and_rules(spark):
     assert rows(context.related_candidates(changed, tree, e), "path", "reason") == [("package.json", "config"), ("src/a.test.ts", "test"), ("src/b.ts", "imported")]
 
 
+def test_related_candidates_meet_files_once(spark):
+    from tessera.operators import context
+
+    e = edge_frame(spark, [("src/a.ts", "src/b.ts", "import", "high"), ("src/c.ts", "src/a.ts", "import", "high")])
+    changed = spark.createDataFrame([("x", "src/a.ts"), ("y", "src/b.ts")], "id string, path string")
+    tree = spark.createDataFrame([(p,) for p in ("a/package.json", "b/package.json", "src/a.ts", "src/b.ts", "src/c.ts") for _ in range(6)], "path string")
+    got = context.related_candidates(changed, tree, e.unionByName(e).unionByName(e))
+    want = [("x", "a/package.json", "config", 20), ("x", "b/package.json", "config", 20), ("x", "src/b.ts", "imported", 80), ("x", "src/c.ts", "importer", 70)]
+    want += [("y", "a/package.json", "config", 20), ("y", "b/package.json", "config", 20), ("y", "src/a.ts", "importer", 70)]
+    assert rows(got, "id", "path", "reason", "priority") == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 1 and "max_by" not in plan
+
+
 def test_documents_memory_guard_and_scrub(spark):
     files = spark.createDataFrame([("AGENTS.md", "- Always test\n- ok"), ("src/a.ts", "x"), ("notes/own.txt", "- Never guess it"), ("docs/x.md", "t")], "path string, text string")
     docs = workspace.context_documents(files, spark.createDataFrame([("notes/own.txt",)], "path string"))

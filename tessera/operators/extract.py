@@ -142,15 +142,26 @@ def namespace_path(name: Column, mapping: dict[str, str]) -> Column:
     return out
 
 
+#: Routes of one path that are joined in one share.
+ROUTES_A_SHARE = 64
+
+
 def route_links(found: DataFrame, files: DataFrame) -> DataFrame:
     """(route_id, from_path, to_path): script files that name a PHP route's path in quotes.
 
-    Quoted paths are pulled out of the scripts first, so the link is an equi join.
+    Quoted paths are pulled out of the scripts first, so the link is an equi join. Links of a path
+    are as many as its routes times its scripts; its routes are dealt into shares, and each share
+    meets all its scripts, so that no task's links grow with that product. The number of partitions
+    is told, as rows that are joined are few bytes beside their links, and Spark would put them together.
     """
     routes = found.where("startswith(specifier, 'route:')").select(F.col("id").alias("route_id"), F.col("path").alias("to_path"), F.regexp_extract("specifier", r"^route:\w+ /?(.*)$", 1).alias("route"))
+    shares = routes.groupBy("route").agg(F.ceil(F.count("*") / ROUTES_A_SHARE).cast("int").alias("shares"))
+    dealt = routes.join(shares, "route").withColumn("share", F.pmod(F.xxhash64("route_id", "to_path"), "shares").cast("int")).drop("shares")
     quoted = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("['\"`]/?([\\w/{}.-]+)['\"`]"), 1)))
     named = files.where(F.col("path").rlike(r"\.[mc]?[jt]sx?$")).select(F.col("path").alias("from_path"), quoted.alias("route"))
-    return routes.join(named, "route").select("route_id", "from_path", "to_path")
+    spread = named.join(shares, "route").select("from_path", "route", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
+    parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(parts, "route", "share").join(spread.repartition(parts, "route", "share"), ["route", "share"]).select("route_id", "from_path", "to_path")
 
 
 def test_coverage(found: DataFrame, files: DataFrame) -> DataFrame:

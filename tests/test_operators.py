@@ -381,6 +381,14 @@ def test_more_audits_and_rules(spark):
     assert rows(context.related_candidates(changed, tree, e), "path", "reason") == [("package.json", "config"), ("src/a.test.ts", "test"), ("src/b.ts", "imported")]
 
 
+def test_links_of_a_path_are_dealt_over_tasks(spark):
+    found = spark.createDataFrame([(f"r{i}", f"routes/{i}.php", "route:GET /de") for i in range(900)], "id string, path string, specifier string")
+    files = spark.createDataFrame([(f"ui/{i}.ts", "get('/de')") for i in range(5)], "path string, text string")
+    got = extract.route_links(found, files)
+    assert rows(got, "route_id", "from_path") == sorted(((f"r{i}", f"ui/{k}.ts") for i in range(900) for k in range(5)), key=str)
+    assert max(r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()) < 4500
+
+
 def test_paths_sort_steps_of_reached_nodes_only(spark):
     ring = edge_frame(spark, [(f"src/{i}.ts", f"src/{(i + 1) % 200}.ts", "import", "high") for i in range(200)] + [("src/5.ts", "src/5.ts", "import", "high")])
     level = spark.createDataFrame([("src/5.ts",)], "at string")

@@ -9,12 +9,18 @@ from ..functions.text import base_name, chunk_id, extension, lines
 from .ranges import binned
 
 WINDOW_LINES, OVERLAP = 80, 12
+BLANKS = " \t\n\r"
 # Names of files that steer tools, which weigh most.
 #: A line that declares a type or a function.
 PHP_BLOCK = r"(?m)^\s*(?:(?:abstract|final|readonly|public|protected|private|static)\s+)*(?:(?:class|interface|trait|enum)\s+\w|function\s+&?\s*\w+\s*\()"
 PRIORITY_MEMORY = ("readme.md", "architecture.md", "decisions.md", "agents.md", "contributing.md", "coding-standards.md", "agile.md", ".cursorrules")
 
 
+def not_blank(text: Column) -> Column:
+    """Whether a text has more than blanks; it is read up to there only."""
+    return F.ltrim(text, F.lit(BLANKS)) != ""
+
+
 def window_chunks(files: DataFrame, size: int = WINDOW_LINES, overlap: int = OVERLAP, path_col: str = "path", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(path, start_line, end_line, text, columns ``keep``): windows of ``size`` lines that overlap; blank windows are left out.
 
@@ -27,25 +33,25 @@ def window_chunks(files: DataFrame, size: int = WINDOW_LINES, overlap: int = OVE
     window = lambda b, k: F.substring_index(F.concat(b, *[F.coalesce(F.get("blocks", k + j), F.lit("")) for j in range(1, -(-overlap // step) + 1)]), "\n", size)
     last = F.element_at("blocks", -1)
     count = (F.size("blocks") - 1) * step + F.length(last) - F.length(F.replace(last, F.lit("\n"), F.lit("")))
-    cut = own.select("path", *keep, count.alias("n"), F.transform("blocks", window).alias("w")).select("path", *keep, "n", F.posexplode("w").alias("k", "text"))
+    # Windows are made where they are exploded: of a column of its own Spark would first ask that it isn't empty, and so cut the text again for each window.
+    cut = own.select("path", *keep, count.alias("n"), "blocks").select("path", *keep, "n", F.posexplode(F.transform("blocks", window)).alias("k", "text"))
     start = F.col("k") * step
-    rows = cut.where((F.col("k") == 0) | (start + overlap < F.col("n"))).select("path", (start + 1).alias("start_line"), F.least(start + size, F.col("n")).alias("end_line"), F.trim("text", F.lit(" \t\n\r")).alias("text"), *keep)
-    return rows.where("text <> ''")
+    rows = cut.where(((F.col("k") == 0) | (start + overlap < F.col("n"))) & not_blank(F.col("text")))
+    return rows.select("path", (start + 1).alias("start_line"), F.least(start + size, F.col("n")).alias("end_line"), F.trim("text", F.lit(BLANKS)).alias("text"), *keep)
 
 
 def section_chunks(files: DataFrame, weight: float = 1.5, path_col: str = "path", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(path, section, title, start_line, end_line, text, weight, columns ``keep``): text cut before headings of level 1 to 3, inside each row by array functions, so no file is shuffled."""
     body = F.col(text_col)
-    own = files.select(F.col(path_col).alias("path"), *keep, lines(body).alias("l"), F.split(body, r"(?<=\n)(?=#{1,3}[^\S\n]+\S)", -1).alias("parts"))
+    own = files.select(F.col(path_col).alias("path"), *keep, lines(body).alias("l"), F.split(body, r"\n(?=#{1,3}[^\S\n]+\S)", -1).alias("parts"))
     heading = F.filter(F.sequence(F.lit(1), F.size("l")), lambda i: F.element_at(F.col("l"), i).rlike(r"^#{1,3}\s+\S"))
-    own = own.where("size(l) > 0").select("path", *keep, "parts", F.size("l").alias("n"), F.array_distinct(F.concat(F.array(F.lit(1)), heading)).alias("h"))
+    own = own.select("path", *keep, "parts", F.size("l").alias("n"), F.array_distinct(F.concat(F.array(F.lit(1)), heading)).alias("h"))
     # A section's text comes by the cut at the same headings, so that no row carries all lines.
     ends = F.concat(F.slice("h", 2, F.size("h")), F.array(F.col("n") + 1)).alias("e")
     cut = own.select("path", *keep, F.posexplode(F.arrays_zip("parts", "h", ends)).alias("section", "p"))
-    text = F.trim(F.replace("p.parts", F.lit("\r\n"), F.lit("\n")), F.lit(" \t\n\r"))
+    text = F.trim(F.replace("p.parts", F.lit("\r\n"), F.lit("\n")), F.lit(BLANKS))
     title = F.regexp_extract(F.substring_index("p.parts", "\n", 1), r"^#{1,3}\s+(.*?)\s*$", 1)
-    rows = cut.select("path", "section", title.alias("title"), F.col("p.h").alias("start_line"), (F.col("p.e") - 1).alias("end_line"), text.alias("text"), F.lit(weight).alias("weight"), *keep)
-    return rows.where("text <> ''")
+    return cut.where(not_blank(F.col("p.parts"))).select("path", "section", title.alias("title"), F.col("p.h").alias("start_line"), (F.col("p.e") - 1).alias("end_line"), text.alias("text"), F.lit(weight).alias("weight"), *keep)
 
 
 def heading_sections(files: DataFrame, path_col: str = "path", text_col: str = "text") -> DataFrame:
@@ -97,7 +103,8 @@ def chunk_files(files: DataFrame) -> DataFrame:
     row = lambda symbol, kind, weight: ("path", symbol, "start_line", "end_line", "text", F.lit(kind).alias("kind"), weight.alias("weight"), "file_hash")
     sections = section_chunks(keyed.where(is_doc), keep=("file_hash",)).select(*row(none, "memory", F.when(priority, F.lit(2.0)).otherwise(F.lit(1.4))))
     blocks = php_chunks(keyed, keep=("file_hash",)).select(*row(F.col("symbol"), "source", F.col("weight")))
-    whole = keyed.where(is_php & ~F.coalesce("text", F.lit("")).rlike(PHP_BLOCK))
+    # Other texts count as null, which no window comes of; as a filter the test would have Spark make a derived text twice.
+    whole = keyed.where(is_php).withColumn("text", F.when(~F.col("text").rlike(PHP_BLOCK), F.col("text")))
     plain = window_chunks(whole, keep=("file_hash",)).select(*row(none, "source", F.lit(1.0)))
     rest = window_chunks(keyed.where(~is_doc & ~is_php), keep=("file_hash",)).select(*row(none, "config", F.lit(0.9)))
     both = sections.unionByName(blocks).unionByName(plain).unionByName(rest)

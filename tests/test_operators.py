@@ -479,6 +479,19 @@ def test_cuts_match_loops_and_no_row_carries_all_lines(spark):
         assert carried(got) == {"path", "n"}
 
 
+def test_cuts_read_a_derived_text_once(spark):
+    raw = spark.createDataFrame([(p, t) for p in ("a.md", "b.php", "c.php", "d.ts") for t in (None, "", " \t\r\n", "\n# A\r\nx\n\n", "x\n" * 200)] + [("c.php", "class A { }\n")], "path string, raw string")
+    files_ = raw.select("path", F.regexp_replace("raw", "x", "y").alias("text"))
+    for got, cuts in ((chunks.window_chunks(files_), 1), (chunks.section_chunks(files_), 1), (chunks.chunk_files(files_), 4)):
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_replace(raw") == cuts
+        assert plan.count("regexp_extract_all(") + plan.count("split(text") // 2 + plan.count("MapInPandas") == cuts
+    found = chunks.chunk_files(files_).groupBy("path", "kind", "start_line", "end_line").count()
+    windows = lambda path, kind: [(path, kind, 1, 5, 1), (path, kind, 1, 80, 1), (path, kind, 69, 148, 1), (path, kind, 137, 201, 1)]
+    want = [("a.md", "memory", 1, 201, 1), ("a.md", "memory", 2, 5, 1), ("c.php", "source", 1, 1, 1)]
+    assert rows(found, *found.columns) == sorted(want + windows("b.php", "source") + windows("c.php", "source") + windows("d.ts", "config"), key=str)
+
+
 def test_repetition_matches_a_loop_and_reads_no_text_from_its_start(spark):
     r = random.Random(5)
     texts = ["".join(r.choice("ab\u00e4\U0001f600 ") * r.randint(1, 4) for _ in range(r.randint(60, 200))) + "\nx" * r.choice([0, 2, 12]) for _ in range(40)] + ["", "a" * 200]

@@ -51,10 +51,14 @@ def path_score(query: str, path: Column) -> Column:
 
 def overlap_score(query: str, text: Column) -> Column:
     """0 to 40: share of query terms in the text."""
+    return overlap_of(query, F.array_distinct(tokens(text)))
+
+
+def overlap_of(query: str, found: Column) -> Column:
+    """The same by the text's terms."""
     terms = query_tokens(query)
     if not terms:
         return F.lit(0)
-    found = F.array_distinct(tokens(text))
     hits = sum((F.array_contains(found, t).cast("int") for t in terms), F.lit(0))
     return F.coalesce(F.least(F.lit(40), js_round(hits / len(terms) * 40)), F.lit(0))
 

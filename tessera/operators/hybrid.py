@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import scores
 from ..functions.scores import SIGNALS
-from ..functions.text import query_tokens, tokens
 from ..sources.scratch import materialised
 from . import graph, lexical, policy, select
 
@@ -38,7 +37,7 @@ def candidates(chunks: DataFrame, files: DataFrame, symbols: DataFrame, edges: D
     policy.applicable, with a title if there is one. All chunks that hold a word of the query
     are candidates, so that what paths, choices and penalties add can lift any of them;
     ``lexical_pool`` keeps the best by text alone (an editor's limit). What a chunk's text adds is
-    computed where the text lies; only numbers are joined.
+    computed where the text lies, in the one pass that splits it into terms; only numbers are joined.
     """
     bounds = files.agg(F.min("mtime").alias("oldest"), F.max("mtime").alias("newest"))
     dated = files.crossJoin(F.broadcast(bounds))  # one row
@@ -58,12 +57,10 @@ def candidates(chunks: DataFrame, files: DataFrame, symbols: DataFrame, edges: D
         wanted, {"path_relevance": F.col("score"), "recency": fresh, "user_selected": chosen, "generated_penalty": penalty},
         id=F.concat(F.lit("file:"), "path"), result_type=F.lit("file"), path=F.col("path"), chars=F.least(F.coalesce("size", F.lit(400)), F.lit(2000)),
     )
-    hits = lexical.boosted(lexical.bm25(chunks, query, keep=("path", "kind", "weight")))
+    of_text = lambda own: {"overlap": scores.overlap_of(query, own), "repeats": scores.repetition_penalty(F.col("text")), "chars": F.least(F.length("text"), F.lit(1500))}
+    hits = lexical.boosted(lexical.bm25(chunks, query, keep=("path", "kind", "weight", "start_line", "end_line"), of_hits=of_text))
     hits = hits if lexical_pool is None else lexical.top_k(hits, lexical_pool)
-    words = F.array(*map(F.lit, dict.fromkeys(query_tokens(query)))).cast("array<string>")
-    own = chunks.where(F.arrays_overlap(tokens(F.col("text")), words))
-    own = own.select("id", "path", "start_line", "end_line", scores.overlap_score(query, F.col("text")).alias("overlap"), scores.repetition_penalty(F.col("text")).alias("repeats"), F.least(F.length("text"), F.lit(1500)).alias("chars"))
-    text = own.join(hits.select("id", "score"), "id").join(files.select("path", "size"), "path", "left")
+    text = hits.join(files.select("path", "size"), "path", "left")
     lex = F.least(F.lit(45.0), F.col("score") * 3 + F.col("overlap"))
     heavy = scores.generated_penalty(F.col("path"), F.col("size")) + F.col("repeats")
     text = text.withColumns({"lex": lex, "heavy": heavy}).where("NOT (heavy >= 50 AND lex < 25)")

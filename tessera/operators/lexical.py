@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,18 +54,23 @@ def equals(term: str):
     return lambda x: x == term
 
 
-def bm25(chunks: DataFrame, query: str, id_col: str = "id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def bm25(chunks: DataFrame, query: str, id_col: str = "id", text_col: str = "text", keep: tuple[str, ...] = (), of_hits: Callable[[Column], dict[str, Column]] | None = None) -> DataFrame:
     """(id, score, kept columns) of all documents with a score, without stored postings: one pass counts the query's terms only.
 
-    The counts (a few numbers a document) are persisted, as corpus figures and scores both need them.
+    ``of_hits`` gives more columns by the array of a text's words that are the query's; they are computed
+    in the same pass, where there is such a word. The counts (a few numbers a document) are persisted, as
+    corpus figures and scores both need them.
     """
     wanted = query_tokens(query)
     terms = list(dict.fromkeys(wanted))
-    counted = chunks.select(F.col(id_col).alias("id"), *keep, tokens(F.col(text_col)).alias("t"))
-    counted = counted.select("id", *keep, F.size("t").alias("dl"), *[F.size(F.filter("t", equals(t))).alias(f"tf{i}") for i, t in enumerate(terms)]).persist()
+    more = of_hits(F.col("_own")) if of_hits else {}
+    split = chunks.withColumn("_terms", tokens(F.col(text_col)))
+    split = split.withColumn("_own", F.filter("_terms", lambda x: x.isin(*terms)))
+    found = [F.when(F.size("_own") > 0, c).alias(name) for name, c in more.items()]
+    counted = split.select(F.col(id_col).alias("id"), *keep, F.size("_terms").alias("dl"), *[F.size(F.filter("_own", equals(t))).alias(f"tf{i}") for i, t in enumerate(terms)], *found).persist()
     corpus = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("average"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     parts = [bm25_term(F.col(f"tf{i}"), F.col("dl"), F.col(f"df{i}"), F.col("n"), F.col("average")) * wanted.count(t) for i, t in enumerate(terms)]
-    return counted.crossJoin(F.broadcast(corpus)).select("id", *keep, sum(parts, F.lit(0.0)).alias("score")).where("score > 0")
+    return counted.crossJoin(F.broadcast(corpus)).select("id", *keep, *more, sum(parts, F.lit(0.0)).alias("score")).where("score > 0")
 
 
 def boosted(scored: DataFrame, path_hint: str | None = None, prefer_memory: bool = True) -> DataFrame:

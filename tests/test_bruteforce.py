@@ -4,8 +4,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from tessera.functions import scores
 from tessera.functions.scores import CONFIDENCE
-from tessera.operators import graph, hybrid, paths, select
+from tessera.operators import graph, hybrid, lexical, paths, select
 
 KINDS = ("import", "call", "require", "likelyTestCoverage", "extends")
 POINTS = {"certain": 20, "high": 15, "medium": 8, "heuristic": -20}
@@ -206,6 +207,30 @@ def test_search_sees_all_text_hits(spark):
     assert len(got) == 10 and min(got.values()) >= sorted(ranks.values())[-10] - 1e-9  # one path a chunk: nothing overlaps, and the budget is wide
 
 
+def test_search_reads_each_text_once(spark):
+    """What a text adds comes of the pass that counts its terms, and is what the scores give on their own."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(t):
+        seen.add(1)
+        return t
+
+    texts = ["refund " * 60, "an order\n" * 40, "nothing here", None, "", "refund of an order", "refunds ordered", "x" * 2000 + " order refund refund"]
+    raw = spark.createDataFrame([(f"c{i}", f"lib/{i}.ts", t, 1, 5, "source", 1.0) for i, t in enumerate(texts)], "id string, path string, text string, start_line int, end_line int, kind string, weight double")
+    frames = (
+        spark.createDataFrame([(f"lib/{i}.ts", 100, 1) for i in range(len(texts))], "path string, size long, mtime long"),
+        spark.createDataFrame([], "id string, name string, path string, start_line int, end_line int"),
+        frame(spark, []),
+    )
+    got = {r.id: r for r in hybrid.candidates(raw.withColumn("text", F.udf(told, "string")("text")), *frames, "refund order refund").where("result_type = 'chunk'").collect()}
+    assert seen.value == len(texts)
+    alone = raw.select("id", scores.overlap_score("refund order refund", F.col("text")).alias("overlap"), scores.repetition_penalty(F.col("text")).alias("repeats"), F.least(F.length("text"), F.lit(1500)).alias("chars"))
+    want = {f"chunk:{r.id}": r for r in lexical.bm25(raw, "refund order refund").join(alone, "id").collect()}
+    assert set(got) == set(want) == {f"chunk:c{i}" for i in (0, 1, 5, 7)}
+    for i, r in want.items():
+        assert (got[i].chars, got[i].generated_penalty) == (r.chars, r.repeats) and abs(got[i].lexical - min(45, r.score * 3 + r.overlap)) < 1e-9
+
+
 def with_seats(rows):
     """(kept, the row that took the seat first)."""
     seats = []

@@ -210,7 +210,7 @@ REASONS = {"test": 90, "imported": 80, "importer": 70, "config": 20}
 
 
 def related_candidates(changed: DataFrame, files: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, path, reason, priority) of files beside changed ones (id, path): imports, importers, tests by stem, the folder's manifest; each by its best reason.
+    """(id, path, reason, priority) of files beside changed ones (id, path): imports, importers, tests by stem, all manifests; each by its best reason.
 
     A priority tells its reason, so numbers are gathered. Rows are dealt out by their key before
     that, so that no task holds what its part of the edges makes of pairs; ``files`` may repeat paths.
@@ -223,7 +223,7 @@ def related_candidates(changed: DataFrame, files: DataFrame, edges: DataFrame) -
     tests = files.where(F.col("path").rlike(r"(?i)(\.(test|spec)\.|/tests?/|Test\.php$)")).select(stem("path").alias("stem"), F.col("path").alias("other"))
     tested = changed.select("id", stem("path").alias("stem")).join(tests, "stem").select(*as_row("other", "test"))
     manifests = files.where(F.col("path").rlike(r"(^|/)(package|composer)\.json$")).select("path").distinct()
-    config = changed.select("id").distinct().join(F.broadcast(manifests.orderBy("path").limit(5))).select(*as_row("path", "config"))
+    config = changed.select("id").distinct().crossJoin(manifests).select(*as_row("path", "config"))
     own = max(REASONS.values()) + 1
     both = out.unionByName(into).unionByName(tested).unionByName(config).unionByName(changed.select("id", "path", F.lit(own).alias("priority")))
     best = both.repartition("id", "path").groupBy("id", "path").agg(F.max("priority").alias("priority")).where(F.col("priority") < own)

@@ -412,6 +412,17 @@ def test_related_candidates_meet_files_once(spark):
     assert plan.count("LeftSemi") == 1 and "max_by" not in plan
 
 
+def test_related_candidates_give_all_manifests(spark):
+    from tessera.operators import context
+
+    manifests = [f"pkg{i}/{name}" for i in range(6) for name in ("composer.json", "package.json")]
+    changed = spark.createDataFrame([("x", "src/a.ts"), ("y", "pkg3/package.json")], "id string, path string")
+    tree = spark.createDataFrame([(p,) for p in (*manifests, "src/a.ts")], "path string")
+    got = context.related_candidates(changed, tree, edge_frame(spark, [("src/a.ts", "pkg5/package.json", "import", "high")]))
+    want = [("x", p, *(("imported", 80) if p == "pkg5/package.json" else ("config", 20))) for p in manifests] + [("y", p, "config", 20) for p in manifests if p != "pkg3/package.json"]
+    assert rows(got, "id", "path", "reason", "priority") == sorted(want)
+
+
 def test_documents_memory_guard_and_scrub(spark):
     files = spark.createDataFrame([("AGENTS.md", "- Always test\n- ok"), ("src/a.ts", "x"), ("notes/own.txt", "- Never guess it"), ("docs/x.md", "t")], "path string, text string")
     docs = workspace.context_documents(files, spark.createDataFrame([("notes/own.txt",)], "path string"))

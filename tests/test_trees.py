@@ -137,3 +137,52 @@ def test_wide_folders_have_shares_of_a_fixed_number(tmp_path, monkeypatch):
     planned = trees.Walk(str(tmp_path), (), (), "").folders(1000)
     wide = [f for f in planned if f.path == "wide"]
     assert len(wide) == trees.SHARES and sum(len(list(trees.Walk(str(tmp_path), (), (), "").files(f))) for f in wide) == 60
+
+
+@pytest.mark.parametrize("without", ["nothing", "exchange", "leases", "links"])
+def test_drafts_are_packed_and_replaced_files_stay_as_they_were_for_others(tmp_path, monkeypatch, without):
+    def refused(*args, **kwargs):
+        raise OSError
+
+    monkeypatch.setattr(trees, "PACK", 4)
+    if without == "exchange":
+        monkeypatch.setattr(trees, "renameat2", lambda: None)
+    if without == "leases":
+        monkeypatch.setattr(trees.fcntl, "fcntl", refused)
+    root, link = tmp_path / "gen/memory", os.link
+    if without == "links":
+        monkeypatch.setattr(trees.os, "link", refused)
+
+    def job(name, texts):
+        writer = trees.GuardedWriter({"root": str(tmp_path), "within": "gen/memory", "job": name, "attempt": name})
+        folder = writer.write(iter([{"path": f"gen/memory/{path}", "text": text} for path, text in texts.items()])).folder
+        assert sorted(os.listdir(folder)) == ["0", "1", "2", "names"]  # few files, however many drafts
+        assert trees.name_drafts(str(tmp_path), folder) == len(texts)
+        writer.abort([])
+
+    block = "<!-- human:start -->\nmïne {}\n<!-- human:end -->"
+    names = [f"{i}.md" for i in range(10)] + ["two\nlines.md", "wide/x.md"]
+    job("first", {n: f"first {n}\n" + block.format(n) * (i % 2) for i, n in enumerate(names)})
+    assert (root / "two\nlines.md").read_text() == "first two\nlines.md\n"
+    link(root / "1.md", tmp_path / "kept")
+    (root / "5.md").chmod(0o600)
+    (root / "two\nlines.md").unlink()
+    mode = (root / "0.md").stat().st_mode
+    with open(root / "4.md") as reader:
+        job("second", {n: f"second {n}{'x' * i}\n" for i, n in enumerate(names)})
+        assert reader.read() == "first 4.md\n"
+    assert (tmp_path / "kept").read_text() == "first 1.md\n" + block.format("1.md")
+    for i, n in enumerate(names):
+        assert (root / n).read_text() == f"second {n}{'x' * i}\n" + f"\n{block.format(n)}\n" * (i % 2) and (root / n).stat().st_mode == mode
+    assert sorted(os.listdir(root)) == sorted([".drafts", *names[:-1], "wide"]) and not os.listdir(root / ".drafts")
+
+
+def test_naming_is_dealt_out_whatever_the_input_is_dealt_in(spark, tmp_path):
+    rows = spark.range(0, 2 * trees.PACK + 1, 1, 1).selectExpr("concat('gen/memory/', id % 3, '/', id, '.md') AS path", "concat('t', id) AS text")
+    for job in ("j1", "j2"):
+        before = {s for s in spark.sparkContext.statusTracker().getJobIdsForGroup(None)}
+        trees.write_files(rows, str(tmp_path), "gen/memory", job)
+        stages = [spark.sparkContext.statusTracker().getStageInfo(s) for j in set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - before for s in spark.sparkContext.statusTracker().getJobInfo(j).stageIds]
+        assert max(s.numTasks for s in stages if s) >= 3
+    assert {p.name: p.read_text() for p in (tmp_path / "gen/memory").glob("?/*.md")} == {f"{i}.md": f"t{i}" for i in range(2 * trees.PACK + 1)}
+    assert not list((tmp_path / "gen/memory/.drafts").glob("*"))
